@@ -35,3 +35,37 @@ def acgt(id_expr: str) -> str:
 
 def r6(expr: str) -> str:
     return f"(round(({expr})::DOUBLE, 6) + 0.0)"
+
+
+def dot_sql(x: str, y: str) -> str:
+    return f"list_dot_product({x}, {y})"
+
+
+def cos_sql(x: str, y: str) -> str:
+    return (f"(list_dot_product({x}, {y}) / (greatest(sqrt(list_dot_product({x}, {x})), 1e-8) * "
+            f"greatest(sqrt(list_dot_product({y}, {y})), 1e-8)))")
+
+
+def sqdist_sql(x: str, y: str) -> str:
+    return f"list_sum(list_transform({x}, lambda v, i: (v - {y}[i]) * (v - {y}[i])))"
+
+
+def mix_sql(x: str, y: str, lam: float) -> str:
+    return f"list_transform({x}, lambda v, i: {lam!r} * v + {1.0 - lam!r} * {y}[i])"
+
+
+# Embeddings with their L2-normalised copy u (a zero vector stays zero).
+EMB_U = ("SELECT vec_id, x, list_transform(x, lambda v: v / greatest(nrm, 1e-12)) AS u FROM "
+         "(SELECT vec_id, embedding::DOUBLE[] AS x, "
+         "sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS nrm FROM embeddings)")
+
+# pairs (idx, z1, z2) of consecutive embeddings.
+PAIRS = ("SELECT a.vec_id // 2 AS idx, a.embedding::DOUBLE[] AS z1, b.embedding::DOUBLE[] AS z2 "
+         "FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 2 = 0")
+
+# batches of 64 with z3 = z2 at (pos + 7) mod N.
+BATCHES = (f"SELECT b0.batch, b0.pos, b0.z1, b0.z2, t.z2 AS z3, sz.n FROM "
+           f"(SELECT idx // 64 AS batch, (idx % 64)::INTEGER AS pos, z1, z2 FROM ({PAIRS})) b0 "
+           f"JOIN (SELECT idx // 64 AS batch, count(*) AS n FROM ({PAIRS}) GROUP BY 1) sz USING (batch) "
+           f"JOIN (SELECT idx // 64 AS batch, (idx % 64)::INTEGER AS pos, z2 FROM ({PAIRS})) t "
+           f"ON t.batch = b0.batch AND t.pos = (b0.pos + 7) % sz.n")
