@@ -69,3 +69,37 @@ BATCHES = (f"SELECT b0.batch, b0.pos, b0.z1, b0.z2, t.z2 AS z3, sz.n FROM "
            f"JOIN (SELECT idx // 64 AS batch, count(*) AS n FROM ({PAIRS}) GROUP BY 1) sz USING (batch) "
            f"JOIN (SELECT idx // 64 AS batch, (idx % 64)::INTEGER AS pos, z2 FROM ({PAIRS})) t "
            f"ON t.batch = b0.batch AND t.pos = (b0.pos + 7) % sz.n")
+
+
+def tokens_sql(text: str) -> str:
+    return (f"list_filter(regexp_split_to_array(coalesce({text}, ' '), '[ \\t\\n\\r\\f]+'), "
+            f"lambda t: t <> '')")
+
+
+def vocab_sql(tok_table: str, size: int = 4096) -> str:
+    """(token, id, count) top size-5 tokens of a table with a `tokens` list column."""
+    return (f"SELECT token, (row_number() OVER (ORDER BY cnt DESC, token) + 4)::INTEGER AS id, "
+            f"cnt AS count FROM (SELECT token, count(*) AS cnt FROM "
+            f"(SELECT unnest(tokens) AS token FROM {tok_table}) GROUP BY token "
+            f"ORDER BY cnt DESC, token LIMIT {size - 5})")
+
+
+def ids_sql(tok_table: str, key: str, vocab: str) -> str:
+    """(key, ids) with the whole token list looked up (unknown -> 1), order kept."""
+    return (f"SELECT {key}, coalesce(list(coalesce(v.id, 1) ORDER BY pos) FILTER (WHERE pos IS NOT NULL), "
+            f"[]::INTEGER[]) AS ids FROM "
+            f"(SELECT {key}, unnest(tokens) AS token, unnest(range(1, len(tokens) + 1)) AS pos "
+            f"FROM {tok_table} UNION ALL SELECT {key}, NULL, NULL FROM {tok_table} WHERE len(tokens) = 0) t "
+            f"LEFT JOIN {vocab} v USING (token) GROUP BY {key}")
+
+
+def trunc_sql(ids: str, max_len: int = 128) -> str:
+    return f"([2] || {ids}[1:{max_len - 2}] || [3])"
+
+
+def pad_sql(ids: str, max_len: int = 128) -> str:
+    return f"list_resize({ids}, {max_len}, 0)"
+
+
+def mask_sql(ids: str, max_len: int = 128) -> str:
+    return f"list_transform(range(1, {max_len + 1}), lambda i: CASE WHEN i <= len({ids}) THEN 1 ELSE 0 END)"
