@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from helixframe.session import cut_lineage
+
 
 def _parts(df: DataFrame, n_parts: int | None) -> int:
     if n_parts:
@@ -39,6 +41,9 @@ def dense_index(df: DataFrame, order_cols: list[str], group_cols: list[str] | No
     r = (df.repartitionByRange(_parts(df, n_parts), *cols).sortWithinPartitions(*cols)
          .withColumn("_pid", F.spark_partition_id())
          .withColumn("_mid", F.monotonically_increasing_id()))
+    # The ids must be read identically by the piece table and the rows: cut the
+    # lineage with a reliable checkpoint (shared folder) so both see one copy.
+    r = cut_lineage(r)
     pieces = r.groupBy("_pid", *g).agg(F.count(F.lit(1)).alias("_cnt"), F.min("_mid").alias("_m0"))
     w = Window.partitionBy(*g).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offs = pieces.select("_pid", *g, "_m0",
@@ -52,57 +57,71 @@ _NP = {"sum": np.cumsum, "max": np.maximum.accumulate, "min": np.minimum.accumul
 _SQL = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
-def running_agg(df: DataFrame, value: str, order_cols: list[str], group_cols: list[str],
-                op: str = "max", name: str = "running", exclusive: bool = False,
+def running_agg(df: DataFrame, value, order_cols: list[str], group_cols: list[str],
+                op: str = "max", name=None, exclusive: bool = False,
                 n_parts: int | None = None) -> DataFrame:
-    """Running sum/max/min of ``value`` per group in order (null-free values).
-
-    ``exclusive`` gives the aggregate of the rows strictly before (null for
-    the first row of a group), i.e. ``ROWS BETWEEN UNBOUNDED PRECEDING AND 1
-    PRECEDING``.  The in-piece scan runs in pandas inside each task; a piece
-    is one (partition, Arrow batch, group) run, and pieces are stitched by a
-    prefix over the small piece table.  No group is gathered into one task.
+    """Running sum/max/min of one or more value columns per group, in order.
+
+    ``value``/``name`` may be a column name or a list of them.  ``exclusive``
+    gives the aggregate of the rows strictly before (null for the first row
+    of a group), i.e. ``ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING``.
+    Values must be non-null and not NaN.  The in-piece scan runs in pandas
+    inside each task; a piece is one (partition, Arrow batch, group) run, and
+    pieces are stitched by a prefix over the small piece table.  No group is
+    gathered into one task.
     """
+    values = [value] if isinstance(value, str) else list(value)
+    names = ([name or "running"] if isinstance(value, str) else list(name or [v + "_run" for v in values]))
     g = list(group_cols)
     cols = g + list(order_cols)
     r = (df.repartitionByRange(_parts(df, n_parts), *cols).sortWithinPartitions(*cols)
          .withColumn("_pid", F.spark_partition_id()))
-    schema = T.StructType(r.schema.fields + [T.StructField("_chunk", T.LongType()),
-                                             T.StructField("_loc", T.DoubleType()),
-                                             T.StructField("_locx", T.DoubleType())])
+    extra = [T.StructField("_chunk", T.LongType())]
+    for k in range(len(values)):
+        extra += [T.StructField(f"_loc{k}", T.DoubleType()), T.StructField(f"_locx{k}", T.DoubleType())]
+    schema = T.StructType(r.schema.fields + extra)
     fn = _NP[op]
 
     def scan(batches):
         for chunk, pdf in enumerate(batches):
             if len(pdf) == 0:
                 continue
-            v = pdf[value].astype("float64").to_numpy()
             if g:
                 keys = pdf[g].astype(str).agg("\x1f".join, axis=1).to_numpy()
                 starts = np.r_[True, keys[1:] != keys[:-1]]
             else:
                 starts = np.r_[True, np.zeros(len(pdf) - 1, dtype=bool)]
-            seg = np.cumsum(starts) - 1
-            loc = np.empty_like(v)
-            bounds = np.r_[np.flatnonzero(starts), len(v)]
-            for a, b in zip(bounds[:-1], bounds[1:]):
-                loc[a:b] = fn(v[a:b])
-            locx = np.r_[np.nan, loc[:-1]]
-            locx[starts] = np.nan
-            del seg
-            yield pdf.assign(_chunk=chunk, _loc=loc, _locx=locx)
+            bounds = np.r_[np.flatnonzero(starts), len(pdf)]
+            cols_out = {"_chunk": chunk}
+            for k, v in enumerate(values):
+                x = pdf[v].astype("float64").to_numpy()
+                loc = np.empty_like(x)
+                for a, b in zip(bounds[:-1], bounds[1:]):
+                    loc[a:b] = fn(x[a:b])
+                locx = np.r_[np.nan, loc[:-1]]
+                locx[starts] = np.nan
+                cols_out[f"_loc{k}"] = loc
+                cols_out[f"_locx{k}"] = locx
+            yield pdf.assign(**cols_out)
 
     local = r.mapInPandas(scan, schema)
-    pieces = local.groupBy("_pid", "_chunk", *g).agg(_SQL[op](value).alias("_tot"))
+    pieces = local.groupBy("_pid", "_chunk", *g).agg(
+        *[_SQL[op](v).alias(f"_tot{k}") for k, v in enumerate(values)])
     w = Window.partitionBy(*g).orderBy("_pid", "_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offs = pieces.select("_pid", "_chunk", *g, _SQL[op]("_tot").over(w).alias("_before"))
+    offs = pieces.select("_pid", "_chunk", *g,
+                         *[_SQL[op](f"_tot{k}").over(w).alias(f"_before{k}") for k in range(len(values))])
     j = local.join(offs, ["_pid", "_chunk", *g])
     comb = {"sum": lambda a, b: F.coalesce(a, F.lit(0.0)) + b,
             "max": lambda a, b: F.coalesce(F.greatest(a, b), b),
             "min": lambda a, b: F.coalesce(F.least(a, b), b)}[op]
-    if not exclusive:
-        out = comb(F.col("_before"), F.col("_loc"))
-    else:
-        locx = F.when(F.isnan("_locx"), F.lit(None)).otherwise(F.col("_locx"))
-        out = F.when(locx.isNull(), F.col("_before")).otherwise(comb(F.col("_before"), locx))
-    return j.withColumn(name, out).drop("_pid", "_chunk", "_loc", "_locx", "_before")
+    outs = []
+    for k, nm in enumerate(names):
+        before = F.col(f"_before{k}")
+        if not exclusive:
+            out = comb(before, F.col(f"_loc{k}"))
+        else:
+            locx = F.when(F.isnan(f"_locx{k}"), F.lit(None)).otherwise(F.col(f"_locx{k}"))
+            out = F.when(locx.isNull(), before).otherwise(comb(before, locx))
+        outs.append(out.alias(nm))
+    keep = [c for c in df.columns]
+    return j.select(*keep, *outs)

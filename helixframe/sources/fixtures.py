@@ -139,12 +139,13 @@ def hidden_states(spark, sf) -> DataFrame:
 
 
 def variant_scores(spark, sf) -> DataFrame:
-    """(doc_id, score, precomputed_score, label, chrom)."""
+    """(doc_id, score, precomputed_score, label, chrom); score = md5 uniform floored to 0.01 (ties)."""
     lab = table(spark, sf, "labels").select("doc_id", "quality")
     d = documents(spark, sf).select("doc_id", "lang", "n_chars")
     return (lab.join(d, "doc_id")
             .select("doc_id",
-                    F.round(uniform(F.lit("score"), F.col("doc_id")), 2).alias("score"),
+                    (F.floor(hash_u32(F.lit("score"), F.col("doc_id")) * 100 / F.lit(4294967296))
+                     / F.lit(100.0)).alias("score"),
                     F.col("n_chars").cast("double").alias("precomputed_score"),
                     F.col("quality").cast("int").alias("label"),
                     F.col("lang").alias("chrom")))
