@@ -26,7 +26,7 @@ def n_blocks(n: int, block_rows: int) -> int:
 
 def block_pairs(df: DataFrame, id_col: str, cols: list[str], block_rows: int = 256,
                 n: int | None = None, directed: bool = False,
-                include_self: bool = False) -> DataFrame:
+                include_self: bool = False, keep_keys: bool = False) -> DataFrame:
     """Pairs of rows of ``df`` as columns ``l_id, l_<c>..., r_id, r_<c>...``.
 
     ``id_col`` must be unique.  Undirected by default (each unordered pair
@@ -48,8 +48,10 @@ def block_pairs(df: DataFrame, id_col: str, cols: list[str], block_rows: int = 2
     left = left.repartition(parts, "_k1", "_k2")
     right = right.repartition(parts, "_k1", "_k2")
     j = (left.join(right, ["_k1", "_k2"])
-         .where((F.col("_k1") != F.col("_k2")) | (F.col("l_id") < F.col("r_id")))
-         .drop("_k1", "_k2"))
+         .where((F.col("_k1") != F.col("_k2")) | (F.col("l_id") < F.col("r_id"))))
+    if keep_keys:
+        return j
+    j = j.drop("_k1", "_k2")
     out = j
     if directed:
         swap = j.select(*[F.col("r_" + c).alias("l_" + c) for c in fields],
