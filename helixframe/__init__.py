@@ -14,3 +14,14 @@ plan the physical work.  Sub-packages:
 from helixframe.session import get_spark, checkpoint_dir
 
 __all__ = ["get_spark", "checkpoint_dir"]
+
+# Ship the package's functions to Python workers by value, so executors need
+# no installed copy of this package (cloudpickle resolves sub-modules too).
+try:  # pragma: no cover - depends on the pyspark build
+    import sys as _sys
+
+    from pyspark import cloudpickle as _cloudpickle
+
+    _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+except Exception:  # noqa: BLE001
+    pass

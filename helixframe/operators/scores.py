@@ -247,7 +247,8 @@ def score_sheet(pred: DataFrame, spaces: dict[str, DataFrame] | None = None,
     for suffix, space in spaces.items():
         key = id(space)
         if key not in done:
-            j = pred.select("vec_id", "label", "cluster").join(space, "vec_id")
+            # read by six aggregates below: keep one copy (spills to disk at scale)
+            j = pred.select("vec_id", "label", "cluster").join(space, "vec_id").persist()
             tag = f"s{len(done)}"
             for lab_name, col, only in (("true", "label", False), ("pred", "cluster", False),
                                         ("pred_clus", "cluster", True)):

@@ -63,3 +63,80 @@ def k15_silhouette(spark, sf):
     p = G.silhouette(e, "vec_id", "embedding", "cluster").select(F.lit("pred").alias("labelling"), "metric",
                                                                  r6("silhouette").alias("silhouette"))
     return t.unionByName(p)
+
+
+# ------------------------------------------------ pyspark.ml based (rows only)
+from helixframe.functions import vectors as V  # noqa: E402
+from helixframe.operators import cluster as CL  # noqa: E402
+from helixframe.operators import scores as S  # noqa: E402
+from helixframe.session import cut_lineage  # noqa: E402
+
+REDUCED_DIM = 50
+
+
+def _k_true(e):
+    return e.agg(F.countDistinct("label")).first()[0]  # K1: a scalar
+
+
+@query("k1_true_cluster_count", "SELECT count(DISTINCT label) AS num_cluster_true FROM embeddings")
+def k1_true_cluster_count(spark, sf):
+    return FX.embedding_set(spark, sf).agg(F.countDistinct("label").alias("num_cluster_true"))
+
+
+@query("k2_pca_reduce")
+def k2_pca_reduce(spark, sf):
+    e = FX.clustered_embeddings(spark, sf)
+    r, _ = CL.pca_reduce(e, "embedding", REDUCED_DIM)
+    return r.select("vec_id", V.round_vec("reduced").alias("reduced"))
+
+
+@query("k4_ward")
+def k4_ward(spark, sf):
+    e = FX.clustered_embeddings(spark, sf)
+    return CL.ward(e, "vec_id", "embedding", _k_true(e))
+
+
+@query("k16_kmeans")
+def k16_kmeans(spark, sf):
+    e = FX.clustered_embeddings(spark, sf)
+    pred, facts = CL.kmeans(e, "vec_id", "embedding", _k_true(e), seed=0)
+    sc = S.pair_scores(e.select("vec_id", "label").join(pred, "vec_id"))
+    return sc.select(r6("ami").alias("ami"), r6("ari").alias("ari"),
+                     F.lit(facts["n_iter"]).alias("n_iter"), F.lit(facts["converged"]).alias("converged"))
+
+
+@query("k17_bisecting_kmeans")
+def k17_bisecting_kmeans(spark, sf):
+    e = FX.clustered_embeddings(spark, sf)
+    pred, _ = CL.kmeans(e, "vec_id", "embedding", _k_true(e), seed=0, max_iter=20, bisecting=True)
+    return pred
+
+
+@query("k17_power_iteration")
+def k17_power_iteration(spark, sf):
+    e = FX.clustered_embeddings(spark, sf)
+    g = G.knn_graph(e, "vec_id", "embedding", KNN)
+    return CL.power_iteration(g, _k_true(e))
+
+
+@query("k18_linear_probe")
+def k18_linear_probe(spark, sf):
+    e = FX.clustered_embeddings(spark, sf)
+    return CL.linear_probe(e, "embedding", "label").select("split", r6("accuracy").alias("accuracy"), "n")
+
+
+def flagship(spark, sf):
+    """The live evaluation end to end: vectors -> PCA -> Ward at the true k -> score sheet."""
+    og = FX.clustered_embeddings(spark, sf)
+    k = _k_true(og)
+    red, kk = CL.pca_reduce(og, "embedding", REDUCED_DIM)
+    # The reduced space feeds a dozen aggregates: materialise it once.
+    red = cut_lineage(red.select("vec_id", F.col("reduced").alias("embedding")))
+    labels = CL.ward(red, "vec_id", "embedding", k)
+    pred = og.select("vec_id", "label", "embedding").join(labels, "vec_id")
+    sheet = S.score_sheet(pred.select("vec_id", "label", "cluster", "embedding"),
+                          {"": red, "-fit": red, "-og": og.select("vec_id", "embedding")}, reduced_dim=kk)
+    return sheet.select("metric", r6("value").alias("value"))
+
+
+query("k14_flagship_pipeline")(flagship)

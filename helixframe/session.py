@@ -29,6 +29,8 @@ def get_spark(master: str | None = None, app: str = "helixframe",
     conf = dict(DEFAULT_CONF)
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if master and master.startswith("local"):
+        conf.setdefault("spark.driver.memory", "8g")
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)
@@ -63,9 +65,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df):
-    """Reliable checkpoint (never a local one): survives executor loss."""
+    """Reliable checkpoint (never a local one): survives executor loss.
+
+    The frame is persisted first so the checkpoint write does not recompute
+    the lineage a second time; the cache is dropped once the files exist.
+    """
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    df = df.persist()
+    out = df.checkpoint(eager=True)
+    df.unpersist()
+    return out
 
 
 def env_int(name: str, default: int) -> int:
