@@ -26,39 +26,46 @@ def n_blocks(n: int, block_rows: int) -> int:
 
 def block_pairs(df: DataFrame, id_col: str, cols: list[str], block_rows: int = 256,
                 n: int | None = None, directed: bool = False,
-                include_self: bool = False, keep_keys: bool = False) -> DataFrame:
+                include_self: bool = False, keep_keys: bool = False,
+                group: str | None = None) -> DataFrame:
     """Pairs of rows of ``df`` as columns ``l_id, l_<c>..., r_id, r_<c>...``.
 
-    ``id_col`` must be unique.  Undirected by default (each unordered pair
-    once); ``directed`` adds the mirrored rows; ``include_self`` adds (i, i).
+    ``id_col`` must be unique (within ``group`` when given: pairs are then
+    formed inside each group only, the group being part of the join key).
+    Undirected by default (each unordered pair once); ``directed`` adds the
+    mirrored rows; ``include_self`` adds (i, i).
     """
     if n is None:
         n = df.count()  # a scalar: the rows stay on the executors
     B = n_blocks(n, block_rows)
     fields = ["id"] + list(cols)
-    base = df.select(F.col(id_col).alias("id"), *[F.col(c) for c in cols]).withColumn(
+    gk = ["_g"] if group else []
+    base = df.select(F.col(id_col).alias("id"), *[F.col(c) for c in cols],
+                     *([F.col(group).alias("_g")] if group else [])).withColumn(
         "_b", F.pmod(F.xxhash64("id"), F.lit(B)).cast("int"))
     parts = min(B * (B + 1) // 2, MAX_PAIR_PARTITIONS)
-    left = base.select(*[F.col(c).alias("l_" + c) for c in fields],
+    if group:
+        parts = min(parts * 4, MAX_PAIR_PARTITIONS)
+    left = base.select(*[F.col(c).alias("l_" + c) for c in fields], *gk,
                        F.col("_b").alias("_k1"),
                        F.explode(F.sequence(F.col("_b"), F.lit(B - 1))).alias("_k2"))
-    right = base.select(*[F.col(c).alias("r_" + c) for c in fields],
+    right = base.select(*[F.col(c).alias("r_" + c) for c in fields], *gk,
                         F.explode(F.sequence(F.lit(0), F.col("_b"))).alias("_k1"),
                         F.col("_b").alias("_k2"))
-    left = left.repartition(parts, "_k1", "_k2")
-    right = right.repartition(parts, "_k1", "_k2")
-    j = (left.join(right, ["_k1", "_k2"])
+    left = left.repartition(parts, *gk, "_k1", "_k2")
+    right = right.repartition(parts, *gk, "_k1", "_k2")
+    j = (left.join(right, gk + ["_k1", "_k2"])
          .where((F.col("_k1") != F.col("_k2")) | (F.col("l_id") < F.col("r_id"))))
     if keep_keys:
         return j
     j = j.drop("_k1", "_k2")
     out = j
     if directed:
-        swap = j.select(*[F.col("r_" + c).alias("l_" + c) for c in fields],
+        swap = j.select(*gk, *[F.col("r_" + c).alias("l_" + c) for c in fields],
                         *[F.col("l_" + c).alias("r_" + c) for c in fields])
         out = out.unionByName(swap)
     if include_self:
-        diag = base.select(*[F.col(c).alias("l_" + c) for c in fields],
+        diag = base.select(*gk, *[F.col(c).alias("l_" + c) for c in fields],
                            *[F.col(c).alias("r_" + c) for c in fields])
         out = out.unionByName(diag)
     return out

@@ -242,22 +242,26 @@ def score_sheet(pred: DataFrame, spaces: dict[str, DataFrame] | None = None,
     clus = pair_scores(clus_pred).select(*[F.col(c).alias(c + "@clus") for c in
                                            ("ami", "ari", "fms", "completeness", "homogeneity")])
     parts = [ratios, guards, full, clus]
-    geo_names = {}
-    done = {}
+    # distinct spaces -> one wide frame (vec_id, label, cluster, v0, v1, ...)
+    tags, cols, base = {}, {}, pred.select("vec_id", "label", "cluster")
     for suffix, space in spaces.items():
-        key = id(space)
-        if key not in done:
-            # read by six aggregates below: keep one copy (spills to disk at scale)
-            j = pred.select("vec_id", "label", "cluster").join(space, "vec_id").persist()
-            tag = f"s{len(done)}"
-            for lab_name, col, only in (("true", "label", False), ("pred", "cluster", False),
-                                        ("pred_clus", "cluster", True)):
-                src = j.where("cluster >= 0") if only else j
-                src = src.select("embedding", F.col(col).alias("cluster"))
-                parts.append(calinski_harabasz(src).select(F.col("chs").alias(f"chs@{tag}@{lab_name}")))
-                parts.append(davies_bouldin(src).select(F.col("dbs").alias(f"dbs@{tag}@{lab_name}")))
-            done[key] = tag
-        geo_names[suffix] = done[key]
+        if id(space) not in tags:
+            tag = f"s{len(tags)}"
+            tags[id(space)] = tag
+            base = base.join(space.select("vec_id", F.col("embedding").alias(tag)), "vec_id")
+            cols[tag] = tag
+    base = base.persist()  # read by the geometry passes; spills to disk at scale
+    views = [("true", F.col("label"), None), ("pred", F.col("cluster"), None),
+             ("pred_clus", F.col("cluster"), F.col("cluster") >= 0)]
+    geo = geometry_scores(base, views, cols)
+    geo_names = {suffix: tags[id(space)] for suffix, space in spaces.items()}
+    wide_geo = []
+    for tag in cols:
+        for lab in ("true", "pred", "pred_clus"):
+            hit = (F.col("space") == tag) & (F.col("labelling") == lab)
+            wide_geo += [F.max(F.when(hit, F.col("chs"))).alias(f"chs@{tag}@{lab}"),
+                         F.max(F.when(hit, F.col("dbs"))).alias(f"dbs@{tag}@{lab}")]
+    parts.append(geo.agg(*wide_geo))  # one row: every (space, labelling) score
     wide = zip_rows(*parts)
     k_pred, n_clus = F.col("num_cluster_pred"), F.col("n_clus")
     g_pred = (k_pred > 1) & (F.col("k_all") < F.col("n_all"))
@@ -290,3 +294,73 @@ def score_sheet(pred: DataFrame, spaces: dict[str, DataFrame] | None = None,
                  (guard if guard is not None else F.lit(True)).alias("keep"))
         for name, val, guard in rows])).alias("r")).select("r.*")
     return tall.where("keep").drop("keep")
+
+
+def geometry_scores(df: DataFrame, views: list, spaces: dict[str, str],
+                    block_rows: int = 512) -> DataFrame:
+    """K12 + K13 for several labellings and vector spaces in shared passes.
+
+    ``views`` are (name, key column, row filter or None); ``spaces`` maps a
+    space name to a vector column of ``df``.  Every (space, labelling) is a
+    group ``g``; all groups share one scan, one per-(g, key, dim) aggregate
+    (with the squared norm riding along as dim -1), one pass for distances to
+    centroids and one grouped blocked pair pass over the centroids.
+    Output: (space, labelling, chs, dbs) - null where k <= 1 or k >= n.
+    """
+    items = []
+    for sp, vcol in spaces.items():
+        for name, key, flt in views:
+            it = F.struct(F.lit(f"{sp}|{name}").alias("g"), key.cast("long").alias("key"),
+                          F.col(vcol).alias("x"))
+            items.append(F.when(flt, it) if flt is not None else it)
+    ex = df.select(F.explode(F.filter(F.array(*items), lambda s: s.isNotNull())).alias("e")).select("e.*")
+    cells = ex.select("g", "key", F.explode(F.concat(
+        F.transform("x", lambda v, i: F.struct(i.alias("dim"), v.alias("v"))),
+        F.array(F.struct(F.lit(-1).alias("dim"), V.sqnorm("x").alias("v"))))).alias("c"))
+    sums = cells.groupBy("g", "key", F.col("c.dim").alias("dim")).agg(
+        F.sum("c.v").alias("s"), F.count(F.lit(1)).alias("cnt"))
+    # Calinski-Harabasz from the sums alone.
+    perk = sums.groupBy("g", "key").agg(
+        F.sum(F.when(F.col("dim") >= 0, F.col("s") * F.col("s"))).alias("sk2"),
+        F.max("cnt").alias("nk"), F.sum(F.when(F.col("dim") == -1, F.col("s"))).alias("xx"))
+    per_g = perk.groupBy("g").agg(F.sum(F.col("sk2") / F.col("nk")).alias("b_term"),
+                                  F.count(F.lit(1)).alias("k"), F.sum("nk").alias("n"),
+                                  F.sum("xx").alias("xx"))
+    s2 = (sums.where(F.col("dim") >= 0).groupBy("g", "dim").agg(F.sum("s").alias("S"))
+          .groupBy("g").agg(F.sum(F.col("S") * F.col("S")).alias("s2")))
+    ch = per_g.join(s2, "g")
+    extra = F.col("b_term") - F.col("s2") / F.col("n")
+    intra = F.col("xx") - F.col("b_term")
+    kd, nd = F.col("k").cast("double"), F.col("n").cast("double")
+    chs = F.when(intra == 0, F.lit(1.0)).otherwise(extra * (nd - kd) / (intra * (kd - 1)))
+    ch = ch.select("g", "k", "n", chs.alias("chs"))
+    # Davies-Bouldin: centroids, mean distance to own centroid, grouped centroid pairs.
+    cents = (sums.where(F.col("dim") >= 0).groupBy("g", "key")
+             .agg(F.array_sort(F.collect_list(F.struct("dim", (F.col("s") / F.col("cnt")).alias("m"))))
+                  .alias("_c"))
+             .select("g", "key", F.col("_c.m").alias("centroid")))
+    intra_d = (ex.join(cents, ["g", "key"]).groupBy("g", "key")
+               .agg(F.avg(V.euclidean("x", "centroid")).alias("s")))
+    ci = cents.join(intra_d, ["g", "key"])
+    max_k = max(1, ch.agg(F.max("k")).first()[0] or 1)
+    pairs = block_pairs(ci, "key", ["centroid", "s"], block_rows=block_rows, n=max_k, group="g")
+    pd_ = pairs.select("_g", "l_id", "r_id", (F.col("l_s") + F.col("r_s")).alias("ss"),
+                       V.euclidean("l_centroid", "r_centroid").alias("dist"))
+    ratio = F.when(F.col("dist") == 0, F.lit(0.0)).otherwise(F.col("ss") / F.col("dist"))
+    both = pd_.select(F.explode(F.array(
+        F.struct(F.col("_g").alias("g"), F.col("l_id").alias("key"), ratio.alias("r"), F.col("dist")),
+        F.struct(F.col("_g").alias("g"), F.col("r_id").alias("key"), ratio.alias("r"), F.col("dist"))))
+        .alias("e")).select("e.*")
+    best = both.groupBy("g", "key").agg(F.max("r").alias("r"), F.max(F.abs("dist")).alias("md"))
+    db = (ci.select("g", "key", "s").join(best, ["g", "key"], "left").groupBy("g")
+          .agg(F.avg(F.coalesce("r", F.lit(0.0))).alias("dbs_raw"), F.max(F.abs("s")).alias("max_s"),
+               F.max("md").alias("max_d")))
+    out = ch.join(db, "g")
+    undefined = (F.col("k") <= 1) | (F.col("k") >= F.col("n"))
+    dbs = F.when(undefined, F.lit(None).cast("double")).when(
+        (F.col("max_s") <= 1e-8) | (F.coalesce(F.col("max_d"), F.lit(0.0)) <= 1e-8), F.lit(0.0)) \
+        .otherwise(F.col("dbs_raw"))
+    parts = F.split("g", "\\|")
+    return out.select(parts[0].alias("space"), parts[1].alias("labelling"),
+                      F.when(undefined, F.lit(None).cast("double")).otherwise(F.col("chs")).alias("chs"),
+                      dbs.alias("dbs"))

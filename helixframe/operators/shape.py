@@ -53,11 +53,16 @@ def alias_labels(df: DataFrame) -> DataFrame:
 
 
 def seeded_head(df: DataFrame, id_col: str, seed: int, frac: float) -> DataFrame:
-    """Exact replayable sample - order by md5(seed:id), keep the first int(frac*n)."""
+    """Exact replayable sample - order by md5(seed:id), keep the first int(frac*n).
+
+    The head can be a large share of the data, so it is cut with the
+    range-partitioned dense index (a filter on the position) instead of a
+    limit that would funnel the kept rows through one task.
+    """
     n = df.count()
     k = int(frac * n)
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")))
-    return df.orderBy(key, F.col(id_col)).limit(k)
+    keyed = df.withColumn("_key", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string"))))
+    return dense_index(keyed, ["_key", id_col], name="_pos").where(F.col("_pos") < k).drop("_key", "_pos")
 
 
 def batch_plan(df: DataFrame, order_cols: list[str], batch_size: int, accum: int = 1) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from helixframe.operators import quality as Q
 from helixframe.operators.common import r6
 from helixframe.plans.registry import query
+from helixframe.functions import vectors as V
 from helixframe.plans.sqlfix import EMB_U, PAIRS, sqdist_sql
 from helixframe.sources import fixtures as FX
 
@@ -67,3 +68,42 @@ SELECT r.bin::INTEGER AS bin,
 FROM range(20) r(bin) LEFT JOIN c ON c.bin = r.bin""")
 def q6_cos_hist(spark, sf):
     return Q.cosine_histogram(FX.embedding_set(spark, sf))
+
+
+_HIST_SQL = f"""
+WITH p AS ({_PAIRS_U}),
+b AS (SELECT least(floor((cos + 1) * 10), 19)::INTEGER AS bin FROM p WHERE cos BETWEEN -1 AND 1),
+c AS (SELECT bin, 2 * count(*) AS c FROM b GROUP BY bin)
+SELECT r.bin::INTEGER AS bin,
+       (coalesce(c.c, 0) + CASE WHEN r.bin = 10 THEN (SELECT count(*) FROM embeddings) ELSE 0 END)::BIGINT AS count
+FROM range(20) r(bin) LEFT JOIN c ON c.bin = r.bin"""
+
+
+@query("q7_align_uniform_record", f"""
+WITH pr AS ({PAIRS}),
+n AS (SELECT list_transform(z1, lambda v: v / greatest(sqrt(list_dot_product(z1, z1)), 1e-12)) AS a,
+             list_transform(z2, lambda v: v / greatest(sqrt(list_dot_product(z2, z2)), 1e-12)) AS b FROM pr),
+al AS (SELECT avg({sqdist_sql('a', 'b')}) AS align FROM n),
+un AS (SELECT ln(avg(exp(-1.0 * d_norm))) AS uniform, acos(least(min(cos), 0.0)) AS gamma FROM ({_PAIRS_U})),
+mo AS ({_MOMENTS_SQL}),
+h AS (SELECT list(count ORDER BY bin) AS hist FROM ({_HIST_SQL}))
+SELECT round(align, 6) + 0.0 AS align, round(uniform, 6) + 0.0 AS uniform, round(e, 6) + 0.0 AS e_costheta,
+       round(v, 9) + 0.0 AS v_costheta, hist, round(gamma, 6) + 0.0 AS gamma
+FROM al, un, mo, h""")
+def q7_align_uniform_record(spark, sf):
+    """The whole align/uniform record: first and second views pooled into one set of 2N."""
+    from helixframe.operators.common import zip_rows
+    pairs = FX.embedding_pairs(spark, sf)
+    pooled = pairs.select(F.col("idx") * 2, F.col("z1").alias("embedding")).toDF("vec_id", "embedding") \
+        .unionByName(pairs.select((F.col("idx") * 2 + 1).alias("vec_id"), F.col("z2").alias("embedding")))
+    d = V.sqeuclidean(V.l2_normalize("z1"), V.l2_normalize("z2"))
+    al = pairs.agg(F.avg(d).alias("align"))
+    pp = Q.pair_pass(pooled)
+    un = pp.agg(F.log(F.avg(F.exp(-F.col("d_norm")))).alias("uniform"),
+                F.acos(F.least(F.coalesce(F.min("cos"), F.lit(0.0)), F.lit(0.0))).alias("gamma"))
+    mo = Q.cosine_moments(pooled)
+    h = Q.cosine_histogram(pooled).agg(F.array_sort(F.collect_list(F.struct("bin", "count"))).alias("_h")) \
+        .select(F.col("_h.count").alias("hist"))
+    w = zip_rows(al, un, mo, h)
+    return w.select(r6("align").alias("align"), r6("uniform").alias("uniform"), r6("e_costheta").alias("e_costheta"),
+                    (F.round("v_costheta", 9) + F.lit(0.0)).alias("v_costheta"), "hist", r6("gamma").alias("gamma"))
