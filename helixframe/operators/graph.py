@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions import vectors as V
-from helixframe.operators.pairs import block_pairs
+import numpy as np
+import pandas as pd
+from pyspark.sql import types as T
+
+from helixframe.operators.pairs import block_apply, block_pairs
 
 
 def _directed(p: DataFrame, cols: list[str]) -> DataFrame:
@@ -44,22 +48,58 @@ def knn_graph(df: DataFrame, id_col: str, vec: str, k: int = 30, metric: str = "
 SIL_METRICS = ("euclidean", "l1", "chebyshev", "arccos")
 
 
+_SIL_SCHEMA = T.StructType([T.StructField("src", T.LongType()), T.StructField("src_c", T.LongType()),
+                            T.StructField("dst_c", T.LongType())]
+                           + [T.StructField(m, T.DoubleType()) for m in SIL_METRICS])
+
+
+def _sil_kernel(lt: pd.DataFrame, rt: pd.DataFrame, same: bool) -> pd.DataFrame:
+    """Per (row, other cluster) distance sums of one block pair, both directions (numpy)."""
+    XL, XR = np.vstack(lt["x"].to_numpy()), np.vstack(rt["x"].to_numpy())
+    cl, cr = lt["c"].to_numpy(), rt["c"].to_numpy()
+    diff = np.abs(XL[:, None, :] - XR[None, :, :])
+    nl = np.maximum(np.linalg.norm(XL, axis=1), 1e-8)
+    nr = np.maximum(np.linalg.norm(XR, axis=1), 1e-8)
+    mats = {"euclidean": np.sqrt((diff * diff).sum(-1)), "l1": diff.sum(-1), "chebyshev": diff.max(-1),
+            "arccos": np.arccos(np.clip((XL @ XR.T) / np.outer(nl, nr), -1.0, 1.0))}
+    if same:
+        for m in mats.values():
+            np.fill_diagonal(m, 0.0)
+    out = []
+
+    def emit(ids, src_c, dst_labels, mats_dir, keep_cols=None):
+        for c in np.unique(dst_labels):
+            sel = dst_labels == c
+            if keep_cols is not None:
+                sel = sel & keep_cols
+            if not sel.any():
+                continue
+            frame = {"src": ids, "src_c": src_c, "dst_c": np.full(len(ids), c)}
+            for name, M in mats_dir.items():
+                frame[name] = M[:, sel].sum(axis=1)
+            out.append(pd.DataFrame(frame))
+    emit(lt["id"].to_numpy(), cl, cr, mats)
+    if not same:
+        emit(rt["id"].to_numpy(), cr, cl, {k: v.T for k, v in mats.items()})
+    if not out:
+        return pd.DataFrame({f.name: [] for f in _SIL_SCHEMA.fields})
+    return pd.concat(out, ignore_index=True)
+
+
 def silhouette(df: DataFrame, id_col: str, vec: str, cluster: str,
                metrics=SIL_METRICS, block_rows: int = 256) -> DataFrame:
     """Mean silhouette per metric as rows (metric, silhouette).
 
-    From directed pairs: summed distance per (row, other cluster) - partial
-    aggregation collapses pair rows before the shuffle; a = own-cluster sum /
-    (n_own - 1), b = min over other clusters of the mean; s = (b - a) /
-    max(a, b); a singleton scores 0.  Null when fewer than 2 or more than
-    n - 1 clusters.
+    Each block pair is reduced in numpy to summed distances per (row, other
+    cluster) - a partial aggregate of at most (rows x clusters) - and Spark
+    sums the partials; a = own-cluster sum / (n_own - 1), b = min over other
+    clusters of the mean; s = (b - a) / max(a, b); a singleton scores 0.
+    Null when fewer than 2 or more than n - 1 clusters.
     """
-    base = df.select(F.col(id_col).alias("id"), F.col(vec).alias("x"), F.col(cluster).alias("c"))
-    p = block_pairs(base, "id", ["x", "c"], block_rows=block_rows)
-    p = p.select("l_id", "r_id", "l_c", "r_c",
-                 *[V.distance(m, "l_x", "r_x").alias(f"d_{m}") for m in metrics])
-    d = _directed(p, ["c"])
-    sums = d.groupBy("src", "src_c", "dst_c").agg(*[F.sum(f"d_{m}").alias(m) for m in metrics])
+    metrics = tuple(metrics)
+    base = df.select(F.col(id_col).alias("id"), F.col(vec).alias("x"), F.col(cluster).cast("long").alias("c"))
+    parts = block_apply(base, "id", ["x", "c"], _sil_kernel, _SIL_SCHEMA, block_rows)
+    sums = parts.groupBy("src", "src_c", "dst_c").agg(*[F.sum(m).alias(m) for m in metrics])
     sizes = base.groupBy("c").agg(F.count(F.lit(1)).alias("nc"))
     j = sums.join(sizes.withColumnRenamed("c", "dst_c"), "dst_c")
     own = j.where(F.col("src_c") == F.col("dst_c"))

@@ -69,3 +69,34 @@ def block_pairs(df: DataFrame, id_col: str, cols: list[str], block_rows: int = 2
                            *[F.col(c).alias("r_" + c) for c in fields])
         out = out.unionByName(diag)
     return out
+
+
+def block_apply(df: DataFrame, id_col: str, cols: list[str], fn, schema, block_rows: int = 256,
+                n: int | None = None) -> DataFrame:
+    """Run ``fn(left, right, same_block)`` on every block pair with numpy.
+
+    Rows are replicated to their block pairs exactly as in ``block_pairs``;
+    each (lower, upper) block pair becomes one pandas group of about
+    2 * block_rows rows (a bound set by ``block_rows``, not by the data), and
+    ``fn`` returns partial results (for example sums or per-row partials)
+    that Spark aggregates afterwards.  When ``same_block`` is true, left and
+    right are the same rows and ``fn`` must use each unordered pair once.
+    """
+    if n is None:
+        n = df.count()
+    B = n_blocks(n, block_rows)
+    base = df.select(F.col(id_col).alias("id"), *[F.col(c) for c in cols]).withColumn(
+        "_b", F.pmod(F.xxhash64("id"), F.lit(B)).cast("int"))
+    left = base.select("id", *cols, F.col("_b").alias("_k1"),
+                       F.explode(F.sequence(F.col("_b"), F.lit(B - 1))).alias("_k2"),
+                       F.lit(0).alias("_side"))
+    right = base.select("id", *cols, F.explode(F.sequence(F.lit(0), F.col("_b"))).alias("_k1"),
+                        F.col("_b").alias("_k2"), F.lit(1).alias("_side"))
+    both = left.unionByName(right).repartition(min(B * (B + 1) // 2, MAX_PAIR_PARTITIONS), "_k1", "_k2")
+
+    def run(pdf):
+        same = bool(pdf["_k1"].iloc[0] == pdf["_k2"].iloc[0])
+        lt = pdf[pdf["_side"] == 0].sort_values("id").reset_index(drop=True)
+        rt = pdf[pdf["_side"] == 1].sort_values("id").reset_index(drop=True)
+        return fn(lt, rt, same)
+    return both.groupBy("_k1", "_k2").applyInPandas(run, schema)

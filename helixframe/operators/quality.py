@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from helixframe.functions import vectors as V
 from helixframe.operators.common import zip_rows
-from helixframe.operators.pairs import block_pairs
+from helixframe.operators.pairs import block_apply, block_pairs
 
 HIST_BINS = 20
 
@@ -44,15 +44,6 @@ def pair_pass(df: DataFrame, id_col: str = "vec_id", vec: str = "embedding",
                     V.dot("l_u", "r_u").alias("cos"))
 
 
-def uniformity(df: DataFrame, id_col: str = "vec_id", vec: str = "embedding",
-               block_rows: int = 256) -> DataFrame:
-    """Q2: ln mean_{i<j} exp(-t ||x_i - x_j||^2) in its three variants."""
-    p = pair_pass(df, id_col, vec, block_rows)
-    return p.agg(F.log(F.avg(F.exp(F.lit(-2.0) * F.col("d_norm")))).alias("uniform_t2"),
-                  F.log(F.avg(F.exp(F.lit(-2.0) * F.col("d_raw")))).alias("uniform_raw_t2"),
-                  F.log(F.avg(F.exp(F.lit(-1.0) * F.col("d_norm")))).alias("uniform_t1"))
-
-
 def _gram_partition(dim_hint: int | None = None):
     def fn(batches):
         acc = None
@@ -99,11 +90,64 @@ def cosine_moments(df: DataFrame, id_col: str = "vec_id", vec: str = "embedding"
     return j.select(mean.alias("e_costheta"), var.alias("v_costheta"))
 
 
+_PAIR_STATS = T.StructType([
+    T.StructField("cnt", T.LongType()), T.StructField("e_t2", T.DoubleType()),
+    T.StructField("e_raw_t2", T.DoubleType()), T.StructField("e_t1", T.DoubleType()),
+    T.StructField("min_cos", T.DoubleType()), T.StructField("hist", T.ArrayType(T.LongType()))])
+
+
+def _pair_stats_kernel(lt: pd.DataFrame, rt: pd.DataFrame, same: bool) -> pd.DataFrame:
+    """Partial uniformity sums, min cosine and histogram of one block pair (numpy)."""
+    XL, XR = np.vstack(lt["x"].to_numpy()), np.vstack(rt["x"].to_numpy())
+    UL, UR = np.vstack(lt["u"].to_numpy()), np.vstack(rt["u"].to_numpy())
+    d_raw = ((XL[:, None, :] - XR[None, :, :]) ** 2).sum(-1)
+    d_norm = ((UL[:, None, :] - UR[None, :, :]) ** 2).sum(-1)
+    cos = UL @ UR.T
+    if same:
+        m = np.triu(np.ones(cos.shape, dtype=bool), 1)
+        d_raw, d_norm, cos = d_raw[m], d_norm[m], cos[m]
+    else:
+        d_raw, d_norm, cos = d_raw.ravel(), d_norm.ravel(), cos.ravel()
+    ok = (cos >= -1) & (cos <= 1)
+    b = np.minimum(np.floor((cos[ok] + 1) * (HIST_BINS / 2.0)), HIST_BINS - 1).astype(int)
+    hist = np.bincount(b, minlength=HIST_BINS).astype("int64")
+    return pd.DataFrame({"cnt": [int(cos.size)], "e_t2": [float(np.exp(-2 * d_norm).sum())],
+                         "e_raw_t2": [float(np.exp(-2 * d_raw).sum())], "e_t1": [float(np.exp(-d_norm).sum())],
+                         "min_cos": [float(cos.min()) if cos.size else None], "hist": [hist.tolist()]})
+
+
+def pair_statistics(df: DataFrame, id_col: str = "vec_id", vec: str = "embedding",
+                    block_rows: int = 256) -> DataFrame:
+    """Q2 + Q5 + Q6 partials of every unordered pair in one blocked numpy pass.
+
+    One row: uniform_t2, uniform_raw_t2, uniform_t1, gamma, off_hist (pair
+    counts per bin, each unordered pair once), n.
+    """
+    u = normalized(df, id_col, vec)
+    parts = block_apply(u, "id", ["x", "u"], _pair_stats_kernel, _PAIR_STATS, block_rows)
+    hist = F.aggregate("hist_all", F.array_repeat(F.lit(0).cast("long"), HIST_BINS),
+                       lambda acc, h: F.zip_with(acc, h, lambda a, b: a + b))
+    agg = parts.agg(F.sum("cnt").alias("cnt"), F.sum("e_t2").alias("e_t2"), F.sum("e_raw_t2").alias("e_raw"),
+                    F.sum("e_t1").alias("e_t1"), F.min("min_cos").alias("min_cos"),
+                    F.collect_list("hist").alias("hist_all"))  # one array per block pair
+    n = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return agg.select(F.log(F.col("e_t2") / F.col("cnt")).alias("uniform_t2"),
+                      F.log(F.col("e_raw") / F.col("cnt")).alias("uniform_raw_t2"),
+                      F.log(F.col("e_t1") / F.col("cnt")).alias("uniform_t1"),
+                      F.acos(F.least(F.coalesce("min_cos", F.lit(0.0)), F.lit(0.0))).alias("gamma"),
+                      hist.alias("off_hist"), n.alias("n"))
+
+
+def uniformity(df: DataFrame, id_col: str = "vec_id", vec: str = "embedding",
+               block_rows: int = 256) -> DataFrame:
+    """Q2: ln mean_{i<j} exp(-t ||x_i - x_j||^2) in its three variants."""
+    return pair_statistics(df, id_col, vec, block_rows).select("uniform_t2", "uniform_raw_t2", "uniform_t1")
+
+
 def widest_angle(df: DataFrame, id_col: str = "vec_id", vec: str = "embedding",
                  block_rows: int = 256) -> DataFrame:
     """Q5: acos(min cosine entry), the zero diagonal included (so at least pi/2)."""
-    p = pair_pass(df, id_col, vec, block_rows)
-    return p.agg(F.acos(F.least(F.coalesce(F.min("cos"), F.lit(0.0)), F.lit(0.0))).alias("gamma"))
+    return pair_statistics(df, id_col, vec, block_rows).select("gamma")
 
 
 def cosine_histogram(df: DataFrame, id_col: str = "vec_id", vec: str = "embedding",
@@ -113,16 +157,8 @@ def cosine_histogram(df: DataFrame, id_col: str = "vec_id", vec: str = "embeddin
     Off-diagonal pairs count twice (the matrix is symmetric); values outside
     [-1, 1] are ignored and 1.0 falls in the last bin.
     """
-    spark = df.sparkSession
-    p = pair_pass(df, id_col, vec, block_rows)
-    c = F.col("cos")
-    b = F.when((c >= -1) & (c <= 1),
-               F.least(F.floor((c + 1) * F.lit(HIST_BINS / 2.0)), F.lit(HIST_BINS - 1)))
-    off = (p.select(b.cast("int").alias("bin")).where("bin IS NOT NULL")
-           .groupBy("bin").agg((F.count(F.lit(1)) * 2).alias("c")))
-    n = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    bins = spark.range(HIST_BINS).select(F.col("id").cast("int").alias("bin"))
-    return (bins.join(off, "bin", "left")
-            .select("bin", (F.coalesce("c", F.lit(0))
-                            + F.when(F.col("bin") == HIST_BINS // 2, n).otherwise(F.lit(0)))
-                    .cast("bigint").alias("count")))
+    st = pair_statistics(df, id_col, vec, block_rows)
+    return st.select(F.posexplode("off_hist").alias("bin", "c"), "n").select(
+        F.col("bin").cast("int").alias("bin"),
+        (F.col("c") * 2 + F.when(F.col("bin") == HIST_BINS // 2, F.col("n")).otherwise(F.lit(0)))
+        .cast("bigint").alias("count"))

@@ -98,12 +98,11 @@ def q7_align_uniform_record(spark, sf):
         .unionByName(pairs.select((F.col("idx") * 2 + 1).alias("vec_id"), F.col("z2").alias("embedding")))
     d = V.sqeuclidean(V.l2_normalize("z1"), V.l2_normalize("z2"))
     al = pairs.agg(F.avg(d).alias("align"))
-    pp = Q.pair_pass(pooled)
-    un = pp.agg(F.log(F.avg(F.exp(-F.col("d_norm")))).alias("uniform"),
-                F.acos(F.least(F.coalesce(F.min("cos"), F.lit(0.0)), F.lit(0.0))).alias("gamma"))
+    st = Q.pair_statistics(pooled)  # one blocked pass: uniformity, min cosine, histogram
+    un = st.select(F.col("uniform_t1").alias("uniform"), "gamma",
+                   F.transform("off_hist", lambda c, i: (c * 2 + F.when(i == Q.HIST_BINS // 2, F.col("n"))
+                                                         .otherwise(F.lit(0))).cast("bigint")).alias("hist"))
     mo = Q.cosine_moments(pooled)
-    h = Q.cosine_histogram(pooled).agg(F.array_sort(F.collect_list(F.struct("bin", "count"))).alias("_h")) \
-        .select(F.col("_h.count").alias("hist"))
-    w = zip_rows(al, un, mo, h)
+    w = zip_rows(al, un, mo)
     return w.select(r6("align").alias("align"), r6("uniform").alias("uniform"), r6("e_costheta").alias("e_costheta"),
                     (F.round("v_costheta", 9) + F.lit(0.0)).alias("v_costheta"), "hist", r6("gamma").alias("gamma"))
