@@ -29,24 +29,30 @@ def contingency(df: DataFrame, label: str = "label", cluster: str = "cluster") -
         F.count(F.lit(1)).alias("n"))
 
 
-def _marginal_stats(cont: DataFrame, key: str, prefix: str) -> DataFrame:
-    m = cont.groupBy(key).agg(F.sum("n").alias("m"))
-    return m.agg(F.sum("m").alias("n_total"), F.count(F.lit(1)).alias(f"k_{prefix}"),
-                 F.sum(F.col("m").cast("double") * F.col("m")).alias(f"sq_{prefix}"),
-                 F.sum(xlogx(F.col("m"))).alias(f"xlx_{prefix}"))
-
-
 def contingency_stats(cont: DataFrame) -> DataFrame:
     """One row of sufficient statistics for the pair-counting scores.
 
     MI = (sum n_ij ln n_ij + n ln n - sum a ln a - sum b ln b) / n, so no
-    join of cells to marginals is needed.
+    join of cells to marginals is needed: the cells and both marginals are
+    stacked and reduced by a single aggregate.
     """
-    cells = cont.agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("sq_cells"),
-                     F.sum(xlogx(F.col("n"))).alias("xlx_cells"))
-    a = _marginal_stats(cont, "label", "true")
-    b = _marginal_stats(cont, "cluster", "pred").drop("n_total")
-    s = zip_rows(cells, a, b)
+    a = cont.groupBy("label").agg(F.sum("n").alias("m")).select(F.lit("true").alias("kind"), "m")
+    b = cont.groupBy("cluster").agg(F.sum("n").alias("m")).select(F.lit("pred").alias("kind"), "m")
+    cells = cont.select(F.lit("cell").alias("kind"), F.col("n").alias("m"))
+    t = cells.unionByName(a).unionByName(b)
+    m = F.col("m")
+    sq = m.cast("double") * m
+
+    def on(kind, c):
+        return F.when(F.col("kind") == kind, c)
+    s = t.agg(F.coalesce(F.sum(on("cell", sq)), F.lit(0.0)).alias("sq_cells"),
+              F.coalesce(F.sum(on("cell", xlogx(m))), F.lit(0.0)).alias("xlx_cells"),
+              F.coalesce(F.sum(on("true", m)), F.lit(0)).alias("n_total"),
+              F.count(on("true", m)).alias("k_true"), F.count(on("pred", m)).alias("k_pred"),
+              F.coalesce(F.sum(on("true", sq)), F.lit(0.0)).alias("sq_true"),
+              F.coalesce(F.sum(on("pred", sq)), F.lit(0.0)).alias("sq_pred"),
+              F.coalesce(F.sum(on("true", xlogx(m))), F.lit(0.0)).alias("xlx_true"),
+              F.coalesce(F.sum(on("pred", xlogx(m))), F.lit(0.0)).alias("xlx_pred"))
     n = F.col("n_total").cast("double")
     h_true = F.when(n > 0, F.log(n) - F.col("xlx_true") / n).otherwise(F.lit(1.0))
     h_pred = F.when(n > 0, F.log(n) - F.col("xlx_pred") / n).otherwise(F.lit(1.0))
@@ -86,12 +92,14 @@ def expected_mutual_information(cont: DataFrame, tail_sd: float | None = 12.0,
     """
     a = cont.groupBy("label").agg(F.sum("n").alias("a"))
     b = cont.groupBy("cluster").agg(F.sum("n").alias("b"))
-    n_tot = a.agg(F.sum("a").alias("N")).scalar()
-    # Distinct predicted sizes as one array scalar: at most sqrt(2n) entries.
-    sb = b.groupBy("b").agg(F.count(F.lit(1)).alias("mb")).agg(
-        F.collect_list(F.struct("b", "mb")).alias("sb")).scalar()
+    # Distinct predicted sizes with multiplicities: at most sqrt(2n) pairs, so
+    # this bounded list (and the scalar N) may travel through the driver.
+    sb_rows = b.groupBy("b").agg(F.count(F.lit(1)).alias("mb")).collect()
+    n_total = sum(int(r["b"]) * int(r["mb"]) for r in sb_rows)
+    sb = F.array(*[F.struct(F.lit(int(r["b"])).cast("long").alias("b"), F.lit(int(r["mb"])).cast("long").alias("mb"))
+                   for r in sb_rows]) if sb_rows else F.array().cast("array<struct<b:bigint,mb:bigint>>")
     pairs = (a.groupBy("a").agg(F.count(F.lit(1)).alias("ma"))
-             .select("a", "ma", n_tot.alias("N"), F.explode(sb).alias("_s"))
+             .select("a", "ma", F.lit(n_total).cast("long").alias("N"), F.explode(sb).alias("_s"))
              .select("a", "ma", "N", "_s.b", "_s.mb"))
     N = F.col("N")
     lo = F.greatest(F.lit(1).cast("bigint"), F.col("a") + F.col("b") - N)
@@ -116,8 +124,13 @@ def expected_mutual_information(cont: DataFrame, tail_sd: float | None = 12.0,
 
 def pair_scores(df: DataFrame, label: str = "label", cluster: str = "cluster",
                 with_ami: bool = True) -> DataFrame:
-    """K7-K11 in one row: ami, ari, fms, homogeneity, completeness (+ stats)."""
-    cont = contingency(df, label, cluster)
+    """K7-K11 in one row: ami, ari, fms, homogeneity, completeness (+ stats).
+
+    The contingency table (at most k_true x k_pred rows) is kept in memory:
+    every score and the expectation read it several times.
+    """
+    cont = contingency(df, label, cluster).persist()
+    cont.count()  # materialise once: the concurrent scalar subqueries below all read it
     st = contingency_stats(cont)
     out = st.select(
         "n_total", "k_true", "k_pred", "mi", "h_true", "h_pred",
@@ -318,7 +331,8 @@ def geometry_scores(df: DataFrame, views: list, spaces: dict[str, str],
         F.transform("x", lambda v, i: F.struct(i.alias("dim"), v.alias("v"))),
         F.array(F.struct(F.lit(-1).alias("dim"), V.sqnorm("x").alias("v"))))).alias("c"))
     sums = cells.groupBy("g", "key", F.col("c.dim").alias("dim")).agg(
-        F.sum("c.v").alias("s"), F.count(F.lit(1)).alias("cnt"))
+        F.sum("c.v").alias("s"), F.count(F.lit(1)).alias("cnt")).persist()  # groups x k x d rows
+    sums.count()  # materialised once for the CH, centroid and DB branches
     # Calinski-Harabasz from the sums alone.
     perk = sums.groupBy("g", "key").agg(
         F.sum(F.when(F.col("dim") >= 0, F.col("s") * F.col("s"))).alias("sk2"),

@@ -156,13 +156,12 @@ def _geometry_sql(fn) -> str:
 
 
 def _geometry(spark, sf, op, metric):
-    out = None
-    for name, col, clus in _LABELLINGS:
-        p = _pred(spark, sf, clustered_only=clus, structured=True).select(
-            "vec_id", "embedding", F.col(col).alias("cluster"))
-        r = op(p).select(F.lit(name).alias("labelling"), r6(metric).alias(metric))
-        out = r if out is None else out.unionByName(r)
-    return out
+    """All three labellings in the shared single-pass geometry operator."""
+    p = _pred(spark, sf, structured=True)
+    views = [("true", F.col("label"), None), ("pred", F.col("cluster"), None),
+             ("pred_clus", F.col("cluster"), F.col("cluster") >= 0)]
+    geo = S.geometry_scores(p, views, {"og": "embedding"})
+    return geo.select("labelling", r6(metric).alias(metric))
 
 
 @query("k12_calinski_harabasz", _geometry_sql(ch_sql))
