@@ -34,16 +34,6 @@ def normalized(df: DataFrame, id_col: str, vec: str) -> DataFrame:
                      V.l2_normalize(vec).alias("u"))
 
 
-def pair_pass(df: DataFrame, id_col: str = "vec_id", vec: str = "embedding",
-              block_rows: int = 256) -> DataFrame:
-    """Per unordered pair i < j: raw and normalised squared distances, cosine."""
-    u = normalized(df, id_col, vec)
-    p = block_pairs(u, "id", ["x", "u"], block_rows=block_rows)
-    return p.select(V.sqeuclidean("l_x", "r_x").alias("d_raw"),
-                    V.sqeuclidean("l_u", "r_u").alias("d_norm"),
-                    V.dot("l_u", "r_u").alias("cos"))
-
-
 def _gram_partition(dim_hint: int | None = None):
     def fn(batches):
         acc = None
