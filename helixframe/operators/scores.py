@@ -131,6 +131,11 @@ def pair_scores(df: DataFrame, label: str = "label", cluster: str = "cluster",
     """
     cont = contingency(df, label, cluster).persist()
     cont.count()  # materialise once: the concurrent scalar subqueries below all read it
+    return scores_from_contingency(cont, with_ami)
+
+
+def scores_from_contingency(cont: DataFrame, with_ami: bool = True) -> DataFrame:
+    """K7-K11 from a (label, cluster, n) contingency table."""
     st = contingency_stats(cont)
     out = st.select(
         "n_total", "k_true", "k_pred", "mi", "h_true", "h_pred",
@@ -249,11 +254,12 @@ def score_sheet(pred: DataFrame, spaces: dict[str, DataFrame] | None = None,
     guards = pred.agg(F.countDistinct("cluster").alias("k_all"),
                       F.count(F.lit(1)).alias("n_all"),
                       F.count_if(F.col("cluster") >= 0).alias("n_clus"))
-    full = pair_scores(pred).select(*[F.col(c).alias(c + "@full") for c in
-                                      ("ami", "ari", "fms", "completeness", "homogeneity")])
-    clus_pred = pred.where("cluster >= 0")
-    clus = pair_scores(clus_pred).select(*[F.col(c).alias(c + "@clus") for c in
-                                           ("ami", "ari", "fms", "completeness", "homogeneity")])
+    cont = contingency(pred).persist()
+    cont.count()  # one small table feeds both the full and the clustered-only scores
+    full = scores_from_contingency(cont).select(*[F.col(c).alias(c + "@full") for c in
+                                                  ("ami", "ari", "fms", "completeness", "homogeneity")])
+    clus = scores_from_contingency(cont.where("cluster >= 0")).select(
+        *[F.col(c).alias(c + "@clus") for c in ("ami", "ari", "fms", "completeness", "homogeneity")])
     parts = [ratios, guards, full, clus]
     # distinct spaces -> one wide frame (vec_id, label, cluster, v0, v1, ...)
     tags, cols, base = {}, {}, pred.select("vec_id", "label", "cluster")
