@@ -352,7 +352,9 @@ def geometry_scores(df: DataFrame, views: list, spaces: dict[str, str],
     extra = F.col("b_term") - F.col("s2") / F.col("n")
     intra = F.col("xx") - F.col("b_term")
     kd, nd = F.col("k").cast("double"), F.col("n").cast("double")
-    chs = F.when(intra == 0, F.lit(1.0)).otherwise(extra * (nd - kd) / (intra * (kd - 1)))
+    # guards first: CASE WHEN is lazy, so no division runs for k <= 1 or k >= n
+    chs = (F.when((F.col("k") <= 1) | (F.col("k") >= F.col("n")), F.lit(None).cast("double"))
+           .when(intra == 0, F.lit(1.0)).otherwise(extra * (nd - kd) / (intra * (kd - 1))))
     ch = ch.select("g", "k", "n", chs.alias("chs"))
     # Davies-Bouldin: centroids, mean distance to own centroid, grouped centroid pairs.
     cents = (sums.where(F.col("dim") >= 0).groupBy("g", "key")

@@ -12,7 +12,8 @@ from conftest import SF_SMALL
 FAST = ["k6_contingency", "k7_ami", "k8_ari", "q3_cos_mean", "q6_cos_hist", "c6_contrastive_loss",
         "t1_vocabulary", "t3_pad_mask", "t6_mlm_mask", "p2_view_roles", "v2_average_precision",
         "v5_bootstrap_se", "x2_best_so_far", "x6_loss_repair", "e2_pool_avg", "e14_hashed_embedding",
-        "s10_sanitize_filename", "k3_knn_graph", "t11_scatter_rows"]
+        "s10_sanitize_filename", "k3_knn_graph", "t11_scatter_rows", "q7_align_uniform_record",
+        "st1_stream_encode", "k15_silhouette"]
 
 
 def _norm(v):
