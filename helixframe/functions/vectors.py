@@ -88,13 +88,14 @@ def minkowski(x, y, p: float) -> Column:
 
 
 def cosine_distance(x, y) -> Column:
-    return F.lit(1.0) - dot(x, y) / (norm(x) * norm(y))
+    den = norm(x) * norm(y)
+    return F.when(den == 0, F.lit(float("nan"))).otherwise(F.lit(1.0) - dot(x, y) / den)
 
 
 def braycurtis(x, y) -> Column:
     num = vsum(F.zip_with(_c(x), _c(y), lambda a, b: F.abs(a - b)))
     den = vsum(F.zip_with(_c(x), _c(y), lambda a, b: F.abs(a + b)))
-    return num / den
+    return F.when(den == 0, F.lit(float("nan"))).otherwise(num / den)
 
 
 def canberra(x, y) -> Column:
@@ -113,7 +114,8 @@ def arccos_distance(x, y) -> Column:
 def seuclidean(x, y, var) -> Column:
     """Standardised Euclidean; ``var`` is an array column of variances."""
     d = F.zip_with(_c(x), _c(y), lambda a, b: a - b)
-    return F.sqrt(vsum(F.zip_with(d, _c(var), lambda a, v: a * a / v)))
+    return F.sqrt(vsum(F.zip_with(d, _c(var), lambda a, v: F.when(v == 0, F.lit(float("nan")))
+                                  .otherwise(a * a / v))))
 
 
 def angular_similarity(x, y, temp: float, eps: float = 1e-6) -> Column:

@@ -117,10 +117,12 @@ def prenormalise(df: DataFrame, vec: str, method: str) -> DataFrame:
     s = st.select(F.struct("mean", "std").alias("s")).scalar()
     j = df.withColumn("_mean", s.getField("mean")).withColumn("_std", s.getField("std"))
     if method == "zscore":
-        z = F.zip_with(F.zip_with(vec, "_mean", lambda x, m: x - m), "_std", lambda c, sd: c / sd)
+        z = F.zip_with(F.zip_with(vec, "_mean", lambda x, m: x - m), "_std",
+                       lambda c, sd: F.when(sd == 0, F.lit(float("nan"))).otherwise(c / sd))
     elif method == "avg_zscore":
         msd = F.aggregate("_std", F.lit(0.0), lambda a, v: a + v) / F.size("_std")
-        z = F.transform(F.zip_with(vec, "_mean", lambda x, m: x - m), lambda c: c / msd)
+        z = F.transform(F.zip_with(vec, "_mean", lambda x, m: x - m),
+                        lambda c: F.when(msd == 0, F.lit(float("nan"))).otherwise(c / msd))
     else:
         raise ValueError(method)
     return j.withColumn(vec, z).drop("_mean", "_std")

@@ -76,7 +76,7 @@ def cosine_moments(df: DataFrame, id_col: str = "vec_id", vec: str = "embedding"
     n2 = F.col("n").cast("double") * F.col("n")
     mean = (F.col("sum_sq") - F.col("nn")) / n2
     sum_c2 = F.col("fro") - F.col("nn2")
-    var = (sum_c2 - n2 * mean * mean) / (n2 - 1)
+    var = F.when(n2 > 1, (sum_c2 - n2 * mean * mean) / (n2 - 1))  # one vector: undefined
     return j.select(mean.alias("e_costheta"), var.alias("v_costheta"))
 
 
@@ -121,9 +121,10 @@ def pair_statistics(df: DataFrame, id_col: str = "vec_id", vec: str = "embedding
                     F.sum("e_t1").alias("e_t1"), F.min("min_cos").alias("min_cos"),
                     F.collect_list("hist").alias("hist_all"))  # one array per block pair
     n = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return agg.select(F.log(F.col("e_t2") / F.col("cnt")).alias("uniform_t2"),
-                      F.log(F.col("e_raw") / F.col("cnt")).alias("uniform_raw_t2"),
-                      F.log(F.col("e_t1") / F.col("cnt")).alias("uniform_t1"),
+    has = F.col("cnt") > 0  # a single vector has no pairs
+    return agg.select(F.when(has, F.log(F.col("e_t2") / F.col("cnt"))).alias("uniform_t2"),
+                      F.when(has, F.log(F.col("e_raw") / F.col("cnt"))).alias("uniform_raw_t2"),
+                      F.when(has, F.log(F.col("e_t1") / F.col("cnt"))).alias("uniform_t1"),
                       F.acos(F.least(F.coalesce("min_cos", F.lit(0.0)), F.lit(0.0))).alias("gamma"),
                       hist.alias("off_hist"), n.alias("n"))
 

@@ -69,7 +69,10 @@ def bootstrap_se(groups: DataFrame, order_col: str, reps: int = 1000, seed: int
 def score_histogram(df: DataFrame, score: str = "score", label: str = "label",
                     bins: int = 30) -> DataFrame:
     """V6: common bins on [min, max]; density per label = count / (n_label * width)."""
-    mm = df.agg(F.min(score).alias("lo"), F.max(score).alias("hi"))
+    # equal min and max: the range widens to (v - 0.5, v + 0.5) as in numpy
+    mm = df.agg(F.min(score).alias("lo"), F.max(score).alias("hi")).select(
+        F.when(F.col("lo") == F.col("hi"), F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
+        F.when(F.col("lo") == F.col("hi"), F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"))
     lo = mm.select("lo").scalar()
     hi = mm.select("hi").scalar()
     width = (hi - lo) / F.lit(float(bins))

@@ -97,9 +97,10 @@ def train_summary(log: DataFrame, batch_size: int = 64) -> DataFrame:
         F.sum("value").alias("tot"), F.max("step").alias("steps"),
         ((F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp")))
          / F.lit(1e6)).alias("runtime"))
-    return t.select("run", (F.col("tot") / F.col("steps")).alias("train_loss"), "steps",
-                    "runtime", (F.col("steps") * batch_size / F.col("runtime")).alias("samples_per_second"),
-                    (F.col("steps") / F.col("runtime")).alias("steps_per_second"))
+    rt = F.col("runtime")
+    return t.select("run", (F.col("tot") / F.col("steps")).alias("train_loss"), "steps", "runtime",
+                    F.when(rt > 0, F.col("steps") * batch_size / rt).alias("samples_per_second"),
+                    F.when(rt > 0, F.col("steps") / rt).alias("steps_per_second"))
 
 
 def eval_schedule(log: DataFrame, eval_steps: float) -> DataFrame:

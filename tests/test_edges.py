@@ -52,3 +52,13 @@ def test_corpus_format_rule():
     assert IO.corpus_format("/x/a.json")[0] == "json"
     with pytest.raises(ValueError):
         IO.corpus_format("/x/a.parquet")
+
+
+def test_single_vector_and_zero_vector(spark):
+    from helixframe.operators import quality as Q
+    one = spark.createDataFrame([(0, [0.0, 0.0, 0.0])], "vec_id long, embedding array<double>")
+    m = Q.cosine_moments(one).collect()[0]
+    assert m["e_costheta"] == 0.0 and m["v_costheta"] is None
+    assert Q.uniformity(one).collect()[0]["uniform_t2"] is None
+    h = {r["bin"]: r["count"] for r in Q.cosine_histogram(one).collect()}
+    assert h[10] == 1 and sum(h.values()) == 1
