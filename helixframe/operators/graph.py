@@ -25,15 +25,17 @@ _KNN_SCHEMA = T.StructType([T.StructField("src", T.LongType()), T.StructField("d
 def _knn_kernel(k: int, metric: str):
     def run(lt: pd.DataFrame, rt: pd.DataFrame, same: bool) -> pd.DataFrame:
         XL, XR = np.vstack(lt["x"].to_numpy()), np.vstack(rt["x"].to_numpy())
-        diff = XL[:, None, :] - XR[None, :, :]
-        if metric in ("euclidean", "l2"):
-            D = np.sqrt((diff * diff).sum(-1))
-        elif metric in ("cityblock", "l1", "manhattan"):
-            D = np.abs(diff).sum(-1)
-        elif metric == "sqeuclidean":
-            D = (diff * diff).sum(-1)
-        else:
-            raise ValueError(metric)
+        D = np.empty((len(XL), len(XR)))
+        for a in range(0, len(XL), 64):  # row chunks bound memory to 64 x rows x d
+            diff = XL[a:a + 64, None, :] - XR[None, :, :]
+            if metric in ("euclidean", "l2"):
+                D[a:a + 64] = np.sqrt((diff * diff).sum(-1))
+            elif metric in ("cityblock", "l1", "manhattan"):
+                D[a:a + 64] = np.abs(diff).sum(-1)
+            elif metric == "sqeuclidean":
+                D[a:a + 64] = (diff * diff).sum(-1)
+            else:
+                raise ValueError(metric)
         il, ir = lt["id"].to_numpy(), rt["id"].to_numpy()
         if same:
             np.fill_diagonal(D, np.inf)
@@ -53,7 +55,7 @@ def _knn_kernel(k: int, metric: str):
 
 
 def knn_graph(df: DataFrame, id_col: str, vec: str, k: int = 30, metric: str = "euclidean",
-              block_rows: int = 256) -> DataFrame:
+              block_rows: int = 1024) -> DataFrame:
     """K3: the k nearest neighbours of every row as (src, dst, rank, dist).
 
     Each block pair keeps only the k best partners per row (numpy inside the
@@ -79,11 +81,16 @@ def _sil_kernel(lt: pd.DataFrame, rt: pd.DataFrame, same: bool) -> pd.DataFrame:
     """Per (row, other cluster) distance sums of one block pair, both directions (numpy)."""
     XL, XR = np.vstack(lt["x"].to_numpy()), np.vstack(rt["x"].to_numpy())
     cl, cr = lt["c"].to_numpy(), rt["c"].to_numpy()
-    diff = np.abs(XL[:, None, :] - XR[None, :, :])
     nl = np.maximum(np.linalg.norm(XL, axis=1), 1e-8)
     nr = np.maximum(np.linalg.norm(XR, axis=1), 1e-8)
-    mats = {"euclidean": np.sqrt((diff * diff).sum(-1)), "l1": diff.sum(-1), "chebyshev": diff.max(-1),
+    mats = {"euclidean": np.empty((len(XL), len(XR))), "l1": np.empty((len(XL), len(XR))),
+            "chebyshev": np.empty((len(XL), len(XR))),
             "arccos": np.arccos(np.clip((XL @ XR.T) / np.outer(nl, nr), -1.0, 1.0))}
+    for a in range(0, len(XL), 64):  # row chunks bound memory to 64 x rows x d
+        diff = np.abs(XL[a:a + 64, None, :] - XR[None, :, :])
+        mats["euclidean"][a:a + 64] = np.sqrt((diff * diff).sum(-1))
+        mats["l1"][a:a + 64] = diff.sum(-1)
+        mats["chebyshev"][a:a + 64] = diff.max(-1)
     if same:
         for m in mats.values():
             np.fill_diagonal(m, 0.0)
@@ -109,7 +116,7 @@ def _sil_kernel(lt: pd.DataFrame, rt: pd.DataFrame, same: bool) -> pd.DataFrame:
 
 
 def silhouette(df: DataFrame, id_col: str, vec: str, cluster: str,
-               metrics=SIL_METRICS, block_rows: int = 256) -> DataFrame:
+               metrics=SIL_METRICS, block_rows: int = 1024) -> DataFrame:
     """Mean silhouette per metric as rows (metric, silhouette).
 
     Each block pair is reduced in numpy to summed distances per (row, other
