@@ -93,8 +93,9 @@ def repair_losses(log: DataFrame, logging_steps: int = 10) -> DataFrame:
 
 def train_summary(log: DataFrame, batch_size: int = 64) -> DataFrame:
     """Train loss = total / global step; samples and steps per second over the log span."""
+    # exact decimal sum: the total does not depend on the order rows arrive in
     t = log.groupBy("run").agg(
-        F.sum("value").alias("tot"), F.max("step").alias("steps"),
+        F.sum(F.col("value").cast("decimal(38,10)")).cast("double").alias("tot"), F.max("step").alias("steps"),
         ((F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp")))
          / F.lit(1e6)).alias("runtime"))
     rt = F.col("runtime")

@@ -121,10 +121,13 @@ def s6_metric_history(spark, sf):
 
 @query("s7_sorted_report", """
 SELECT key || ' = ' || printf('%.6f', value) AS line FROM (
-  SELECT 'run' || user_id || '.' || event_type AS key, avg(value) AS value FROM events GROUP BY user_id, event_type)""")
+  SELECT 'run' || user_id || '.' || event_type AS key, sum(value::DECIMAL(38,10))::DOUBLE / count(*) AS value
+  FROM events GROUP BY user_id, event_type)""")
 def s7_sorted_report(spark, sf):
     e = table(spark, sf, "events")
-    kv = e.groupBy("user_id", "event_type").agg(F.avg("value").alias("value")).select(
+    # exact decimal sum, so the printed mean does not depend on summation order
+    kv = e.groupBy("user_id", "event_type").agg(
+        (F.sum(F.col("value").cast("decimal(38,10)")).cast("double") / F.count(F.lit(1))).alias("value")).select(
         F.concat(F.lit("run"), F.col("user_id").cast("string"), F.lit("."), F.col("event_type")).alias("key"), "value")
     path = IO.scratch_path(spark, "report")
     IO.kv_lines(kv).write.mode("overwrite").text(path)

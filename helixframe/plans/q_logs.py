@@ -178,7 +178,7 @@ def x6_loss_repair(spark, sf):
 
 
 @query("x7_train_summary", f"""
-SELECT run, round(sum(value) / max(step), 6) + 0.0 AS train_loss, max(step) AS steps,
+SELECT run, round(sum(value::DECIMAL(38,10))::DOUBLE / max(step), 6) + 0.0 AS train_loss, max(step) AS steps,
        round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6::DOUBLE, 6) + 0.0 AS runtime,
        round(max(step) * 64 / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6::DOUBLE), 6) + 0.0 AS samples_per_second,
        round(max(step) / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6::DOUBLE), 6) + 0.0 AS steps_per_second
