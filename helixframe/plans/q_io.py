@@ -151,13 +151,14 @@ def s8_length_log(spark, sf):
 
 @query("s9_trial_sink", """
 SELECT user_id AS trial, max(value) AS value, CASE WHEN user_id % 2 = 0 THEN 'COMPLETE' ELSE 'PRUNED' END AS state,
-       round(avg(value), 6) + 0.0 AS param_mean_value
+       round(sum(value::DECIMAL(38,10))::DOUBLE / count(*), 6) + 0.0 AS param_mean_value
 FROM events GROUP BY user_id""")
 def s9_trial_sink(spark, sf):
     e = table(spark, sf, "events")
     t = e.groupBy(F.col("user_id").alias("trial")).agg(
         F.max("value").alias("value"),
-        F.create_map(F.lit("mean_value"), F.round(F.avg("value"), 6)).alias("params")).withColumn(
+        F.create_map(F.lit("mean_value"), F.round(
+            F.sum(F.col("value").cast("decimal(38,10)")).cast("double") / F.count(F.lit(1)), 6)).alias("params")).withColumn(
         "state", F.when(F.col("trial") % 2 == 0, "COMPLETE").otherwise("PRUNED"))
     path = IO.scratch_path(spark, "trials")
     t.select(F.to_json(F.struct("trial", "params", "value", "state")).alias("value")).write.mode("overwrite").text(path)
