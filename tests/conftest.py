@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -12,8 +11,8 @@ SF_SMALL = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark():
     from helixframe.session import get_spark
-    ckpt = tempfile.mkdtemp(prefix="helix-test-ckpt-")
-    s = get_spark("local[4]", app="helixframe-tests", shuffle_partitions=8,
-                  extra={"spark.checkpoint.dir": ckpt})
+    # the checkpoint folder is read from the session configuration; when it is
+    # unset, checkpoint_dir() creates a temporary one for this local session
+    s = get_spark("local[4]", app="helixframe-tests", shuffle_partitions=8)
     yield s
     s.stop()
