@@ -1,7 +1,7 @@
 """Registered queries of the training-data operators: production parameters, whole tables."""
 from __future__ import annotations
 
-from helixframe.llm import op2_licences, op8_urls, op9_tokens
+from helixframe.llm import op1_pii, op2_licences, op4_decontaminate, op5_toxicity, op8_urls, op9_tokens, op10_minhash
 from helixframe.llm.common import read
 
 
@@ -17,5 +17,21 @@ def op9_token_counts(spark, sf_dir):
     return op9_tokens.token_counts(read(spark, sf_dir, "documents"))
 
 
-LLM_QUERIES = {f.__name__: f for f in (op2_license_scan, op8_url_filter, op9_token_counts)}
+def op10_minhash_near_dedup(spark, sf_dir):
+    return op10_minhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+def op1_pii_sanitise(spark, sf_dir):
+    return op1_pii.scan(read(spark, sf_dir, "documents"))
+
+
+def op4_decontamination(spark, sf_dir):
+    return op4_decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op5_toxicity_score(spark, sf_dir):
+    return op5_toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+LLM_QUERIES = {f.__name__: f for f in (op1_pii_sanitise, op4_decontamination, op5_toxicity_score, op2_license_scan, op8_url_filter, op9_token_counts, op10_minhash_near_dedup)}
 LLM_ORACLES = {"op8_url_filter": op8_urls.ORACLE}
