@@ -22,7 +22,7 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import ascii_lower, text_of
+from helixframe.llm.common import ascii_lower, staged, text_of
 
 # Phrases with their labels.
 PHRASES = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")]
@@ -74,10 +74,8 @@ def blocks_of(docs: DataFrame, key: list[str], text: str, size: int = BLOCK) ->
     """(key, block): the distinct words of each block as an array."""
     lines = docs.select(*key, F.explode(F.split(F.col(text), "\n")).alias("line"))
     words = lines.select(*key, F.split(words_text(F.col("line")), " ").alias("w"))
-    short = words.where(F.size("w") <= size).select(*key, "w")
-    starts = F.expr(f"sequence(1, size(w) - {size // 2}, {size // 2})")
-    long = words.where(F.size("w") > size).select(*key, "w", F.explode(starts).alias("at")).select(*key, F.slice("w", F.col("at"), size).alias("w"))
-    return short.unionAll(long).select(*key, F.array_distinct("w").alias("w"))
+    starts = F.when(F.size("w") <= size, F.array(F.lit(1))).otherwise(F.expr(f"sequence(1, greatest(1, size(w) - {size // 2}), {size // 2})"))
+    return words.select(*key, "w", F.explode(starts).alias("at")).select(*key, F.array_distinct(F.slice("w", F.col("at"), size)).alias("w"))
 
 
 def contained_templates(docs: DataFrame, key: list[str], text: str, templates=TEMPLATES, theta: float = THETA) -> DataFrame:
@@ -88,6 +86,7 @@ def contained_templates(docs: DataFrame, key: list[str], text: str, templates=TE
     lit = lambda xs: F.array(*[F.lit(x) for x in xs])
     # only words of templates can be shared; the block's own size stays for the length filter
     shared = blocks_of(docs, key, text).select(*key, F.size("w").alias("n"), F.array_intersect("w", lit(vocabulary)).alias("w")).where(F.size("w") >= min(need))
+    shared = staged(shared)  # read twice: to count the words and to join them
     counted = shared.select(F.explode("w").alias("word")).groupBy("word").count().collect()  # at most one row per template word
     freq = {r["word"]: r["count"] for r in counted}
     order = sorted(vocabulary, key=lambda x: (freq.get(x, 0), x))
