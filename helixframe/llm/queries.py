@@ -1,7 +1,7 @@
 """Registered queries of the training-data operators: production parameters, whole tables."""
 from __future__ import annotations
 
-from helixframe.llm import op1_pii, op2_licences, op4_decontaminate, op5_toxicity, op8_urls, op9_tokens, op10_minhash
+from helixframe.llm import op1_pii, op2_licences, op3_sentencepiece, op4_decontaminate, op5_toxicity, op8_urls, op9_tokens, op10_minhash
 from helixframe.llm.common import read
 
 
@@ -25,6 +25,10 @@ def op1_pii_sanitise(spark, sf_dir):
     return op1_pii.scan(read(spark, sf_dir, "documents"))
 
 
+def op3_sentencepiece_codec(spark, sf_dir):
+    return op3_sentencepiece.round_trip(read(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark, sf_dir):
     return op4_decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -33,5 +37,5 @@ def op5_toxicity_score(spark, sf_dir):
     return op5_toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-LLM_QUERIES = {f.__name__: f for f in (op1_pii_sanitise, op4_decontamination, op5_toxicity_score, op2_license_scan, op8_url_filter, op9_token_counts, op10_minhash_near_dedup)}
+LLM_QUERIES = {f.__name__: f for f in (op1_pii_sanitise, op3_sentencepiece_codec, op4_decontamination, op5_toxicity_score, op2_license_scan, op8_url_filter, op9_token_counts, op10_minhash_near_dedup)}
 LLM_ORACLES = {"op8_url_filter": op8_urls.ORACLE}
