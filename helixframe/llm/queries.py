@@ -1,7 +1,7 @@
 """Registered queries of the training-data operators: production parameters, whole tables."""
 from __future__ import annotations
 
-from helixframe.llm import op1_pii, op2_licences, op3_sentencepiece, op4_decontaminate, op5_toxicity, op7_embeddings, op8_urls, op9_tokens, op10_minhash
+from helixframe.llm import op1_pii, op2_licences, op3_sentencepiece, op4_decontaminate, op5_toxicity, op6_suffixes, op7_embeddings, op8_urls, op9_tokens, op10_minhash
 from helixframe.llm.common import read
 
 
@@ -9,6 +9,10 @@ def op2_license_scan(spark, sf_dir):
     return op2_licences.licence_scan(read(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark, sf_dir):
+    return op6_suffixes.remove_repeats(read(spark, sf_dir, "documents"))
+
+
 def op7_embedding_near_dedup(spark, sf_dir):
     return op7_embeddings.near_vectors(read(spark, sf_dir, "embeddings"))
 
@@ -41,5 +45,5 @@ def op5_toxicity_score(spark, sf_dir):
     return op5_toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-LLM_QUERIES = {f.__name__: f for f in (op1_pii_sanitise, op3_sentencepiece_codec, op4_decontamination, op5_toxicity_score, op2_license_scan, op7_embedding_near_dedup, op8_url_filter, op9_token_counts, op10_minhash_near_dedup)}
+LLM_QUERIES = {f.__name__: f for f in (op1_pii_sanitise, op3_sentencepiece_codec, op4_decontamination, op5_toxicity_score, op2_license_scan, op6_suffix_dedup, op7_embedding_near_dedup, op8_url_filter, op9_token_counts, op10_minhash_near_dedup)}
 LLM_ORACLES = {"op8_url_filter": op8_urls.ORACLE}
