@@ -1,7 +1,7 @@
 """SentencePiece encoding as a relational lattice, and decoding.
 
-A text becomes ``▁`` + text with ``▁`` for spaces, and is cut into units in front of each run of ``▁``, where no piece can reach
-across.  The distinct units of a batch are exploded into their substrings of bounded length, an equi-join with the piece
+A text becomes ``▁`` + text with ``▁`` for spaces, and is cut into units (runs of letters or of other signs with the ``▁`` before them)
+that no piece can reach across, as the piece table itself is made to confirm.  The distinct units of a batch are exploded into their substrings of bounded length, an equi-join with the piece
 table (the size of a vocabulary, so it is broadcast) keeps the substrings that are pieces, the surviving edges
 are grouped by unit, and a Spark higher-order ``aggregate`` folds each unit's lattice into its segmentation.
 
@@ -31,11 +31,10 @@ from pyspark.sql import functions as F
 from helixframe.llm.common import pieces, text_of
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-UNIT = re.compile("▁*[^▁]+|▁+")
-BATCH_UNITS, BATCH_CHARS, BITS = 200_000, 1 << 24, 60
+BATCH_UNITS, BATCH_CHARS, BITS = 500_000, 1 << 25, 60
 
-_ROWS = "k int, word string, n int, id bigint, at array<int>, mark string"
-_EDGES = _ROWS + ", inside array<bigint>, ends array<bigint>, long array<int>"
+_ROWS = "k int, word string, n int, id bigint, at binary, mark string"
+_EDGES = _ROWS + ", inside array<bigint>, ends array<bigint>"
 
 
 class Vocabulary:
@@ -51,8 +50,12 @@ class Vocabulary:
         self.ids = {sp.id_to_piece(i): i for i in usable}
         self.rank = {sp.id_to_piece(i): order[sp.get_score(i)] for i in usable}
         self.longest = max(map(len, self.ids))
-        if any(re.search("[^▁]▁", p) for p in self.ids) or len(self.bytes) != 256:
-            raise ValueError("pieces that reach over a word boundary, or no byte pieces")
+        # units: letters, other signs, or one digit or space, after any ▁; characters of pieces that such a cut would part count as signs
+        split = lambda extra: f"▁*[^\\W\\d_▁{extra}]+|▁*(?:[^\\w\\s▁]|[_{extra}])+|▁*[\\s\\S]|▁+"
+        parted = lambda unit: [p for p in self.ids if len(re.findall(unit, p)) > 1]
+        self.unit = split(re.escape("".join(sorted({c for p in parted(split("")) for c in p if re.match(r"[\w\s]", c)}))))
+        if parted(self.unit) or len(self.bytes) != 256:
+            raise ValueError("pieces that reach over a unit boundary, or no byte pieces")
 
     def table(self, spark) -> DataFrame:
         return spark.createDataFrame([(p, r) for p, r in self.rank.items() if len(p) > 1], "piece string, rank int")
@@ -95,11 +98,12 @@ def merged(word: str, rank: dict[str, int]) -> list[str]:
     return [s for s in sym if s]
 
 
-def unit_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def unit_rows(docs: DataFrame, id_col: str, text_col: str, unit: str) -> DataFrame:
     """Per batch: one row for each distinct unit (k, word, n symbols), then one for each document (id, at: its units)."""
 
     def run(batches):
         table, out, chars = {}, [], 0
+        find = re.compile(unit).findall
 
         def flush():
             words = list(table)
@@ -107,18 +111,18 @@ def unit_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for at in range(0, len(words), 20_000):
                 w = words[at:at + 20_000]
                 yield pa.record_batch([pa.array(range(at, at + len(w)), pa.int32()), pa.array(w), pa.array([len(x) for x in w], pa.int32()), none(pa.int64(), len(w)),
-                                       none(pa.list_(pa.int32()), len(w)), none(pa.string(), len(w))], names=["k", "word", "n", "id", "at", "mark"])
+                                       none(pa.binary(), len(w)), none(pa.string(), len(w))], names=["k", "word", "n", "id", "at", "mark"])
             for at in range(0, len(out), 512):
                 d = out[at:at + 512]
                 yield pa.record_batch([pa.array([-1] * len(d), pa.int32()), none(pa.string(), len(d)), none(pa.int32(), len(d)), pa.array([x[0] for x in d], pa.int64()),
-                                       pa.array([x[1] for x in d], pa.list_(pa.int32())), pa.array([x[2] for x in d])], names=["k", "word", "n", "id", "at", "mark"])
+                                       pa.array([x[1] for x in d], pa.binary()), pa.array([x[2] for x in d])], names=["k", "word", "n", "id", "at", "mark"])
 
         for batch in batches:
             for part in pieces(batch):
                 for i, text in zip(part.column(0).to_pylist(), part.column(1)):
                     text = text.as_py().replace("▁", " ")
-                    units = UNIT.findall("▁" + text.replace(" ", "▁")) if text else []
-                    out.append((i, np.fromiter((table.setdefault(u, len(table)) for u in units), np.int32, len(units)), hashlib.md5(text.encode()).hexdigest()))
+                    units = find("▁" + text.replace(" ", "▁")) if text else []
+                    out.append((i, np.fromiter((table.setdefault(u, len(table)) for u in units), np.int32, len(units)).tobytes(), hashlib.md5(text.encode()).hexdigest()))
                     chars += len(text)
                     if len(table) >= BATCH_UNITS or chars >= BATCH_CHARS:
                         yield from flush()
@@ -158,8 +162,8 @@ def grouped(edges: DataFrame) -> DataFrame:
             offsets = np.searchsorted(u, np.arange(len(first) + 1)).astype(np.int32)
             lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(x.astype(np.int64))) for x in (inside, ends)]
             m = len(first)
-            return pa.record_batch([pa.array(k[first], pa.int32()), word.take(pa.array(first)), pa.array(n[first], pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.list_(pa.int32())),
-                                    pa.nulls(m, pa.string()), *lists, pa.nulls(m, pa.list_(pa.int32()))], names=["k", "word", "n", "id", "at", "mark", "inside", "ends", "long"])
+            return pa.record_batch([pa.array(k[first], pa.int32()), word.take(pa.array(first)), pa.array(n[first], pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()),
+                                    pa.nulls(m, pa.string()), *lists], names=["k", "word", "n", "id", "at", "mark", "inside", "ends"])
 
         def columns(t):
             get = lambda c: t.column(c).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -177,8 +181,8 @@ def grouped(edges: DataFrame) -> DataFrame:
                         yield emit(*columns(held))
                         held = None
                     m = b - a
-                    yield pa.record_batch([*[part.column(c) for c in range(6)], *[pa.nulls(m, pa.list_(pa.int64()))] * 2, pa.nulls(m, pa.list_(pa.int32()))],
-                                          names=["k", "word", "n", "id", "at", "mark", "inside", "ends", "long"])
+                    yield pa.record_batch([*[part.column(c) for c in range(6)], *[pa.array([[]] * m, pa.list_(pa.int64()))] * 2],
+                                          names=["k", "word", "n", "id", "at", "mark", "inside", "ends"])
                     continue
                 part = part if held is None else pa.Table.from_batches([held, part]).combine_chunks().to_batches()[0]
                 kk = part.column(0).to_numpy(zero_copy_only=False)
@@ -202,28 +206,38 @@ CASE WHEN n <= {BITS} THEN aggregate(sequence(1, greatest(n - 1, 1)), shiftleft(
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL) -> DataFrame:
     """(id, ids array<int>, mark): mark is the md5 of the text that decoding gives back."""
     v = Vocabulary(model)
-    rows = lattice(unit_rows(docs, id_col, text_col), v.table(docs.sparkSession), v.longest)
+    rows = lattice(unit_rows(docs, id_col, text_col, v.unit), v.table(docs.sparkSession), v.longest)
     folded = grouped(rows).select("k", "word", "n", "id", "at", "mark", F.expr(FOLD).alias("bounds"))
 
     def run(batches):
-        table: dict[int, np.ndarray] = {}
+        table: list[list[int]] = []
+        flat = first = None
         for batch in batches:
             ids, out, marks = [], [], []
             get = batch.to_pydict()
             for k, word, n, i, at, mark, bounds in zip(*(get[c] for c in ("k", "word", "n", "id", "at", "mark", "bounds"))):
-                if k < 0:
-                    ids.append(i)
-                    out.append(np.concatenate([table[u] for u in at]) if at else np.empty(0, np.int32))
-                    marks.append(mark)
+                if k >= 0:
+                    if k == 0:
+                        table, flat = [], None
+                    if k != len(table):
+                        raise RuntimeError("units out of order")
+                    if bounds is None:
+                        table.append(v.ids_of(merged(word, v.rank)))
+                    elif bounds == (1 << n) + 1:
+                        table.append(v.ids_of([word]))
+                    else:
+                        cuts = [c for c in range(n + 1) if bounds >> c & 1]
+                        table.append(v.ids_of([word[a:b] for a, b in zip(cuts[:-1], cuts[1:])]))
                     continue
-                if k == 0:
-                    table = {}
-                if bounds is None:
-                    symbols = merged(word, v.rank)
-                else:
-                    cuts = [c for c in range(n + 1) if bounds >> c & 1]
-                    symbols = [word[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
-                table[k] = np.array(v.ids_of(symbols), np.int32)
+                if flat is None:  # the units of the batch are complete
+                    first = np.cumsum([0, *map(len, table)])
+                    flat = np.fromiter((x for t in table for x in t), np.int32, int(first[-1]))
+                u = np.frombuffer(at, np.int32)
+                size = first[u + 1] - first[u]
+                end = np.cumsum(size)
+                ids.append(i)
+                out.append(flat[np.repeat(first[u] - end + size, size) + np.arange(int(end[-1]) if len(end) else 0)])
+                marks.append(mark)
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(out, pa.list_(pa.int32())), pa.array(marks, pa.string())], names=["id", "ids", "mark"])
 
     return folded.mapInArrow(run, "id bigint, ids array<int>, mark string").withColumnRenamed("id", id_col)
