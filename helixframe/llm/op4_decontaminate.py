@@ -3,23 +3,23 @@
 All DataFrame functions.  A text is lower-cased and read as words of letters and digits, each
 hashed to 64 bits.  At every word position each fixed mask hashes the words it selects and ignores the
 others, so a substituted word spoils only the masks that select it.  Seeds of documents meet seeds of the
-benchmark in an equi-join; around each hit a window of ``WINDOW`` words that covers the hit is
-compared word by word on the same diagonal, and it counts when ``SHARE`` of its words agree (a window is shorter only
-where the item or the document is).
+benchmark in an equi-join; on the diagonal of each hit windows of ``WINDOW`` words are compared word by
+word, and one counts when ``SHARE`` of its words agree (it is shorter only where the item or the document is).
 
-The seeds of the benchmark are broadcast when they number ``BROADCAST_SEEDS`` at most (counted
-first); beyond that the join is shuffled without texts, and the distinct hits fetch the word hashes by a second join.
+The seeds of the benchmark are broadcast when they number ``BROADCAST_SEEDS`` at most (counted first), else the join is
+shuffled.  Seed rows hold no text; the distinct diagonals that were hit meet the words of their document in a second join and
+are verified inside its row.
 
 Defined cases: null or empty texts (of either table) and items without words match nothing; an item shorter
-than the masks must be met in all its words; repeated rows count under their id once; null
-ids are kept; empty tables give no rows; other columns are ignored; texts are read whole.
+than the masks must be met in all its words; repeated rows count under their id once; ids
+are not negative and null ids are kept; empty tables give no rows; other columns are ignored; texts are read whole.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import text_of
+from helixframe.llm.common import staged, text_of
 
 # 1: the word is hashed, 0: it may be any word.
 MASKS = ["110100110101", "101110010011", "111001011001"]
@@ -40,49 +40,58 @@ def _seed(m: int, mask: str) -> Column:
 
 
 def seeds(rows: DataFrame, masks: list[str]) -> DataFrame:
-    """The rows (n words, hashes h) once for each position i and mask m that fits, with the seed."""
-    least = min(map(len, masks))
+    """The rows (n words, hashes h) once for each position i and mask m that fits, with the seed; h itself stays behind."""
+    least, keep = min(map(len, masks)), [c for c in rows.columns if c != "h"]
     at = rows.where(F.col("n") >= least).select("*", F.explode(F.sequence(F.lit(0), F.col("n") - least)).alias("i"))
-    at = at.select("*", F.posexplode(F.array(*[_seed(m, x) for m, x in enumerate(masks)])).alias("m", "seed"))
-    return at.where("seed is not null")
+    return at.select(*keep, "i", F.posexplode(F.array(*[_seed(m, x) for m, x in enumerate(masks)])).alias("m", "seed")).where("seed is not null")
 
 
-def hits(docs: DataFrame, bench: DataFrame, key: list[Column], text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
+def row_key(id_col: str, text_col: str) -> list[Column]:
+    return [F.coalesce(F.col(id_col).cast("bigint"), F.lit(-1)).alias("_k0"), F.xxhash64(text_of(text_col)).alias("_k1")]
+
+
+# Windows of a diagonal d (position in the document minus position in the item) where enough words agree.
+GOOD = f"""
+transform(x, y -> struct(y.item_id AS item_id, y.d AS d, least({WINDOW}, n, y.ilen) AS len,
+  filter(sequence(greatest(0, -y.d), greatest(greatest(0, -y.d), least(y.ilen, n - y.d) - least({WINDOW}, n, y.ilen))), s ->
+    s + least({WINDOW}, n, y.ilen) <= least(y.ilen, n - y.d) AND
+    size(filter(zip_with(slice(h, s + y.d + 1, least({WINDOW}, n, y.ilen)), slice(y.ih, s + 1, least({WINDOW}, n, y.ilen)), (a, b) -> a = b), z -> z))
+      >= ceil({SHARE} * least({WINDOW}, n, y.ilen) - 1e-9)) AS good))
+"""
+
+
+def hits(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
          masks: list[str] = MASKS) -> DataFrame:
-    """(key, item_id, start): verified windows, start in words of the document."""
+    """(_k0, _k1, item_id, d, len, good): verified windows of each document and item, by diagonal."""
     items = bench.select(F.col(item_col).alias("item_id"), word_hashes(text_of(item_text)).alias("h")).withColumn("n", F.size("h")).distinct()
-    lengths = sorted(r["n"] for r in items.where(f"n between {SHORTEST} and {SPAN - 1}").select("n").distinct().collect())  # a few small numbers
+    items = staged(items.where(f"n >= {SHORTEST}").withColumn("item", F.monotonically_increasing_id()))
+    lengths = sorted(r["n"] for r in items.where(f"n < {SPAN}").select("n").distinct().collect())  # a few small numbers
     every = [*masks, *("1" * k for k in lengths)]
     size = F.element_at(F.array(*[F.lit(len(x)) for x in every]), F.col("m") + 1)
     # masks apply to items that have room for them; a shorter item has one seed, of all its words
-    own = seeds(items.where(f"n >= {min([SPAN, *lengths])}"), every).withColumn("span", size)
-    own = own.where(F.when(F.col("n") >= SPAN, F.col("m") < len(masks)).otherwise(F.col("span") == F.col("n")))
-    own = own.select("item_id", F.col("h").alias("ih"), F.col("n").alias("ilen"), F.col("i").alias("j"), "seed", "span")
-    small = own.count() <= BROADCAST_SEEDS
-    names = [f"_k{x}" for x in range(len(key))]
-    rows = docs.select(*[k.alias(x) for k, x in zip(key, names)], word_hashes(text_of(text_col)).alias("h")).withColumn("n", F.size("h"))
-    if small:
-        met = seeds(rows, every).select(*names, "n", "h", "i", "seed").join(F.broadcast(own), "seed")
-    else:
-        met = seeds(rows, every).select(*names, "n", "i", "seed").join(own.drop("ih", "ilen"), "seed").drop("seed").distinct()
-        met = met.join(rows.select(*names, "h").distinct(), names).join(items.select("item_id", F.col("h").alias("ih"), F.col("n").alias("ilen")), "item_id")
-    met = met.withColumn("d", F.col("i") - F.col("j")).withColumn("len", F.least(F.lit(WINDOW), "n", "ilen"))
-    met = met.withColumn("lo", F.greatest(F.lit(0), -F.col("d"), F.col("j") + F.col("span") - F.col("len")))
-    met = met.withColumn("hi", F.least("j", F.col("ilen") - F.col("len"), F.col("n") - F.col("d") - F.col("len"))).where("lo <= hi")
-    good = F.expr(f"filter(sequence(lo, hi), s -> size(filter(zip_with(slice(h, s + d + 1, len), slice(ih, s + 1, len), (a, b) -> a = b), x -> x)) >= ceil({SHARE} * len - 1e-9))")
-    return met.withColumn("s", good).where(F.size("s") > 0).select(*names, "item_id", F.explode("s").alias("s"), "d", "len").select(
-        *names, "item_id", (F.col("s") + F.col("d")).alias("start"), "len").distinct()
+    own = seeds(items, every).where(F.when(F.col("n") >= SPAN, F.col("m") < len(masks)).otherwise(size == F.col("n")))
+    own = staged(own.select("item", F.col("i").alias("j"), "seed"))
+    if own.count() <= BROADCAST_SEEDS:
+        own = F.broadcast(own)
+    rows = docs.select(*row_key(id_col, text_col), word_hashes(text_of(text_col)).alias("h")).withColumn("n", F.size("h"))
+    met = seeds(rows, every).select("_k0", "_k1", "i", "seed").join(own, "seed")
+    met = met.select("_k0", "_k1", "item", (F.col("i") - F.col("j")).alias("d")).distinct()
+    met = met.join(items.select("item", "item_id", F.col("h").alias("ih"), F.col("n").alias("ilen")), "item")
+    found = staged(met.groupBy("_k0", "_k1").agg(F.collect_list(F.struct("item_id", "ih", "ilen", "d")).alias("x")))
+    text = docs.select(*row_key(id_col, text_col), text_of(text_col).alias("_t")).join(found, ["_k0", "_k1"]).dropDuplicates(["_k0", "_k1"])
+    checked = text.select("_k0", "_k1", "x", word_hashes(F.col("_t")).alias("h")).withColumn("n", F.size("h")).select("_k0", "_k1", F.explode(F.expr(GOOD)).alias("g"))
+    return checked.select("_k0", "_k1", "g.*").where(F.size("good") > 0)
 
 
 def contaminated(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_windows, first_word, last_word) for every document that holds text of an item."""
-    found = hits(docs, bench, [F.col("doc_id")])
-    return found.groupBy(F.col("_k0").alias("doc_id"), "item_id").agg(
-        F.count(F.lit(1)).alias("n_windows"), F.min("start").cast("bigint").alias("first_word"), F.max(F.col("start") + F.col("len") - 1).cast("bigint").alias("last_word"))
+    found = hits(docs, bench)
+    return found.groupBy(F.when(F.col("_k0") >= 0, F.col("_k0")).alias("doc_id"), "item_id").agg(
+        F.sum(F.size("good")).alias("n_windows"), F.min(F.array_min("good") + F.col("d")).cast("bigint").alias("first_word"),
+        F.max(F.array_max("good") + F.col("d") + F.col("len") - 1).cast("bigint").alias("last_word"))
 
 
-def clean(docs: DataFrame, bench: DataFrame, text_col: str = "text") -> DataFrame:
+def clean(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without text of an item."""
-    mark = [F.xxhash64(text_of(text_col)), F.md5(text_of(text_col))]
-    found = hits(docs, bench, mark, text_col).select("_k0", "_k1").distinct()
-    return docs.select("*", *[k.alias(x) for k, x in zip(mark, ["_k0", "_k1"])]).join(found, ["_k0", "_k1"], "left_anti").select(*docs.columns)
+    found = staged(hits(docs, bench, id_col, text_col).select("_k0", "_k1").distinct())
+    return docs.select("*", *row_key(id_col, text_col)).join(found, ["_k0", "_k1"], "left_anti").select(*docs.columns)
