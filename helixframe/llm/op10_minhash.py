@@ -182,3 +182,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = signed.drop("bands").join(of_class, ["n_shingles", "f1", "f2"], "left")
     cid = F.coalesce("cid", "id")
     return out.select(F.col("id").alias(id_col), "n_shingles", cid.alias("component_id"), F.coalesce(F.col("id") == cid, F.lit(False)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` with the smallest id of their group, equal rows once; rows without an id stay unless their group has one."""
+    near = staged(near_duplicates(docs, id_col, text_col, n, percent))
+    stay = near.where("kept").select(F.col(id_col).alias("_id")).distinct()
+    mark = F.xxhash64(F.col(text_col)).alias("_mark")
+    named = docs.where(F.col(id_col).isNotNull()).select("*", mark, F.col(id_col).cast("bigint").alias("_id"))
+    named = named.join(stay, "_id", "left_semi").dropDuplicates(["_id", "_mark"]).select(*docs.columns)
+    bare = docs.where(F.col(id_col).isNull())
+    if bare.isEmpty():
+        return named
+    grouped = shingled_groups(docs, id_col, text_col, n)
+    return named.unionAll(bare.join(grouped, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_h"), "left_anti").select(*docs.columns))
+
+
+def shingled_groups(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+    """(_h): hashes of the texts of rows without an id whose shingle set a row with an id has too."""
+
+    def run(batches):
+        hashes = WordHashes()
+        for batch in batches:
+            s = [shingle_set(words(t.as_py()), hashes, n) for t in batch.column(2)]
+            f = [int(x.sum(dtype=np.uint64).astype(np.int64)) if len(x) else None for x in s]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(f, pa.int64())], names=["named", "_h", "f"])
+
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).isNotNull().alias("named"), F.xxhash64(text).alias("_h"), text.alias("t")).mapInArrow(run, "named boolean, _h bigint, f bigint")
+    both = rows.where("f is not null").groupBy("f").agg(F.max("named").alias("m"))
+    return rows.where("not named").join(both.where("m"), "f").select("_h").distinct()
