@@ -106,9 +106,8 @@ def canberra(x, y) -> Column:
 
 
 def arccos_distance(x, y) -> Column:
-    """Angle between the unit vectors (L2 distance on the sphere's angle)."""
-    c = cosine(x, y)
-    return F.acos(F.least(F.greatest(c, F.lit(-1.0)), F.lit(1.0)))
+    """Euclidean distance of the normalised vectors (the chord, as the reference metric of that name)."""
+    return euclidean(l2_normalize(x), l2_normalize(y))
 
 
 def seuclidean(x, y, var) -> Column:

@@ -5,8 +5,8 @@
 * K4  Ward agglomerative clustering by rounds of reciprocal nearest
       neighbours on a centroid table; exact (Ward is reducible, so all mutual
       pairs of a round can merge at once and the tree equals the sequential
-      one).  Each round is one blocked all-pairs pass over the active
-      clusters; state and merge table are checkpointed every round.
+      one).  In a round only new clusters and those whose partner has gone
+      ask all active ones; state and merges are checkpointed every round.
 * K16/K17 KMeans, BisectingKMeans and power iteration clustering from
       ``pyspark.ml``.  K18 a logistic-regression linear probe.
 """
@@ -21,13 +21,10 @@ from pyspark.sql import types as T
 
 from helixframe.functions import vectors as V
 from helixframe.functions.hashing import uniform
-from helixframe.operators.pairs import block_pairs
+from helixframe.operators.indexing import dense_index
 from helixframe.session import cut_lineage
 
 
-_VERBOSE = False
-
-
 def _vec(df: DataFrame, vec: str, out: str = "_v") -> DataFrame:
     from pyspark.ml.functions import array_to_vector
     return df.withColumn(out, array_to_vector(F.col(vec)))
@@ -66,130 +63,86 @@ def pca_reduce(df: DataFrame, vec: str, k: int = 50, out: str = "reduced") -> tu
     return project(df, vec, pca_loadings(df, vec, kk), out), kk
 
 
-def _pair_heights(state: DataFrame, n_active: int, block_rows: int) -> DataFrame:
-    """(src, dst, h) in both directions, h = na nb / (na + nb) |ca - cb|^2."""
-    p = block_pairs(state, "cid", ["n", "s"], block_rows=block_rows, n=n_active)
-    ca = F.transform("l_s", lambda x: x / F.col("l_n"))
-    cb = F.transform("r_s", lambda x: x / F.col("r_n"))
-    h = (F.col("l_n") * F.col("r_n") / (F.col("l_n") + F.col("r_n"))) * V.sqeuclidean(ca, cb)
-    d = p.select("l_id", "r_id", h.alias("h"))
-    return d.select(F.explode(F.array(
-        F.struct(F.col("l_id").alias("src"), F.col("r_id").alias("dst"), "h"),
-        F.struct(F.col("r_id").alias("src"), F.col("l_id").alias("dst"), "h"))).alias("e")).select("e.*")
+_NEAREST = "cid bigint, h double, p bigint"
 
 
-LOCAL_FINISH = 2048
+def _block_nearest(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of one block of targets and one of askers: the best partner (height, then id) of every row on the other side."""
+    t, q = pdf[pdf["asks"] == 0], pdf[pdf["asks"] == 1]
+    if not len(t) or not len(q):
+        return pd.DataFrame({"cid": np.empty(0, np.int64), "h": np.empty(0), "p": np.empty(0, np.int64)})
+    t, q = t.sort_values("cid"), q.sort_values("cid")
+    it, iq = t["cid"].to_numpy(), q["cid"].to_numpy()
+    nt, nq = t["n"].to_numpy().astype(float), q["n"].to_numpy().astype(float)
+    ct, cq = np.vstack(t["s"].to_numpy()) / nt[:, None], np.vstack(q["s"].to_numpy()) / nq[:, None]
+    h = np.empty((len(cq), len(ct)))
+    for a in range(0, len(cq), 64):  # plain differences, 64 askers at a time, so a common shift costs no precision
+        diff = cq[a:a + 64, None, :] - ct[None, :, :]
+        h[a:a + 64] = (diff * diff).sum(-1)
+    h *= nq[:, None] * nt[None, :] / (nq[:, None] + nt[None, :])
+    h[iq[:, None] == it[None, :]] = np.inf
+    bt, bq = h.argmin(1), h.argmin(0)  # ids are sorted: the first minimum is the smallest id
+    out = pd.DataFrame({"cid": np.r_[iq, it], "h": np.r_[h[np.arange(len(iq)), bt], h[bq, np.arange(len(it))]],
+                        "p": np.r_[it[bt], iq[bq]]})
+    return out[np.isfinite(out["h"])]
 
 
-def _nn_chain(cids: np.ndarray, ns: np.ndarray, S: np.ndarray) -> list[tuple[int, int, float]]:
-    """Exact Ward merges of m centroids (m <= LOCAL_FINISH) by the nearest-neighbour chain.
+def _with_nearest(state: DataFrame, active: int, block_rows: int) -> DataFrame:
+    """``state`` with the nearest partner (h, p) of every cluster.
 
-    h(a, b) = na nb / (na + nb) |ca - cb|^2 with Lance-Williams updates; ties
-    break on the lower cluster id, the merged cluster keeps the lower id.
+    Rows without one (new clusters, and clusters whose partner has gone) ask all active clusters, block by
+    block; every other row only has to compare its partner with the askers.
     """
-    m = len(cids)
-    C = S / ns[:, None]
-    sq = np.sum(C * C, axis=1)
-    D2 = np.maximum(sq[:, None] + sq[None, :] - 2 * C @ C.T, 0.0)
-    n = ns.astype(float).copy()
-    H = (n[:, None] * n[None, :] / (n[:, None] + n[None, :])) * D2
-    np.fill_diagonal(H, np.inf)
-    ids = cids.astype(np.int64).copy()
-    active = np.ones(m, dtype=bool)
-    order = np.argsort(ids)  # tie-break by id: scan rows in id order
-    rank = np.empty(m, dtype=np.int64)
-    rank[order] = np.arange(m)
-    out = []
-    chain: list[int] = []
-    remaining = m
-    while remaining > 1:
-        if not chain:
-            chain.append(int(np.flatnonzero(active)[0]))
-        a = chain[-1]
-        row = np.where(active, H[a], np.inf)
-        row[a] = np.inf
-        best = row.min()
-        cand = np.flatnonzero(row == best)
-        b = int(cand[np.argmin(rank[cand])])
-        if len(chain) > 1 and chain[-2] == b:
-            chain.pop(); chain.pop()
-            lo, hi = (a, b) if ids[a] < ids[b] else (b, a)
-            out.append((int(ids[lo]), int(ids[hi]), float(best)))
-            na, nb = n[lo], n[hi]
-            nk = n
-            new = ((na + nk) * H[lo] + (nb + nk) * H[hi] - nk * best) / (na + nb + nk)
-            H[lo, :] = new
-            H[:, lo] = new
-            H[lo, lo] = np.inf
-            H[hi, :] = np.inf
-            H[:, hi] = np.inf
-            n[lo] = na + nb
-            active[hi] = False
-            remaining -= 1
-        else:
-            chain.append(b)
-    return out
+    blocks = max(1, -(-active // block_rows))
+    at = lambda salt: F.pmod(F.xxhash64(F.lit(salt), "cid"), F.lit(blocks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    target = state.select("cid", "n", "s", F.lit(0).alias("asks"), at(1).alias("tb"), every.alias("qb"))
+    asker = state.where("p is null").select("cid", "n", "s", F.lit(1).alias("asks"), every.alias("tb"), at(2).alias("qb"))
+    best = target.unionByName(asker).groupBy("tb", "qb").applyInPandas(_block_nearest, _NEAREST)
+    best = best.groupBy("cid").agg(F.min(F.struct("h", "p")).alias("m"))
+    own = F.when(F.col("p").isNotNull(), F.struct("h", "p"))
+    j = state.join(best, "cid", "left").withColumn("_b", F.least(own, F.col("m")))
+    return j.select("cid", "n", "s", F.col("_b.h").alias("h"), F.col("_b.p").alias("p"))
 
 
-def _local_finish(state: DataFrame) -> DataFrame:
-    """Remaining merges of at most LOCAL_FINISH clusters in one task (bounded input)."""
-    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()),
-                           T.StructField("h", T.DoubleType()), T.StructField("round", T.IntegerType())])
+def _mutual(state: DataFrame) -> DataFrame:
+    a = state.select(F.col("cid").alias("a"), F.col("p").alias("b"), "h").where("a < b")
+    b = state.select(F.col("cid").alias("b"), F.col("p").alias("a")).where("a < b")
+    return a.join(b, ["a", "b"])
 
-    def run(batches):
-        parts = [pdf for pdf in batches if len(pdf)]
-        if not parts:
-            return
-        pdf = pd.concat(parts, ignore_index=True)
-        merges = _nn_chain(pdf["cid"].to_numpy(), pdf["n"].to_numpy(), np.vstack(pdf["s"].to_numpy()))
-        yield pd.DataFrame({"a": [x[0] for x in merges], "b": [x[1] for x in merges],
-                            "h": [x[2] for x in merges], "round": [-1] * len(merges)})
-    return state.coalesce(1).mapInPandas(run, schema)
-
-
-def ward_merges(df: DataFrame, id_col: str, vec: str, block_rows: int = 256,
-                max_rounds: int = 10000, local_finish: int = LOCAL_FINISH) -> DataFrame:
+
+def ward_merges(df: DataFrame, id_col: str, vec: str, block_rows: int = 1024) -> DataFrame:
     """Full Ward merge table (a, b, h, round) with n - 1 rows; merged cluster keeps id min(a, b).
 
-    The nearest partner of a cluster is the minimum of (h, partner id); the
-    globally smallest pair is always mutual under that order, so every round
-    merges at least one pair.  Rounds run distributed while more than
-    ``local_finish`` clusters are active; the last (bounded) set of centroids
-    is finished by the nearest-neighbour chain inside one task.  Per round two reliable checkpoints (the
-    round's merges and the new state) cut the lineage; only scalars (merge
-    counts) reach the driver.
+    The nearest partner of a cluster is the minimum of (h, partner id); the globally smallest pair is
+    always mutual under that order, so every round merges at least one pair, and rounds run until one
+    cluster is left.  Every round is the same distributed plan at any size: block kernels that return one
+    candidate per row and block, a minimum over blocks, and an equi-join for the mutual pairs.  The round's
+    merges and the new state are checkpointed; only two counts reach the driver.
     """
-    state = cut_lineage(df.select(F.col(id_col).alias("cid"), F.lit(1).cast("bigint").alias("n"),
-                                  F.col(vec).alias("s")))
+    empty = F.lit(None)
+    state = df.select(F.col(id_col).cast("bigint").alias("cid"), F.lit(1).cast("bigint").alias("n"), F.col(vec).alias("s"),
+                      empty.cast("double").alias("h"), empty.cast("bigint").alias("p"))
     active = state.count()
     rounds = []
-    rnd = 0
-    while active > max(1, local_finish) and rnd < max_rounds:
-        both = _pair_heights(state, active, block_rows)
-        nn = both.groupBy("src").agg(F.min(F.struct("h", "dst")).alias("m")).select(
-            "src", F.col("m.h").alias("h"), F.col("m.dst").alias("dst"))
-        a, b = nn.alias("a"), nn.alias("b")
-        mutual = (a.join(b, (F.col("a.src") == F.col("b.dst")) & (F.col("a.dst") == F.col("b.src")))
-                  .where(F.col("a.src") < F.col("a.dst"))
-                  .select(F.col("a.src").alias("a"), F.col("a.dst").alias("b"), F.col("a.h").alias("h"),
-                          F.lit(rnd).alias("round")))
-        mutual = cut_lineage(mutual)
+    while active > 1:
+        state = cut_lineage(_with_nearest(state, active, block_rows))
+        mutual = cut_lineage(_mutual(state).withColumn("round", F.lit(len(rounds))))
         merged = mutual.count()
         if merged == 0:
             raise RuntimeError("Ward round without a mutual pair (non-finite heights?)")
-        sa = state.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"))
-        sb = state.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"))
-        new = mutual.join(sa, "a").join(sb, "b").select(
-            F.col("a").alias("cid"), (F.col("na") + F.col("nb")).alias("n"), V.add("sa", "sb").alias("s"))
-        gone = mutual.select(F.col("a").alias("cid")).unionByName(mutual.select(F.col("b").alias("cid")))
-        state = cut_lineage(state.join(gone, "cid", "left_anti").unionByName(new))
+        gone = mutual.select(F.explode(F.array("a", "b")).alias("x"))
+        pick = lambda side: state.select(F.col("cid").alias(side), F.col("n").alias("n" + side), F.col("s").alias("s" + side))
+        new = mutual.select("a", "b").join(pick("a"), "a").join(pick("b"), "b").select(
+            F.col("a").alias("cid"), (F.col("na") + F.col("nb")).alias("n"), V.add("sa", "sb").alias("s"),
+            empty.cast("double").alias("h"), empty.cast("bigint").alias("p"))
+        left = state.join(gone.withColumnRenamed("x", "cid"), "cid", "left_anti")
+        lost = left.join(gone.select(F.col("x").alias("p"), F.lit(True).alias("_lost")), "p", "left")
+        still = F.col("_lost").isNull()
+        left = lost.select("cid", "n", "s", F.when(still, F.col("h")).alias("h"), F.when(still, F.col("p")).alias("p"))
+        state = left.unionByName(new)
         rounds.append(mutual)
         active -= merged
-        rnd += 1
-        if _VERBOSE:
-            print(f"ward round {rnd}: {active} active clusters", flush=True)
-    if active > 1:
-        rounds.append(cut_lineage(_local_finish(state)))
     if not rounds:
         return df.sparkSession.createDataFrame([], "a bigint, b bigint, h double, round int")
     out = rounds[0]
@@ -199,33 +152,26 @@ def ward_merges(df: DataFrame, id_col: str, vec: str, block_rows: int = 256,
 
 
 def cut_tree(points: DataFrame, id_col: str, merges: DataFrame, k: int) -> DataFrame:
-    """Labels for a cut at k clusters: drop the k - 1 highest merges (a bounded top-k),
-    then the components of the remaining merges by pointer jumping."""
-    top = merges.orderBy(F.desc("h"), F.desc("a"), F.desc("b")).limit(max(k - 1, 0))
-    kept = merges.join(top.select("a", "b"), ["a", "b"], "left_anti")
-    par = cut_lineage(kept.select(F.col("b").alias("node"), F.col("a").alias("parent")))
+    """Labels for a cut at k clusters: drop the k - 1 highest merges (by position, so k may grow with the
+    data), then the components of the remaining merges by pointer jumping."""
+    ranked = dense_index(merges.withColumn("_nh", -F.col("h")).withColumn("_na", -F.col("a")).withColumn("_nb", -F.col("b")), ["_nh", "_na", "_nb"], name="_pos")
+    par = cut_lineage(ranked.where(F.col("_pos") >= max(k - 1, 0)).select(F.col("b").alias("node"), F.col("a").alias("parent")))
     while True:
         p2 = par.select(F.col("node").alias("parent"), F.col("parent").alias("gp"))
-        nxt = par.join(p2, "parent", "left").select(
-            "node", F.coalesce("gp", "parent").alias("parent"), F.col("gp").isNotNull().alias("moved"))
-        nxt = cut_lineage(nxt)
-        if nxt.where("moved").limit(1).count() == 0:
-            par = nxt.drop("moved")
-            break
+        nxt = cut_lineage(par.join(p2, "parent", "left").select(
+            "node", F.coalesce("gp", "parent").alias("parent"), F.col("gp").isNotNull().alias("moved")))
         par = nxt.drop("moved")
+        if nxt.where("moved").isEmpty():
+            break
     lab = points.select(F.col(id_col).alias("node")).join(par, "node", "left").select(
         F.col("node").alias(id_col), F.coalesce("parent", "node").alias("root"))
-    roots = lab.select("root").distinct()  # k rows
-    from pyspark.sql import Window
-    ranked = roots.select("root", (F.dense_rank().over(Window.orderBy("root")) - 1).cast("int").alias("cluster"))
-    return lab.join(ranked, "root").select(id_col, "cluster")
+    roots = dense_index(lab.select("root").distinct(), ["root"], name="_pos")
+    return lab.join(roots.select("root", F.col("_pos").cast("int").alias("cluster")), "root").select(id_col, "cluster")
 
 
-def ward(df: DataFrame, id_col: str, vec: str, k: int, block_rows: int = 256,
-         local_finish: int = LOCAL_FINISH) -> DataFrame:
+def ward(df: DataFrame, id_col: str, vec: str, k: int, block_rows: int = 1024) -> DataFrame:
     """K4: (id, cluster) for Ward's minimum-variance clustering cut at k clusters."""
-    merges = ward_merges(df, id_col, vec, block_rows, local_finish=local_finish)
-    return cut_tree(df, id_col, merges, k)
+    return cut_tree(df, id_col, ward_merges(df, id_col, vec, block_rows), k)
 
 
 def kmeans(df: DataFrame, id_col: str, vec: str, k: int, seed: int = 0, max_iter: int = 1000,
@@ -243,19 +189,25 @@ def kmeans(df: DataFrame, id_col: str, vec: str, k: int, seed: int = 0, max_iter
     return m.transform(v).select(id_col, "cluster"), facts
 
 
-def power_iteration(edges: DataFrame, k: int, sigma: float = 1.0, seed: int = 0) -> DataFrame:
+def undirected(edges: DataFrame) -> DataFrame:
+    """(src < dst, dist): one row for each pair that an edge joins in either direction."""
+    return (edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "dist")
+            .groupBy("src", "dst").agg(F.min("dist").alias("dist")))
+
+
+def power_iteration(edges: DataFrame, k: int, sigma: float = 1.0) -> DataFrame:
     """K17 spectral-style clusterer on the kNN graph (K3): weights exp(-d^2 / sigma^2)."""
     from pyspark.ml.clustering import PowerIterationClustering
-    w = edges.where(F.col("src") < F.col("dst")).select(
-        "src", "dst", F.exp(-(F.col("dist") * F.col("dist")) / F.lit(sigma * sigma)).alias("weight"))
+    u = undirected(edges)
+    w = u.select("src", "dst", F.exp(-(F.col("dist") * F.col("dist")) / F.lit(sigma * sigma)).alias("weight"))
     pic = PowerIterationClustering(k=k, maxIter=30, weightCol="weight", srcCol="src", dstCol="dst")
     return pic.assignClusters(w)
 
 
-def linear_probe(df: DataFrame, vec: str, label: str, seed: int = 0, train_frac: float = 0.8) -> DataFrame:
+def linear_probe(df: DataFrame, vec: str, label: str, seed: int = 0, train_frac: float = 0.8, id_col: str = "vec_id") -> DataFrame:
     """Logistic regression on a hash split; accuracy per split."""
     from pyspark.ml.classification import LogisticRegression
-    v = _vec(df, vec).withColumn("_split", F.when(uniform(F.lit(seed), F.lit("split"), F.col("vec_id"))
+    v = _vec(df, vec).withColumn("_split", F.when(uniform(F.lit(seed), F.lit("split"), F.col(id_col))
                                                   < train_frac, "train").otherwise("test"))
     v = v.withColumn("_y", F.col(label).cast("double"))
     model = LogisticRegression(featuresCol="_v", labelCol="_y", maxIter=100).fit(v.where("_split = 'train'"))

@@ -11,8 +11,9 @@ costs O(V) per token, so a map column is not used.)
 
 from __future__ import annotations
 
-import pandas as pd
-
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,20 +61,25 @@ def vocabulary(tokens: DataFrame, col: str = "tokens", size: int = VOCAB_SIZE) -
 
 
 class Lookup:
-    """Token array -> id array (unknown -> UNK_ID) with a broadcast vocabulary."""
-
-    def __init__(self, vocab: DataFrame, max_size: int = VOCAB_SIZE):
-        rows = vocab.select("token", "id").limit(max_size + 1).collect()  # bounded by V
-        if len(rows) > max_size:
-            raise ValueError("vocabulary larger than its bound")
-        table = {r["token"]: int(r["id"]) for r in rows}
-        bc = vocab.sparkSession.sparkContext.broadcast(table)
-
-        @F.pandas_udf("array<int>")
-        def _ids(s: pd.Series) -> pd.Series:
-            d = bc.value
-            get = d.get
-            return s.map(lambda toks: None if toks is None else [get(t, UNK_ID) for t in toks])
+    """Token array -> id array (unknown -> UNK_ID) with a broadcast vocabulary.
+
+    The vocabulary is as large as its maker asked for (``vocabulary(size=...)``); all tokens
+    of an Arrow batch are looked up by one vectorised ``index_in``.
+    """
+
+    def __init__(self, vocab: DataFrame):
+        t = vocab.select("token", "id").toArrow()
+        bc = vocab.sparkSession.sparkContext.broadcast((t.column(0).combine_chunks(), t.column(1).combine_chunks()))
+
+        @F.arrow_udf("array<int>")
+        def _ids(tokens: pa.Array) -> pa.Array:
+            names, ids = bc.value
+            flat = pc.index_in(tokens.flatten().cast(names.type), value_set=names)
+            got = pc.fill_null(ids.take(flat), UNK_ID).cast(pa.int32())
+            sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+            ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            out = pa.ListArray.from_arrays(pa.array(ends), got)
+            return out if not tokens.null_count else pc.if_else(tokens.is_valid(), out, pa.scalar(None, out.type))
 
         self._fn = _ids
 

@@ -7,12 +7,10 @@ and emits only partials (top-k candidates, per-cluster distance sums).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
-
-from helixframe.functions import vectors as V
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from helixframe.operators.pairs import block_apply
@@ -40,17 +38,15 @@ def _knn_kernel(k: int, metric: str):
         if same:
             np.fill_diagonal(D, np.inf)
         out = []
-        # candidates per source row: the k best partners inside this block pair
-        for ids_src, ids_dst, M in ((il, ir, D), (ir, il, D.T)) if not same else ((il, ir, D),):
+        # candidates per source row: the k best partners inside this block pair (ids are sorted, ties go to the smaller)
+        for src, dst, M in [(il, ir, D)] + ([] if same else [(ir, il, D.T)]):
             kk = min(k, M.shape[1])
-            for r in range(M.shape[0]):
-                row = M[r]
-                order = np.lexsort((ids_dst, row))[:kk]
-                order = order[np.isfinite(row[order])]
-                out.append(pd.DataFrame({"src": ids_src[r], "dst": ids_dst[order], "dist": row[order]}))
-        if not out:
-            return pd.DataFrame({"src": [], "dst": [], "dist": []})
-        return pd.concat(out, ignore_index=True)
+            bound = np.partition(M, kk - 1, axis=1)[:, kk - 1:kk]
+            near = np.argsort(np.where(M <= bound, M, np.inf), axis=1, kind="stable")[:, :kk]
+            d = np.take_along_axis(M, near, 1)
+            fin = np.isfinite(d).ravel()
+            out.append((np.repeat(src, kk)[fin], dst[near].ravel()[fin], d.ravel()[fin]))
+        return pd.DataFrame({c: np.concatenate([o[i] for o in out]) for i, c in enumerate(("src", "dst", "dist"))})
     return run
 
 
@@ -72,83 +68,99 @@ def knn_graph(df: DataFrame, id_col: str, vec: str, k: int = 30, metric: str = "
 SIL_METRICS = ("euclidean", "l1", "chebyshev", "arccos")
 
 
-_SIL_SCHEMA = T.StructType([T.StructField("src", T.LongType()), T.StructField("src_c", T.LongType()),
-                            T.StructField("dst_c", T.LongType())]
-                           + [T.StructField(m, T.DoubleType()) for m in SIL_METRICS])
-
-
-def _sil_kernel(lt: pd.DataFrame, rt: pd.DataFrame, same: bool) -> pd.DataFrame:
-    """Per (row, other cluster) distance sums of one block pair, both directions (numpy)."""
-    XL, XR = np.vstack(lt["x"].to_numpy()), np.vstack(rt["x"].to_numpy())
-    cl, cr = lt["c"].to_numpy(), rt["c"].to_numpy()
-    nl = np.maximum(np.linalg.norm(XL, axis=1), 1e-8)
-    nr = np.maximum(np.linalg.norm(XR, axis=1), 1e-8)
-    mats = {"euclidean": np.empty((len(XL), len(XR))), "l1": np.empty((len(XL), len(XR))),
-            "chebyshev": np.empty((len(XL), len(XR))),
-            "arccos": np.arccos(np.clip((XL @ XR.T) / np.outer(nl, nr), -1.0, 1.0))}
-    for a in range(0, len(XL), 64):  # row chunks bound memory to 64 x rows x d
-        diff = np.abs(XL[a:a + 64, None, :] - XR[None, :, :])
-        mats["euclidean"][a:a + 64] = np.sqrt((diff * diff).sum(-1))
-        mats["l1"][a:a + 64] = diff.sum(-1)
-        mats["chebyshev"][a:a + 64] = diff.max(-1)
-    if same:
-        for m in mats.values():
-            np.fill_diagonal(m, 0.0)
-    out = []
-
-    def emit(ids, src_c, dst_labels, mats_dir, keep_cols=None):
-        for c in np.unique(dst_labels):
-            sel = dst_labels == c
-            if keep_cols is not None:
-                sel = sel & keep_cols
-            if not sel.any():
-                continue
-            frame = {"src": ids, "src_c": src_c, "dst_c": np.full(len(ids), c)}
-            for name, M in mats_dir.items():
-                frame[name] = M[:, sel].sum(axis=1)
-            out.append(pd.DataFrame(frame))
-    emit(lt["id"].to_numpy(), cl, cr, mats)
-    if not same:
-        emit(rt["id"].to_numpy(), cr, cl, {k: v.T for k, v in mats.items()})
-    if not out:
-        return pd.DataFrame({f.name: [] for f in _SIL_SCHEMA.fields})
-    return pd.concat(out, ignore_index=True)
-
-
-def silhouette(df: DataFrame, id_col: str, vec: str, cluster: str,
-               metrics=SIL_METRICS, block_rows: int = 1024) -> DataFrame:
-    """Mean silhouette per metric as rows (metric, silhouette).
-
-    Each block pair is reduced in numpy to summed distances per (row, other
-    cluster) - a partial aggregate of at most (rows x clusters) - and Spark
-    sums the partials; a = own-cluster sum / (n_own - 1), b = min over other
+def _sil_schema(labels: list[str]) -> str:
+    return "src long, labelling string, src_c long, dst_c long, " + ", ".join(f"{m} double" for m in SIL_METRICS)
+
+
+def _sil_kernel(labels: list[str]):
+    """Per (row, labelling, cluster) distance sums of one block pair, both directions: distance matrix times one-hot clusters."""
+
+    def run(lt: pd.DataFrame, rt: pd.DataFrame, same: bool) -> pd.DataFrame:
+        XL, XR = np.vstack(lt["x"].to_numpy()), np.vstack(rt["x"].to_numpy())
+        UL, UR = (X / np.maximum(np.linalg.norm(X, axis=1, keepdims=True), 1e-12) for X in (XL, XR))
+        mats = {m: np.empty((len(XL), len(XR))) for m in SIL_METRICS}
+        for a in range(0, len(XL), 64):  # row chunks bound memory to 64 x rows x d
+            diff = np.abs(XL[a:a + 64, None, :] - XR[None, :, :])
+            mats["euclidean"][a:a + 64] = np.sqrt((diff * diff).sum(-1))
+            mats["l1"][a:a + 64] = diff.sum(-1)
+            mats["chebyshev"][a:a + 64] = diff.max(-1)
+            chord = UL[a:a + 64, None, :] - UR[None, :, :]
+            mats["arccos"][a:a + 64] = np.sqrt((chord * chord).sum(-1))
+        if same:
+            for m in mats.values():
+                np.fill_diagonal(m, 0.0)
+        out = []
+        for ids, src, dst, flip in [(lt["id"].to_numpy(), lt, rt, False)] + ([] if same else [(rt["id"].to_numpy(), rt, lt, True)]):
+            for lab in labels:
+                cs, cd = src[lab].to_numpy(dtype=float), dst[lab].to_numpy(dtype=float)  # NaN: the row is not in this labelling
+                rows = ~np.isnan(cs)
+                keys, at = np.unique(cd[~np.isnan(cd)], return_inverse=True)
+                if not rows.any() or not len(keys):
+                    continue
+                onehot = np.zeros((len(cd), len(keys)))
+                onehot[np.flatnonzero(~np.isnan(cd)), at] = 1.0
+                frame = {"src": np.repeat(ids[rows], len(keys)), "labelling": lab, "src_c": np.repeat(cs[rows].astype(np.int64), len(keys)),
+                         "dst_c": np.tile(keys.astype(np.int64), int(rows.sum()))}
+                for m, M in mats.items():
+                    frame[m] = ((M.T if flip else M)[rows] @ onehot).ravel()
+                out.append(pd.DataFrame(frame))
+        if not out:
+            return pd.DataFrame({c.split()[0]: [] for c in _sil_schema(labels).split(", ")})
+        return pd.concat(out, ignore_index=True)
+
+    return run
+
+
+def silhouettes(df: DataFrame, id_col: str, vec: str, labels: dict[str, Column], block_rows: int = 1024) -> DataFrame:
+    """Mean silhouette as rows (labelling, metric, silhouette) for several labellings in one pass over the pairs.
+
+    ``labels`` maps a name to a column of cluster ids; a row whose id is null takes no part in that labelling.
+    Each block pair is reduced in numpy to summed distances per (row, cluster) and Spark sums the
+    partials; a = own-cluster sum / (n_own - 1), b = min over other
     clusters of the mean; s = (b - a) / max(a, b); a singleton scores 0.
-    Null when fewer than 2 or more than n - 1 clusters.
+    Null when fewer than 2 or more than n - 1 clusters.  ``arccos`` is Euclidean on normalised vectors.
+    """
+    names = list(labels)
+    base = df.select(F.col(id_col).alias("id"), F.col(vec).alias("x"), *[c.cast("long").alias(n) for n, c in labels.items()])
+    parts = block_apply(base, "id", ["x", *names], _sil_kernel(names), _sil_schema(names), block_rows)
+    sums = parts.groupBy("labelling", "src", "src_c", "dst_c").agg(*[F.sum(m).alias(m) for m in SIL_METRICS])
+    long = base.select("id", F.explode(F.array(*[F.struct(F.lit(n).alias("labelling"), F.col(n).alias("c")) for n in names])).alias("e"))
+    long = long.select(F.col("id").alias("src"), "e.*").where("c is not null")
+    sizes = long.groupBy("labelling", "c").agg(F.count(F.lit(1)).alias("nc"))
+    j = sums.join(sizes.withColumnRenamed("c", "dst_c"), ["labelling", "dst_c"])
+    own, oth = F.col("src_c") == F.col("dst_c"), F.col("src_c") != F.col("dst_c")
+    per = j.groupBy("labelling", "src").agg(
+        F.max(F.when(own, F.col("nc"))).alias("n_own"),
+        *[F.max(F.when(own & (F.col("nc") > 1), F.col(m) / F.greatest(F.col("nc") - 1, F.lit(1)))).alias(f"a_{m}") for m in SIL_METRICS],
+        *[F.min(F.when(oth, F.col(m) / F.col("nc"))).alias(f"b_{m}") for m in SIL_METRICS])
+    vals = []
+    for m in SIL_METRICS:
+        a, b = F.col(f"a_{m}"), F.col(f"b_{m}")
+        mx = F.greatest(a, b)
+        vals.append(F.when((F.col("n_own") <= 1) | a.isNull() | b.isNull() | (mx == 0), F.lit(0.0)).otherwise((b - a) / mx).alias(m))
+    mean = per.select("labelling", *vals).groupBy("labelling").agg(*[F.avg(m).alias(m) for m in SIL_METRICS])
+    counts = sizes.groupBy("labelling").agg(F.count(F.lit(1)).alias("k"), F.sum("nc").alias("n"))
+    tall = mean.join(counts, "labelling").select("labelling", "k", "n", F.explode(F.array(*[
+        F.struct(F.lit(m).alias("metric"), F.col(m).alias("silhouette")) for m in SIL_METRICS])).alias("r"))
+    return tall.select("labelling", "r.metric", F.when((F.col("k") >= 2) & (F.col("k") <= F.col("n") - 1), F.col("r.silhouette")).alias("silhouette"))
+
+
+def silhouette_sheet(pred: DataFrame, spaces: dict[str, DataFrame], id_col: str = "vec_id") -> DataFrame:
+    """K15 as named rows (metric, value): 4 metrics x spaces x the four labellings of the live evaluation.
+
+    ``pred``: (id, label, cluster) with cluster -1 for unclustered rows; ``spaces`` maps "" / "-fit" / "-og" to (id, embedding).  Scores that are
+    undefined, and ``_pred`` scores of a degenerate clustering, are left out.
     """
-    metrics = tuple(metrics)
-    base = df.select(F.col(id_col).alias("id"), F.col(vec).alias("x"), F.col(cluster).cast("long").alias("c"))
-    parts = block_apply(base, "id", ["x", "c"], _sil_kernel, _SIL_SCHEMA, block_rows)
-    sums = parts.groupBy("src", "src_c", "dst_c").agg(*[F.sum(m).alias(m) for m in metrics])
-    sizes = base.groupBy("c").agg(F.count(F.lit(1)).alias("nc"))
-    j = sums.join(sizes.withColumnRenamed("c", "dst_c"), "dst_c")
-    own = j.where(F.col("src_c") == F.col("dst_c"))
-    oth = j.where(F.col("src_c") != F.col("dst_c"))
-    a = own.select("src", *[(F.col(m) / (F.col("nc") - 1)).alias(f"a_{m}") for m in metrics])
-    b = oth.groupBy("src").agg(*[F.min(F.col(m) / F.col("nc")).alias(f"b_{m}") for m in metrics])
-    rows = base.select(F.col("id").alias("src"), "c").join(sizes, "c")
-    s = rows.join(a, "src", "left").join(b, "src", "left")
-    outs = []
-    for m in metrics:
-        am, bm = F.col(f"a_{m}"), F.col(f"b_{m}")
-        mx = F.greatest(am, bm)
-        val = F.when((F.col("nc") <= 1) | mx.isNull() | (mx == 0), F.lit(0.0)).otherwise((bm - am) / mx)
-        outs.append(val.alias(m))
-    per = s.select(*outs)
-    k = sizes.agg(F.count(F.lit(1))).scalar()
-    n = base.agg(F.count(F.lit(1))).scalar()
-    agg = per.agg(*[F.avg(m).alias(m) for m in metrics])
-    ok = (k >= 2) & (k <= n - 1)
-    tall = agg.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"),
-                                                   F.when(ok, F.col(m)).alias("silhouette"))
-                                          for m in metrics])).alias("r")).select("r.*")
-    return tall
+    on = F.col("cluster") >= 0
+    views = {"true": F.col("label"), "true_clus": F.when(on, F.col("label")), "pred": F.col("cluster"), "pred_clus": F.when(on, F.col("cluster"))}
+    guard = pred.agg(F.countDistinct(F.when(on, F.col("cluster"))).alias("kp"), F.countDistinct("cluster").alias("ka"), F.count(F.lit(1)).alias("n"), F.count_if(on).alias("nc"))
+    out = None
+    for suffix, space in spaces.items():
+        s = silhouettes(pred.select(id_col, "label", "cluster").join(space, id_col), id_col, "embedding", views)
+        s = s.withColumn("metric", F.concat(F.lit(f"silhouette{suffix}-"), "metric", F.lit("_"), "labelling"))
+        out = s if out is None else out.unionByName(s)
+    kp, ka, n, nc = (guard.select(c).scalar() for c in ("kp", "ka", "n", "nc"))
+    degenerate = (kp <= 1) | (ka >= n)
+    keep = F.when(F.col("labelling") == "true", True).when(F.col("labelling") == "true_clus", nc > 0) \
+        .when(F.col("labelling") == "pred", ~degenerate).otherwise(~degenerate & (nc > 0) & (kp < nc))
+    return out.where("silhouette is not null").where(keep).select("metric", F.col("silhouette").alias("value"))

@@ -17,8 +17,6 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_PAIR_PARTITIONS = 20000
-
 
 def n_blocks(n: int, block_rows: int) -> int:
     return max(1, math.ceil(n / max(1, block_rows)))
@@ -43,9 +41,7 @@ def block_pairs(df: DataFrame, id_col: str, cols: list[str], block_rows: int = 2
     base = df.select(F.col(id_col).alias("id"), *[F.col(c) for c in cols],
                      *([F.col(group).alias("_g")] if group else [])).withColumn(
         "_b", F.pmod(F.xxhash64("id"), F.lit(B)).cast("int"))
-    parts = min(B * (B + 1) // 2, MAX_PAIR_PARTITIONS)
-    if group:
-        parts = min(parts * 4, MAX_PAIR_PARTITIONS)
+    parts = B * (B + 1) // 2  # one task for each block pair, however many there are
     left = base.select(*[F.col(c).alias("l_" + c) for c in fields], *gk,
                        F.col("_b").alias("_k1"),
                        F.explode(F.sequence(F.col("_b"), F.lit(B - 1))).alias("_k2"))
@@ -72,7 +68,7 @@ def block_pairs(df: DataFrame, id_col: str, cols: list[str], block_rows: int = 2
 
 
 def block_apply(df: DataFrame, id_col: str, cols: list[str], fn, schema, block_rows: int = 256,
-                n: int | None = None) -> DataFrame:
+                n: int | None = None, group: str | None = None) -> DataFrame:
     """Run ``fn(left, right, same_block)`` on every block pair with numpy.
 
     Rows are replicated to their block pairs exactly as in ``block_pairs``;
@@ -85,18 +81,19 @@ def block_apply(df: DataFrame, id_col: str, cols: list[str], fn, schema, block_r
     if n is None:
         n = df.count()
     B = n_blocks(n, block_rows)
-    base = df.select(F.col(id_col).alias("id"), *[F.col(c) for c in cols]).withColumn(
+    gk = [group] if group else []
+    base = df.select(F.col(id_col).alias("id"), *gk, *[F.col(c) for c in cols]).withColumn(
         "_b", F.pmod(F.xxhash64("id"), F.lit(B)).cast("int"))
-    left = base.select("id", *cols, F.col("_b").alias("_k1"),
+    left = base.select("id", *gk, *cols, F.col("_b").alias("_k1"),
                        F.explode(F.sequence(F.col("_b"), F.lit(B - 1))).alias("_k2"),
                        F.lit(0).alias("_side"))
-    right = base.select("id", *cols, F.explode(F.sequence(F.lit(0), F.col("_b"))).alias("_k1"),
+    right = base.select("id", *gk, *cols, F.explode(F.sequence(F.lit(0), F.col("_b"))).alias("_k1"),
                         F.col("_b").alias("_k2"), F.lit(1).alias("_side"))
-    both = left.unionByName(right).repartition(min(B * (B + 1) // 2, MAX_PAIR_PARTITIONS), "_k1", "_k2")
+    both = left.unionByName(right).repartition(B * (B + 1) // 2, *gk, "_k1", "_k2")
 
     def run(pdf):
         same = bool(pdf["_k1"].iloc[0] == pdf["_k2"].iloc[0])
         lt = pdf[pdf["_side"] == 0].sort_values("id").reset_index(drop=True)
         rt = pdf[pdf["_side"] == 1].sort_values("id").reset_index(drop=True)
         return fn(lt, rt, same)
-    return both.groupBy("_k1", "_k2").applyInPandas(run, schema)
+    return both.groupBy(*gk, "_k1", "_k2").applyInPandas(run, schema)

@@ -34,7 +34,7 @@ def normalized(df: DataFrame, id_col: str, vec: str) -> DataFrame:
                      V.l2_normalize(vec).alias("u"))
 
 
-def _gram_partition(dim_hint: int | None = None):
+def _gram_partition():
     def fn(batches):
         acc = None
         for pdf in batches:

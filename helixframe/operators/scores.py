@@ -10,15 +10,16 @@ distances to centroids).
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.functions import vectors as V
 from helixframe.functions.mathx import log_factorial, xlogx
 from helixframe.operators.common import zip_rows
-from helixframe.operators.pairs import block_pairs
+from helixframe.operators.pairs import block_apply
+from helixframe.session import cut_lineage
 
 EPS64 = 2.220446049250313e-16
 
@@ -80,38 +81,35 @@ def _fms() -> F.Column:
     return F.when(tk != 0, F.sqrt(tk / pk) * F.sqrt(tk / qk)).otherwise(F.lit(0.0))
 
 
-def expected_mutual_information(cont: DataFrame, tail_sd: float | None = 12.0,
-                                exact_below: int = 2000) -> DataFrame:
+RANGE_CHUNK = 4096  # terms of the hypergeometric sum that one row is exploded to
+SIZE_BLOCK = 256
+
+
+def size_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(a, ma, b, mb): every pair of distinct cluster sizes, joined block by block."""
+    na, nb = (max(1, -(-d.count() // SIZE_BLOCK)) for d in (a, b))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).alias("_k" + c)
+    every = lambda c, n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).alias("_k" + c)
+    left = a.select("a", "ma", block("a", na), every("b", nb))
+    right = b.select("b", "mb", every("a", na), block("b", nb))
+    return left.join(right, ["_ka", "_kb"]).drop("_ka", "_kb")
+
+
+def expected_mutual_information(cont: DataFrame) -> DataFrame:
     """E[MI] under the hypergeometric model, grouped by distinct cluster sizes.
 
     Cells are (size a, size b) pairs with multiplicities; both size tables
-    have at most sqrt(2n) rows (distinct sizes sum to at most n), so the
-    broadcast side is bounded independent of the data volume.  For ranges
-    longer than ``exact_below`` the sum is limited to mean +- tail_sd standard
-    deviations of the hypergeometric (the omitted mass is below 1e-30).
+    have at most sqrt(2n) rows (distinct sizes sum to at most n).  The whole
+    range of every pair is summed, exploded in chunks of ``RANGE_CHUNK`` terms.
     """
-    a = cont.groupBy("label").agg(F.sum("n").alias("a"))
-    b = cont.groupBy("cluster").agg(F.sum("n").alias("b"))
-    # Distinct predicted sizes with multiplicities: at most sqrt(2n) pairs, so
-    # this bounded list (and the scalar N) may travel through the driver.
-    sb_rows = b.groupBy("b").agg(F.count(F.lit(1)).alias("mb")).collect()
-    n_total = sum(int(r["b"]) * int(r["mb"]) for r in sb_rows)
-    sb = F.array(*[F.struct(F.lit(int(r["b"])).cast("long").alias("b"), F.lit(int(r["mb"])).cast("long").alias("mb"))
-                   for r in sb_rows]) if sb_rows else F.array().cast("array<struct<b:bigint,mb:bigint>>")
-    pairs = (a.groupBy("a").agg(F.count(F.lit(1)).alias("ma"))
-             .select("a", "ma", F.lit(n_total).cast("long").alias("N"), F.explode(sb).alias("_s"))
-             .select("a", "ma", "N", "_s.b", "_s.mb"))
+    a = cont.groupBy("label").agg(F.sum("n").alias("a")).groupBy("a").agg(F.count(F.lit(1)).alias("ma"))
+    b = cont.groupBy("cluster").agg(F.sum("n").alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("mb"))
+    pairs = size_pairs(a, b).withColumn("N", cont.agg(F.sum("n").cast("bigint")).scalar())
     N = F.col("N")
     lo = F.greatest(F.lit(1).cast("bigint"), F.col("a") + F.col("b") - N)
     hi = F.least(F.col("a"), F.col("b"))
-    if tail_sd is not None:
-        mean = F.col("a").cast("double") * F.col("b") / N
-        var = (mean * (N - F.col("a")) / N * (N - F.col("b")) / F.greatest(N - 1, F.lit(1)))
-        half = F.ceil(F.lit(tail_sd) * F.sqrt(var)) + 1
-        wide = (hi - lo) > exact_below
-        lo = F.when(wide, F.greatest(lo, F.floor(mean - half).cast("bigint"))).otherwise(lo)
-        hi = F.when(wide, F.least(hi, F.ceil(mean + half).cast("bigint"))).otherwise(hi)
-    cells = pairs.select("a", "b", "ma", "mb", "N", F.explode(F.sequence(lo, hi)).alias("k"))
+    starts = pairs.select("a", "b", "ma", "mb", "N", hi.alias("hi"), F.explode(F.sequence(lo, hi, F.lit(RANGE_CHUNK).cast("bigint"))).alias("k0"))
+    cells = starts.select("a", "b", "ma", "mb", "N", F.explode(F.sequence(F.col("k0"), F.least(F.col("k0") + (RANGE_CHUNK - 1), F.col("hi")))).alias("k"))
     k, av, bv = F.col("k"), F.col("a"), F.col("b")
     Nd = N.cast("double")
     log_p = (log_factorial(av) + log_factorial(bv) + log_factorial(N - av) + log_factorial(N - bv)
@@ -119,18 +117,17 @@ def expected_mutual_information(cont: DataFrame, tail_sd: float | None = 12.0,
              - log_factorial(bv - k) - log_factorial(N - av - bv + k))
     term = (k.cast("double") / Nd * F.log(Nd * k / (av.cast("double") * bv)) * F.exp(log_p)
             * F.col("ma") * F.col("mb"))
-    return cells.agg(F.coalesce(F.sum(term), F.lit(0.0)).alias("emi"))
+    return cells.groupBy("a", "b").agg(F.sum(term).alias("t")).agg(F.coalesce(F.sum("t"), F.lit(0.0)).alias("emi"))
 
 
 def pair_scores(df: DataFrame, label: str = "label", cluster: str = "cluster",
                 with_ami: bool = True) -> DataFrame:
     """K7-K11 in one row: ami, ari, fms, homogeneity, completeness (+ stats).
 
-    The contingency table (at most k_true x k_pred rows) is kept in memory:
+    The contingency table (at most k_true x k_pred rows) is checkpointed:
     every score and the expectation read it several times.
     """
-    cont = contingency(df, label, cluster).persist()
-    cont.count()  # materialise once: the concurrent scalar subqueries below all read it
+    cont = cut_lineage(contingency(df, label, cluster))  # written once: the concurrent scalar subqueries below all read it
     return scores_from_contingency(cont, with_ami)
 
 
@@ -168,75 +165,6 @@ def cluster_ratios(pred: DataFrame, label: str = "label", cluster: str = "cluste
         (F.lit(1.0) - F.count_if(F.col(cluster) >= 0) / F.count(F.lit(1))).alias("ratio_unclustered"))
 
 
-def cluster_dim_sums(df: DataFrame, embedding: str, cluster: str) -> DataFrame:
-    """(cluster, dim, s, cnt): one partially aggregated pass over the vectors."""
-    return (df.select(F.col(cluster).alias("cluster"), F.posexplode(embedding).alias("dim", "x"))
-            .groupBy("cluster", "dim")
-            .agg(F.sum("x").alias("s"), F.count(F.lit(1)).alias("cnt")))
-
-
-def calinski_harabasz(df: DataFrame, embedding: str = "embedding",
-                      cluster: str = "cluster") -> DataFrame:
-    """K12 as one row ``chs`` (null when k <= 1 or k >= n: undefined).
-
-    extra = sum_k |S_k|^2 / n_k - |S|^2 / n ; intra = sum |x|^2 - sum_k |S_k|^2 / n_k.
-    """
-    sums = cluster_dim_sums(df, embedding, cluster)
-    per_k = sums.groupBy("cluster").agg(
-        (F.sum(F.col("s") * F.col("s")) / F.first("cnt")).alias("sk2_over_n"),
-        F.first("cnt").alias("nk"))
-    tot_dim = sums.groupBy("dim").agg(F.sum("s").alias("s"), F.sum("cnt").alias("cnt"))
-    tot = tot_dim.agg(F.sum(F.col("s") * F.col("s")).alias("s2"), F.first("cnt").alias("n"))
-    ks = per_k.agg(F.sum("sk2_over_n").alias("b_term"), F.count(F.lit(1)).alias("k"))
-    sq = df.agg(F.sum(V.sqnorm(embedding)).alias("xx"))
-    j = zip_rows(ks, tot, sq)
-    extra = F.col("b_term") - F.col("s2") / F.col("n")
-    intra = F.col("xx") - F.col("b_term")
-    k, n = F.col("k").cast("double"), F.col("n").cast("double")
-    chs = F.when((F.col("k") <= 1) | (F.col("k") >= F.col("n")), F.lit(None).cast("double")) \
-        .when(intra == 0, F.lit(1.0)).otherwise(extra * (n - k) / (intra * (k - 1)))
-    return j.select(chs.alias("chs"))
-
-
-def centroids(df: DataFrame, embedding: str = "embedding", cluster: str = "cluster") -> DataFrame:
-    """(cluster, n, centroid array<double>) from per-(cluster, dim) sums."""
-    sums = cluster_dim_sums(df, embedding, cluster)
-    return (sums.groupBy("cluster")
-            .agg(F.first("cnt").alias("n"),
-                 F.array_sort(F.collect_list(F.struct("dim", (F.col("s") / F.col("cnt")).alias("m"))))
-                 .alias("_c"))
-            .select("cluster", "n", F.col("_c.m").alias("centroid")))
-
-
-def davies_bouldin(df: DataFrame, embedding: str = "embedding", cluster: str = "cluster",
-                   block_rows: int = 512) -> DataFrame:
-    """K13 as one row ``dbs`` (null when k <= 1 or k >= n)."""
-    cents = centroids(df, embedding, cluster)
-    # Distance of every point to its own centroid; the centroid table has one
-    # row per cluster and AQE decides broadcast vs shuffle from its real size.
-    d = df.select(F.col(cluster).alias("cluster"), F.col(embedding).alias("x")).join(
-        cents, "cluster")
-    intra = d.groupBy("cluster").agg(F.avg(V.euclidean("x", "centroid")).alias("s"))
-    ci = cents.join(intra, "cluster").select(F.col("cluster").alias("id"), "centroid", "s")
-    pairs = block_pairs(ci, "id", ["centroid", "s"], block_rows=block_rows)
-    pd_ = pairs.select(F.col("l_id"), F.col("r_id"), (F.col("l_s") + F.col("r_s")).alias("ss"),
-                       V.euclidean("l_centroid", "r_centroid").alias("dist"))
-    ratio = F.when(F.col("dist") == 0, F.lit(0.0)).otherwise(F.col("ss") / F.col("dist"))
-    both = pd_.select(F.col("l_id").alias("id"), ratio.alias("r"), "dist").unionByName(
-        pd_.select(F.col("r_id").alias("id"), ratio.alias("r"), "dist"))
-    best = both.groupBy("id").agg(F.max("r").alias("r"), F.max(F.abs("dist")).alias("md"))
-    allk = ci.select("id", "s").join(best, "id", "left")
-    agg = allk.agg(F.avg(F.coalesce("r", F.lit(0.0))).alias("dbs_raw"),
-                   F.max(F.abs("s")).alias("max_s"), F.max("md").alias("max_d"),
-                   F.count(F.lit(1)).alias("k"))
-    n = df.agg(F.count(F.lit(1)).alias("n"))
-    j = zip_rows(agg, n)
-    dbs = F.when((F.col("k") <= 1) | (F.col("k") >= F.col("n")), F.lit(None).cast("double")) \
-        .when((F.col("max_s") <= 1e-8) | (F.coalesce(F.col("max_d"), F.lit(0.0)) <= 1e-8), F.lit(0.0)) \
-        .otherwise(F.col("dbs_raw"))
-    return j.select(dbs.alias("dbs"))
-
-
 def score_sheet(pred: DataFrame, spaces: dict[str, DataFrame] | None = None,
                 reduced_dim: int | None = None) -> DataFrame:
     """The live metric record as tall rows (metric, value).
@@ -254,8 +182,7 @@ def score_sheet(pred: DataFrame, spaces: dict[str, DataFrame] | None = None,
     guards = pred.agg(F.countDistinct("cluster").alias("k_all"),
                       F.count(F.lit(1)).alias("n_all"),
                       F.count_if(F.col("cluster") >= 0).alias("n_clus"))
-    cont = contingency(pred).persist()
-    cont.count()  # one small table feeds both the full and the clustered-only scores
+    cont = cut_lineage(contingency(pred))  # one small table feeds both the full and the clustered-only scores
     full = scores_from_contingency(cont).select(*[F.col(c).alias(c + "@full") for c in
                                                   ("ami", "ari", "fms", "completeness", "homogeneity")])
     clus = scores_from_contingency(cont.where("cluster >= 0")).select(
@@ -269,7 +196,7 @@ def score_sheet(pred: DataFrame, spaces: dict[str, DataFrame] | None = None,
             tags[id(space)] = tag
             base = base.join(space.select("vec_id", F.col("embedding").alias(tag)), "vec_id")
             cols[tag] = tag
-    base = base.persist()  # read by the geometry passes; spills to disk at scale
+    base = cut_lineage(base)  # read by the two geometry passes
     views = [("true", F.col("label"), None), ("pred", F.col("cluster"), None),
              ("pred_clus", F.col("cluster"), F.col("cluster") >= 0)]
     geo = geometry_scores(base, views, cols)
@@ -315,30 +242,63 @@ def score_sheet(pred: DataFrame, spaces: dict[str, DataFrame] | None = None,
     return tall.where("keep").drop("keep")
 
 
-def geometry_scores(df: DataFrame, views: list, spaces: dict[str, str],
-                    block_rows: int = 512) -> DataFrame:
+SALTS = 16  # tasks over which the points of one cluster are spread
+
+
+def _group_sums(groups: list[tuple[str, str, str, str | None]]):
+    """Per batch and (group, key): count, sum of squared norms and vector sum, one row per dimension (-1: the norms)."""
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for name, key, vec, keep in groups:
+                part = pdf if keep is None else pdf[pdf[keep].to_numpy(dtype=bool)]
+                part = part[part[key].notna()]
+                if not len(part):
+                    continue
+                keys, at = np.unique(part[key].to_numpy().astype(np.int64), return_inverse=True)
+                x = np.vstack(part[vec].to_numpy())
+                s = np.zeros((len(keys), x.shape[1] + 1))
+                np.add.at(s[:, 1:], at, x)
+                np.add.at(s[:, 0], at, (x * x).sum(1))
+                cnt = np.bincount(at, minlength=len(keys))
+                d = s.shape[1]
+                out.append(pd.DataFrame({"g": name, "key": np.repeat(keys, d), "dim": np.tile(np.arange(-1, d - 1), len(keys)),
+                                         "s": s.ravel(), "cnt": np.repeat(cnt, d)}))
+            if out:
+                yield pd.concat(out, ignore_index=True)
+    return run
+
+
+def _db_kernel(lt: pd.DataFrame, rt: pd.DataFrame, same: bool) -> pd.DataFrame:
+    """Largest (s_i + s_j) / d_ij and largest d_ij of every cluster within one block pair."""
+    xl, xr = np.vstack(lt["centroid"].to_numpy()), np.vstack(rt["centroid"].to_numpy())
+    d = np.empty((len(xl), len(xr)))
+    for a in range(0, len(xl), 64):
+        diff = xl[a:a + 64, None, :] - xr[None, :, :]
+        d[a:a + 64] = np.sqrt((diff * diff).sum(-1))
+    r = np.divide(lt["s"].to_numpy()[:, None] + rt["s"].to_numpy()[None, :], d, out=np.zeros_like(d), where=d != 0)
+    if same:
+        np.fill_diagonal(r, -1.0)
+        np.fill_diagonal(d, -1.0)
+    sides = [(lt, r.max(1), d.max(1))] + ([] if same else [(rt, r.max(0), d.max(0))])
+    out = pd.concat([pd.DataFrame({"g": t["g"].to_numpy(), "key": t["id"].to_numpy(), "r": rr, "md": dd}) for t, rr, dd in sides], ignore_index=True)
+    return out[out["r"] >= 0]
+
+
+def geometry_scores(df: DataFrame, views: list, spaces: dict[str, str], block_rows: int = 512) -> DataFrame:
     """K12 + K13 for several labellings and vector spaces in shared passes.
 
-    ``views`` are (name, key column, row filter or None); ``spaces`` maps a
-    space name to a vector column of ``df``.  Every (space, labelling) is a
-    group ``g``; all groups share one scan, one per-(g, key, dim) aggregate
-    (with the squared norm riding along as dim -1), one pass for distances to
-    centroids and one grouped blocked pair pass over the centroids.
+    ``views`` are (name, key column, row filter or None); ``spaces`` maps a space name to a vector column of
+    ``df`` (with an id column ``vec_id``).  Every (space, labelling) is a group ``g``.  One pass sums the vectors per batch in numpy and emits
+    k x d partial rows; a second one joins points to their centroid, the points of a cluster being spread over ``SALTS``
+    keys; centroid pairs run in block kernels that return one maximum per cluster.
     Output: (space, labelling, chs, dbs) - null where k <= 1 or k >= n.
     """
-    items = []
-    for sp, vcol in spaces.items():
-        for name, key, flt in views:
-            it = F.struct(F.lit(f"{sp}|{name}").alias("g"), key.cast("long").alias("key"),
-                          F.col(vcol).alias("x"))
-            items.append(F.when(flt, it) if flt is not None else it)
-    ex = df.select(F.explode(F.filter(F.array(*items), lambda s: s.isNotNull())).alias("e")).select("e.*")
-    cells = ex.select("g", "key", F.explode(F.concat(
-        F.transform("x", lambda v, i: F.struct(i.alias("dim"), v.alias("v"))),
-        F.array(F.struct(F.lit(-1).alias("dim"), V.sqnorm("x").alias("v"))))).alias("c"))
-    sums = cells.groupBy("g", "key", F.col("c.dim").alias("dim")).agg(
-        F.sum("c.v").alias("s"), F.count(F.lit(1)).alias("cnt")).persist()  # groups x k x d rows
-    sums.count()  # materialised once for the CH, centroid and DB branches
+    named = df.select("vec_id", *spaces.values(), *[k.cast("long").alias(f"_key{i}") for i, (_, k, _) in enumerate(views)],
+                      *[f.alias(f"_keep{i}") for i, (_, _, f) in enumerate(views) if f is not None])
+    groups = [(f"{sp}|{name}", f"_key{i}", col, None if f is None else f"_keep{i}") for sp, col in spaces.items() for i, (name, _, f) in enumerate(views)]
+    sums = named.mapInPandas(_group_sums(groups), "g string, key long, dim int, s double, cnt long")
+    sums = cut_lineage(sums.groupBy("g", "key", "dim").agg(F.sum("s").alias("s"), F.sum("cnt").alias("cnt")))  # groups x k x d rows, read by three branches
     # Calinski-Harabasz from the sums alone.
     perk = sums.groupBy("g", "key").agg(
         F.sum(F.when(F.col("dim") >= 0, F.col("s") * F.col("s"))).alias("sk2"),
@@ -356,24 +316,21 @@ def geometry_scores(df: DataFrame, views: list, spaces: dict[str, str],
     chs = (F.when((F.col("k") <= 1) | (F.col("k") >= F.col("n")), F.lit(None).cast("double"))
            .when(intra == 0, F.lit(1.0)).otherwise(extra * (nd - kd) / (intra * (kd - 1))))
     ch = ch.select("g", "k", "n", chs.alias("chs"))
-    # Davies-Bouldin: centroids, mean distance to own centroid, grouped centroid pairs.
+    # Davies-Bouldin: centroids, mean distance to own centroid, centroid pairs.
     cents = (sums.where(F.col("dim") >= 0).groupBy("g", "key")
              .agg(F.array_sort(F.collect_list(F.struct("dim", (F.col("s") / F.col("cnt")).alias("m"))))
                   .alias("_c"))
              .select("g", "key", F.col("_c.m").alias("centroid")))
-    intra_d = (ex.join(cents, ["g", "key"]).groupBy("g", "key")
-               .agg(F.avg(V.euclidean("x", "centroid")).alias("s")))
-    ci = cents.join(intra_d, ["g", "key"])
-    max_k = max(1, ch.agg(F.max("k")).first()[0] or 1)
-    pairs = block_pairs(ci, "key", ["centroid", "s"], block_rows=block_rows, n=max_k, group="g")
-    pd_ = pairs.select("_g", "l_id", "r_id", (F.col("l_s") + F.col("r_s")).alias("ss"),
-                       V.euclidean("l_centroid", "r_centroid").alias("dist"))
-    ratio = F.when(F.col("dist") == 0, F.lit(0.0)).otherwise(F.col("ss") / F.col("dist"))
-    both = pd_.select(F.explode(F.array(
-        F.struct(F.col("_g").alias("g"), F.col("l_id").alias("key"), ratio.alias("r"), F.col("dist")),
-        F.struct(F.col("_g").alias("g"), F.col("r_id").alias("key"), ratio.alias("r"), F.col("dist"))))
-        .alias("e")).select("e.*")
-    best = both.groupBy("g", "key").agg(F.max("r").alias("r"), F.max(F.abs("dist")).alias("md"))
+    items = [F.when(F.col(key).isNotNull() & (F.lit(True) if keep is None else F.col(keep)), F.struct(F.lit(g).alias("g"), F.col(key).alias("key"), F.col(vec).alias("x")))
+             for g, key, vec, keep in groups]
+    points = named.select(F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)).alias("salt"), F.explode(F.filter(F.array(*items), lambda s: s.isNotNull())).alias("e")).select("salt", "e.*")
+    salted = cents.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt"))
+    dist = points.join(salted, ["g", "key", "salt"]).groupBy("g", "key", "salt").agg(F.sum(V.euclidean("x", "centroid")).alias("t"), F.count(F.lit(1)).alias("c"))
+    intra_d = dist.groupBy("g", "key").agg((F.sum("t") / F.sum("c")).alias("s"))
+    ci = cut_lineage(cents.join(intra_d, ["g", "key"]))
+    max_k = max(1, ci.groupBy("g").count().agg(F.max("count")).first()[0] or 1)
+    best = block_apply(ci, "key", ["centroid", "s"], _db_kernel, "g string, key long, r double, md double", block_rows, n=max_k, group="g")
+    best = best.groupBy("g", "key").agg(F.max("r").alias("r"), F.max("md").alias("md"))
     db = (ci.select("g", "key", "s").join(best, ["g", "key"], "left").groupBy("g")
           .agg(F.avg(F.coalesce("r", F.lit(0.0))).alias("dbs_raw"), F.max(F.abs("s")).alias("max_s"),
                F.max("md").alias("max_d")))

@@ -89,16 +89,15 @@ def stack_partitions(parts: dict[str, DataFrame]) -> DataFrame:
 
 
 def fuse_modalities(a: DataFrame, b: DataFrame, key: str = "vec_id") -> DataFrame:
-    """Feature-wise concat per sample; labels must agree (else the job fails)."""
-    j = a.alias("a").join(b.alias("b"), key)
+    """Feature-wise concat per sample; a sample in one modality only, or with two labels, fails the job.
+
+    The checks sit inside the output columns, so the optimiser cannot drop them."""
+    la, lb = F.col("a.label"), F.col("b.label")
+    ea, eb = F.col("a.embedding"), F.col("b.embedding")
+    j = a.withColumn("_in", F.lit(True)).alias("a").join(b.withColumn("_in", F.lit(True)).alias("b"), key, "full_outer")
+    both = F.col("a._in") & F.col("b._in")
+    missing = F.raise_error(F.lit("modalities differ in their samples"))
     return j.select(
-        key,
-        F.concat(F.col("a.embedding"), F.col("b.embedding")).alias("embedding"),
-        F.col("a.label").alias("label"),
-        F.assert_true(F.col("a.label").eqNullSafe(F.col("b.label")),
-                      F.lit("modalities disagree on a label")).alias("_chk")).drop("_chk")
-
-
-def modality_mismatch(a: DataFrame, b: DataFrame, key: str = "vec_id") -> DataFrame:
-    """Samples present in only one modality (length-mismatch check as an anti join)."""
-    return a.join(b, key, "left_anti").select(key).unionByName(b.join(a, key, "left_anti").select(key))
+        F.when(both, F.col(key)).otherwise(missing).alias(key),
+        F.when(both, F.concat(ea, eb)).otherwise(missing).alias("embedding"),
+        F.when(both & la.eqNullSafe(lb), la).otherwise(F.raise_error(F.lit("modalities disagree on a label or a sample"))).alias("label"))

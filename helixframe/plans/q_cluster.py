@@ -27,42 +27,41 @@ def k3_knn_graph(spark, sf):
     return g.select("src", "dst", "rank", r6("dist").alias("dist"))
 
 
-def _sil_sql(label_expr: str, name: str) -> str:
-    x = "list_transform(a.embedding, lambda v, i: abs(v - b.embedding[i]))"
-    cos = ("list_dot_product(a.embedding, b.embedding) / (greatest(sqrt(list_dot_product(a.embedding, a.embedding)), 1e-8)"
-           " * greatest(sqrt(list_dot_product(b.embedding, b.embedding)), 1e-8))")
-    return f"""
-    WITH e AS (SELECT vec_id, embedding, {label_expr} AS c FROM ({EMB17})),
-    sz AS (SELECT c, count(*) AS nc FROM e GROUP BY c),
-    d AS (SELECT a.vec_id AS src, a.c AS src_c, b.c AS dst_c,
-                 sqrt({sqdist_sql('a.embedding', 'b.embedding')}) AS euclidean, list_sum({x}) AS l1,
-                 list_max({x}) AS chebyshev, acos(least(greatest({cos}, -1.0), 1.0)) AS arccos
-          FROM e a JOIN e b ON a.vec_id <> b.vec_id),
-    s AS (SELECT src, src_c, dst_c, sum(euclidean) AS euclidean, sum(l1) AS l1, sum(chebyshev) AS chebyshev,
-                 sum(arccos) AS arccos FROM d GROUP BY ALL),
-    m AS (SELECT s.*, sz.nc FROM s JOIN sz ON sz.c = s.dst_c),
-    ab AS (SELECT e.vec_id, own.nc AS n_own,
-             max(CASE WHEN m.src_c = m.dst_c THEN m.euclidean / (m.nc - 1) END) AS a_euclidean,
-             min(CASE WHEN m.src_c <> m.dst_c THEN m.euclidean / m.nc END) AS b_euclidean,
-             max(CASE WHEN m.src_c = m.dst_c THEN m.l1 / (m.nc - 1) END) AS a_l1,
-             min(CASE WHEN m.src_c <> m.dst_c THEN m.l1 / m.nc END) AS b_l1,
-             max(CASE WHEN m.src_c = m.dst_c THEN m.chebyshev / (m.nc - 1) END) AS a_chebyshev,
-             min(CASE WHEN m.src_c <> m.dst_c THEN m.chebyshev / m.nc END) AS b_chebyshev,
-             max(CASE WHEN m.src_c = m.dst_c THEN m.arccos / (m.nc - 1) END) AS a_arccos,
-             min(CASE WHEN m.src_c <> m.dst_c THEN m.arccos / m.nc END) AS b_arccos
-           FROM e JOIN sz own ON own.c = e.c LEFT JOIN m ON m.src = e.vec_id GROUP BY e.vec_id, own.nc),
-    sv AS (SELECT {", ".join(f"CASE WHEN n_own <= 1 OR greatest(a_{m}, b_{m}) IS NULL OR greatest(a_{m}, b_{m}) = 0 THEN 0.0 ELSE (b_{m} - a_{m}) / greatest(a_{m}, b_{m}) END AS {m}" for m in G.SIL_METRICS)} FROM ab)
-    {" UNION ALL ".join(f"SELECT '{name}' AS labelling, '{m}' AS metric, round(avg({m}), 6) + 0.0 AS silhouette FROM sv" for m in G.SIL_METRICS)}"""
-
-
-@query("k15_silhouette", f"SELECT * FROM ({_sil_sql('label', 'true')}) UNION ALL SELECT * FROM ({_sil_sql(PRED_EXPR, 'pred')})")
+SPACES = {"": 50, "-fit": 32, "-og": 64}  # leading dimensions: three different spaces that SQL can build too
+_LABELS = {"true": ("label", "TRUE"), "true_clus": ("label", "cluster >= 0"), "pred": ("cluster", "TRUE"), "pred_clus": ("cluster", "cluster >= 0")}
+
+
+def _sil_sql() -> str:
+    x = "list_transform(a.v, lambda t, i: abs(t - b.v[i]))"
+    parts, rows = [f"e AS (SELECT vec_id, label, {PRED_EXPR} AS cluster, embedding FROM ({EMB17}))",
+                   """g AS (SELECT count(DISTINCT CASE WHEN cluster >= 0 THEN cluster END) AS kp, count(DISTINCT cluster) AS ka, count(*) AS n,
+                      count(*) FILTER (WHERE cluster >= 0) AS nc FROM e)"""], []
+    for j, (suffix, dims) in enumerate(SPACES.items()):
+        parts.append(f"""v{j} AS (SELECT vec_id, label, cluster, embedding[1:{dims}] AS v,
+            list_transform(embedding[1:{dims}], lambda t: t / greatest(sqrt(list_dot_product(embedding[1:{dims}], embedding[1:{dims}])), 1e-12)) AS u FROM e)""")
+        parts.append(f"""d{j} AS (SELECT a.vec_id AS src, a.label AS la, b.label AS lb, a.cluster AS ca, b.cluster AS cb,
+            sqrt({sqdist_sql('a.v', 'b.v')}) AS euclidean, list_sum({x}) AS l1, list_max({x}) AS chebyshev, sqrt({sqdist_sql('a.u', 'b.u')}) AS arccos
+            FROM v{j} a JOIN v{j} b ON a.vec_id <> b.vec_id)""")
+        for name, (col, cond) in _LABELS.items():
+            t, c1, c2 = f"{j}_{name}", "la" if col == "label" else "ca", "lb" if col == "label" else "cb"
+            both = "TRUE" if cond == "TRUE" else "ca >= 0 AND cb >= 0"
+            sums = ", ".join(f"sum({m}) AS {m}" for m in G.SIL_METRICS)
+            parts.append(f"z{t} AS (SELECT {col} AS c, count(*) AS nc FROM e WHERE {cond} GROUP BY {col})")
+            parts.append(f"s{t} AS (SELECT src, {c1} AS sc, {c2} AS dc, {sums} FROM d{j} WHERE {both} GROUP BY src, {c1}, {c2})")
+            ab = ", ".join(f"max(CASE WHEN s.sc = s.dc THEN s.{m} / greatest(z.nc - 1, 1) END) AS a_{m}, min(CASE WHEN s.sc <> s.dc THEN s.{m} / z.nc END) AS b_{m}" for m in G.SIL_METRICS)
+            parts.append(f"p{t} AS (SELECT s.src, {ab} FROM s{t} s JOIN z{t} z ON z.c = s.dc GROUP BY s.src)")
+            keep = {"true": "TRUE", "true_clus": "nc > 0", "pred": "kp > 1 AND ka < n", "pred_clus": "kp > 1 AND ka < n AND nc > 0 AND kp < nc"}[name]
+            for m in G.SIL_METRICS:
+                val = f"CASE WHEN a_{m} IS NULL OR b_{m} IS NULL OR greatest(a_{m}, b_{m}) = 0 THEN 0.0 ELSE (b_{m} - a_{m}) / greatest(a_{m}, b_{m}) END"
+                rows.append(f"SELECT 'silhouette{suffix}-{m}_{name}' AS metric, round(avg({val}), 6) + 0.0 AS value FROM p{t} WHERE (SELECT {keep} FROM g)")
+    return f"WITH {', '.join(parts)} SELECT * FROM ({' UNION ALL '.join(rows)}) WHERE value IS NOT NULL"
+
+
+@query("k15_silhouette", _sil_sql())
 def k15_silhouette(spark, sf):
     e = FX.predictions(spark, sf, FX.clustered_embeddings(spark, sf))
-    t = G.silhouette(e, "vec_id", "embedding", "label").select(F.lit("true").alias("labelling"), "metric",
-                                                               r6("silhouette").alias("silhouette"))
-    p = G.silhouette(e, "vec_id", "embedding", "cluster").select(F.lit("pred").alias("labelling"), "metric",
-                                                                 r6("silhouette").alias("silhouette"))
-    return t.unionByName(p)
+    spaces = {s: e.select("vec_id", F.slice("embedding", 1, d).alias("embedding")) for s, d in SPACES.items()}
+    return G.silhouette_sheet(e, spaces).select("metric", r6("value").alias("value"))
 
 
 # ------------------------------------------------ pyspark.ml based (rows only)

@@ -155,7 +155,7 @@ def _geometry_sql(fn) -> str:
     return " UNION ALL ".join(parts)
 
 
-def _geometry(spark, sf, op, metric):
+def _geometry(spark, sf, metric):
     """All three labellings in the shared single-pass geometry operator."""
     p = _pred(spark, sf, structured=True)
     views = [("true", F.col("label"), None), ("pred", F.col("cluster"), None),
@@ -166,12 +166,16 @@ def _geometry(spark, sf, op, metric):
 
 @query("k12_calinski_harabasz", _geometry_sql(ch_sql))
 def k12(spark, sf):
-    return _geometry(spark, sf, S.calinski_harabasz, "chs")
+    return _geometry(spark, sf, "chs")
 
 
 @query("k13_davies_bouldin", _geometry_sql(db_sql))
 def k13(spark, sf):
-    return _geometry(spark, sf, S.davies_bouldin, "dbs")
+    return _geometry(spark, sf, "dbs")
+
+
+# Three different spaces that SQL can build too: the leading dimensions of the vectors, by name suffix.
+SPACES = {"": 50, "-fit": 32, "-og": 64}
 
 
 def score_sheet_sql() -> str:
@@ -179,10 +183,11 @@ def score_sheet_sql() -> str:
     clus = contingency_scores_sql(_pred_sql(clustered_only=True, structured=True))
     geo = {}
     for name, col, only in _LABELLINGS:
-        src = (f"SELECT vec_id, embedding, {col} AS cluster FROM "
-               f"({_pred_sql(clustered_only=only, structured=True)})")
-        geo[("CHS", name)] = f"(SELECT chs FROM ({ch_sql(src)}))"
-        geo[("DBS", name)] = f"(SELECT dbs FROM ({db_sql(src)}))"
+        for suffix, dims in SPACES.items():
+            src = (f"SELECT vec_id, embedding[1:{dims}] AS embedding, {col} AS cluster FROM "
+                   f"({_pred_sql(clustered_only=only, structured=True)})")
+            geo[("CHS", suffix, name)] = f"(SELECT chs FROM ({ch_sql(src)}))"
+            geo[("DBS", suffix, name)] = f"(SELECT dbs FROM ({db_sql(src)}))"
     base = f"SELECT * FROM ({_pred_sql(structured=True)})"
     g = f"""(SELECT count(DISTINCT CASE WHEN cluster >= 0 THEN cluster END) AS kp,
                     count(DISTINCT cluster) AS k_all, count(*) AS n_all,
@@ -190,7 +195,7 @@ def score_sheet_sql() -> str:
     rows = [
         ("n_samples", f"(SELECT count(*) FROM ({base}))", "TRUE"),
         ("encoding_dim", f"(SELECT max(len(embedding)) FROM ({base}))", "TRUE"),
-        ("reduced_dim", f"(SELECT max(len(embedding)) FROM ({base}))", "TRUE"),
+        ("reduced_dim", str(SPACES[""]), "TRUE"),
         ("num_cluster_true", f"(SELECT count(DISTINCT label) FROM ({base}))", "TRUE"),
         ("num_cluster_pred", "(SELECT kp FROM g)", "TRUE"),
         ("ratio_clustered", "(SELECT n_clus / n_all::DOUBLE FROM g)", "TRUE"),
@@ -200,20 +205,20 @@ def score_sheet_sql() -> str:
                   ("homogeneity", "homogeneity")):
         rows.append((nm, f"(SELECT {c} FROM full_s)", "TRUE"))
     for m in ("CHS", "DBS"):
-        for suffix in ("", "-fit", "-og"):
-            rows.append((f"{m}{suffix}_true", geo[(m, "true")], "TRUE"))
+        for suffix in SPACES:
+            rows.append((f"{m}{suffix}_true", geo[(m, suffix, "true")], "TRUE"))
     gp = "(SELECT kp > 1 AND k_all < n_all FROM g)"
     for m in ("CHS", "DBS"):
-        for suffix in ("", "-fit", "-og"):
-            rows.append((f"{m}{suffix}_pred", geo[(m, "pred")], gp))
+        for suffix in SPACES:
+            rows.append((f"{m}{suffix}_pred", geo[(m, suffix, "pred")], gp))
     gc = "(SELECT n_clus > 0 FROM g)"
     for nm, c in (("AMI", "ami"), ("ARI", "ari"), ("FMS", "fms"), ("completeness", "completeness"),
                   ("homogeneity", "homogeneity")):
         rows.append((f"{nm}_clus", f"(SELECT {c} FROM clus_s)", gc))
     gcg = "(SELECT n_clus > 0 AND kp > 1 AND kp < n_clus FROM g)"
     for m in ("CHS", "DBS"):
-        for suffix in ("", "-fit", "-og"):
-            rows.append((f"{m}{suffix}_pred_clus", geo[(m, "pred_clus")], gcg))
+        for suffix in SPACES:
+            rows.append((f"{m}{suffix}_pred_clus", geo[(m, suffix, "pred_clus")], gcg))
     body = " UNION ALL ".join(
         f"SELECT '{n}' AS metric, round(({v})::DOUBLE, 6) + 0.0 AS value, {k} AS keep" for n, v, k in rows)
     return (f"WITH g AS {g}, full_s AS ({full}), clus_s AS ({clus}) "
@@ -224,6 +229,6 @@ def score_sheet_sql() -> str:
 def k14_score_sheet(spark, sf):
     base = FX.clustered_embeddings(spark, sf)
     pred = FX.predictions(spark, sf, base)
-    space = base.select("vec_id", "embedding")
-    sheet = S.score_sheet(pred, {"": space, "-fit": space, "-og": space})
+    spaces = {suffix: base.select("vec_id", F.slice("embedding", 1, dims).alias("embedding")) for suffix, dims in SPACES.items()}
+    sheet = S.score_sheet(pred, spaces, reduced_dim=SPACES[""])
     return sheet.select("metric", r6("value").alias("value"))

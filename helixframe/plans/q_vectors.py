@@ -136,7 +136,7 @@ SELECT idx,
   {_d("1 - list_dot_product(z1, z2) / (sqrt(list_dot_product(z1, z1)) * sqrt(list_dot_product(z2, z2)))")} AS cosine,
   {_d("list_sum(list_transform(z1, lambda v, i: abs(v - z2[i]))) / list_sum(list_transform(z1, lambda v, i: abs(v + z2[i])))")} AS braycurtis,
   {_d("list_sum(list_transform(z1, lambda v, i: CASE WHEN abs(v) + abs(z2[i]) = 0 THEN 0.0 ELSE abs(v - z2[i]) / (abs(v) + abs(z2[i])) END))")} AS canberra,
-  {_d("acos(least(greatest(" + cos_sql('z1', 'z2') + ", -1.0), 1.0))")} AS arccos,
+  {_d("sqrt(list_sum(list_transform(z1, lambda v, i: pow(v / greatest(sqrt(list_dot_product(z1, z1)), 1e-12) - z2[i] / greatest(sqrt(list_dot_product(z2, z2)), 1e-12), 2))))")} AS arccos,
   {_d("sqrt(list_sum(list_transform(z1, lambda v, i: (v - z2[i]) * (v - z2[i]) / var[i])))")} AS seuclidean
 FROM p, vv""")
 def e11_distances(spark, sf):

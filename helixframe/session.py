@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import SparkSession
 
 # Settings every job relies on; cluster deployments may override any of them.
@@ -40,26 +37,16 @@ def get_spark(master: str | None = None, app: str = "helixframe",
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
-
-    The cluster names the folder; it is only invented here when the session
-    runs in local mode and nothing is configured (tests, laptops).  On a
-    cluster an unset folder is an error: a machine-local temp folder would
-    not survive the loss of an executor.
-    """
+    """The shared checkpoint folder: ``spark.checkpoint.dir``, else the one the context has, else a folder
+    below ``spark.sql.warehouse.dir`` (which executors share as well)."""
     sc = spark.sparkContext
-    d = sc.getConf().get("spark.checkpoint.dir", None)
+    d = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    held = sc._jsc.sc().getCheckpointDir()
+    if not d and held.isDefined():
+        d = held.get()
     if not d:
-        try:
-            d = spark.conf.get("spark.checkpoint.dir")
-        except Exception:  # noqa: BLE001 - key absent
-            d = None
-    if not d:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        d = tempfile.mkdtemp(prefix="helix-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        d = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
+    if held.isEmpty():
         sc.setCheckpointDir(d)
     return d
 
@@ -75,10 +62,3 @@ def cut_lineage(df):
     out = df.checkpoint(eager=True)
     df.unpersist()
     return out
-
-
-def env_int(name: str, default: int) -> int:
-    try:
-        return int(os.environ.get(name, default))
-    except ValueError:
-        return default

@@ -9,10 +9,11 @@ SF_SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from helixframe.session import get_spark
-    # the checkpoint folder is read from the session configuration; when it is
-    # unset, checkpoint_dir() creates a temporary one for this local session
-    s = get_spark("local[4]", app="helixframe-tests", shuffle_partitions=8)
+    # tests set the folders that a cluster names itself
+    tmp = tmp_path_factory.mktemp("spark")
+    s = get_spark("local[4]", app="helixframe-tests", shuffle_partitions=8,
+                  extra={"spark.checkpoint.dir": str(tmp / "checkpoints"), "spark.sql.warehouse.dir": str(tmp / "warehouse")})
     yield s
     s.stop()

@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from helixframe.operators import scores as S
 
@@ -80,7 +81,7 @@ def test_calinski_harabasz_matches_numpy(spark):
     y = rng.integers(0, 3, 40)
     df = spark.createDataFrame([(i, X[i].tolist(), int(y[i])) for i in range(40)],
                                "vec_id long, embedding array<double>, cluster long")
-    got = S.calinski_harabasz(df).collect()[0]["chs"]
+    got = S.geometry_scores(df, [("pred", F.col("cluster"), None)], {"og": "embedding"}).collect()[0]["chs"]
     mean = X.mean(0)
     extra = sum((y == k).sum() * np.sum((X[y == k].mean(0) - mean) ** 2) for k in range(3))
     intra = sum(np.sum((X[y == k] - X[y == k].mean(0)) ** 2) for k in range(3))

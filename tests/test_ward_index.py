@@ -34,15 +34,21 @@ def same_partition(a, b):
     return all(m.setdefault(x, y) == y for x, y in zip(a, b)) and len(set(a)) == len(set(b))
 
 
-@pytest.mark.parametrize("local_finish", [2048, 12])
-def test_ward_equals_greedy(spark, local_finish):
+def _cut(spark, X, k, **kw):
+    df = spark.createDataFrame([(i, X[i].tolist()) for i in range(len(X))], "vec_id long, embedding array<double>")
+    return [r["cluster"] for r in ward(df, "vec_id", "embedding", k, **kw).orderBy("vec_id").collect()]
+
+
+@pytest.mark.parametrize("case", ["plain", "shifted", "ties"])
+def test_ward_equals_greedy(spark, case):
     rng = np.random.default_rng(0)
     X = np.vstack([rng.normal(loc=c, size=(8, 4)) for c in range(4)])
-    df = spark.createDataFrame([(i, X[i].tolist()) for i in range(len(X))], "vec_id long, embedding array<double>")
-    for k in (2, 4, 9):
-        got = [r["cluster"] for r in ward(df, "vec_id", "embedding", k, block_rows=8,
-                                          local_finish=local_finish).orderBy("vec_id").collect()]
-        assert same_partition(list(greedy_ward(X, k)), got)
+    if case == "shifted":
+        X = X + 1e7
+    if case == "ties":  # duplicates: every height below the cut is 0 or apart from the others
+        X = np.repeat(X[::4], 3, axis=0)
+    for k in (2, 4):
+        assert same_partition(list(greedy_ward(X, k)), _cut(spark, X, k, block_rows=8))
 
 
 @pytest.mark.parametrize("parts", [1, 3, 17])
