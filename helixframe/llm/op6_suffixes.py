@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from helixframe.llm.common import spread, staged, text_of
 
-LENGTH, BLOCK, CHUNK, HOT = 100, 24, 1 << 22, 256
+LENGTH, BLOCK, CHUNK, HOT = 100, 24, 1 << 20, 256
 _LAST = (1 << 63) - 1
 
 
