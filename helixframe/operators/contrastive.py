@@ -9,12 +9,15 @@ windows cannot be skewed.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions import vectors as V
 
 
+BLOCKS = ("A", "H", "B", "D")
+
+
 def with_neighbours(batches: DataFrame, lam: float) -> DataFrame:
     """Adds N, the mixed negatives n = lam z2 + (1-lam) z2_next and anchors a = lam z1 + (1-lam) z1_next."""
     w = Window.partitionBy("batch").orderBy("pos")
@@ -28,40 +31,50 @@ def with_neighbours(batches: DataFrame, lam: float) -> DataFrame:
                     V.mix("z1", "_z1n", lam).alias("amix"))
 
 
+def unit(x) -> Column:
+    """The vector over its norm (1e-8 at least), so that a dot product of two units is their cosine."""
+    return V.l2_normalize(x, 1e-8)
+
+
+def positive_logits(batches: DataFrame, temp: float = 0.05, pos_m: float = 0.0) -> DataFrame:
+    """(batch, i, logit): the diagonal of block A, row by row without forming pairs."""
+    return batches.select("batch", F.col("pos").alias("i"), (V.cosine("z1", "z2") / F.lit(temp) - F.lit(pos_m / temp)).alias("logit"))
+
+
 def logits(batches: DataFrame, temp: float = 0.05, lam: float = 0.2, pos_m: float = 0.0,
-           hard_negative_weight: float = 0.0, num_sent: int = 2) -> DataFrame:
-    """Tall logits table (batch, i, block, j, logit); blocks A, [H], B, D.
+           hard_negative_weight: float = 0.0, num_sent: int = 2, blocks=BLOCKS) -> DataFrame:
+    """Tall logits table (batch, i, block, j, logit) of the wanted blocks among A, [H], B, D.
 
     A_ij = cos(z1_i, z2_j)/t - [i=j] m/t
     H_ij = cos(z1_i, z3_j)/t + [i=j] w            (num_sent >= 3; w only if == 3)
     B_ij = [j != i-1] cos(z1_i, n_j)/t + [i=j] w  (masked cells are 0, not -inf)
     D_ij = [j != i+1] cos(a_i, z2_j)/t + [i=j] w
+
+    Vectors are normalised once per row; a pair costs one dot product per block, and a side
+    carries only the vectors that its blocks read.
     """
     has3 = num_sent >= 3 and "z3" in batches.columns
-    b = with_neighbours(batches, lam)
-    left = b.select("batch", F.col("pos").alias("i"), "z1", "amix", "n")
-    rcols = [F.col("pos").alias("j"), "z2", "zmix"] + (["z3"] if has3 else [])
-    right = b.select("batch", *rcols)
-    j = left.join(right, "batch")
+    blocks = [b for b in BLOCKS if b in blocks and (b != "H" or has3)]
+    if set(blocks) & {"B", "D"}:
+        b = with_neighbours(batches, lam)
+    else:
+        b = batches.withColumn("n", F.lit(0))
+    sides = {"A": ("z1", "z2"), "H": ("z1", "z3"), "B": ("z1", "zmix"), "D": ("amix", "z2")}
+    named = lambda side: sorted({sides[x][side] for x in blocks})
+    left = b.select("batch", F.col("pos").alias("i"), "n", *[unit(c).alias("l_" + c) for c in named(0)])
+    right = b.select("batch", F.col("pos").alias("j"), *[unit(c).alias("r_" + c) for c in named(1)])
+    # the units are written out by the exchange of the join, not folded again for each pair
+    j = left.repartition("batch").join(right.repartition("batch"), "batch")
     i_, j_, n = F.col("i"), F.col("j"), F.col("n")
-    diag = i_ == j_
-    t = F.lit(temp)
-    w = F.lit(hard_negative_weight)
-    zero = F.lit(0.0)
-    blocks = [F.struct(F.lit("A").alias("block"),
-                       (V.cosine("z1", "z2") / t - F.when(diag, F.lit(pos_m / temp)).otherwise(zero))
-                       .alias("logit"))]
-    if has3:
-        w3 = w if num_sent == 3 else zero
-        blocks.append(F.struct(F.lit("H").alias("block"),
-                               (V.cosine("z1", "z3") / t + F.when(diag, w3).otherwise(zero)).alias("logit")))
-    blocks.append(F.struct(F.lit("B").alias("block"),
-                           (F.when(j_ == F.pmod(i_ - 1, n), zero).otherwise(V.cosine("z1", "zmix") / t)
-                            + F.when(diag, w).otherwise(zero)).alias("logit")))
-    blocks.append(F.struct(F.lit("D").alias("block"),
-                           (F.when(j_ == F.pmod(i_ + 1, n), zero).otherwise(V.cosine("amix", "z2") / t)
-                            + F.when(diag, w).otherwise(zero)).alias("logit")))
-    return j.select("batch", "i", "j", F.explode(F.array(*blocks)).alias("_b")).select(
+    w = F.when(i_ == j_, F.lit(hard_negative_weight)).otherwise(F.lit(0.0))
+    extra = {"A": -F.when(i_ == j_, F.lit(pos_m / temp)).otherwise(F.lit(0.0)), "H": w if num_sent == 3 else F.lit(0.0), "B": w, "D": w}
+    masked = {"B": j_ == F.pmod(i_ - 1, n), "D": j_ == F.pmod(i_ + 1, n)}
+    cells = []
+    for x in blocks:
+        cos = V.dot("l_" + sides[x][0], "r_" + sides[x][1]) / F.lit(temp)
+        cos = F.when(masked[x], F.lit(0.0)).otherwise(cos) if x in masked else cos
+        cells.append(F.struct(F.lit(x).alias("block"), (cos + extra[x]).alias("logit")))
+    return j.select("batch", "i", "j", F.explode(F.array(*cells)).alias("_b")).select(
         "batch", "i", F.col("_b.block").alias("block"), "j", F.col("_b.logit").alias("logit"))
 
 
@@ -94,21 +107,25 @@ def masked_lm_loss(lg: DataFrame, label_col: str = "label") -> DataFrame:
     return per.agg(F.avg("nll").alias("mlm_loss"))
 
 
+def with_masked_lm(loss: DataFrame, mlm: DataFrame, weight: float = 0.1) -> DataFrame:
+    """C7 combination: loss + weight * mlm_loss, the one-row MLM loss joining as a scalar."""
+    return loss.withColumn("loss", F.col("loss") + F.lit(weight) * mlm.select("mlm_loss").scalar())
+
+
 def gaussian_weighted_loss(batches: DataFrame, temp: float = 0.05, mu: float = 0.0,
                            sigma: float = 1.0) -> DataFrame:
     """C8 per batch: -mean_i log(exp(s_ii) / sum_j w_ij exp(s_ij)).
 
     s = cos/temp; w_ij = N(s_ij * 0.05; mu, sigma) divided by its row mean.
     """
-    left = batches.select("batch", F.col("pos").alias("i"), "z1")
-    right = batches.select("batch", F.col("pos").alias("j"), "z2")
-    s = left.join(right, "batch").select("batch", "i", "j",
-                                         (V.cosine("z1", "z2") / F.lit(temp)).alias("s"))
+    left = batches.select("batch", F.col("pos").alias("i"), unit("z1").alias("z1")).repartition("batch")
+    right = batches.select("batch", F.col("pos").alias("j"), unit("z2").alias("z2")).repartition("batch")
+    s = left.join(right, "batch").select("batch", "i", "j", (V.dot("z1", "z2") / F.lit(temp)).alias("s"))
     g = (F.lit(1.0 / (sigma * (2 * 3.141592653589793) ** 0.5))
          * F.exp(-F.pow(F.col("s") * F.lit(0.05) - F.lit(mu), 2) / F.lit(2 * sigma * sigma)))
     wrow = Window.partitionBy("batch", "i")
-    sw = s.withColumn("w", g).withColumn("w", F.col("w") / F.avg("w").over(wrow))
+    sw = s.withColumn("w", g).withColumn("w", F.col("w") / F.avg("w").over(wrow)).withColumn("_m", F.max("s").over(wrow))
     per = sw.groupBy("batch", "i").agg(
-        (F.log(F.sum(F.exp("s") * F.col("w"))) - F.max(F.when(F.col("i") == F.col("j"), F.col("s"))))
+        (F.max("_m") + F.log(F.sum(F.exp(F.col("s") - F.col("_m")) * F.col("w"))) - F.max(F.when(F.col("i") == F.col("j"), F.col("s"))))
         .alias("loss"))
     return per.groupBy("batch").agg(F.avg("loss").alias("loss"))

@@ -87,8 +87,10 @@ def running_agg(df: DataFrame, value, order_cols: list[str], group_cols: list[st
             if len(pdf) == 0:
                 continue
             if g:
-                keys = pdf[g].astype(str).agg("\x1f".join, axis=1).to_numpy()
-                starts = np.r_[True, keys[1:] != keys[:-1]]
+                starts = np.r_[True, np.zeros(len(pdf) - 1, dtype=bool)]
+                for c in g:  # a run starts where any key column changes (null equals null)
+                    k = pdf[c].to_numpy(dtype=object)
+                    starts[1:] |= (k[1:] != k[:-1]) & ~(pd.isna(k[1:]) & pd.isna(k[:-1]))
             else:
                 starts = np.r_[True, np.zeros(len(pdf) - 1, dtype=bool)]
             bounds = np.r_[np.flatnonzero(starts), len(pdf)]
@@ -104,7 +106,7 @@ def running_agg(df: DataFrame, value, order_cols: list[str], group_cols: list[st
                 cols_out[f"_locx{k}"] = locx
             yield pdf.assign(**cols_out)
 
-    local = r.mapInPandas(scan, schema)
+    local = cut_lineage(r.mapInPandas(scan, schema))  # rows and pieces must come from one and the same exchange
     pieces = local.groupBy("_pid", "_chunk", *g).agg(
         *[_SQL[op](v).alias(f"_tot{k}") for k, v in enumerate(values)])
     w = Window.partitionBy(*g).orderBy("_pid", "_chunk").rowsBetween(Window.unboundedPreceding, -1)

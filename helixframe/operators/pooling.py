@@ -189,17 +189,12 @@ def embed_with(df: DataFrame, scorer, id_col: str, dim: int, cols: list[str]) ->
     return df.select(id_col, *cols).mapInPandas(run, schema)
 
 
-def id_hash_scorer(dim: int = 64, vocab: int = 4096, seed: int = 11):
-    """A small numpy scorer for the hook: masked mean of fixed random id vectors."""
-    rng = np.random.default_rng(seed)
-    table = rng.standard_normal((vocab, dim))
-
-    def score(pdf: pd.DataFrame) -> np.ndarray:
-        out = np.zeros((len(pdf), dim))
-        for k, (ids, mask) in enumerate(zip(pdf["input_ids"], pdf["attention_mask"])):
-            ids = np.asarray(ids)
-            m = np.asarray(mask, dtype=bool)
-            if m.any():
-                out[k] = table[ids[m] % vocab].mean(axis=0)
-        return out
-    return score
+def id_stats_scorer(pdf: pd.DataFrame) -> np.ndarray:
+    """A small scorer for the hook, over whole batches: count, mean, least and largest id of the real positions."""
+    ids = np.stack(pdf["input_ids"].to_numpy()).astype(float)
+    m = np.stack(pdf["attention_mask"].to_numpy()).astype(bool)
+    n = m.sum(1)
+    some = n > 0
+    mean = np.divide(np.where(m, ids, 0).sum(1), n, out=np.zeros(len(n)), where=some)
+    low, high = np.where(m, ids, np.inf).min(1), np.where(m, ids, -np.inf).max(1)
+    return np.column_stack([n, mean, np.where(some, low, 0.0), np.where(some, high, 0.0)])

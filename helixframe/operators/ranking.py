@@ -56,8 +56,7 @@ def bootstrap_se(groups: DataFrame, order_col: str, reps: int = 1000, seed: int
     idx = dense_index(groups, [order_col], name="row")
     m = groups.count()  # scalar
     draws = spark.range(reps * m).select(
-        (F.col("id") / F.lit(m)).cast("bigint").alias("rep"),
-        (F.col("id") % F.lit(m)).alias("q"))
+        F.expr(f"id div {max(m, 1)}").alias("rep"), (F.col("id") % F.lit(max(m, 1))).alias("q"))
     draws = draws.withColumn(
         "row", (hash_u32(F.lit(seed), F.col("rep"), F.col("q")) * F.lit(m) / F.lit(4294967296)).cast("bigint"))
     picked = draws.join(idx.select("row", value, weight), "row")

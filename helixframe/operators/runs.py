@@ -63,7 +63,11 @@ def median_pruning(inter: DataFrame, trials: DataFrame, n_startup: int = 5) -> D
     states = trials.select("trial", "state")
     x = inter.join(states, "trial")
     done = x.where(F.col("state") == "COMPLETE")
-    med = done.groupBy("step").agg(F.median("value").alias("median"))
+    # median by rank: positions within a step come from the range-partitioned index, no step is gathered
+    ranked = dense_index(done.select("step", "value", "trial"), ["value", "trial"], ["step"], name="_pos")
+    size = done.groupBy("step").agg(F.count(F.lit(1)).alias("_n"))
+    lo, hi = ((F.col("_n") - 1) / 2).cast("bigint"), (F.col("_n") / 2).cast("bigint")
+    med = ranked.join(size, "step").where((F.col("_pos") == lo) | (F.col("_pos") == hi)).groupBy("step").agg(F.avg("value").alias("median"))
     n_done = states.where(F.col("state") == "COMPLETE").agg(F.count(F.lit(1))).scalar()
     run = x.where(F.col("state") != "COMPLETE")
     run = running_agg(run, "value", ["step"], ["trial"], op="max", name="best")
@@ -122,5 +126,4 @@ def resume_remaining(plan: DataFrame, global_step: int, accum: int) -> DataFrame
     n_batches = plan.agg(F.countDistinct("batch")).scalar()
     spe = F.greatest((n_batches / accum).cast("bigint"), F.lit(1))
     skip = F.pmod(F.lit(global_step), spe) * accum
-    processed = plan.where(F.col("batch") < skip).select("doc_id")
-    return plan.join(processed, "doc_id", "left_anti")
+    return plan.where(F.col("batch") >= skip)

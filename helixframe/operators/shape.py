@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.operators import encode as EN
 from helixframe.operators.indexing import dense_index
 
 
-def resolve_views(df: DataFrame, cols: list[str], keys: list[str] | None = None) -> DataFrame:
-    """P1 + P2: roles by column count; 1 column is a self pair; nulls become ' '."""
+def resolve_views(df: DataFrame, cols: list[str] | None = None, keys: list[str] | None = None) -> DataFrame:
+    """P1 + P2: roles by column count (default: all columns but the keys); 1 column is a self pair; nulls become ' '."""
     keys = list(keys or [])
+    cols = [c for c in df.columns if c not in keys] if cols is None else cols
     if len(cols) == 1:
         c0 = EN.null_fill(F.col(cols[0]))
         return df.select(*keys, c0.alias("sent0"), c0.alias("sent1"))
@@ -65,13 +66,32 @@ def seeded_head(df: DataFrame, id_col: str, seed: int, frac: float) -> DataFrame
     return dense_index(keyed, ["_key", id_col], name="_pos").where(F.col("_pos") < k).drop("_key", "_pos")
 
 
-def batch_plan(df: DataFrame, order_cols: list[str], batch_size: int, accum: int = 1) -> DataFrame:
-    """batch = idx div batch_size; per batch size, full flag and optimizer step."""
+def epoch_plan(n: Column, batch_size: int, accum: int = 1, drop_last: bool = False, epochs: float = 1.0, max_steps: int = -1) -> list[Column]:
+    """T13 rules from the number of samples: batches, steps_per_epoch, max_steps, epochs.
+
+    Steps per epoch are the whole groups of ``accum`` batches, one at least; a positive ``max_steps`` sets the
+    epochs (rounded up), else ``epochs`` sets the steps."""
+    n_batches = (F.floor(n / F.lit(batch_size)) if drop_last else F.ceil(n / F.lit(batch_size))).cast("bigint")
+    per = F.greatest((n_batches / accum).cast("bigint"), F.lit(1).cast("bigint"))
+    if max_steps > 0:
+        steps, ep = F.lit(max_steps).cast("bigint"), F.ceil(F.lit(max_steps) / per)
+    else:
+        steps, ep = F.ceil(per * F.lit(float(epochs))), F.lit(-int(-epochs // 1))
+    return [n_batches.alias("batches"), per.alias("steps_per_epoch"), steps.cast("bigint").alias("max_steps"), ep.cast("bigint").alias("epochs")]
+
+
+def batch_plan(df: DataFrame, order_cols: list[str], batch_size: int, accum: int = 1, drop_last: bool = False) -> DataFrame:
+    """batch = idx div batch_size; per batch its size, full flag and optimizer step of the epoch.
+
+    Batches after the last whole group of ``accum`` belong to no step (null), unless the epoch has one step only."""
     d = dense_index(df, order_cols)
     b = d.groupBy((F.col("idx") / batch_size).cast("bigint").alias("batch")).agg(
         F.count(F.lit(1)).alias("n"))
-    return b.select("batch", "n", (F.col("n") == batch_size).alias("full_batch"),
-                    (F.col("batch") / accum).cast("bigint").alias("step"))
+    if drop_last:
+        b = b.where(F.col("n") == batch_size)
+    per = epoch_plan(df.agg(F.count(F.lit(1))).scalar(), batch_size, accum, drop_last)[1]
+    step = (F.col("batch") / accum).cast("bigint")
+    return b.select("batch", "n", (F.col("n") == batch_size).alias("full_batch"), F.when(step < per, step).alias("step"))
 
 
 def head_trim(df: DataFrame, idx_col: str, n: int) -> DataFrame:

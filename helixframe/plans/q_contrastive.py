@@ -35,13 +35,13 @@ lg AS (
                                      + CASE WHEN i = j THEN {HNW} ELSE 0.0 END FROM pr)"""
 
 
-def _logits(spark, sf, pos_m=POS_M, hnw=HNW):
-    return C.logits(FX.contrastive_batches(spark, sf), temp=TEMP, lam=LAM, pos_m=pos_m,
-                    hard_negative_weight=hnw, num_sent=3)
+def _logits(spark, sf, pos_m=POS_M, hnw=HNW, blocks=C.BLOCKS):
+    return C.logits(FX.contrastive_batches(spark, sf, with_z3="H" in blocks), temp=TEMP, lam=LAM, pos_m=pos_m,
+                    hard_negative_weight=hnw, num_sent=3, blocks=blocks)
 
 
 def _block(spark, sf, block):
-    lg = _logits(spark, sf).where(F.col("block") == block)
+    lg = _logits(spark, sf, blocks=(block,))
     return lg.select("batch", "i", "j", r6("logit").alias("logit"))
 
 
@@ -52,14 +52,14 @@ def _block_sql(block):
 @query("c1_similarity_matrix", f"""{_NB}
 SELECT batch, i, j, round(c_a, 6) + 0.0 AS logit FROM pr""")
 def c1_similarity_matrix(spark, sf):
-    lg = _logits(spark, sf, pos_m=0.0).where(F.col("block") == "A")
+    lg = _logits(spark, sf, pos_m=0.0, blocks=("A",))
     return lg.select("batch", "i", "j", r6("logit").alias("logit"))
 
 
 @query("c2_positive_margin", f"""{_NB}
 SELECT batch, i, round(logit, 6) + 0.0 AS logit FROM lg WHERE block = 'A' AND i = j""")
 def c2_positive_margin(spark, sf):
-    lg = _logits(spark, sf).where((F.col("block") == "A") & (F.col("i") == F.col("j")))
+    lg = C.positive_logits(FX.contrastive_batches(spark, sf, with_z3=False), TEMP, POS_M)
     return lg.select("batch", "i", r6("logit").alias("logit"))
 
 
@@ -79,6 +79,9 @@ def c6_contrastive_loss(spark, sf):
     return C.batch_losses(_logits(spark, sf)).select("batch", r6("loss").alias("loss"))
 
 
+LOSS_BY_BATCH_SQL = f"{_LOSS_SQL} SELECT batch, avg(loss) AS loss FROM rl GROUP BY batch"
+all_logits = _logits
+
 MU, SIGMA = 0.0, 0.5
 
 

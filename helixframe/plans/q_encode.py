@@ -109,6 +109,21 @@ def p2_view_roles(spark, sf):
     return resolve_views(t, ["sent0", "sent1", "sent2"], keys=["conv_id", "turn"])
 
 
+@query("p2_pair_roles", f"SELECT conv_id, turn, sent0, sent1 FROM ({_PAIRS_SQL})")
+def p2_pair_roles(spark, sf):
+    """Two columns: a pair."""
+    from helixframe.operators.shape import resolve_views
+    return resolve_views(FX.conversation_pairs(spark, sf).select("conv_id", "turn", "sent0", "sent1"), keys=["conv_id", "turn"])
+
+
+@query("p2_self_pair", """SELECT doc_id, coalesce(CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 13 = 0 THEN '' ELSE text END, ' ') AS sent0,
+coalesce(CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 13 = 0 THEN '' ELSE text END, ' ') AS sent1 FROM documents""")
+def p2_self_pair(spark, sf):
+    """One column: both views are the same text."""
+    from helixframe.operators.shape import resolve_views
+    return resolve_views(FX.corpus_with_nulls(spark, sf), keys=["doc_id"])
+
+
 _CONV_TOK = f"(SELECT {tokens_sql('text')} AS tokens FROM conversations)"
 _CONV_VOCAB = f"({vocab_sql(_CONV_TOK)})"
 
@@ -140,6 +155,40 @@ def t5_flatten_views(spark, sf):
     return flatten_views(p3_view_stacking(spark, sf), ["conv_id", "turn"])
 
 
+@query("t5_restore_views", f"SELECT conv_id, turn, input_ids FROM ({_views_sql()})")
+def t5_restore_views(spark, sf):
+    """Flattened views gathered per item again: the stacked views come back."""
+    from helixframe.operators.shape import flatten_views, restore_views
+    return restore_views(flatten_views(p3_view_stacking(spark, sf), ["conv_id", "turn"]), ["conv_id", "turn"])
+
+
+@query("u2_mapped_preparation", "SELECT doc_id, len(text)::BIGINT AS n_chars, substr(text, 1, 8) AS head FROM documents")
+def u2_mapped_preparation(spark, sf):
+    """A user's batched preparation function; the source columns are dropped as it replaces them."""
+    from helixframe.operators.hooks import map_batches
+
+    def prepare(pdf):
+        return pdf.assign(n_chars=pdf["text"].str.len(), head=pdf["text"].str.slice(0, 8))[["doc_id", "n_chars", "head"]]
+
+    return map_batches(FX.documents(spark, sf).select("doc_id", "text"), prepare, "doc_id bigint, n_chars bigint, head string")
+
+
+@query("u3_collate_hook", f"""
+WITH l AS (SELECT doc_id, len({trunc_sql('ids')}) AS len, (row_number() OVER (ORDER BY doc_id) - 1) // {BATCH} AS batch FROM {DOC_IDS})
+SELECT batch, count(*) AS n, max(len)::BIGINT AS longest, sum(len)::BIGINT AS real_tokens FROM l GROUP BY batch""")
+def u3_collate_hook(spark, sf):
+    """A user's collate function called once for each batch of ``BATCH`` rows."""
+    import pandas as pd
+    from helixframe.operators.hooks import collate_batches
+    d = _doc_ids(spark, sf, head=126).select("doc_id", EN.truncate(F.col("ids")).alias("ids"))
+
+    def collate(pdf):
+        size = pdf["ids"].map(len)
+        return pd.DataFrame({"n": [len(pdf)], "longest": [int(size.max())], "real_tokens": [int(size.sum())]})
+
+    return collate_batches(d, ["doc_id"], BATCH, collate, "n bigint, longest bigint, real_tokens bigint")
+
+
 @query("p5_label_alias", "SELECT doc_id, quality::BIGINT AS labels FROM labels")
 def p5_label_alias(spark, sf):
     from helixframe.operators.shape import alias_labels
@@ -205,13 +254,37 @@ def t12_seeded_sample(spark, sf):
 PER_DEVICE, ACCUM, WORLD = 16, 2, 2
 
 
+_BS = PER_DEVICE * WORLD
+
+
 @query("t13_batch_plan", f"""
 WITH i AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS idx FROM documents),
-b AS (SELECT idx // {PER_DEVICE * WORLD} AS batch, count(*) AS n FROM i GROUP BY 1)
-SELECT batch, n, n = {PER_DEVICE * WORLD} AS full_batch, batch // {ACCUM} AS step FROM b""")
+b AS (SELECT idx // {_BS} AS batch, count(*) AS n FROM i GROUP BY 1),
+p AS (SELECT greatest(count(*) // {ACCUM}, 1) AS per FROM b)
+SELECT batch, n, n = {_BS} AS full_batch, CASE WHEN batch // {ACCUM} < per THEN batch // {ACCUM} END AS step FROM b, p""")
 def t13_batch_plan(spark, sf):
     from helixframe.operators.shape import batch_plan
-    return batch_plan(FX.documents(spark, sf).select("doc_id"), ["doc_id"], PER_DEVICE * WORLD, ACCUM)
+    return batch_plan(FX.documents(spark, sf).select("doc_id"), ["doc_id"], _BS, ACCUM)
+
+
+_PLANS = [("by_epochs", False, 2.5, -1), ("drop_last", True, 3.0, -1), ("by_steps", False, 1.0, 25)]
+
+
+def _epoch_sql(name, drop_last, epochs, max_steps):
+    nb = f"n // {_BS}" if drop_last else f"ceil(n / {_BS}::DOUBLE)::BIGINT"
+    steps, ep = (str(max_steps), f"ceil({max_steps} / per::DOUBLE)") if max_steps > 0 else (f"ceil(per * {epochs})", f"ceil({epochs})")
+    return (f"SELECT '{name}' AS plan, batches, per AS steps_per_epoch, ({steps})::BIGINT AS max_steps, ({ep})::BIGINT AS epochs FROM "
+            f"(SELECT batches, greatest(batches // {ACCUM}, 1) AS per FROM (SELECT ({nb}) AS batches FROM (SELECT count(*) AS n FROM documents)))")
+
+
+@query("t13_epoch_plan", " UNION ALL ".join(_epoch_sql(*x) for x in _PLANS))
+def t13_epoch_plan(spark, sf):
+    """Steps per epoch, steps and epochs in all, for a run by epochs, with drop_last, and by steps."""
+    from functools import reduce
+    from helixframe.operators.shape import epoch_plan
+    n = FX.documents(spark, sf).agg(F.count(F.lit(1)).alias("n"))
+    rows = [n.select(F.lit(name).alias("plan"), *epoch_plan(F.col("n"), _BS, ACCUM, drop, epochs, steps)) for name, drop, epochs, steps in _PLANS]
+    return reduce(lambda a, b: a.unionByName(b), rows)
 
 
 SHARD_B, SHARD_W = 8, 3
@@ -228,7 +301,7 @@ MUT_RATE = 0.07
 
 
 @query("t15_mutation", f"""
-WITH s AS (SELECT d.doc_id, {acgt('d.doc_id')} AS seq FROM documents d JOIN labels l USING (doc_id))
+WITH s AS (SELECT d.doc_id, {acgt('d.doc_id')} AS seq FROM documents d)
 SELECT doc_id, seq, list_aggregate(list_transform(range(1, len(seq) + 1), lambda i:
    CASE WHEN {u_sql('7', "'mut'", 'doc_id', 'i')} < {MUT_RATE}
         THEN substr(replace('ACGT', substr(seq, i, 1), ''), 1 + floor({u_sql('7', "'alt'", 'doc_id', 'i')} * 3)::INTEGER, 1)
@@ -236,7 +309,7 @@ SELECT doc_id, seq, list_aggregate(list_transform(range(1, len(seq) + 1), lambda
 FROM s""")
 def t15_mutation(spark, sf):
     from helixframe.operators.noise import mutate_dna
-    s = FX.labelled_sequences(spark, sf).select("doc_id", F.col("dna_barcode").alias("seq"))
+    s = FX.documents(spark, sf).select("doc_id", acgt_string(F.col("doc_id")).alias("seq"))
     return s.select("doc_id", "seq", mutate_dna(F.col("seq"), 7, [F.col("doc_id")], MUT_RATE).alias("mutated"))
 
 

@@ -105,18 +105,25 @@ LOG_SQL = """SELECT user_id AS run, row_number() OVER (PARTITION BY user_id ORDE
   event_type AS metric, value FROM events"""
 
 
-@query("s6_metric_history", f"""
-SELECT run, step, 'eval_' || metric AS metric, value FROM ({LOG_SQL}) WHERE step % 10 = 0""")
-def s6_metric_history(spark, sf):
-    log = RU.prefix_metric(RU.metric_log(table(spark, sf, "events"))).where(F.col("step") % 10 == 0)
-    rec = log.select("run", "step", "metric", "value")
+def _history(spark, sf):
+    rec = RU.prefix_metric(RU.metric_log(table(spark, sf, "events"))).select("run", "step", "metric", "value")
     path = IO.scratch_path(spark, "history")
     IO.append_metrics(rec.where("step <= 40"), path)   # first evaluation round
     IO.append_metrics(rec.where("step > 40"), path)    # appended later
-    spark.createDataFrame([("{not json",)], "value string").write.mode("append").text(
-        os.path.join(path, "corrupt"))
-    good, _bad = IO.read_metrics(spark, os.path.join(path, "*"))
-    return good
+    # a torn line: the record of the first event, cut in the middle
+    torn = rec.where("run = 0 and step = 1").select(F.concat(F.lit('{"run":'), F.col("run").cast("string"), F.lit(',"step":'), F.col("step").cast("string")).alias("value"))
+    torn.write.mode("append").text(os.path.join(path, "corrupt"))
+    return IO.read_metrics(spark, os.path.join(path, "*"))
+
+
+@query("s6_metric_history", f"SELECT run, step, 'eval_' || metric AS metric, value FROM ({LOG_SQL})")
+def s6_metric_history(spark, sf):
+    return _history(spark, sf)[0]
+
+
+@query("s6_quarantine", f"""SELECT '{{"run":' || run || ',"step":' || step AS line FROM ({LOG_SQL}) WHERE run = 0 AND step = 1""")
+def s6_quarantine(spark, sf):
+    return _history(spark, sf)[1]
 
 
 @query("s7_sorted_report", """
@@ -174,9 +181,9 @@ def s10_sanitize_filename(spark, sf):
     return p.select("page_id", IO.sanitize_filename(F.col("url")).alias("name"))
 
 
-@query("s11_output_guard")
+@query("s11_output_guard", "SELECT count(*) AS rows, TRUE AS second_write_refused FROM embeddings")
 def s11_output_guard(spark, sf):
-    """Writes once, refuses a second write without overwrite, then overwrites (rows only)."""
+    """Writes once, refuses a second write without overwrite, then overwrites."""
     e = FX.embedding_set(spark, sf).select("vec_id", "label")
     path = IO.scratch_path(spark, "guard")
     IO.guarded_write(e, path)

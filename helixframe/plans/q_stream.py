@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from helixframe.operators import encode as EN
+from helixframe.operators.common import r6
 from helixframe.plans.q_encode import DOC_IDS, _doc_lookup
 from helixframe.plans.registry import query
 from helixframe.plans.sqlfix import pad_sql, trunc_sql
@@ -24,7 +24,7 @@ def st1_stream_encode(spark, sf):
     return spark.read.parquet(p["sink"]).select("doc_id", "input_ids")
 
 
-@query("st2_stream_resume", f"SELECT count(*) AS n_rows, count(DISTINCT doc_id) AS n_docs FROM documents")
+@query("st2_stream_resume", "SELECT doc_id FROM documents")
 def st2_stream_resume(spark, sf):
     """Two runs on one checkpoint: the second sees only the files added in between."""
     p = STR.paths(IO.scratch_path(spark, "resume"))
@@ -34,21 +34,21 @@ def st2_stream_resume(spark, sf):
     STR.run_available(STR.encode_stream(spark, p["src"], lookup), p["sink"], p["ckpt"])
     STR.split_into_files(docs, p["src"], N_FILES, only=[2, 3])
     STR.run_available(STR.encode_stream(spark, p["src"], lookup), p["sink"], p["ckpt"])
-    out = spark.read.parquet(p["sink"])
-    return out.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("doc_id").alias("n_docs"))
+    return spark.read.parquet(p["sink"]).select("doc_id")
 
 
-@query("u4_eval_callback")
+@query("u4_eval_callback", f"""SELECT doc_id % {N_FILES} AS bucket, count(*)::DOUBLE AS value, round(avg(len({trunc_sql('ids')})), 6) + 0.0 AS mean_len
+FROM {DOC_IDS} GROUP BY 1""")
 def u4_eval_callback(spark, sf):
-    """foreachBatch callback appending one metric record per micro-batch (rows only)."""
+    """foreachBatch callback that appends one metric record for each file bucket of its micro-batch."""
     p = STR.paths(IO.scratch_path(spark, "callback"))
     STR.split_into_files(FX.documents(spark, sf), p["src"], N_FILES)
     hist = p["sink"]
 
     def on_evaluate(batch_df, batch_id):
-        m = batch_df.agg(F.count(F.lit(1)).cast("double").alias("value"),
-                         F.avg(F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x)).alias("mean_len"))
-        m.select(F.lit(batch_id).cast("bigint").alias("step"), "value", "mean_len").write.mode("append").json(hist)
+        m = batch_df.groupBy(F.pmod("doc_id", F.lit(N_FILES)).alias("bucket")).agg(
+            F.count(F.lit(1)).cast("double").alias("value"), F.avg(F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x)).alias("mean_len"))
+        m.withColumn("step", F.lit(batch_id).cast("bigint")).write.mode("append").json(hist)
 
     STR.run_with_callback(STR.encode_stream(spark, p["src"], _doc_lookup(spark, sf)), on_evaluate, p["cb_ckpt"])
-    return spark.read.json(hist)
+    return spark.read.schema("step BIGINT, bucket BIGINT, value DOUBLE, mean_len DOUBLE").json(hist).select("bucket", "value", r6("mean_len").alias("mean_len"))

@@ -14,6 +14,7 @@ from helixframe.operators import contrastive as C
 from helixframe.operators import encode as EN
 from helixframe.operators import pooling as PO
 from helixframe.operators.common import r6
+from helixframe.plans import q_contrastive
 from helixframe.plans.q_encode import DOC_IDS, _doc_ids, _doc_tokens
 from helixframe.plans.registry import query
 from helixframe.plans.sqlfix import EMB_U, PAIRS, cos_sql, hash_u32, tokens_sql, trunc_sql, uniform as u_sql
@@ -208,18 +209,21 @@ def e14_hashed_embedding(spark, sf):
     return h.select("doc_id", V.round_vec("embedding").alias("embedding"))
 
 
-@query("u1_encoder_hook")
+@query("u1_encoder_hook", f"""
+WITH t AS (SELECT doc_id, {trunc_sql('ids')} AS t FROM {DOC_IDS})
+SELECT doc_id, [len(t)::DOUBLE, round(list_sum(t) / len(t)::DOUBLE, 6) + 0.0, list_min(t)::DOUBLE, list_max(t)::DOUBLE] AS embedding FROM t""")
 def u1_encoder_hook(spark, sf):
-    """Encoded documents (T1-T3) through a user scorer in mapInPandas (rows only)."""
+    """Encoded documents (T1-T3) through a user scorer in mapInPandas."""
     d = _doc_ids(spark, sf, head=126).select("doc_id", EN.truncate(F.col("ids")).alias("t"))
     enc = d.select("doc_id", EN.pad(F.col("t")).alias("input_ids"), EN.mask_of(F.col("t")).alias("attention_mask"))
-    return PO.embed_with(enc, PO.id_hash_scorer(), "doc_id", 64, ["input_ids", "attention_mask"])
+    e = PO.embed_with(enc, PO.id_stats_scorer, "doc_id", 4, ["input_ids", "attention_mask"])
+    return e.select("doc_id", V.round_vec("embedding").alias("embedding"))
 
 
 MLM_VOCAB, MLM_SEED, MLM_RATE, MLM_WEIGHT = 16, 13, 0.15, 0.1
 
 
-@query("c7_mlm_loss", f"""
+_MLM_SQL = f"""
 WITH t AS (SELECT doc_id, {trunc_sql('ids')} AS t FROM {DOC_IDS}),
 x AS (SELECT doc_id, unnest(t) AS id, unnest(range(len(t))) AS pos FROM t),
 lab AS (SELECT doc_id, pos, CASE WHEN {u_sql(str(MLM_SEED), "'lab'", 'doc_id', 'pos')} < {MLM_RATE}
@@ -228,8 +232,10 @@ lg AS (SELECT l.doc_id, l.pos, l.label, r.v AS vocab,
               ({u_sql(str(MLM_SEED), "'logit'", 'l.doc_id', 'l.pos', 'r.v')} - 0.5) * 4.0 AS logit
        FROM lab l, range({MLM_VOCAB}) r(v) WHERE l.label <> -100),
 per AS (SELECT doc_id, pos, max(logit) + ln(sum(exp(logit - mx))) - max(CASE WHEN vocab = label THEN logit END) AS nll
-        FROM (SELECT *, max(logit) OVER (PARTITION BY doc_id, pos) AS mx FROM lg) GROUP BY doc_id, pos)
-SELECT round(avg(nll), 6) + 0.0 AS mlm_loss FROM per""")
+        FROM (SELECT *, max(logit) OVER (PARTITION BY doc_id, pos) AS mx FROM lg) GROUP BY doc_id, pos)"""
+
+
+@query("c7_mlm_loss", f"{_MLM_SQL} SELECT round(avg(nll), 6) + 0.0 AS mlm_loss FROM per")
 def c7_mlm_loss(spark, sf):
     d = _doc_ids(spark, sf, head=126).select("doc_id", EN.truncate(F.col("ids")).alias("t"))
     x = d.select(F.col("doc_id").alias("seq"), F.posexplode("t").alias("pos", "id"))
@@ -238,3 +244,13 @@ def c7_mlm_loss(spark, sf):
     lg = x.withColumn("vocab", F.explode(F.sequence(F.lit(0), F.lit(MLM_VOCAB - 1)))).withColumn(
         "logit", (uniform(F.lit(MLM_SEED), F.lit("logit"), F.col("seq"), F.col("pos"), F.col("vocab")) - 0.5) * 4.0)
     return C.masked_lm_loss(lg).select(r6("mlm_loss").alias("mlm_loss"))
+
+
+@query("c7_combined_loss", f"""
+{_MLM_SQL},
+con AS ({q_contrastive.LOSS_BY_BATCH_SQL})
+SELECT batch, round(loss + {MLM_WEIGHT} * (SELECT round(avg(nll), 6) FROM per), 6) + 0.0 AS loss FROM con""")
+def c7_combined_loss(spark, sf):
+    """The training loss with the masked-token term: contrastive loss + weight * MLM loss."""
+    loss = C.batch_losses(q_contrastive.all_logits(spark, sf))
+    return C.with_masked_lm(loss, c7_mlm_loss(spark, sf), MLM_WEIGHT).select("batch", r6("loss").alias("loss"))

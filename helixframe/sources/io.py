@@ -87,9 +87,7 @@ def write_predictions(df: DataFrame, root: str) -> None:
     df.write.mode("append").partitionBy("partition", "dataset", "model", "run_time").parquet(root)
 
 
-METRIC_SCHEMA = T.StructType([T.StructField("run", T.LongType()), T.StructField("step", T.LongType()),
-                              T.StructField("metric", T.StringType()), T.StructField("value", T.DoubleType()),
-                              T.StructField("_corrupt", T.StringType())])
+METRIC_SCHEMA = "run BIGINT, step BIGINT, metric STRING, value DOUBLE, _corrupt STRING"
 
 
 def append_metrics(df: DataFrame, path: str) -> None:
@@ -98,11 +96,11 @@ def append_metrics(df: DataFrame, path: str) -> None:
 
 
 def read_metrics(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """S6 read side: (good rows, quarantined corrupt lines) - a bad line never drops the history."""
-    r = (spark.read.schema(METRIC_SCHEMA).option("mode", "PERMISSIVE")
-         .option("columnNameOfCorruptRecord", "_corrupt").json(path))
-    r = r.cache()  # Spark requires a materialised frame to query the corrupt column alone
-    return r.where(F.col("_corrupt").isNull()).drop("_corrupt"), r.where(F.col("_corrupt").isNotNull())
+    """S6 read side: (good rows, quarantined lines) - a bad line never drops the history."""
+    parsed = spark.read.text(path).select(F.col("value").alias("line"), F.from_json(
+        "value", METRIC_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("r"))
+    bad = F.col("r._corrupt").isNotNull()
+    return parsed.where(~bad).select("r.run", "r.step", "r.metric", "r.value"), parsed.where(bad).select("line")
 
 
 def kv_lines(df: DataFrame, key: str = "key", value: str = "value") -> DataFrame:
