@@ -4,7 +4,8 @@ Vectors are compared within a label.  Equal vectors are one class.  Seeded rando
 unit vector o into the sign code of R o; the stored factor f = <code, R o> / sqrt(d) corrects the estimate
 <o, q> ~ <code(o), R q> / (sqrt(d) f), which is unbiased, with standard error sqrt((1 - f^2) / f^2 / (d - 1)).
 
-1. ``TABLES`` slices of ``BITS`` code bits are bucket keys; a pair at cosine 0.98 shares none of them with probability 5e-7.
+1. Slices of b code bits are bucket keys.  b follows the number of classes (about ``LOAD`` chance classes a bucket, whatever the size), and there are so
+   many slices that a pair at the threshold shares none of them with probability ``MISS`` at most.
 2. Buckets are compared in blocks of at most ``BLOCK`` x ``BLOCK`` classes.  A pair whose estimate plus
    ``SIGMAS`` standard errors stays below the threshold is dropped; every other pair is computed exactly in double
    precision.  A pair found in several tables counts in the first only.
@@ -17,15 +18,21 @@ an id is returned with 0 links, a null component and kept false; an empty table
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import components, staged
+from helixframe.llm.common import components, spread, staged
 
-TABLES, BITS, SEED = 24, 12, 4711
-BLOCK, SIGMAS = 512, 6.0
+SEED, MISS, LOAD = 4711, 1e-6, 16
+BLOCK, SIGMAS, PAIRS = 512, 6.0, 50_000
+
+
+def plan(n: int, threshold: float) -> tuple[int, int]:
+    """(slices, bits) for n classes: two vectors at the threshold agree in one bit with probability 1 - angle / pi."""
+    bits = int(np.clip(np.ceil(np.log2(max(n, 2) / LOAD)), 8, 30))
+    agree = (1 - np.arccos(threshold) / np.pi) ** bits
+    return int(np.ceil(np.log(MISS) / np.log(1 - agree))), bits
 
 
 def rotation(d: int, k: int) -> np.ndarray:
@@ -57,54 +64,84 @@ def keyed_rows(classes: DataFrame, tables: int, bits: int) -> DataFrame:
     return classes.select("rep", "v").mapInArrow(run, "rep bigint, keys array<int>")
 
 
-def block_links(threshold: float, sigmas: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a = pdf[pdf.side == 0]
-        b = pdf[pdf.side == 1] if (pdf.side == 1).any() else a
-        same = b is a
-        out = pd.DataFrame({"rep": pd.Series(dtype="int64"), "n": pd.Series(dtype="int64"), "root": pd.Series(dtype="int64")})
-        if not len(a):
-            return out
-        t = int(a.t.iloc[0])
-        x, y = (np.array(s.v.to_list(), np.float64) for s in (a, b))
-        x, y = x / np.linalg.norm(x, axis=1, keepdims=True), y / np.linalg.norm(y, axis=1, keepdims=True)
-        ka, kb = np.array(a["keys"].to_list()), np.array(b["keys"].to_list())
-        d = x.shape[1]
-        r = rotation(d, 0)
-        code = np.sign(x @ r.T)
-        f = np.abs(x @ r.T).sum(1) / np.sqrt(d)
+def block_links(rows: DataFrame, threshold: float, sigmas: float) -> DataFrame:
+    """(rep, n, root): links of each class within one block, and the smallest class it reaches there.
+
+    ``rows``: (bucket, ci, cj, side, t, rep, mult, v, keys); a block is one (bucket, ci, cj), its rows stand together, and all blocks of an Arrow batch are
+    worked on at once, pair by pair in slices of ``PAIRS``."""
+
+    def links(t: pa.Table):
+        get = lambda c: t.column(c).to_numpy()
+        v, keys = (t.column(c).combine_chunks() for c in ("v", "keys"))
+        v, keys = (x if isinstance(x, pa.Array) else x.chunk(0) for x in (v, keys))
+        size = v.value_lengths().to_numpy()
+        block = np.cumsum(np.concatenate([[0], (get("bucket")[1:] != get("bucket")[:-1]) | (get("ci")[1:] != get("ci")[:-1]) | (get("cj")[1:] != get("cj")[:-1])]))
+        side, table, rep, mult = get("side"), get("t"), get("rep"), get("mult")
+        k = keys.flatten().to_numpy().reshape(len(rep), -1)
+        flat, begin = v.flatten().to_numpy(), np.concatenate([[0], np.cumsum(size)])
+        for d in np.unique(size):
+            at = np.flatnonzero(size == d)
+            x = flat[begin[at][:, None] + np.arange(d)]
+            yield from links_of(x / np.linalg.norm(x, axis=1, keepdims=True), block[at], side[at], table[at], rep[at], mult[at], k[at])
+
+    def links_of(x, block, side, table, rep, mult, keys):
+        n, d = x.shape
+        r = x @ rotation(d, 0).T
+        code, f = np.sign(r), np.abs(r).sum(1) / np.sqrt(d)
         error = sigmas * np.sqrt(np.maximum(0, 1 - f ** 2) / f ** 2 / max(1, d - 1))
-        may = (code @ (r @ y.T)) / (np.sqrt(d) * f)[:, None] + error[:, None] >= threshold
-        if same:
-            may = np.triu(may | may.T, 1)
-        i, j = np.nonzero(may)
-        if t:  # a pair that met in an earlier table was counted there
-            new = ~(ka[i, :t] == kb[j, :t]).any(1)
+        last = np.searchsorted(block, block, "right")
+        cross = np.searchsorted(block * 2 + side, block * 2 + 1)  # where the other side of the block begins
+        start = np.where(cross == last, np.arange(1, n + 1), np.where(side == 0, cross, last))
+        some = np.cumsum(last - start)
+        found = [[], []]
+        for a in range(0, int(some[-1]) if n else 0, PAIRS):
+            pair = np.arange(a, min(a + PAIRS, int(some[-1])))
+            i = np.searchsorted(some, pair, "right")
+            j = last[i] - (some[i] - pair)
+            may = np.einsum("ij,ij->i", code[i], r[j]) / (np.sqrt(d) * f[i]) + error[i] >= threshold
+            i, j = i[may], j[may]
+            # a pair that met in an earlier table was counted there
+            new = ~((keys[i] == keys[j]) & (np.arange(keys.shape[1]) < table[i][:, None])).any(1)
             i, j = i[new], j[new]
-        exact = np.einsum("ij,ij->i", x[i], y[j]) >= threshold
-        i, j = i[exact], j[exact]
+            exact = np.einsum("ij,ij->i", x[i], x[j]) >= threshold
+            found[0].append(i[exact])
+            found[1].append(j[exact])
+        i, j = (np.concatenate(z) if z else np.empty(0, np.int64) for z in found)
         if not len(i):
-            return out
-        reps = a.rep.to_numpy() if same else np.r_[a.rep.to_numpy(), b.rep.to_numpy()]
-        mult = a.mult.to_numpy() if same else np.r_[a.mult.to_numpy(), b.mult.to_numpy()]
-        j = j if same else j + len(a)
-        n, low = np.zeros(len(reps), np.int64), reps.copy()
-        np.add.at(n, i, mult[j])
-        np.add.at(n, j, mult[i])
+            return
+        count, low = np.zeros(n, np.int64), rep.copy()
+        np.add.at(count, i, mult[j])
+        np.add.at(count, j, mult[i])
         while True:  # smallest rep that is reachable inside the block
             was = low.copy()
             np.minimum.at(low, i, low[j])
             np.minimum.at(low, j, low[i])
             if (was == low).all():
                 break
-        hit = n > 0
-        return pd.DataFrame({"rep": reps[hit], "n": n[hit], "root": low[hit]})
-
-    return run
+        hit = count > 0
+        yield pa.record_batch([pa.array(z[hit], pa.int64()) for z in (rep, count, low)], names=["rep", "n", "root"])
 
-
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.98,
-                 tables: int = TABLES, bits: int = BITS, block: int = BLOCK, sigmas: float = SIGMAS) -> DataFrame:
+    def run(batches):
+        held = None
+        for batch in batches:
+            part = pa.Table.from_batches([batch])
+            t = part if held is None else pa.concat_tables([held, part])
+            if not t.num_rows:
+                continue
+            tail = np.logical_and.reduce([t.column(c).to_numpy() == t.column(c)[-1].as_py() for c in ("bucket", "ci", "cj")])
+            cut = int(np.flatnonzero(tail)[0])
+            if cut:
+                yield from links(t.slice(0, cut))
+            held = t.slice(cut)
+        if held is not None and held.num_rows:
+            yield from links(held)
+
+    n = spread(rows.sparkSession)
+    dealt = rows.select("bucket", "ci", "cj", "side", "t", "rep", "mult", "v", "keys").repartition(n, "bucket", "ci", "cj").sortWithinPartitions("bucket", "ci", "cj", "side")
+    return dealt.mapInArrow(run, "rep bigint, n bigint, root bigint")
+
+
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.98, block: int = BLOCK, sigmas: float = SIGMAS) -> DataFrame:
     """(id, n_links, component_id, kept), one row for each row of ``vectors``."""
     v = F.col(vector_col).cast("array<double>")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -112,7 +149,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
                           F.coalesce(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~bad & F.exists(v, lambda x: x != 0), F.lit(False)).alias("ok"))
     rows = rows.withColumn("h1", F.xxhash64("label", "v")).withColumn("h2", F.xxhash64(F.lit("v"), "v", "label"))
     classes = staged(rows.where("ok").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("mult"), F.first("label").alias("label"), F.first("v").alias("v")))
-    keyed = staged(keyed_rows(classes, tables, bits))
+    keyed = staged(keyed_rows(classes, *plan(classes.count(), threshold)))
     light = keyed.join(classes.select("rep", "label", F.size("v").alias("d")), "rep").select("rep", "label", "d", F.posexplode("keys").alias("t", "key"))
     light = light.select("rep", "t", F.xxhash64("label", "d", "t", "key").alias("bucket"))
     sizes = light.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
@@ -122,8 +159,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     members = members.select("rep", "t", "bucket", "q", meets)  # chunk q meets chunk o, as the left side where q <= o
     members = members.select("rep", "t", "bucket", F.least("q", "o").alias("ci"), F.greatest("q", "o").alias("cj"), F.when(F.col("q") <= F.col("o"), 0).otherwise(1).alias("side"))
     full = members.join(classes.select("rep", "mult", "v").join(keyed, "rep"), "rep")
-    found = full.groupBy("bucket", "ci", "cj").applyInPandas(block_links(threshold, sigmas), "rep bigint, n bigint, root bigint")
-    found = staged(found)
+    found = staged(block_links(full, threshold, sigmas))
     links = found.groupBy("rep").agg(F.sum("n").alias("n"))
     comp = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     of_class = classes.select("h1", "h2", "rep", "mult").join(links, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
