@@ -66,8 +66,8 @@ def phrase_places(words: str, phrases=PHRASES) -> list[Column]:
         first.append(F.when(has, _spaces(parts[0])))
         last.append(F.when(has, n - _spaces(F.element_at(parts, -1))))
         labels.append(F.when(has, F.lit(label)))
-    return [n.alias("n_words"), sum(count[1:], count[0]).cast("bigint").alias("n_base"), F.least(*first).cast("bigint").alias("first_word"),
-            F.greatest(*last).cast("bigint").alias("last_word"), F.array_sort(F.array_distinct(F.array_compact(F.array(*labels)))).alias("base")]
+    return [n.alias("n_words"), sum(count[1:], count[0]).cast("bigint").alias("n_base"), F.array_min(F.array(*first)).cast("bigint").alias("first_word"),
+            F.array_max(F.array(*last)).cast("bigint").alias("last_word"), F.array_sort(F.array_distinct(F.array_compact(F.array(*labels)))).alias("base")]
 
 
 def blocks_of(docs: DataFrame, key: list[str], text: str, size: int = BLOCK) -> DataFrame:
