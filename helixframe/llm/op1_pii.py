@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from helixframe.llm.common import pieces, staged, text_of
 
 CONTEXT, CONTEXT_CHARS, SUPPORT, GENERALISE, REMOVE = 6, 160, 3, 0.8, 0.95
+HELD_WORDS = 200_000
 KINDS = ["email", "ip", "card", "phone", "term"]
 # Characters of the patterns.
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -143,14 +144,18 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def document_frequencies(docs: DataFrame, text_col: str) -> DataFrame:
-    """(t, n): documents that hold each word, counted per batch before the shuffle."""
+    """(t, n): documents that hold each word, counted in each task (``HELD_WORDS`` words at a time) before the shuffle."""
 
     def run(batches):
+        n = Counter()
+        rows = lambda: pa.record_batch([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["t", "n"])
         for batch in batches:
-            n = Counter()
             for value in batch.column(0):
                 n.update({w.lower() for w in WORD.findall(value.as_py())})
-            yield pa.record_batch([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["t", "n"])
+                if len(n) >= HELD_WORDS:
+                    yield rows()
+                    n.clear()
+        yield rows()
 
     return docs.select(text_of(text_col).alias("t")).mapInArrow(run, "t string, n bigint")
 
@@ -171,7 +176,7 @@ def disclosing(docs: DataFrame, mentions: DataFrame, n_docs: int, text_col: str,
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, generalise: float = GENERALISE):
     """(rows, term spans): a row for each document with its pattern spans, and (k1, k2, own) with the term spans as an array."""
     found = staged(found_rows(docs, id_col, text_col))
-    mentions = found.where(F.size("terms") > 0).dropDuplicates(["k1", "k2"]).select("k1", "k2", F.explode("terms").alias("x")).select("k1", "k2", "x.*")
+    mentions = found.where(F.size("terms") > 0).select("k1", "k2", F.explode("terms").alias("x")).select("k1", "k2", "x.*")
     flagged = disclosing(docs, mentions, found.count(), text_col, support, generalise)
     spans = mentions.join(flagged, ["e", "t"]).groupBy("k1", "k2", "s", "f").agg(F.max("share").alias("share"))
     own = spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("s", "f", "share")).alias("own"))  # at most the words around the mentions of one document
