@@ -4,12 +4,12 @@ Two zstandard dictionaries are trained on a bounded sample of labelled rows, one
 one on ordinary text.  Both end in the same common words; in front stand the word beginnings that
 set the class apart (highest count times log rate ratio).  Every whole text is cut into windows of
 ``WINDOW`` words, each window is compressed with both dictionaries, and the differences in length
-give four features (gain per 100 bytes, largest gain, mean of the three largest, share of windows with a gain of
-``GAIN``).  A logistic curve, calibrated on the same sample, turns them into a score; 0.5 is the threshold.
+give a few features (gain per 100 bytes, largest gains, shares and counts of windows with a gain or loss of ``GAIN``).  A
+logistic curve, calibrated on the same sample, turns them into a score; 0.5 is the threshold.
 
 Bounds of the fit (parameters): ``SAMPLE`` labelled rows, the lowest by a hash of the id.  The piece
 and word counts of the sample are aggregated by Spark; only the chosen pieces and the sample's
-features (four numbers a row) reach the driver.
+features (ten numbers a row) reach the driver.
 
 Defined cases: null or empty text has no window and all features 0; rows without an id are
 scored and never learnt from; a label given twice counts as its maximum; without labelled rows of both classes
@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from helixframe.llm.common import pieces
 
 SAMPLE = 6000
-WINDOW, GAIN, LEVEL = 8, 1, 9
+WINDOW, GAIN, LEVEL, N_FEATURES = 8, 1, 9, 10
 N_PIECES, RATIO, N_COMMON, MIN_COUNT, PER_DOC = 40, 6.0, 2500, 8, 5
 PIECE_CHARS = range(4, 11)
 WORD = re.compile(r"[^\W\d_]+")
@@ -100,22 +100,24 @@ class Model:
     def features(text: str | None, ordinary, toxic) -> list[float]:
         words = WORD.findall((text or "").lower())
         if not words:
-            return [0.0] * 4
+            return [0.0] * N_FEATURES
         windows = [(" " + " ".join(words[i:i + WINDOW])).encode() for i in range(0, len(words), WINDOW)]
         gain = np.array([len(ordinary.compress(w)) - len(toxic.compress(w)) for w in windows], float)
         top = np.sort(gain)[::-1]
-        return [100 * gain.sum() / sum(map(len, windows)), top[0], top[:3].mean(), (gain >= GAIN).mean()]
+        n, once, twice, less = len(gain), (gain >= GAIN).sum(), (gain >= 2 * GAIN).sum(), (gain <= -GAIN).sum()
+        return [100 * gain.sum() / sum(map(len, windows)), top[0], top[:3].mean(), once / n, twice / n, less / n, np.log1p(once), np.log1p(twice), np.log1p(n), np.log1p(less)]
 
     def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
         self.mean, self.scale = x.mean(0), x.std(0) + 1e-9
-        a, w = self.inputs(x), np.zeros(x.shape[1] + 1)
+        a, w = self.inputs(x), np.zeros(2 * x.shape[1] + 1)
         for _ in range(60):
             p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
             w = w + np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + 1e-2 * np.eye(len(w)), a.T @ (y - p) - 1e-2 * w)
         self.weights = w
 
     def inputs(self, x: np.ndarray) -> np.ndarray:
-        return np.c_[2 * np.tanh((x - self.mean) / self.scale / 2), np.ones(len(x))]
+        z = np.tanh((x - self.mean) / self.scale / 2)
+        return np.c_[2 * z, z * z, np.ones(len(x))]
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.inputs(x) @ self.weights, -30, 30)))
@@ -147,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model | None:
                 x = [model.features(t.as_py(), *c) for t in batch.column(0)]
                 yield pa.record_batch([batch.column(1), pa.array(x, pa.list_(pa.float64()))], names=["toxic", "x"])
 
-        got = rows.mapInArrow(run, "toxic int, x array<double>").collect()  # four numbers for each row of the bounded sample
+        got = rows.mapInArrow(run, "toxic int, x array<double>").collect()  # ten numbers for each row of the bounded sample
         got.sort(key=lambda r: (r["toxic"], r["x"]))
         model.calibrate(np.array([r["x"] for r in got]), np.array([float(r["toxic"]) for r in got]))
         return model
@@ -165,7 +167,7 @@ def scored(docs: DataFrame, model: Model | None, text_col: str = "text", score:
         c = model.compressors()
         for batch in batches:
             for part in pieces(batch, 512):
-                x = np.array([model.features(t.as_py(), *c) for t in part.column(at)]).reshape(-1, 4)
+                x = np.array([model.features(t.as_py(), *c) for t in part.column(at)]).reshape(-1, N_FEATURES)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.scores(x))], names=[*part.schema.names, score])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType())]))
