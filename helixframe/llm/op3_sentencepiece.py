@@ -10,7 +10,8 @@ not its encoding.  The fold therefore runs the model's merges over the lattice:
 boundaries as bits, and a merge removes the boundary inside the best edge (highest score, then leftmost) whose two halves are
 symbols now.  The result equals the library's ids.
 
-Nothing is shuffled: a batch's unit rows come before its document rows, narrow steps keep that order, and
+The ``KNOWN`` most frequent units of a sample are encoded first, once, and broadcast (their number bounds them); the batches encode the rest.
+No text is shuffled: a batch's unit rows come before its document rows, narrow steps keep that order, and
 the last step looks the units of each document up in the batch's own table (it fails rather than guess if a unit is missing).  Memory is bounded
 by the batch: it is closed after the document that brings it to ``BATCH_WORDS`` distinct words or ``BATCH_CHARS`` characters.
 
@@ -23,6 +24,8 @@ from __future__ import annotations
 import hashlib
 import re
 from array import array
+from collections import Counter
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +38,7 @@ from helixframe.llm.common import pieces, text_of
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BATCH_WORDS, BATCH_CHARS, BITS = 500_000, 1 << 25, 60
+KNOWN, SAMPLE = 150_000, 16
 
 # Rows of the stream: k >= 0 is a unit (word), MAP the units of the batch's words, DOC a document; doc: its payload.
 _ROWS, MAP, DOC = "k int, word string, doc binary", -2, -1
@@ -121,23 +125,82 @@ def word_list(text: str) -> list[str]:
     return words
 
 
-def unit_rows(docs: DataFrame, id_col: str, text_col: str, unit: str) -> DataFrame:
-    """Per batch: a row for each distinct unit, one that tells the units of each distinct word, one for each document (id, md5, words)."""
+def frequent_units(docs: DataFrame, text_col: str, unit: str) -> list[str]:
+    """The ``KNOWN`` most frequent units of the words in a sample of rows (one in ``SAMPLE`` by a hash of the text)."""
 
     def run(batches):
-        words, units, of_word, out, chars = {}, {}, [], [], 0
+        n, find = Counter(), re.compile(unit).findall
+        for batch in batches:
+            for text in batch.column(0):
+                for w in word_list(text.as_py()):
+                    n[w] += 1
+        out = Counter()
+        for w, c in n.items():
+            for u in find("▁" + w):
+                out[u] += c
+        yield pa.record_batch([pa.array(list(out), pa.string()), pa.array(list(out.values()), pa.int64())], names=["u", "c"])
+
+    text = docs.select(text_of(text_col).alias("t")).where(f"t <> '' and pmod(xxhash64(t), {SAMPLE}) = 0").mapInArrow(run, "u string, c bigint")
+    top = text.groupBy("u").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "u").limit(KNOWN)
+    return sorted(r["u"] for r in top.select("u").collect())
+
+
+class Known:
+    """Units encoded once for all tasks: their numbers, and their ids end to end.  Which units are known changes no result."""
+
+    def __init__(self, units: list[str], ids: list[list[int]]):
+        self.numbers = {u: i for i, u in enumerate(units)}
+        self.flat = array("i", [x for run in ids for x in run])
+        self.begin = array("q", [0, *accumulate(map(len, ids))])
+
+
+def known_units(docs: DataFrame, text_col: str, v: "Vocabulary", table: DataFrame) -> Known:
+    """The frequent units through the same lattice and fold as all others."""
+    units = frequent_units(docs, text_col, v.unit)
+    if not units:
+        return Known([], [])
+    spark = docs.sparkSession
+    rows = spark.createDataFrame(pa.table({"k": pa.array(range(len(units)), pa.int32()), "word": units})).select("k", "word", F.lit(None).cast("binary").alias("doc"))
+    found = grouped(lattice(rows, table, v.longest)).select("k", "n", F.expr(FOLD).alias("bounds")).collect()  # KNOWN rows of three numbers at most
+    ids: list = [None] * len(units)
+    for r in found:
+        ids[r["k"]] = v.ids_of(symbols(units[r["k"]], r["n"], r["bounds"], v.rank))
+    return Known(units, ids)
+
+
+def symbols(word: str, n: int, bounds: int | None, rank: dict[str, int]) -> list[str]:
+    """The pieces of a unit between its last boundaries; a unit too long for the fold is merged here."""
+    if bounds is None:
+        return merged(word, rank)
+    if bounds == (1 << n) + 1:
+        return [word]
+    cuts = [c for c in range(n + 1) if bounds >> c & 1]
+    return [word[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+
+
+def unit_rows(docs: DataFrame, id_col: str, text_col: str, unit: str, known) -> DataFrame:
+    """Per batch: a row for each distinct unit that is not known, one that tells the units of each distinct word, one for each document (id, md5, words)."""
+
+    def run(batches):
+        seen = known.value.numbers
+        first, units = len(seen), {}
+        words, of_word, out, chars = {}, [], [], 0
         find = re.compile(unit).findall
 
+        def number(u):
+            k = seen.get(u)
+            return units.setdefault(u, first + len(units)) if k is None else k
+
         def rows(k, word, doc):
             return pa.record_batch([pa.array(k, pa.int32()), pa.array(word, pa.string()), pa.array(doc, pa.binary())], names=["k", "word", "doc"])
 
         def flush():
             for w in words:
-                of_word.append([units.setdefault(u, len(units)) for u in find("▁" + w)])
+                of_word.append([number(u) for u in find("▁" + w)])
             listed = list(units)
             for at in range(0, len(listed), 20_000):
                 part = listed[at:at + 20_000]
-                yield rows(range(at, at + len(part)), part, [None] * len(part))
+                yield rows(range(first + at, first + at + len(part)), part, [None] * len(part))
             ends = np.cumsum([0, *map(len, of_word)], dtype=np.int64)
             flat = np.fromiter((u for x in of_word for u in x), np.int32, int(ends[-1]))
             yield rows([MAP], [None], [len(ends).to_bytes(8, "little") + ends.tobytes() + flat.tobytes()])
@@ -253,29 +316,26 @@ ELSE aggregate(sequence(1, greatest(n - 1, 1)), {_START}, (acc, step) ->
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL) -> DataFrame:
     """(id, ids array<int>, round_trip): the ids of each text, and whether decoding them gives the text back."""
     v = Vocabulary(model)
-    rows = lattice(unit_rows(docs, id_col, text_col, v.unit), v.table(docs.sparkSession), v.longest)
+    table = v.table(docs.sparkSession)
+    known = docs.sparkSession.sparkContext.broadcast(known_units(docs, text_col, v, table))
+    rows = lattice(unit_rows(docs, id_col, text_col, v.unit, known), table, v.longest)
     folded = grouped(rows).select("k", "word", "doc", "n", F.expr(FOLD).alias("bounds"))
 
     def run(batches):
         text_of_ids = v.decoder()
-        begin, flat = array("q", [0]), array("i")  # ids of all units of the batch end to end, and where each begins
+        start = known.value
+        begin, flat = start.begin[:], start.flat[:]  # ids of all units of the batch end to end, and where each begins
         words = None
         for batch in (part for whole in batches for part in pieces(whole, 2048)):
             ids, out, same = [], [], []
             get = batch.to_pydict()
             for k, word, doc, n, bounds in zip(*(get[c] for c in ("k", "word", "doc", "n", "bounds"))):
                 if k >= 0:
-                    if k == 0:
-                        begin, flat = array("q", [0]), array("i")
+                    if k == len(start.begin) - 1:
+                        begin, flat = start.begin[:], start.flat[:]
                     if k != len(begin) - 1:
                         raise RuntimeError("units out of order")
-                    if bounds is None:
-                        flat.extend(v.ids_of(merged(word, v.rank)))
-                    elif bounds == (1 << n) + 1:
-                        flat.extend(v.ids_of([word]))
-                    else:
-                        cuts = [c for c in range(n + 1) if bounds >> c & 1]
-                        flat.extend(v.ids_of([word[a:b] for a, b in zip(cuts[:-1], cuts[1:])]))
+                    flat.extend(v.ids_of(symbols(word, n, bounds, v.rank)))
                     begin.append(len(flat))
                 elif k == MAP:
                     m = int.from_bytes(doc[:8], "little")
