@@ -123,3 +123,30 @@ def licence_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out.select(F.col("_id").alias(id_col), "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"),
                       F.array_join(labels, ",").alias("labels"),
                       F.when(F.size("base") > 0, F.lit(1.0)).otherwise(F.coalesce("best", F.lit(0.0))).alias("score"))
+
+
+def _oracle(phrases=PHRASES, templates=TEMPLATES, theta: float = THETA, size: int = BLOCK) -> str:
+    """The same rows by plain comparison of every block with every template."""
+    at = {label: f"list_filter(range(1, len(w) + 1), lambda i: {' AND '.join(f'w[i + {k}] = {x!r}' for k, x in enumerate(p.split()))})" for p, label in phrases}
+    rows = ", ".join(f"('{label}', {sorted(set(t.split()))!r}, {math.ceil(theta * len(set(t.split())) - 1e-9)})" for label, t in templates)
+    places = ", ".join(f"{expr} AS p{k}" for k, expr in enumerate(at.values()))
+    every = "list_concat(" * (len(at) - 1) + "p0" + "".join(f", p{k})" for k in range(1, len(at)))
+    labels = "list_filter([" + ", ".join(f"CASE WHEN len(p{k}) > 0 THEN '{x}' END" for k, x in enumerate(at)) + "], lambda x: x IS NOT NULL)"
+    word = "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'"
+    return f"""
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+b AS (SELECT doc_id, len(w) AS n, {places} FROM (SELECT doc_id, regexp_extract_all(t, {word}) AS w FROM d)),
+base AS (SELECT doc_id, n, {every} AS p, list_sort({labels}) AS l FROM b),
+lines AS (SELECT doc_id, regexp_extract_all(line, {word}) AS w FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)),
+blocks AS (SELECT doc_id, list_distinct(w[s:s + {size - 1}]) AS w FROM (SELECT doc_id, w, unnest(CASE WHEN len(w) <= {size} THEN [1]
+  ELSE range(1, len(w) - {size // 2} + 1, {size // 2}) END) AS s FROM lines)),
+tm AS (SELECT * FROM (VALUES {rows}) v(label, tw, need)),
+met AS (SELECT doc_id, label, len(list_intersect(w, tw)) / len(tw)::DOUBLE AS c FROM blocks, tm WHERE len(list_intersect(w, tw)) >= need),
+own AS (SELECT doc_id, list(DISTINCT label) AS l, max(c) AS best FROM met GROUP BY doc_id)
+SELECT base.doc_id, n AS n_words, len(p) AS n_base, list_min(p) - 1 AS first_word, list_max(p) - 1 AS last_word, array_to_string(base.l, ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(base.l, coalesce(own.l, [])))), ',') AS labels,
+  CASE WHEN len(base.l) > 0 THEN 1.0 ELSE coalesce(own.best, 0.0) END AS score
+FROM base LEFT JOIN own ON own.doc_id = base.doc_id"""
+
+
+ORACLE = _oracle()
