@@ -351,7 +351,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     told = staged(bucket_firsts(sampled_rows(rows), True))
     edges = told.where("kind = 2").select("name", "doc", "pk")
     busy = edges.groupBy("name").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > hot).select("name", F.lit(True).alias("_hot"))
-    edges = edges.join(busy, "name", "left").withColumn("hot", F.coalesce("_hot", F.lit(False)))
+    edges = edges.join(staged(busy), "name", "left").withColumn("hot", F.coalesce("_hot", F.lit(False)))
     tied = staged(tie_strings(edges, rows))
     few = settled_ties(tied.where("w is null").select("name", "doc", "pk", "ctx"))
     many = tied.where("w is not null").select("name", F.when(F.col("w") != 0, F.col("w")).alias("ctx"), "doc", "pk")
