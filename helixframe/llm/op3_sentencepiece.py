@@ -25,7 +25,7 @@ import hashlib
 import re
 from array import array
 from collections import Counter
-from itertools import accumulate
+from itertools import accumulate, islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 from helixframe.llm.common import pieces, text_of
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-BATCH_WORDS, BATCH_CHARS, BITS = 500_000, 1 << 25, 60
+BATCH_WORDS, BATCH_CHARS, BITS = 200_000, 1 << 23, 60
 KNOWN, SAMPLE = 150_000, 16
 
 # Rows of the stream: k >= 0 is a unit (word), MAP the units of the batch's words, DOC a document; doc: its payload.
@@ -145,27 +145,33 @@ def frequent_units(docs: DataFrame, text_col: str, unit: str) -> list[str]:
     return sorted(r["u"] for r in top.select("u").collect())
 
 
-class Known:
-    """Units encoded once for all tasks: their numbers, and their ids end to end.  Which units are known changes no result."""
+class Numbers(dict):
+    """Consecutive numbers for keys as they are first seen; keys of ``known`` have theirs already."""
 
-    def __init__(self, units: list[str], ids: list[list[int]]):
-        self.numbers = {u: i for i, u in enumerate(units)}
-        self.flat = array("i", [x for run in ids for x in run])
-        self.begin = array("q", [0, *accumulate(map(len, ids))])
+    def __init__(self, known=()):
+        self.known = known
+        self.first = len(known)
 
+    def __missing__(self, key):
+        if key in self.known:
+            return self.known[key]
+        self[key] = n = self.first + len(self)
+        return n
 
-def known_units(docs: DataFrame, text_col: str, v: "Vocabulary", table: DataFrame) -> Known:
-    """The frequent units through the same lattice and fold as all others."""
+
+def known_units(docs: DataFrame, text_col: str, v: "Vocabulary", table: DataFrame) -> tuple[list[str], array, array]:
+    """The frequent units, encoded once for all tasks through the same lattice and fold as all others: the units, where the ids of
+    each begin, and all ids end to end.  Which units are known changes no result."""
     units = frequent_units(docs, text_col, v.unit)
     if not units:
-        return Known([], [])
+        return [], array("q", [0]), array("i")
     spark = docs.sparkSession
     rows = spark.createDataFrame(pa.table({"k": pa.array(range(len(units)), pa.int32()), "word": units})).select("k", "word", F.lit(None).cast("binary").alias("doc"))
     found = grouped(lattice(rows, table, v.longest)).select("k", "n", F.expr(FOLD).alias("bounds")).collect()  # KNOWN rows of three numbers at most
     ids: list = [None] * len(units)
     for r in found:
         ids[r["k"]] = v.ids_of(symbols(units[r["k"]], r["n"], r["bounds"], v.rank))
-    return Known(units, ids)
+    return units, array("q", [0, *accumulate(map(len, ids))]), array("i", [x for run in ids for x in run])
 
 
 def symbols(word: str, n: int, bounds: int | None, rank: dict[str, int]) -> list[str]:
@@ -182,27 +188,22 @@ def unit_rows(docs: DataFrame, id_col: str, text_col: str, unit: str, known) ->
     """Per batch: a row for each distinct unit that is not known, one that tells the units of each distinct word, one for each document (id, md5, words)."""
 
     def run(batches):
-        seen = known.value.numbers
-        first, units = len(seen), {}
-        words, of_word, out, chars = {}, [], [], 0
+        seen = {u: i for i, u in enumerate(known.value)}
+        units, words, out, chars = Numbers(seen), Numbers(), [], 0
         find = re.compile(unit).findall
 
-        def number(u):
-            k = seen.get(u)
-            return units.setdefault(u, first + len(units)) if k is None else k
-
         def rows(k, word, doc):
             return pa.record_batch([pa.array(k, pa.int32()), pa.array(word, pa.string()), pa.array(doc, pa.binary())], names=["k", "word", "doc"])
 
         def flush():
+            ends, flat = array("q", [0]), array("i")
             for w in words:
-                of_word.append([number(u) for u in find("▁" + w)])
-            listed = list(units)
-            for at in range(0, len(listed), 20_000):
-                part = listed[at:at + 20_000]
-                yield rows(range(first + at, first + at + len(part)), part, [None] * len(part))
-            ends = np.cumsum([0, *map(len, of_word)], dtype=np.int64)
-            flat = np.fromiter((u for x in of_word for u in x), np.int32, int(ends[-1]))
+                flat.extend(map(units.__getitem__, find("▁" + w)))
+                ends.append(len(flat))
+            listed = iter(units)
+            for at in range(0, len(units), 20_000):
+                part = list(islice(listed, 20_000))
+                yield rows(range(units.first + at, units.first + at + len(part)), part, [None] * len(part))
             yield rows([MAP], [None], [len(ends).to_bytes(8, "little") + ends.tobytes() + flat.tobytes()])
             for at in range(0, len(out), 512):
                 part = out[at:at + 512]
@@ -213,13 +214,13 @@ def unit_rows(docs: DataFrame, id_col: str, text_col: str, unit: str, known) ->
                 for i, text in zip(part.column(0).to_pylist(), part.column(1)):
                     text = text.as_py()
                     found = word_list(text) if text else []
-                    at = np.fromiter((words.setdefault(w, len(words)) for w in found), np.int32, len(found))
+                    at = np.fromiter(map(words.__getitem__, found), np.int32, len(found))
                     mark = hashlib.md5(text.replace("▁", " ").encode()).digest()
                     out.append((b"\0" * 9 if i is None else b"\1" + i.to_bytes(8, "little", signed=True)) + mark + at.tobytes())
                     chars += len(text)
                     if len(words) >= BATCH_WORDS or chars >= BATCH_CHARS:
                         yield from flush()
-                        words, units, of_word, out, chars = {}, {}, [], [], 0
+                        units, words, out, chars = Numbers(seen), Numbers(), [], 0
         yield from flush()
 
     return docs.select(F.col(id_col).cast("bigint"), text_of(text_col)).mapInArrow(run, _ROWS)
@@ -317,22 +318,23 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     """(id, ids array<int>, round_trip): the ids of each text, and whether decoding them gives the text back."""
     v = Vocabulary(model)
     table = v.table(docs.sparkSession)
-    known = docs.sparkSession.sparkContext.broadcast(known_units(docs, text_col, v, table))
+    units, *runs = known_units(docs, text_col, v, table)
+    known, known_runs = (docs.sparkSession.sparkContext.broadcast(x) for x in (units, runs))
     rows = lattice(unit_rows(docs, id_col, text_col, v.unit, known), table, v.longest)
     folded = grouped(rows).select("k", "word", "doc", "n", F.expr(FOLD).alias("bounds"))
 
     def run(batches):
         text_of_ids = v.decoder()
-        start = known.value
-        begin, flat = start.begin[:], start.flat[:]  # ids of all units of the batch end to end, and where each begins
+        start = known_runs.value
+        begin, flat = start[0][:], start[1][:]  # ids of all units of the batch end to end, and where each begins
         words = None
         for batch in (part for whole in batches for part in pieces(whole, 2048)):
             ids, out, same = [], [], []
             get = batch.to_pydict()
             for k, word, doc, n, bounds in zip(*(get[c] for c in ("k", "word", "doc", "n", "bounds"))):
                 if k >= 0:
-                    if k == len(start.begin) - 1:
-                        begin, flat = start.begin[:], start.flat[:]
+                    if k == len(start[0]) - 1:
+                        begin, flat = start[0][:], start[1][:]
                     if k != len(begin) - 1:
                         raise RuntimeError("units out of order")
                     flat.extend(v.ids_of(symbols(word, n, bounds, v.rank)))
