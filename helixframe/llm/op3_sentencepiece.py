@@ -13,7 +13,7 @@ symbols now.  The result equals the library's ids.
 The ``KNOWN`` most frequent units of a sample are encoded first, once, and broadcast (their number bounds them); the batches encode the rest.
 No text is shuffled: a batch's unit rows come before its document rows, narrow steps keep that order, and
 the last step looks the units of each document up in the batch's own table (it fails rather than guess if a unit is missing).  Memory is bounded
-by the batch: it is closed after the document that brings it to ``BATCH_WORDS`` distinct words or ``BATCH_CHARS`` characters.
+by the batch: it is closed after the document that brings it to ``BATCH_WORDS`` distinct words or ``BATCH_CHARS`` characters; units are held over batches up to ``HELD_UNITS``.
 
 Defined cases: null and empty texts have no ids; ``▁`` in a text reads as a space, as in the library; characters outside the table become byte
 pieces; a unit of more than ``BITS`` symbols is merged in the last step by the same rule; repeated rows are encoded alike;
@@ -38,7 +38,7 @@ from helixframe.llm.common import pieces, text_of
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BATCH_WORDS, BATCH_CHARS, BITS = 200_000, 1 << 23, 60
-KNOWN, SAMPLE = 150_000, 16
+KNOWN, SAMPLE, HELD_UNITS = 150_000, 16, 600_000
 
 # Rows of the stream: k >= 0 is a unit (word), MAP the units of the batch's words, DOC a document; doc: its payload.
 _ROWS, MAP, DOC = "k int, word string, doc binary", -2, -1
@@ -185,11 +185,11 @@ def symbols(word: str, n: int, bounds: int | None, rank: dict[str, int]) -> list
 
 
 def unit_rows(docs: DataFrame, id_col: str, text_col: str, unit: str, known) -> DataFrame:
-    """Per batch: a row for each distinct unit that is not known, one that tells the units of each distinct word, one for each document (id, md5, words)."""
+    """Per batch: a row for each distinct unit that neither is known nor stood in an earlier batch of the task, one that tells the units of each distinct word, one for each document (id, md5, words)."""
 
     def run(batches):
         seen = {u: i for i, u in enumerate(known.value)}
-        units, words, out, chars = Numbers(seen), Numbers(), [], 0
+        units, told, words, out, chars = Numbers(seen), 0, Numbers(), [], 0
         find = re.compile(unit).findall
 
         def rows(k, word, doc):
@@ -200,8 +200,8 @@ def unit_rows(docs: DataFrame, id_col: str, text_col: str, unit: str, known) ->
             for w in words:
                 flat.extend(map(units.__getitem__, find("▁" + w)))
                 ends.append(len(flat))
-            listed = iter(units)
-            for at in range(0, len(units), 20_000):
+            listed = islice(units, told, None)  # units of earlier batches are known to the last step already
+            for at in range(told, len(units), 20_000):
                 part = list(islice(listed, 20_000))
                 yield rows(range(units.first + at, units.first + at + len(part)), part, [None] * len(part))
             yield rows([MAP], [None], [len(ends).to_bytes(8, "little") + ends.tobytes() + flat.tobytes()])
@@ -220,7 +220,9 @@ def unit_rows(docs: DataFrame, id_col: str, text_col: str, unit: str, known) ->
                     chars += len(text)
                     if len(words) >= BATCH_WORDS or chars >= BATCH_CHARS:
                         yield from flush()
-                        units, words, out, chars = Numbers(seen), Numbers(), [], 0
+                        words, out, chars, told = Numbers(), [], 0, len(units)
+                        if told >= HELD_UNITS:
+                            units, told = Numbers(seen), 0
         yield from flush()
 
     return docs.select(F.col(id_col).cast("bigint"), text_of(text_col)).mapInArrow(run, _ROWS)
@@ -233,7 +235,9 @@ def lattice(rows: DataFrame, table: DataFrame, longest: int) -> DataFrame:
     sub = rows.select("k", "word", "doc", n.alias("n"), F.explode_outer(F.when(use, F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))))).alias("s"))
     lens = F.when(F.col("s") == 0, F.sequence(F.lit(1), F.least(F.lit(longest), "n"))).when(F.col("s") > 0, F.sequence(F.lit(2), F.least(F.lit(longest), F.col("n") - F.col("s"))))
     sub = sub.select("k", "word", "doc", "s", F.explode_outer(lens).alias("len")).withColumn("piece", F.col("word").substr(F.col("s") + 1, F.col("len")))
-    sub = sub.join(F.broadcast(table), "piece", "left")
+    keyed = table.select(F.xxhash64("piece").alias("hash"), F.col("piece").alias("same"), "rank")
+    sub = sub.withColumn("hash", F.xxhash64("piece")).join(F.broadcast(keyed), "hash", "left")  # a long key; the strings decide
+    sub = sub.withColumn("rank", F.when(F.col("piece") == F.col("same"), F.col("rank")))
     own = F.col("s").isNull() | ((F.col("s") == 0) & (F.col("len") == 1))
     sub = sub.where(F.col("rank").isNotNull() | own)
     big = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint")

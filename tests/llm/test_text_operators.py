@@ -107,6 +107,16 @@ def test_codec_equals_the_library(docs_of):
         assert (i, out[i]["ids"], out[i]["decoded"]) == (i, sp.encode(t), t)
 
 
+def test_codec_over_many_batches(docs_of, monkeypatch):
+    import sentencepiece
+    sp = sentencepiece.SentencePieceProcessor(model_file=op3_sentencepiece.MODEL)
+    for name, value in (("BATCH_WORDS", 30), ("HELD_UNITS", 50), ("KNOWN", 10), ("SAMPLE", 2)):
+        monkeypatch.setattr(op3_sentencepiece, name, value)
+    rows = [(i, " ".join(words(i % 17, 25))) for i in range(60)]
+    out = by_id(op3_sentencepiece.encode(docs_of(rows).coalesce(2)))
+    assert all(out[i]["ids"] == sp.encode(t) and out[i]["round_trip"] for i, t in rows)
+
+
 def test_codec_edges(docs_of):
     out = op3_sentencepiece.round_trip(docs_of(EDGE)).collect()
     assert len(out) == len(EDGE) and all(r["round_trip"] for r in out)
