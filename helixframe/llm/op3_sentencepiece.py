@@ -313,7 +313,7 @@ FOLD = f"""
 CASE WHEN k < 0 OR n > {BITS} THEN NULL
 WHEN NOT twice THEN aggregate(zip_with(inside, ends, (i, e) -> struct(i, e)), {_START}, (acc, x) ->
   CASE WHEN (acc & x.e) = x.e AND bit_count(acc & x.i) = 1 THEN acc ^ (acc & x.i) ELSE acc END)
-ELSE aggregate(sequence(1, greatest(n - 1, 1)), {_START}, (acc, step) ->
+ELSE aggregate(sequence(1, greatest(least(n - 1, size(inside)), 1)), {_START}, (acc, step) ->
   acc ^ (acc & coalesce(try_element_at(filter(zip_with(inside, ends, (i, e) -> CASE WHEN (acc & e) = e AND bit_count(acc & i) = 1 THEN i END), i -> i IS NOT NULL), 1), 0L))) END
 """
 
