@@ -43,6 +43,17 @@ def pieces(batch: pa.RecordBatch, rows: int = 256):
         yield batch.slice(at, rows)
 
 
+def tidy() -> None:
+    """Hands freed memory back to the system at the end of a task: a Python worker is reused and idles with what it holds."""
+    import ctypes
+    import gc
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def components(nodes_pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): smallest node reachable over the pairs; nodes of the pairs only.
 

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import components, staged
+from helixframe.llm.common import components, staged, tidy
 from helixframe.llm.shingles import WordHashes, mixed, shingle_set, words
 
 BANDS, ROWS, RING, SEED = 32, 5, 1 << 22, 20240
@@ -76,6 +76,8 @@ def signed_rows(docs: DataFrame, id_col: str, text_col: str, n: int, bands: int,
                 out[3].append(band_keys(signature(s, table, bands * rows), bands, rows) if len(s) else None)
             yield pa.record_batch([batch.column(0), *[pa.array(x, pa.int64()) for x in out[:3]], pa.array(out[3], pa.list_(pa.int64()))],
                                   names=["id", "n_shingles", "f1", "f2", "bands"])
+        hashes = table = batch = out = s = None
+        tidy()
 
     return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col)).mapInArrow(
         run, "id bigint, n_shingles bigint, f1 bigint, f2 bigint, bands array<bigint>")
@@ -91,6 +93,8 @@ def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, n: i
             f = pa.array([int(x.sum(dtype=np.uint64).astype(np.int64)) for x in s], pa.int64())
             keep = pc.equal(f, batch.column(2))
             yield pa.record_batch([batch.column(0), pa.array([x.astype(np.int64) for x in s], pa.list_(pa.int64()))], names=["rep", "s"]).filter(keep)
+        hashes = batch = s = None
+        tidy()
 
     found = docs.select(F.col(id_col).cast("bigint").alias("rep"), F.col(text_col).alias("_t")).join(wanted.select("rep", "f1"), "rep")
     found = found.select("rep", "_t", "f1").mapInArrow(run, "rep bigint, s array<bigint>")

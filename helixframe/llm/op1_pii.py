@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import pieces, staged, text_of
+from helixframe.llm.common import pieces, staged, text_of, tidy
 
 CONTEXT, CONTEXT_CHARS, SUPPORT, GENERALISE, REMOVE = 6, 160, 3, 0.8, 0.95
 HELD_WORDS = 200_000
@@ -156,6 +156,8 @@ def document_frequencies(docs: DataFrame, text_col: str) -> DataFrame:
                     yield rows()
                     n.clear()
         yield rows()
+        n.clear()
+        tidy()
 
     return docs.select(text_of(text_col).alias("t")).mapInArrow(run, "t string, n bigint")
 

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.llm.common import pieces, text_of
+from helixframe.llm.common import pieces, text_of, tidy
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BATCH_WORDS, BATCH_CHARS, BITS = 200_000, 1 << 23, 60
@@ -139,9 +139,11 @@ def frequent_units(docs: DataFrame, text_col: str, unit: str) -> list[str]:
             for u in find("▁" + w):
                 out[u] += c
         yield pa.record_batch([pa.array(list(out), pa.string()), pa.array(list(out.values()), pa.int64())], names=["u", "c"])
+        n = out = None
+        tidy()
 
     text = docs.select(text_of(text_col).alias("t")).where(f"t <> '' and pmod(xxhash64(t), {SAMPLE}) = 0").mapInArrow(run, "u string, c bigint")
-    top = text.groupBy("u").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "u").limit(KNOWN)
+    top = text.groupBy("u").agg(F.sum("c").alias("c")).where("c > 1").orderBy(F.desc("c"), "u").limit(KNOWN)
     return sorted(r["u"] for r in top.select("u").collect())
 
 
@@ -224,6 +226,8 @@ def unit_rows(docs: DataFrame, id_col: str, text_col: str, unit: str, known) ->
                         if told >= HELD_UNITS:
                             units, told = Numbers(seen), 0
         yield from flush()
+        units = words = out = seen = batch = part = text = found = at = None
+        tidy()
 
     return docs.select(F.col(id_col).cast("bigint"), text_of(text_col)).mapInArrow(run, _ROWS)
 
@@ -302,6 +306,8 @@ def grouped(edges: DataFrame) -> DataFrame:
                 held = part.slice(cut)
         if held is not None:
             yield emit(held)
+        held = batch = part = e = k = None
+        tidy()
 
     return edges.mapInArrow(run, _EDGES)
 
@@ -352,6 +358,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
                     out.append(found)
                     same.append(hashlib.md5(text_of_ids(found.tolist()).encode()).digest() == doc[9:25])
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(out, pa.list_(pa.int32())), pa.array(same, pa.bool_())], names=["id", "ids", "round_trip"])
+        begin = flat = words = batch = get = ids = out = same = found = None
+        tidy()
 
     return folded.mapInArrow(run, "id bigint, ids array<int>, round_trip boolean").withColumnRenamed("id", id_col)
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.llm.common import pieces
+from helixframe.llm.common import pieces, tidy
 
 SAMPLE = 6000
 WINDOW, GAIN, LEVEL, N_FEATURES = 8, 1, 9, 10
@@ -169,6 +169,8 @@ def scored(docs: DataFrame, model: Model | None, text_col: str = "text", score:
             for part in pieces(batch, 512):
                 x = np.array([model.features(t.as_py(), *c) for t in part.column(at)]).reshape(-1, N_FEATURES)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.scores(x))], names=[*part.schema.names, score])
+        batch = part = x = None
+        tidy()
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType())]))
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import spread, staged, text_of
+from helixframe.llm.common import spread, staged, text_of, tidy
 
 LENGTH, BLOCK, CHUNK, HOT = 100, 24, 1 << 20, 256
 _LAST = (1 << 63) - 1
@@ -147,6 +147,8 @@ def sampled_rows(docs: DataFrame) -> DataFrame:
                 again[o[1:]] = key[1:] == key[:-1]
                 yield pa.record_batch([pa.array(np.where(again, mix(pk.astype(np.uint64)), name).astype(np.int64)), pa.array(ctx.astype(np.int64), mask=again), pa.array(doc), pa.array(pk)],
                                       names=["name", "ctx", "doc", "pk"])
+        block = range_ = held = batch = None
+        tidy()
 
     return docs.mapInArrow(run, "name bigint, ctx bigint, doc bigint, pk bigint")
 

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import pieces, staged, text_of
+from helixframe.llm.common import pieces, staged, text_of, tidy
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the published pre-split pattern of that vocabulary.
@@ -85,6 +85,8 @@ def write_token_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                         size = len(held[0])
         if size:
             yield row(seq, np.concatenate(held).tobytes(), None, None)
+        held = batch = part = texts = enc = None
+        tidy()
 
     return docs.select(F.col(id_col).cast("bigint"), text_of(text_col)).mapInArrow(run, _OUT)
 
