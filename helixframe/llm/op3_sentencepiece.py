@@ -37,8 +37,8 @@ from pyspark.sql import types as T
 from helixframe.llm.common import pieces, text_of, tidy
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-BATCH_WORDS, BATCH_CHARS, BITS = 200_000, 1 << 23, 60
-KNOWN, SAMPLE, HELD_UNITS = 150_000, 16, 600_000
+BATCH_WORDS, BATCH_CHARS, BITS = 200_000, 1 << 22, 60
+KNOWN, SAMPLE, HELD_UNITS = 50_000, 16, 300_000
 
 # Rows of the stream: k >= 0 is a unit (word), MAP the units of the batch's words, DOC a document; doc: its payload.
 _ROWS, MAP, DOC = "k int, word string, doc binary", -2, -1

@@ -66,6 +66,8 @@ def counted(rows: DataFrame) -> DataFrame:
             keys = list(total)
             yield pa.record_batch([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys]), pa.array([k[2] for k in keys]),
                                    pa.array([total[k] for k in keys], pa.int64())], names=["toxic", "kind", "piece", "c"])
+        batch = total = own = keys = None
+        tidy()
 
     return rows.mapInArrow(run, "toxic int, kind string, piece string, c bigint")
 
