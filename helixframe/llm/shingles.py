@@ -14,11 +14,11 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class WordHashes(dict):
-    """word -> 64-bit hash, filled on demand; emptied when it holds a million words."""
+    """word -> 64-bit hash, filled on demand; emptied when it holds 200,000 words."""
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
-        if len(self) >= 1_000_000:
+        if len(self) >= 200_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
