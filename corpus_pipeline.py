@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from helixframe.llm import op1_pii, op3_sentencepiece, op4_decontaminate, op5_toxicity, op10_minhash
-from helixframe.llm.common import read, staged
+from helixframe.llm.common import read, small_batches, staged
 
 
 def toxicity(spark, docs, sf_dir):
@@ -24,6 +24,7 @@ def toxicity(spark, docs, sf_dir):
 
 
 def near_duplicates(spark, docs, sf_dir):
+    small_batches(spark)
     return op10_minhash.one_of_each(docs, n=5, percent=80)
 
 
@@ -32,10 +33,12 @@ def decontamination(spark, docs, sf_dir):
 
 
 def pii(spark, docs, sf_dir):
+    small_batches(spark)
     return op1_pii.sanitised(docs)
 
 
 def sentencepiece(spark, docs, sf_dir):
+    small_batches(spark)
     return op3_sentencepiece.encode(docs).select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", "round_trip")
 
 
