@@ -3,8 +3,9 @@
 Patterns find e-mail addresses, IP addresses, card and phone numbers.  Each value is a protected
 entity e.  The words around its mentions (``CONTEXT`` on either side) are its terms t.  With document counts over
 the whole corpus, t discloses e by PMI(t; e) = log2(n(t, e) N / (n(t) n(e))) bits out of the IC(e) = log2(N / n(e)) bits that e
-holds.  A term seen near e in ``SUPPORT`` different contexts or more whose disclosure reaches ``GENERALISE`` of IC(e) is
-generalised to a tag, from ``REMOVE`` on it is removed.  Copies of one context count once in the support.
+holds.  The share n(t, e) / n(t) of t's documents is smoothed by ``PRIOR`` documents of the base rate n(e) / N, so few documents give
+less than many, and terms of every entity are judged, also of one in a single document.  A term whose disclosure reaches ``GENERALISE``
+of IC(e) is generalised to a tag, from ``REMOVE`` on it is removed.
 
 Everything is counted by Spark: contexts are short rows keyed by (entity, term), document frequencies are counted per batch
 before the shuffle, and the flagged terms meet their own mention rows by an equi-join, so neither lists nor spans pass
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from helixframe.llm.common import pieces, staged, text_of, tidy
 
-CONTEXT, CONTEXT_CHARS, SUPPORT, GENERALISE, REMOVE = 6, 160, 3, 0.8, 0.95
+CONTEXT, CONTEXT_CHARS, PRIOR, GENERALISE, REMOVE = 6, 160, 1.0, 0.8, 0.95
 HELD_WORDS = 200_000
 KINDS = ["email", "ip", "card", "phone", "term"]
 # Characters of the patterns.
@@ -108,12 +109,12 @@ def context(text: str, s: int, e: int, taken: list[tuple[int, int, int]]) -> lis
 
 
 _FOUND = ("k1 bigint, k2 bigint, id bigint, counts array<bigint>, base string, sha string, "
-          "terms array<struct<e:string,t:string,s:int,f:int,c:string>>")
+          "terms array<struct<e:string,t:string,s:int,f:int>>")
 
 
 def found_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row a document: pattern counts and spans, and the words around each mention."""
-    struct = pa.struct([("e", pa.string()), ("t", pa.string()), ("s", pa.int32()), ("f", pa.int32()), ("c", pa.string())])
+    struct = pa.struct([("e", pa.string()), ("t", pa.string()), ("s", pa.int32()), ("f", pa.int32())])
 
     def run(batches):
         for batch in batches:
@@ -129,8 +130,7 @@ def found_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     rows = []
                     for i, (s, k, e) in enumerate(spans):
                         who, near = entity(text, s, k, e), context(text, s, e, spans[max(0, i - 8):i + 9])
-                        mark = hashlib.md5(" ".join(w for w, _, _ in near).encode()).hexdigest()[:16]
-                        rows += [{"e": who, "t": w, "s": a, "f": b, "c": mark} for w, a, b in near]
+                        rows += [{"e": who, "t": w, "s": a, "f": b} for w, a, b in near]
                     terms.append(rows)
                 yield pa.record_batch([*part.columns[:3], pa.array(counts, pa.list_(pa.int64())), pa.array(base), pa.array(sha), pa.array(terms, pa.list_(struct))],
                                       names=["k1", "k2", "id", "counts", "base", "sha", "terms"])
@@ -162,24 +162,23 @@ def document_frequencies(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(text_of(text_col).alias("t")).mapInArrow(run, "t string, n bigint")
 
 
-def disclosing(docs: DataFrame, mentions: DataFrame, n_docs: int, text_col: str, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
+def disclosing(docs: DataFrame, mentions: DataFrame, n_docs: int, text_col: str, generalise: float = GENERALISE) -> DataFrame:
     """(e, t, share): terms that disclose at least ``generalise`` of an entity's information."""
     doc = F.struct("k1", "k2")
-    pair = mentions.groupBy("e", "t", "k1", "k2").agg(F.min("c").alias("c")).groupBy("e", "t").agg(F.count(F.lit(1)).alias("n_te"), F.approx_count_distinct("c", 0.01).alias("ctx"))
-    pair = pair.where(F.col("n_te") >= support).where(F.col("ctx") >= support)
+    pair = mentions.select("e", "t", "k1", "k2").distinct().groupBy("e", "t").agg(F.count(F.lit(1)).alias("n_te"))
     ents = mentions.select("e", doc.alias("d")).distinct().groupBy("e").agg(F.count(F.lit(1)).alias("n_e"))
     words = document_frequencies(docs, text_col).join(pair.select("t").distinct(), "t", "left_semi").groupBy("t").agg(F.sum("n").alias("n_t"))
     both = pair.join(ents, "e").join(words, "t")
-    pmi = F.log2(F.col("n_te") * float(n_docs) / (F.col("n_t") * F.col("n_e")))
-    ic = F.log2(F.lit(float(n_docs)) / F.col("n_e"))
-    return both.where("n_e < %d" % n_docs).withColumn("share", pmi / ic).where(F.col("share") >= generalise).select("e", "t", "share")
+    base = F.col("n_e") / float(n_docs)
+    pmi = F.log2((F.col("n_te") + PRIOR * base) / (F.col("n_t") + PRIOR) / base)
+    return both.where("n_e < %d" % n_docs).withColumn("share", pmi / -F.log2(base)).where(F.col("share") >= generalise).select("e", "t", "share")
 
 
-def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, generalise: float = GENERALISE):
+def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", generalise: float = GENERALISE):
     """(rows, term spans): a row for each document with its pattern spans, and (k1, k2, own) with the term spans as an array."""
     found = staged(found_rows(docs, id_col, text_col))
     mentions = found.where(F.size("terms") > 0).select("k1", "k2", F.explode("terms").alias("x")).select("k1", "k2", "x.*")
-    flagged = disclosing(docs, mentions, found.count(), text_col, support, generalise)
+    flagged = disclosing(docs, mentions, found.count(), text_col, generalise)
     spans = mentions.join(flagged, ["e", "t"]).groupBy("k1", "k2", "s", "f").agg(F.max("share").alias("share"))
     own = spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("s", "f", "share")).alias("own"))  # at most the words around the mentions of one document
     return found.drop("terms"), own

@@ -56,6 +56,13 @@ def test_terms_that_give_an_entity_away(docs_of):
     assert clean[100]["text"] == dict(far)[100]
 
 
+def test_terms_of_a_rare_entity_are_judged(docs_of):
+    once = "the zebracorn desk write bob@x.org today"
+    rows = by_id(op1_pii.scan(docs_of([(0, once)] + [(100 + i, f"the desk is here today write number {i}") for i in range(60)])))
+    assert rows[0]["spans"] == "term:4:13,email:25:34" and rows[0]["n_term"] == 1  # one document holds the entity
+    assert all(rows[100 + i]["n_term"] == 0 for i in range(60))
+
+
 def test_pii_edges(docs_of):
     out = op1_pii.scan(docs_of(EDGE)).collect()
     assert len(out) == len(EDGE) and all(r["base_sha256"] == hashlib.sha256(b"").hexdigest() for r in out)
