@@ -1,15 +1,16 @@
 """Personal data: patterns, and terms that give a protected entity away.
 
 Patterns find e-mail addresses, IP addresses, card and phone numbers.  Each value is a protected
-entity e.  The words around its mentions (``CONTEXT`` on either side) are its terms t.  With document counts over
+entity e.  The words of the documents that hold it are its terms t.  With document counts over
 the whole corpus, t discloses e by PMI(t; e) = log2(n(t, e) N / (n(t) n(e))) bits out of the IC(e) = log2(N / n(e)) bits that e
 holds.  The share n(t, e) / n(t) of t's documents is smoothed by ``PRIOR`` documents of the base rate n(e) / N, so few documents give
 less than many, and terms of every entity are judged, also of one in a single document.  A term whose disclosure reaches ``GENERALISE``
-of IC(e) is generalised to a tag, from ``REMOVE`` on it is removed.
+of IC(e) for any e is generalised to a tag, from ``REMOVE`` on it is removed: at all its places, in every document of the corpus.
 
-Everything is counted by Spark: contexts are short rows keyed by (entity, term), document frequencies are counted per batch
-before the shuffle, and the flagged terms meet their own mention rows by an equi-join, so neither lists nor spans pass
-through the driver and no list is broadcast by hand.
+Everything is counted by Spark: document frequencies are counted per batch before the shuffle; entities held by the same documents
+are judged as one; of a document's words only those rare enough to reach ``GENERALISE`` for an entity of it are paired with that
+entity.  The flagged terms meet the places of words by an equi-join.  Neither lists nor spans pass through the driver: a bitmap of
+``SLOTS`` bits, set where a flagged term's checksum falls, keeps most other words out of that join (and decides nothing else).
 
 Defined cases: null text is empty (no spans); rows repeated under one id are equal and get equal spans; rows with equal id and different text
 are told apart by a hash of the text; null ids are kept; an empty table gives no rows; other columns pass through ``sanitised`` untouched.
@@ -19,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
+from zlib import crc32
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,7 +28,8 @@ from pyspark.sql import functions as F
 
 from helixframe.llm.common import pieces, staged, text_of, tidy
 
-CONTEXT, CONTEXT_CHARS, PRIOR, GENERALISE, REMOVE = 6, 160, 1.0, 0.8, 0.95
+PRIOR, GENERALISE, REMOVE = 1.0, 0.8, 0.95
+SLOTS = 1 << 25
 HELD_WORDS = 200_000
 KINDS = ["email", "ip", "card", "phone", "term"]
 # Characters of the patterns.
@@ -95,31 +98,28 @@ def entity(text: str, s: int, k: int, e: int) -> str:
     return f"{KINDS[k]}:" + (text[s:e].lower() if k == 0 else "".join(DIGITS.findall(text[s:e])) if k > 1 else text[s:e])
 
 
-def context(text: str, s: int, e: int, taken: list[tuple[int, int, int]]) -> list[tuple[str, int, int]]:
-    """The nearest words on either side, outside of pattern matches."""
-    lo, hi = max(0, s - CONTEXT_CHARS), min(len(text), e + CONTEXT_CHARS)
-    left = [m.span() for m in WORD.finditer(text, lo, s)]
-    right = [m.span() for m in WORD.finditer(text, e, hi)]
-    if left and lo and left[0][0] == lo:
-        left = left[1:]
-    if right and hi < len(text) and right[-1][1] == hi:
-        right = right[:-1]
-    near = [(a, b) for a, b in left[-CONTEXT:] + right[:CONTEXT] if not any(x < b and a < y for x, _, y in taken)]
-    return [(text[a:b].lower(), a, b) for a, b in near]
+def outside(text: str, taken: list[tuple[int, int, int]]):
+    """(word, start, end) of the words outside of pattern matches (``taken``, by start)."""
+    k, end = 0, 0
+    for m in WORD.finditer(text):
+        a, b = m.span()
+        while k < len(taken) and taken[k][0] < b:
+            end = max(end, taken[k][2])
+            k += 1
+        if end <= a:
+            yield m.group().lower(), a, b
 
 
-_FOUND = ("k1 bigint, k2 bigint, id bigint, counts array<bigint>, base string, sha string, "
-          "terms array<struct<e:string,t:string,s:int,f:int>>")
+_FOUND = "k1 bigint, k2 bigint, id bigint, counts array<bigint>, base string, sha string, who array<string>, words array<string>"
 
 
 def found_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row a document: pattern counts and spans, and the words around each mention."""
-    struct = pa.struct([("e", pa.string()), ("t", pa.string()), ("s", pa.int32()), ("f", pa.int32())])
+    """One row a document: pattern counts and spans, its entities, and its words if it has any entity."""
 
     def run(batches):
         for batch in batches:
             for part in pieces(batch):
-                counts, base, sha, terms = [], [], [], []
+                counts, base, sha, who, words = [], [], [], [], []
                 for value in part.column(3):
                     text = value.as_py()
                     spans = base_spans(text)
@@ -127,13 +127,11 @@ def found_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     counts.append([n[k] for k in range(4)])
                     base.append(",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans))
                     sha.append(hashlib.sha256(base[-1].encode()).hexdigest())
-                    rows = []
-                    for i, (s, k, e) in enumerate(spans):
-                        who, near = entity(text, s, k, e), context(text, s, e, spans[max(0, i - 8):i + 9])
-                        rows += [{"e": who, "t": w, "s": a, "f": b} for w, a, b in near]
-                    terms.append(rows)
-                yield pa.record_batch([*part.columns[:3], pa.array(counts, pa.list_(pa.int64())), pa.array(base), pa.array(sha), pa.array(terms, pa.list_(struct))],
-                                      names=["k1", "k2", "id", "counts", "base", "sha", "terms"])
+                    who.append(sorted({entity(text, s, k, e) for s, k, e in spans}))
+                    words.append(sorted({w for w, _, _ in outside(text, spans)}) if spans else [])
+                strings = pa.list_(pa.string())
+                yield pa.record_batch([*part.columns[:3], pa.array(counts, pa.list_(pa.int64())), pa.array(base), pa.array(sha), pa.array(who, strings), pa.array(words, strings)],
+                                      names=["k1", "k2", "id", "counts", "base", "sha", "who", "words"])
 
     return _keyed(docs, id_col, text_col).mapInArrow(run, _FOUND)
 
@@ -162,26 +160,70 @@ def document_frequencies(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(text_of(text_col).alias("t")).mapInArrow(run, "t string, n bigint")
 
 
-def disclosing(docs: DataFrame, mentions: DataFrame, n_docs: int, text_col: str, generalise: float = GENERALISE) -> DataFrame:
-    """(e, t, share): terms that disclose at least ``generalise`` of an entity's information."""
+def disclosing(docs: DataFrame, found: DataFrame, n_docs: int, text_col: str, generalise: float = GENERALISE) -> DataFrame:
+    """(t, share): terms that disclose at least ``generalise`` of an entity's information, with the largest share."""
+    held = found.where(F.size("who") > 0)
+    mentions = held.select("k1", "k2", F.explode("who").alias("e")).groupBy("k1", "k2", "e").agg(F.count(F.lit(1)).alias("c"))  # c: rows of the document
     doc = F.struct("k1", "k2")
-    pair = mentions.select("e", "t", "k1", "k2").distinct().groupBy("e", "t").agg(F.count(F.lit(1)).alias("n_te"))
-    ents = mentions.select("e", doc.alias("d")).distinct().groupBy("e").agg(F.count(F.lit(1)).alias("n_e"))
-    words = document_frequencies(docs, text_col).join(pair.select("t").distinct(), "t", "left_semi").groupBy("t").agg(F.sum("n").alias("n_t"))
-    both = pair.join(ents, "e").join(words, "t")
+    # entities of the same documents share every count, so one of them stands for all
+    same = [F.sum(F.xxhash64(F.lit(k), doc).cast("decimal(38,0)")).alias(f"s{k}") for k in (0, 1)]
+    ents = mentions.groupBy("e").agg(F.sum("c").alias("n_e"), *same).groupBy("n_e", "s0", "s1").agg(F.min("e").alias("e")).where(F.col("n_e") < n_docs)
     base = F.col("n_e") / float(n_docs)
+    # no word of more documents reaches the share, as n_te is n_e at most
+    most = (F.col("n_e") + PRIOR * base) / F.pow(base, F.lit(1 - generalise)) - PRIOR + 1e-6
+    who = staged(mentions.join(ents.select("e", "n_e", most.alias("most")), "e"))
+    words = held.select("k1", "k2", F.explode("words").alias("t")).distinct()
+    n_t = document_frequencies(docs, text_col).join(words.select("t").distinct(), "t", "left_semi").groupBy("t").agg(F.sum("n").alias("n_t"))
+    top = who.agg(F.max("most")).first()[0]
+    pair = words.join(n_t.where(F.col("n_t") <= F.lit(top)), "t").join(who, ["k1", "k2"]).where("n_t <= most")
+    pair = pair.groupBy("e", "t").agg(F.sum("c").alias("n_te"), F.first("n_t").alias("n_t"), F.first("n_e").alias("n_e"))
     pmi = F.log2((F.col("n_te") + PRIOR * base) / (F.col("n_t") + PRIOR) / base)
-    return both.where("n_e < %d" % n_docs).withColumn("share", pmi / -F.log2(base)).where(F.col("share") >= generalise).select("e", "t", "share")
+    return pair.select("t", (pmi / -F.log2(base)).alias("share")).where(F.col("share") >= generalise).groupBy("t").agg(F.max("share").alias("share"))
+
+
+def bitmap(flagged: DataFrame) -> bytes:
+    """``SLOTS`` bits, set at the checksums of the flagged terms: as long for any number of them."""
+    slot = F.crc32("t") % SLOTS
+    rows = flagged.groupBy(F.floor(slot / 32768).cast("int").alias("b")).agg(F.bitmap_construct_agg(slot % 32768).alias("bits")).collect()
+    out = bytearray(SLOTS // 8)
+    for r in rows:
+        out[4096 * r["b"]:4096 * (r["b"] + 1)] = r["bits"]
+    return bytes(out)
+
+
+def places(docs: DataFrame, id_col: str, text_col: str, bits: bytes) -> DataFrame:
+    """(k1, k2, t, s, f): the places of words that the bitmap lets pass, in all documents."""
+    struct = ["k1", "k2", "t", "s", "f"]
+
+    def flagged(word: str) -> int:
+        at = crc32(word.encode()) % SLOTS
+        return bits[at >> 3] >> (at & 7) & 1
+
+    def run(batches):
+        for batch in batches:
+            for part in pieces(batch):
+                rows = []
+                for k1, k2, value in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(3)):
+                    text = value.as_py()
+                    hit = {w for w in {x.lower() for x in WORD.findall(text)} if flagged(w)}
+                    if hit:
+                        rows += [(k1, k2, w, a, b) for w, a, b in outside(text, base_spans(text)) if w in hit]
+                if rows:
+                    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32()]
+                    yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=struct)
+        batch = part = rows = hit = None
+        tidy()
+
+    return _keyed(docs, id_col, text_col).mapInArrow(run, "k1 bigint, k2 bigint, t string, s int, f int")
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", generalise: float = GENERALISE):
     """(rows, term spans): a row for each document with its pattern spans, and (k1, k2, own) with the term spans as an array."""
     found = staged(found_rows(docs, id_col, text_col))
-    mentions = found.where(F.size("terms") > 0).select("k1", "k2", F.explode("terms").alias("x")).select("k1", "k2", "x.*")
-    flagged = disclosing(docs, mentions, found.count(), text_col, generalise)
-    spans = mentions.join(flagged, ["e", "t"]).groupBy("k1", "k2", "s", "f").agg(F.max("share").alias("share"))
-    own = spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("s", "f", "share")).alias("own"))  # at most the words around the mentions of one document
-    return found.drop("terms"), own
+    flagged = staged(disclosing(docs, found, found.count(), text_col, generalise))
+    spans = places(docs, id_col, text_col, bitmap(flagged)).join(flagged, "t").groupBy("k1", "k2", "s", "f").agg(F.max("share").alias("share"))
+    own = spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("s", "f", "share")).alias("own"))  # at most the words of one document
+    return found.drop("who", "words"), own
 
 
 def scan(docs: DataFrame) -> DataFrame:

@@ -63,6 +63,17 @@ def test_terms_of_a_rare_entity_are_judged(docs_of):
     assert all(rows[100 + i]["n_term"] == 0 for i in range(60))
 
 
+def test_terms_are_replaced_at_all_their_places(docs_of):
+    filler = "the desk is here today " * 30
+    near = [(i, f"write bob@x.org today {filler} Zebracorn {filler} zebracorn") for i in range(4)]
+    far = [(50, "a zebracorn without the address"), *((100 + i, f"{filler} write number {i} without address") for i in range(60))]
+    rows, clean = (by_id(f(docs_of(near + far))) for f in (op1_pii.scan, op1_pii.sanitised))
+    for i, text in near + far:
+        want = [f"term:{m.start()}:{m.end()}" for m in re.finditer("zebracorn", text, re.I)]
+        assert [s for s in rows[i]["spans"].split(",") if s.startswith("term")] == want and rows[i]["n_term"] == len(want)
+        assert "zebracorn" not in clean[i]["text"].lower()
+
+
 def test_pii_edges(docs_of):
     out = op1_pii.scan(docs_of(EDGE)).collect()
     assert len(out) == len(EDGE) and all(r["base_sha256"] == hashlib.sha256(b"").hexdigest() for r in out)
