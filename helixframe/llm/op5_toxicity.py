@@ -1,8 +1,8 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained on a bounded sample of labelled rows, one on toxic and
-one on ordinary text.  Both end in the same common words; in front stand the word beginnings that
-set the class apart (highest count times log rate ratio).  Every whole text is cut into windows of
+Two raw zstandard dictionaries are put together from counts over a bounded sample of labelled rows, one for toxic and
+one for ordinary text (zstandard's own trainer finds far less, see the README).  Both end in the same common words; in front
+stand the ``N_PIECES`` word beginnings that set the class apart (highest count times log rate ratio).  Every whole text is cut into windows of
 ``WINDOW`` words, each window is compressed with both dictionaries, and the differences in length
 give a few features (gain per 100 bytes, largest gains, shares and counts of windows with a gain or loss of ``GAIN``).  A
 logistic curve, calibrated on the same sample, turns them into a score; 0.5 is the threshold.
