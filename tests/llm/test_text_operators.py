@@ -168,6 +168,23 @@ def test_decontamination_over_the_broadcast_bound(spark, docs_of, monkeypatch):
     assert [r["doc_id"] for r in op4_decontaminate.contaminated(docs_of([(1, " ".join(words(2, 50) + item)), (2, " ".join(words(5, 90)))]), bench).collect()] == [1]
 
 
+def test_masks_meet_every_window_that_counts():
+    from itertools import combinations
+    for n in range(op4_decontaminate.SPAN, op4_decontaminate.WINDOW + 1):
+        seen = [{at + k for k, c in enumerate(m) if c == "1"} for m in op4_decontaminate.MASKS for at in range(n - len(m) + 1)]
+        for other in combinations(range(n), n - math.ceil(op4_decontaminate.SHARE * n - 1e-9)):
+            assert any(s.isdisjoint(other) for s in seen), (n, other)
+
+
+def test_short_items_and_documents_with_substitutions(spark, docs_of):
+    item = words(1, 40)
+    short = item[:12]
+    rows = [(1, " ".join(words(2, 30) + ["zz" if i in (3, 8) else w for i, w in enumerate(short)] + words(3, 30))), (2, " ".join(item[20:28])),
+            (3, " ".join(words(2, 30) + ["zz" if i in (3, 6, 8) else w for i, w in enumerate(short)] + words(3, 30)))]
+    bench = spark.createDataFrame([(10, " ".join(item)), (11, " ".join(short))], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in op4_decontaminate.contaminated(docs_of(rows), bench).collect()} == {(1, 11), (2, 10)}
+
+
 # ---- toxicity
 def test_toxicity_held_out_accuracy(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
