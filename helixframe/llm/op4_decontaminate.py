@@ -26,7 +26,6 @@ from helixframe.llm.common import staged, text_of
 MASKS = ["1111", "11011", "10111", "11101"]
 SPAN = 4
 WINDOW, SHARE = 16, 0.8
-SHORTEST = 5
 BROADCAST_SEEDS = 1_000_000
 
 
@@ -65,7 +64,7 @@ def hits(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: st
          masks: list[str] = MASKS) -> DataFrame:
     """(_k0, _k1, item_id, d, len, good): verified windows of each document and item, by diagonal."""
     items = bench.select(F.col(item_col).alias("item_id"), word_hashes(text_of(item_text)).alias("h")).withColumn("n", F.size("h")).distinct()
-    items = staged(items.where(f"n >= {SHORTEST}").withColumn("item", F.monotonically_increasing_id()))
+    items = staged(items.where("n > 0").withColumn("item", F.monotonically_increasing_id()))
     lengths = sorted(r["n"] for r in items.where(f"n < {SPAN}").select("n").distinct().collect())  # a few small numbers
     every = [*masks, *("1" * k for k in lengths)]
     size = F.element_at(F.array(*[F.lit(len(x)) for x in every]), F.col("m") + 1)

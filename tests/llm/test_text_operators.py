@@ -185,6 +185,13 @@ def test_short_items_and_documents_with_substitutions(spark, docs_of):
     assert {(r["doc_id"], r["item_id"]) for r in op4_decontaminate.contaminated(docs_of(rows), bench).collect()} == {(1, 11), (2, 10)}
 
 
+def test_items_of_one_to_four_words(spark, docs_of):
+    rows = [(1, "say Zebracorn, now"), (2, "red green blue yellow"), (3, "red blue green yellow"), (4, " ".join(words(2, 40) + ["red", "green", "blue"])), (5, "red green")]
+    bench = spark.createDataFrame([(10, "zebracorn"), (11, "red green blue yellow"), (12, "red green blue"), (13, "green yellow")], "item_id long, text string")
+    out = op4_decontaminate.contaminated(docs_of(rows), bench)
+    assert {(r["doc_id"], r["item_id"]) for r in out.collect()} == {(1, 10), (2, 11), (2, 12), (3, 13), (4, 12)}
+
+
 # ---- toxicity
 def test_toxicity_held_out_accuracy(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
