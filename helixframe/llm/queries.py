@@ -1,7 +1,7 @@
 """Registered queries of the training-data operators: production parameters, whole tables."""
 from __future__ import annotations
 
-from helixframe.llm import op1_pii, op2_licences, op3_sentencepiece, op4_decontaminate, op5_toxicity, op6_suffixes, op7_embeddings, op8_urls, op9_tokens, op10_minhash, op12_divergence, op13_warc
+from helixframe.llm import op1_pii, op2_licences, op3_sentencepiece, op4_decontaminate, op5_toxicity, op6_suffixes, op7_embeddings, op8_urls, op9_tokens, op10_minhash, op11_conversations, op12_divergence, op13_warc
 from helixframe.llm.common import read
 
 
@@ -45,6 +45,10 @@ def op5_toxicity_score(spark, sf_dir):
     return op5_toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op11_conversation_repair(spark, sf_dir):
+    return op11_conversations.repair(read(spark, sf_dir, "conversations"))
+
+
 def op12_source_divergence(spark, sf_dir):
     return op12_divergence.divergence(read(spark, sf_dir, "documents"))
 
@@ -54,6 +58,6 @@ def op13_warc_segments(spark, sf_dir):
 
 
 LLM_QUERIES = {f.__name__: f for f in (op1_pii_sanitise, op3_sentencepiece_codec, op4_decontamination, op5_toxicity_score, op2_license_scan, op6_suffix_dedup, op7_embedding_near_dedup, op8_url_filter, op9_token_counts, op10_minhash_near_dedup,
-               op12_source_divergence, op13_warc_segments)}
+               op11_conversation_repair, op12_source_divergence, op13_warc_segments)}
 LLM_ORACLES = {"op2_license_scan": op2_licences.ORACLE, "op7_embedding_near_dedup": op7_embeddings.ORACLE, "op8_url_filter": op8_urls.ORACLE,
-               "op10_minhash_near_dedup": op10_minhash.ORACLE, "op12_source_divergence": op12_divergence.ORACLE, "op13_warc_segments": op13_warc.ORACLE}
+               "op10_minhash_near_dedup": op10_minhash.ORACLE, "op11_conversation_repair": op11_conversations.ORACLE, "op12_source_divergence": op12_divergence.ORACLE, "op13_warc_segments": op13_warc.ORACLE}
