@@ -5,10 +5,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from helixframe.operators import descent as DE
 from helixframe.operators import graph as G
-from helixframe.operators.common import r6
+from helixframe.operators.common import r6, zip_rows
 from helixframe.plans.registry import query
 from helixframe.plans.sqlfix import EMB17, PRED_EXPR, sqdist_sql
+from helixframe.session import cut_lineage
 from helixframe.sources import fixtures as FX
 
 KNN = 30
@@ -27,6 +29,21 @@ def k3_knn_graph(spark, sf):
     return g.select("src", "dst", "rank", r6("dist").alias("dist"))
 
 
+@query("k3_knn_descent", f"""
+SELECT count(*) AS n_rows, count(*) * least({KNN}, count(*) - 1) AS n_edges, {KNN} AS k, TRUE AS full_lists, TRUE AS recall_reached FROM embeddings""")
+def k3_knn_descent(spark, sf):
+    """The graph by neighbour descent over all vectors; recall against the exact neighbours of every row whose id is divisible by 100."""
+    e = FX.clustered_embeddings(spark, sf)
+    g = cut_lineage(DE.knn_descent(e, "vec_id", "embedding", KNN))
+    sizes = g.groupBy("src").agg(F.count(F.lit(1)).alias("m"))
+    facts = sizes.agg(F.sum("m").alias("n_edges"), F.min("m").alias("least"))
+    rec = DE.recall(g, e, "vec_id", "embedding", KNN)
+    n = e.agg(F.count(F.lit(1)).alias("n_rows"))
+    n_rows = F.col("n_rows")
+    return zip_rows(n, facts, rec).select("n_rows", "n_edges", F.lit(KNN).alias("k"), (F.col("least") == F.least(F.lit(KNN), n_rows - 1)).alias("full_lists"),
+                                          (F.col("recall") >= 0.9).alias("recall_reached"))
+
+
 SPACES = {"": 50, "-fit": 32, "-og": 64}  # leading dimensions: three different spaces that SQL can build too
 _LABELS = {"true": ("label", "TRUE"), "true_clus": ("label", "cluster >= 0"), "pred": ("cluster", "TRUE"), "pred_clus": ("cluster", "cluster >= 0")}
 
@@ -68,7 +85,6 @@ def k15_silhouette(spark, sf):
 from helixframe.functions import vectors as V  # noqa: E402
 from helixframe.operators import cluster as CL  # noqa: E402
 from helixframe.operators import scores as S  # noqa: E402
-from helixframe.session import cut_lineage  # noqa: E402
 
 REDUCED_DIM = 50
 
