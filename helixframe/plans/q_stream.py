@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import functions as F
 
+from helixframe.operators import runs as RU
 from helixframe.operators.common import r6
 from helixframe.plans.q_encode import DOC_IDS, _doc_lookup
-from helixframe.plans.registry import query
+from helixframe.plans import q_logs  # noqa: F401  (the streams share its oracles)
+from helixframe.plans.registry import ORACLES, query
 from helixframe.plans.sqlfix import pad_sql, trunc_sql
 from helixframe.sources import fixtures as FX
 from helixframe.sources import io as IO
+from helixframe.session import cut_lineage
+from helixframe.sources.tables import table
+from helixframe.streaming import run_log as RL
 from helixframe.streaming import stream as STR
 
 N_FILES = 4
@@ -52,3 +59,38 @@ def u4_eval_callback(spark, sf):
 
     STR.run_with_callback(STR.encode_stream(spark, p["src"], _doc_lookup(spark, sf)), on_evaluate, p["cb_ckpt"])
     return spark.read.schema("step BIGINT, bucket BIGINT, value DOUBLE, mean_len DOUBLE").json(hist).select("bucket", "value", r6("mean_len").alias("mean_len"))
+
+
+LOG_FILES = 4
+
+
+def _followed(spark, sf):
+    """The whole event log as a stream: lands in time order with rows up to three days out of place, is stopped half way and resumed, and
+    ends with a heartbeat that closes the runs."""
+    root = IO.scratch_path(spark, "runlog")
+    src, sink, ckpt = f"{root}/src", f"{root}/sink", f"{root}/ckpt"
+    log = RU.metric_log(table(spark, sf, "events")).select(
+        "run", "step", F.col("ts").cast("timestamp").alias("ts"), "event_id", "value",
+        F.when(F.col("event_id") % 13 == 0, F.lit(float("nan"))).otherwise(F.col("value")).alias("loss"))
+    lo, hi = log.agg(F.min("ts"), F.max("ts")).first()
+    days = (hi - lo).days + 3
+    place = F.floor((F.datediff("ts", F.lit(lo)) + F.pmod(F.xxhash64("event_id"), F.lit(3))) * LOG_FILES / (days + 1))
+    log = cut_lineage(log.withColumn("place", F.least(place, F.lit(LOG_FILES - 1))))
+    part = log.select("run", "step", "ts", "value", "loss", "place")
+    half = LOG_FILES // 2
+    for only, last in ((range(half), False), (range(half, LOG_FILES), True)):
+        RL.land(part, src, F.col("place"), list(only))
+        if last:
+            RL.heartbeat(spark, src, hi + datetime.timedelta(days=30))
+        RL.run_available(RL.read_log(spark, src, files_per_trigger=16), sink, ckpt)
+    return spark.read.schema(RL.OUT_SCHEMA).parquet(sink)
+
+
+@query("x6_loss_stream", ORACLES["x6_loss_repair"])
+def x6_loss_stream(spark, sf):
+    return _followed(spark, sf).where("kind = 'window'").select("run", "log_window", r6("value").alias("loss"))
+
+
+@query("x2_best_stream", ORACLES["x2_best_so_far"])
+def x2_best_stream(spark, sf):
+    return _followed(spark, sf).where("kind = 'best'").select("run", "step", "value")
