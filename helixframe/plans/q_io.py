@@ -17,6 +17,7 @@ from helixframe.plans.registry import query
 from helixframe.plans.sqlfix import EMB, PRED_EXPR, acgt, trunc_sql
 from helixframe.sources import fixtures as FX
 from helixframe.sources import io as IO
+from helixframe.sources import npz as NPZ
 from helixframe.sources.tables import table
 
 
@@ -195,3 +196,31 @@ def s11_output_guard(spark, sf):
     IO.guarded_write(e, path, overwrite=True)
     r = spark.read.parquet(path)
     return r.agg(F.count(F.lit(1)).alias("rows")).withColumn("second_write_refused", F.lit(refused))
+
+
+# ---------------------------------------------------------------- npz files
+def _npz(spark, df, name: str, max_rows: int = 4096) -> str:
+    p = IO.scratch_path(spark, name)
+    NPZ.write_npz(df, p, max_rows=max_rows)
+    return p
+
+
+@query("s3_npz_sink", "SELECT label AS y_true, count(*) AS n FROM embeddings GROUP BY label")
+def s3_npz_sink(spark, sf):
+    """Embedding files (embeddings, y_true); read back by label alone, so the vectors stay unread."""
+    e = FX.embedding_set(spark, sf).select(F.col("embedding").alias("embeddings"), F.col("label").alias("y_true"))
+    back = NPZ.read_npz(spark, _npz(spark, e, "npz-sink"), ["y_true"])
+    return back.groupBy("y_true").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("s4_npz_source", f"SELECT vec_id, embedding AS embeddings, label AS y_true FROM ({EMB})")
+def s4_npz_source(spark, sf):
+    e = FX.embedding_set(spark, sf).select("vec_id", F.col("embedding").alias("embeddings"), F.col("label").alias("y_true"))
+    return NPZ.read_npz(spark, _npz(spark, e, "npz-source", 256)).select("vec_id", "embeddings", "y_true")
+
+
+@query("s5_npz_predictions", f"SELECT vec_id, {PRED_EXPR} AS y_pred FROM embeddings")
+def s5_npz_predictions(spark, sf):
+    """Prediction files (y_pred), -1 for unclustered rows."""
+    pred = FX.predictions(spark, sf).select("vec_id", F.col("cluster").alias("y_pred"))
+    return NPZ.read_npz(spark, _npz(spark, pred, "npz-pred"), ["vec_id", "y_pred"])
