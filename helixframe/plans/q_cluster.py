@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from helixframe.operators import descent as DE
 from helixframe.operators import graph as G
 from helixframe.operators.common import r6, zip_rows
-from helixframe.plans.registry import query
+from helixframe.plans.registry import ORACLES, query
 from helixframe.plans.sqlfix import EMB17, PRED_EXPR, sqdist_sql
 from helixframe.session import cut_lineage
 from helixframe.sources import fixtures as FX
@@ -85,6 +85,7 @@ def k15_silhouette(spark, sf):
 from helixframe.functions import vectors as V  # noqa: E402
 from helixframe.operators import cluster as CL  # noqa: E402
 from helixframe.operators import scores as S  # noqa: E402
+from helixframe.operators import spectral as SP  # noqa: E402
 
 REDUCED_DIM = 50
 
@@ -159,3 +160,24 @@ def flagship(spark, sf):
 
 
 query("k14_flagship_pipeline")(flagship)
+
+
+# ---------------------------------------------------------------- spectral (graph by neighbour descent)
+SPECTRAL_DIMS, SPECTRAL_TOL = 9, 1e-6
+
+
+# The classes of F17 are parts of the neighbour graph of their own, and each part gives one eigenvalue 0 of the Laplacian.
+@query("k2_spectral_reduce", f"""
+SELECT count(*) AS n_rows, least({SPECTRAL_DIMS}, count(*) - 1) AS dims, TRUE AS residual_reached, count(DISTINCT label) AS parts FROM embeddings""")
+def k2_spectral_reduce(spark, sf):
+    g = DE.knn_descent(FX.clustered_embeddings(spark, sf), "vec_id", "embedding", KNN)
+    y, eig = SP.spectral_embedding(g, SPECTRAL_DIMS, SPECTRAL_TOL)
+    return y.agg(F.count(F.lit(1)).alias("n_rows"), F.min(F.size("reduced")).cast("bigint").alias("dims")).select(
+        "n_rows", "dims", F.lit(bool(eig.residuals.max() <= SPECTRAL_TOL)).alias("residual_reached"), F.lit(int((eig.values > 1 - 1e-4).sum())).cast("bigint").alias("parts"))
+
+
+@query("k17_spectral", ORACLES["k4_ward"])
+def k17_spectral(spark, sf):
+    e = FX.clustered_embeddings(spark, sf)
+    g = DE.knn_descent(e, "vec_id", "embedding", KNN)
+    return SP.spectral_clustering(g, _k_true(e), SPECTRAL_TOL).select(F.col("id").alias("vec_id"), "cluster")
