@@ -2,11 +2,7 @@
 
 * K2  PCA from ``pyspark.ml`` (the d x k loadings are the only driver-side
       object), with a sign convention so reruns replay exactly.
-* K4  Ward agglomerative clustering by rounds of reciprocal nearest
-      neighbours on a centroid table; exact (Ward is reducible, so all mutual
-      pairs of a round can merge at once and the tree equals the sequential
-      one).  In a round only new clusters and those whose partner has gone
-      ask all active ones; state and merges are checkpointed every round.
+* K4  Ward agglomerative clustering lives in ``ward.py``.
 * K16/K17 KMeans, BisectingKMeans and power iteration clustering from
       ``pyspark.ml``.  K18 a logistic-regression linear probe.
 """
@@ -14,15 +10,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.functions import vectors as V
 from helixframe.functions.hashing import uniform
-from helixframe.operators.indexing import dense_index
-from helixframe.session import cut_lineage
+from helixframe.operators.ward import cut_tree, ward, ward_merges  # noqa: F401  (K4 under its family's name)
 
 
 def _vec(df: DataFrame, vec: str, out: str = "_v") -> DataFrame:
@@ -63,117 +56,6 @@ def pca_reduce(df: DataFrame, vec: str, k: int = 50, out: str = "reduced") -> tu
     return project(df, vec, pca_loadings(df, vec, kk), out), kk
 
 
-_NEAREST = "cid bigint, h double, p bigint"
-
-
-def _block_nearest(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one block of targets and one of askers: the best partner (height, then id) of every row on the other side."""
-    t, q = pdf[pdf["asks"] == 0], pdf[pdf["asks"] == 1]
-    if not len(t) or not len(q):
-        return pd.DataFrame({"cid": np.empty(0, np.int64), "h": np.empty(0), "p": np.empty(0, np.int64)})
-    t, q = t.sort_values("cid"), q.sort_values("cid")
-    it, iq = t["cid"].to_numpy(), q["cid"].to_numpy()
-    nt, nq = t["n"].to_numpy().astype(float), q["n"].to_numpy().astype(float)
-    ct, cq = np.vstack(t["s"].to_numpy()) / nt[:, None], np.vstack(q["s"].to_numpy()) / nq[:, None]
-    h = np.empty((len(cq), len(ct)))
-    for a in range(0, len(cq), 64):  # plain differences, 64 askers at a time, so a common shift costs no precision
-        diff = cq[a:a + 64, None, :] - ct[None, :, :]
-        h[a:a + 64] = (diff * diff).sum(-1)
-    h *= nq[:, None] * nt[None, :] / (nq[:, None] + nt[None, :])
-    h[iq[:, None] == it[None, :]] = np.inf
-    bt, bq = h.argmin(1), h.argmin(0)  # ids are sorted: the first minimum is the smallest id
-    out = pd.DataFrame({"cid": np.r_[iq, it], "h": np.r_[h[np.arange(len(iq)), bt], h[bq, np.arange(len(it))]],
-                        "p": np.r_[it[bt], iq[bq]]})
-    return out[np.isfinite(out["h"])]
-
-
-def _with_nearest(state: DataFrame, active: int, block_rows: int) -> DataFrame:
-    """``state`` with the nearest partner (h, p) of every cluster.
-
-    Rows without one (new clusters, and clusters whose partner has gone) ask all active clusters, block by
-    block; every other row only has to compare its partner with the askers.
-    """
-    blocks = max(1, -(-active // block_rows))
-    at = lambda salt: F.pmod(F.xxhash64(F.lit(salt), "cid"), F.lit(blocks)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    target = state.select("cid", "n", "s", F.lit(0).alias("asks"), at(1).alias("tb"), every.alias("qb"))
-    asker = state.where("p is null").select("cid", "n", "s", F.lit(1).alias("asks"), every.alias("tb"), at(2).alias("qb"))
-    best = target.unionByName(asker).groupBy("tb", "qb").applyInPandas(_block_nearest, _NEAREST)
-    best = best.groupBy("cid").agg(F.min(F.struct("h", "p")).alias("m"))
-    own = F.when(F.col("p").isNotNull(), F.struct("h", "p"))
-    j = state.join(best, "cid", "left").withColumn("_b", F.least(own, F.col("m")))
-    return j.select("cid", "n", "s", F.col("_b.h").alias("h"), F.col("_b.p").alias("p"))
-
-
-def _mutual(state: DataFrame) -> DataFrame:
-    a = state.select(F.col("cid").alias("a"), F.col("p").alias("b"), "h").where("a < b")
-    b = state.select(F.col("cid").alias("b"), F.col("p").alias("a")).where("a < b")
-    return a.join(b, ["a", "b"])
-
-
-def ward_merges(df: DataFrame, id_col: str, vec: str, block_rows: int = 1024) -> DataFrame:
-    """Full Ward merge table (a, b, h, round) with n - 1 rows; merged cluster keeps id min(a, b).
-
-    The nearest partner of a cluster is the minimum of (h, partner id); the globally smallest pair is
-    always mutual under that order, so every round merges at least one pair, and rounds run until one
-    cluster is left.  Every round is the same distributed plan at any size: block kernels that return one
-    candidate per row and block, a minimum over blocks, and an equi-join for the mutual pairs.  The round's
-    merges and the new state are checkpointed; only two counts reach the driver.
-    """
-    empty = F.lit(None)
-    state = df.select(F.col(id_col).cast("bigint").alias("cid"), F.lit(1).cast("bigint").alias("n"), F.col(vec).alias("s"),
-                      empty.cast("double").alias("h"), empty.cast("bigint").alias("p"))
-    active = state.count()
-    rounds = []
-    while active > 1:
-        state = cut_lineage(_with_nearest(state, active, block_rows))
-        mutual = cut_lineage(_mutual(state).withColumn("round", F.lit(len(rounds))))
-        merged = mutual.count()
-        if merged == 0:
-            raise RuntimeError("Ward round without a mutual pair (non-finite heights?)")
-        gone = mutual.select(F.explode(F.array("a", "b")).alias("x"))
-        pick = lambda side: state.select(F.col("cid").alias(side), F.col("n").alias("n" + side), F.col("s").alias("s" + side))
-        new = mutual.select("a", "b").join(pick("a"), "a").join(pick("b"), "b").select(
-            F.col("a").alias("cid"), (F.col("na") + F.col("nb")).alias("n"), V.add("sa", "sb").alias("s"),
-            empty.cast("double").alias("h"), empty.cast("bigint").alias("p"))
-        left = state.join(gone.withColumnRenamed("x", "cid"), "cid", "left_anti")
-        lost = left.join(gone.select(F.col("x").alias("p"), F.lit(True).alias("_lost")), "p", "left")
-        still = F.col("_lost").isNull()
-        left = lost.select("cid", "n", "s", F.when(still, F.col("h")).alias("h"), F.when(still, F.col("p")).alias("p"))
-        state = left.unionByName(new)
-        rounds.append(mutual)
-        active -= merged
-    if not rounds:
-        return df.sparkSession.createDataFrame([], "a bigint, b bigint, h double, round int")
-    out = rounds[0]
-    for r in rounds[1:]:
-        out = out.unionByName(r)
-    return out
-
-
-def cut_tree(points: DataFrame, id_col: str, merges: DataFrame, k: int) -> DataFrame:
-    """Labels for a cut at k clusters: drop the k - 1 highest merges (by position, so k may grow with the
-    data), then the components of the remaining merges by pointer jumping."""
-    ranked = dense_index(merges.withColumn("_nh", -F.col("h")).withColumn("_na", -F.col("a")).withColumn("_nb", -F.col("b")), ["_nh", "_na", "_nb"], name="_pos")
-    par = cut_lineage(ranked.where(F.col("_pos") >= max(k - 1, 0)).select(F.col("b").alias("node"), F.col("a").alias("parent")))
-    while True:
-        p2 = par.select(F.col("node").alias("parent"), F.col("parent").alias("gp"))
-        nxt = cut_lineage(par.join(p2, "parent", "left").select(
-            "node", F.coalesce("gp", "parent").alias("parent"), F.col("gp").isNotNull().alias("moved")))
-        par = nxt.drop("moved")
-        if nxt.where("moved").isEmpty():
-            break
-    lab = points.select(F.col(id_col).alias("node")).join(par, "node", "left").select(
-        F.col("node").alias(id_col), F.coalesce("parent", "node").alias("root"))
-    roots = dense_index(lab.select("root").distinct(), ["root"], name="_pos")
-    return lab.join(roots.select("root", F.col("_pos").cast("int").alias("cluster")), "root").select(id_col, "cluster")
-
-
-def ward(df: DataFrame, id_col: str, vec: str, k: int, block_rows: int = 1024) -> DataFrame:
-    """K4: (id, cluster) for Ward's minimum-variance clustering cut at k clusters."""
-    return cut_tree(df, id_col, ward_merges(df, id_col, vec, block_rows), k)
-
-
 def kmeans(df: DataFrame, id_col: str, vec: str, k: int, seed: int = 0, max_iter: int = 1000,
            bisecting: bool = False) -> tuple[DataFrame, dict]:
     """KMeans or BisectingKMeans; returns (id, cluster) and the run facts."""

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from helixframe.operators.cluster import ward
+from helixframe.operators.ward import cut_tree, ward, ward_merges
 from helixframe.operators.indexing import dense_index, running_agg
 
 
@@ -34,9 +34,8 @@ def same_partition(a, b):
     return all(m.setdefault(x, y) == y for x, y in zip(a, b)) and len(set(a)) == len(set(b))
 
 
-def _cut(spark, X, k, **kw):
-    df = spark.createDataFrame([(i, X[i].tolist()) for i in range(len(X))], "vec_id long, embedding array<double>")
-    return [r["cluster"] for r in ward(df, "vec_id", "embedding", k, **kw).orderBy("vec_id").collect()]
+def _frame(spark, X):
+    return spark.createDataFrame([(i, X[i].tolist()) for i in range(len(X))], "vec_id long, embedding array<double>")
 
 
 @pytest.mark.parametrize("case", ["plain", "shifted", "ties"])
@@ -47,8 +46,34 @@ def test_ward_equals_greedy(spark, case):
         X = X + 1e7
     if case == "ties":  # duplicates: every height below the cut is 0 or apart from the others
         X = np.repeat(X[::4], 3, axis=0)
-    for k in (2, 4):
-        assert same_partition(list(greedy_ward(X, k)), _cut(spark, X, k, block_rows=8))
+    df = _frame(spark, X)
+    # rounds as jobs over several blocks, down to two clusters; one task finishes
+    for options in ({"block_rows": 8, "finish_rows": 2, "n_pivots": 3}, {}):
+        merges = ward_merges(df, "vec_id", "embedding", **options).persist()
+        assert merges.count() == len(X) - 1
+        for k in (2, 4):
+            got = [r["cluster"] for r in cut_tree(df, "vec_id", merges, k).orderBy("vec_id").collect()]
+            assert same_partition(list(greedy_ward(X, k)), got)
+
+
+def test_pruning_keeps_the_merges(spark):
+    """Groups apart in a turned direction: the same merge table as without pruning, for a fraction of its pairs."""
+    rng = np.random.default_rng(5)
+    turn = np.linalg.qr(rng.normal(size=(10, 10)))[0]
+    X = (rng.normal(size=(240, 10)) * 0.3 + 8 * np.eye(10)[rng.integers(0, 6, 240)]) @ turn
+    df = _frame(spark, X)
+    key = lambda m: sorted((r["a"], r["b"], round(r["h"], 9), r["round"]) for r in m.collect())
+    rep, whole = {}, {}
+    pruned = key(ward_merges(df, "vec_id", "embedding", finish_rows=100, n_pivots=12, report=rep))
+    everyone = key(ward_merges(df, "vec_id", "embedding", finish_rows=100, n_pivots=1, report=whole))
+    assert len(pruned) == 239 and pruned == everyone == key(ward_merges(df, "vec_id", "embedding"))
+    assert rep["pairs"] < 0.5 * whole["pairs"]
+
+
+def test_ward_of_few_rows(spark):
+    df = spark.createDataFrame([(5, [1.0, 2.0])], "vec_id long, embedding array<double>")
+    assert ward_merges(df, "vec_id", "embedding").count() == 0 and ward_merges(df.limit(0), "vec_id", "embedding").count() == 0
+    assert [tuple(r) for r in ward(df, "vec_id", "embedding", 1).collect()] == [(5, 0)]
 
 
 @pytest.mark.parametrize("parts", [1, 3, 17])
