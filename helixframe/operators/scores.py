@@ -242,7 +242,8 @@ def score_sheet(pred: DataFrame, spaces: dict[str, DataFrame] | None = None,
     return tall.where("keep").drop("keep")
 
 
-SALTS = 16  # tasks over which the points of one cluster are spread
+CENTROID_NUMBERS = 4_000_000  # numbers (32 MB) up to which the centroid table goes to the tasks; counted first
+SALT_ROWS = 100_000  # beyond it: points of one cluster for each join key
 
 
 def _group_sums(groups: list[tuple[str, str, str, str | None]]):
@@ -285,13 +286,57 @@ def _db_kernel(lt: pd.DataFrame, rt: pd.DataFrame, same: bool) -> pd.DataFrame:
     return out[out["r"] >= 0]
 
 
+def _centroid_distances(groups: list[tuple[str, str, str, str | None]], cents: pd.DataFrame):
+    """Per batch and (group, key): summed distance of the points to their centroid and their number.  The rows stay where they are, unexploded."""
+    table = {}
+    for g, part in cents.groupby("g"):
+        part = part.sort_values("key")
+        table[g] = part["key"].to_numpy(), np.vstack(part["centroid"].to_numpy())
+
+    def run(batches):
+        for pdf in batches:
+            out, stacked = [], {}
+            for name, key, vec, keep in groups:
+                on = pdf[key].notna().to_numpy() if keep is None else pdf[key].notna().to_numpy() & pdf[keep].to_numpy(dtype=bool)
+                if not on.any():
+                    continue
+                if vec not in stacked:
+                    stacked[vec] = np.vstack(pdf[vec].to_numpy())
+                keys, c = table[name]
+                at = np.searchsorted(keys, pdf[key].to_numpy(dtype=float)[on].astype(np.int64))
+                diff = stacked[vec][on] - c[at]
+                d = np.sqrt((diff * diff).sum(1))
+                cnt = np.bincount(at, minlength=len(keys))
+                some = np.flatnonzero(cnt)
+                out.append(pd.DataFrame({"g": name, "key": keys[some], "t": np.bincount(at, d, len(keys))[some], "c": cnt[some]}))
+            if out:
+                yield pd.concat(out, ignore_index=True)
+    return run
+
+
+def _joined_distances(named: DataFrame, groups: list, cents: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The same by a join, for centroid tables beyond the bound: one group at a time, the points of a cluster dealt over as many keys as its counted size needs."""
+    out = None
+    salted = cents.join(sizes, ["g", "key"]).withColumn("salts", F.ceil(F.col("cnt") / SALT_ROWS).cast("int"))
+    for g, key, vec, keep in groups:
+        c = salted.where(F.col("g") == g)
+        points = named.where(F.col(key).isNotNull() & (F.lit(True) if keep is None else F.col(keep))).select(F.col(key).alias("key"), F.col(vec).alias("x"), F.xxhash64("vec_id").alias("_h"))
+        # only clusters with several salts need the size on the points' side, and they are few: at most rows / SALT_ROWS
+        big = F.broadcast(c.where("salts > 1").select("key", "salts"))
+        points = points.join(big, "key", "left").withColumn("salt", F.pmod("_h", F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+        part = points.join(c.select("key", "centroid", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")), ["key", "salt"])
+        part = part.groupBy("key", "salt").agg(F.sum(V.euclidean("x", "centroid")).alias("t"), F.count(F.lit(1)).alias("c")).select(F.lit(g).alias("g"), "key", "t", "c")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def geometry_scores(df: DataFrame, views: list, spaces: dict[str, str], block_rows: int = 512) -> DataFrame:
     """K12 + K13 for several labellings and vector spaces in shared passes.
 
     ``views`` are (name, key column, row filter or None); ``spaces`` maps a space name to a vector column of
     ``df`` (with an id column ``vec_id``).  Every (space, labelling) is a group ``g``.  One pass sums the vectors per batch in numpy and emits
-    k x d partial rows; a second one joins points to their centroid, the points of a cluster being spread over ``SALTS``
-    keys; centroid pairs run in block kernels that return one maximum per cluster.
+    k x d partial rows; a second one measures points against their centroid, in place with the centroid table at hand up to
+    ``CENTROID_NUMBERS``, else by a join salted by counted size; centroid pairs run in block kernels that return one maximum per cluster.
     Output: (space, labelling, chs, dbs) - null where k <= 1 or k >= n.
     """
     named = df.select("vec_id", *spaces.values(), *[k.cast("long").alias(f"_key{i}") for i, (_, k, _) in enumerate(views)],
@@ -321,11 +366,10 @@ def geometry_scores(df: DataFrame, views: list, spaces: dict[str, str], block_ro
              .agg(F.array_sort(F.collect_list(F.struct("dim", (F.col("s") / F.col("cnt")).alias("m"))))
                   .alias("_c"))
              .select("g", "key", F.col("_c.m").alias("centroid")))
-    items = [F.when(F.col(key).isNotNull() & (F.lit(True) if keep is None else F.col(keep)), F.struct(F.lit(g).alias("g"), F.col(key).alias("key"), F.col(vec).alias("x")))
-             for g, key, vec, keep in groups]
-    points = named.select(F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)).alias("salt"), F.explode(F.filter(F.array(*items), lambda s: s.isNotNull())).alias("e")).select("salt", "e.*")
-    salted = cents.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt"))
-    dist = points.join(salted, ["g", "key", "salt"]).groupBy("g", "key", "salt").agg(F.sum(V.euclidean("x", "centroid")).alias("t"), F.count(F.lit(1)).alias("c"))
+    if sums.count() <= CENTROID_NUMBERS:
+        dist = named.mapInPandas(_centroid_distances(groups, cents.toPandas()), "g string, key long, t double, c long")
+    else:
+        dist = _joined_distances(named, groups, cents, sums.groupBy("g", "key").agg(F.max("cnt").alias("cnt")))
     intra_d = dist.groupBy("g", "key").agg((F.sum("t") / F.sum("c")).alias("s"))
     ci = cut_lineage(cents.join(intra_d, ["g", "key"]))
     max_k = max(1, ci.groupBy("g").count().agg(F.max("count")).first()[0] or 1)
