@@ -19,9 +19,11 @@ So no pair that shares a bucket goes unchecked unless its two ends are connected
 With 32 bands of 5 a pair at the threshold is missed with probability 3e-6.
 
 Defined cases: null or empty text has no shingles and links with nothing; a text with fewer
-words is one shingle; repeated rows are one class and each is returned; a row with a null id is
-returned with its class's component, and a class with null ids only is compared with nothing;
-an empty table gives no rows; other columns are ignored; long texts are read whole.
+words is one shingle; repeated rows are one class and each is returned; rows are what is linked, so
+two texts under one id are two rows, each with the links of its text, and sharing an id links nothing;
+a row with a null id is linked like any other, and its component_id is the smallest id of its
+component (null where no row of it has one); an empty table gives no rows; other columns are
+ignored; long texts are read whole.
 """
 from __future__ import annotations
 
@@ -61,44 +63,46 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.astype(np.int64)
 
 
-def signed_rows(docs: DataFrame, id_col: str, text_col: str, n: int, bands: int, rows: int) -> DataFrame:
-    """(id, n_shingles, f1, f2, bands): f1, f2 name the shingle set."""
+def keyed_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, k, h, text): ``h`` hashes the text, and ``k`` is the id, or ``h`` for a row without one, so that every row can be found again by (k, h)."""
+    h = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(id_col).cast("bigint"), h).alias("k"), h.alias("h"), F.col(text_col).alias("text"))
+
+
+def signed_rows(rows_in: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
+    """(id, k, h, n_shingles, f1, f2, bands): f1, f2 name the shingle set."""
 
     def run(batches):
         hashes, table = WordHashes(), signature_tables(bands * rows)
         for batch in batches:
             out = [[], [], [], []]
-            for text in batch.column(1):
+            for text in batch.column(3):
                 s = shingle_set(words(text.as_py()), hashes, n)
                 out[0].append(len(s))
                 out[1].append(int(s.sum(dtype=np.uint64).astype(np.int64)))
                 out[2].append(int(mixed(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64)))
                 out[3].append(band_keys(signature(s, table, bands * rows), bands, rows) if len(s) else None)
-            yield pa.record_batch([batch.column(0), *[pa.array(x, pa.int64()) for x in out[:3]], pa.array(out[3], pa.list_(pa.int64()))],
-                                  names=["id", "n_shingles", "f1", "f2", "bands"])
+            yield pa.record_batch([*batch.columns[:3], *[pa.array(x, pa.int64()) for x in out[:3]], pa.array(out[3], pa.list_(pa.int64()))],
+                                  names=["id", "k", "h", "n_shingles", "f1", "f2", "bands"])
         hashes = table = batch = out = s = None
         tidy()
 
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col)).mapInArrow(
-        run, "id bigint, n_shingles bigint, f1 bigint, f2 bigint, bands array<bigint>")
+    return rows_in.mapInArrow(run, "id bigint, k bigint, h bigint, n_shingles bigint, f1 bigint, f2 bigint, bands array<bigint>")
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """(rep, s) for the wanted (rep, f1): the rows of one document travel by its id, once."""
+def sets_of(rows_in: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """(rep, s) for the wanted (k, h, rep): one text of each class travels by its key."""
 
     def run(batches):
         hashes = WordHashes()
         for batch in batches:
             s = [shingle_set(words(t.as_py()), hashes, n) for t in batch.column(1)]
-            f = pa.array([int(x.sum(dtype=np.uint64).astype(np.int64)) for x in s], pa.int64())
-            keep = pc.equal(f, batch.column(2))
-            yield pa.record_batch([batch.column(0), pa.array([x.astype(np.int64) for x in s], pa.list_(pa.int64()))], names=["rep", "s"]).filter(keep)
+            yield pa.record_batch([batch.column(0), pa.array([x.astype(np.int64) for x in s], pa.list_(pa.int64()))], names=["rep", "s"])
         hashes = batch = s = None
         tidy()
 
-    found = docs.select(F.col(id_col).cast("bigint").alias("rep"), F.col(text_col).alias("_t")).join(wanted.select("rep", "f1"), "rep")
-    found = found.select("rep", "_t", "f1").mapInArrow(run, "rep bigint, s array<bigint>")
-    return found.dropDuplicates(["rep"])
+    found = rows_in.select("k", "h", "text").join(wanted, ["k", "h"]).select("rep", "text").mapInArrow(run, "rep bigint, s array<bigint>")
+    return found.dropDuplicates(["rep"])  # a row that stands several times
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -159,17 +163,18 @@ def settled(rest: DataFrame, sets: DataFrame, percent: int, block: int) -> DataF
     return rows.select("bucket", "t", "q", "rep", "comp", "asks", "s").groupBy("bucket", "t", "q").applyInPandas(block_links, "a bigint, b bigint").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 80, bands: int = BANDS, rows: int = ROWS,
-                    rounds: int = 3, block: int = BLOCK) -> DataFrame:
-    """(id, n_shingles, component_id, kept), one row for each row of ``docs``."""
-    signed = staged(signed_rows(docs, id_col, text_col, n, bands, rows))
-    classes = signed.where("n_shingles > 0 and id is not null").groupBy("n_shingles", "f1", "f2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
-    classes = staged(classes)
-    spread = classes.select("rep", "f1", F.explode("bands").alias("bucket"))
+def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 80, bands: int = BANDS, rows: int = ROWS,
+            rounds: int = 3, block: int = BLOCK) -> DataFrame:
+    """(id, k, h, n_shingles, group, first_id), one row for each row of ``docs``: ``group`` names the component (null without shingles), ``first_id`` is its smallest id."""
+    keyed = keyed_rows(docs, id_col, text_col)
+    signed = staged(signed_rows(keyed, n, bands, rows))
+    classes = signed.where("n_shingles > 0").groupBy("n_shingles", "f1", "f2").agg(F.min("id").alias("id0"), F.min(F.struct("k", "h")).alias("at"), F.first("bands").alias("bands"))
+    classes = staged(classes.withColumn("rep", F.xxhash64("n_shingles", "f1", "f2")))  # a class is named by its set, not by an id that other texts may share
+    spread = classes.select("rep", F.explode("bands").alias("bucket"))
     shared = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    members = staged(spread.join(shared, "bucket").select("bucket", "rep", "f1", "c"))
-    weight = members.groupBy("rep", "f1").agg(F.sum("c").alias("w"))
-    sets = staged(sets_of(docs, weight, id_col, text_col, n))
+    members = staged(spread.join(shared, "bucket").select("bucket", "rep", "c"))
+    weight = members.groupBy("rep").agg(F.sum("c").alias("w"))
+    sets = staged(sets_of(keyed, classes.join(weight, "rep").select("at.k", "at.h", "rep"), n))
     members = staged(members.select("bucket", "rep").join(weight.select("rep", "w"), "rep"))
     links, comp = None, None
     for k in range(rounds):
@@ -181,41 +186,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = open_buckets(labelled(members, comp))
     found = settled(rest, sets, percent, block)
     comp = components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(found))
-    of_class = classes.select("n_shingles", "f1", "f2", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-    of_class = of_class.select("n_shingles", "f1", "f2", F.coalesce("component", "rep").alias("cid"))
-    out = signed.drop("bands").join(of_class, ["n_shingles", "f1", "f2"], "left")
-    cid = F.coalesce("cid", "id")
-    return out.select(F.col("id").alias(id_col), "n_shingles", cid.alias("component_id"), F.coalesce(F.col("id") == cid, F.lit(False)).alias("kept"))
+    of_class = classes.select("n_shingles", "f1", "f2", "rep", "id0").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
+    first = of_class.where("component is not null").groupBy("component").agg(F.min("id0").alias("id1"))
+    of_class = of_class.join(first, "component", "left").select("n_shingles", "f1", "f2", F.coalesce("component", "rep").alias("group"),
+                                                                F.when(F.col("component").isNull(), F.col("id0")).otherwise(F.col("id1")).alias("first_id"))
+    return signed.drop("bands").join(of_class, ["n_shingles", "f1", "f2"], "left").select("id", "k", "h", "n_shingles", "group", "first_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` with the smallest id of their group, equal rows once; rows without an id stay unless their group has one."""
-    near = staged(near_duplicates(docs, id_col, text_col, n, percent))
-    stay = near.where("kept").select(F.col(id_col).alias("_id")).distinct()
-    mark = F.xxhash64(F.col(text_col)).alias("_mark")
-    named = docs.where(F.col(id_col).isNotNull()).select("*", mark, F.col(id_col).cast("bigint").alias("_id"))
-    named = named.join(stay, "_id", "left_semi").dropDuplicates(["_id", "_mark"]).select(*docs.columns)
-    bare = docs.where(F.col(id_col).isNull())
-    if bare.isEmpty():
-        return named
-    grouped = shingled_groups(docs, id_col, text_col, n)
-    return named.unionAll(bare.join(grouped, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_h"), "left_anti").select(*docs.columns))
-
-
-def shingled_groups(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """(_h): hashes of the texts of rows without an id whose shingle set a row with an id has too."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 80, **options) -> DataFrame:
+    """(id, n_shingles, component_id, kept), one row for each row of ``docs``."""
+    g = grouped(docs, id_col, text_col, n, percent, **options)
+    cid = F.coalesce("first_id", "id")
+    return g.select(F.col("id").alias(id_col), "n_shingles", cid.alias("component_id"), F.coalesce(F.col("id") == cid, F.lit(False)).alias("kept"))
 
-    def run(batches):
-        hashes = WordHashes()
-        for batch in batches:
-            s = [shingle_set(words(t.as_py()), hashes, n) for t in batch.column(2)]
-            f = [int(x.sum(dtype=np.uint64).astype(np.int64)) if len(x) else None for x in s]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(f, pa.int64())], names=["named", "_h", "f"])
-
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).isNotNull().alias("named"), F.xxhash64(text).alias("_h"), text.alias("t")).mapInArrow(run, "named boolean, _h bigint, f bigint")
-    both = rows.where("f is not null").groupBy("f").agg(F.max("named").alias("m"))
-    return rows.where("not named").join(both.where("m"), "f").select("_h").distinct()
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 80) -> DataFrame:
+    """One row of ``docs`` for each group: that with the smallest id (a row without an id only where the group has none), then with the
+    smallest text hash.  Rows without shingles stay, equal ones (id and text) once."""
+    g = staged(grouped(docs, id_col, text_col, n, percent).select("id", "k", "h", "group"))
+    least = g.where("group is not null").groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("bare"), F.col("k").alias("k"), F.col("h").alias("h"))).alias("w"))
+    stay = least.select("w.bare", "w.k", "w.h").unionAll(g.where("group is null").select(F.col("id").isNull(), "k", "h")).distinct()
+    names = docs.columns
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(id_col).cast("bigint").isNull().alias("bare"),
+                        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), F.col(id_col).cast("bigint").alias("k"))
+    keyed = keyed.withColumn("k", F.coalesce("k", "h"))
+    return keyed.join(stay.select("bare", "k", "h"), ["bare", "k", "h"], "left_semi").dropDuplicates(["bare", "k", "h"]).select(*[F.col(f"row.`{c}`") for c in names])
 
 
 ORACLE = """
