@@ -14,6 +14,7 @@ may span any number of blocks.  Documents are encoded whole.
 from __future__ import annotations
 
 import base64
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +30,19 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 EOD = 50256
 BLOCK_TOKENS = 1 << 18
 CUT_CHARS = 1 << 16
+LONG_PIECE = 4096  # characters up to which the tokenizer gets a piece of the pre-split whole
+LONG_RUN = r"\s{%d,}|\S{%d,}" % (LONG_PIECE, CUT_CHARS)  # what its own pre-split cannot take: it recurses over a run
 
 _OUT = "file int, seq bigint, data binary, first bigint, ids array<bigint>"
 
 
+def load_ranks(rank_lines: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(a): int(b) for a, b in (x.split() for x in rank_lines.splitlines() if x)}
+
+
 def load_encoding(rank_lines: bytes):
     import tiktoken
-    ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in rank_lines.splitlines() if x)}
-    return tiktoken.Encoding("flat", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("flat", pat_str=PATTERN, mergeable_ranks=load_ranks(rank_lines), special_tokens={})
 
 
 def safe_parts(text: str, size: int = CUT_CHARS) -> list[str]:
@@ -53,6 +59,45 @@ def safe_parts(text: str, size: int = CUT_CHARS) -> list[str]:
     return [*out, text[at:]]
 
 
+def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Byte-pair ids of one piece by a heap of neighbouring pairs, lowest rank and then leftmost first: n log n for a piece of any length."""
+    n = len(piece)
+    end, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n  # a part starts at its index and ends at end[i], where the next starts
+    get = ranks.get
+    heap = [(r, i, i + 2) for i in range(n - 1) if (r := get(piece[i:i + 2])) is not None]
+    heapify(heap)
+    while heap:
+        _, i, to = heappop(heap)
+        j = end[i]
+        if not alive[i] or j >= n or end[j] != to:
+            continue  # one of the two has been merged since
+        alive[j], end[i] = False, to
+        if to < n:
+            before[to] = i
+            r = get(piece[i:end[to]])
+            if r is not None:
+                heappush(heap, (r, i, end[to]))
+        h = before[i]
+        if h >= 0:
+            r = get(piece[h:to])
+            if r is not None:
+                heappush(heap, (r, h, to))
+    return [ranks[piece[i:end[i]]] for i in range(n) if alive[i]]
+
+
+def encoded(enc, ranks: dict[bytes, int], text: str) -> list[int]:
+    """The ids of ``text``.  Runs of white space or of anything else that the tokenizer's pre-split can't take are split here by the same pattern,
+    and pieces too long for its merging are merged by ``merged``."""
+    import regex
+    if not regex.search(LONG_RUN, text):
+        return enc.encode_ordinary(text)
+    out = []
+    for m in regex.finditer(PATTERN, text):
+        piece = m.group()
+        out += enc._encode_single_piece(piece) if len(piece) <= LONG_PIECE else merged(piece.encode(), ranks)
+    return out
+
+
 def write_token_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER,
                        block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Rows (file, seq, data) of the flat files, and rows (file, first, ids) of the side list."""
@@ -60,7 +105,7 @@ def write_token_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         rank_lines = f.read()
 
     def run(batches):
-        enc, file = load_encoding(rank_lines), TaskContext.get().partitionId()
+        enc, ranks, file = load_encoding(rank_lines), load_ranks(rank_lines), TaskContext.get().partitionId()
         schema = pa.schema([("file", pa.int32()), ("seq", pa.int64()), ("data", pa.binary()), ("first", pa.int64()), ("ids", pa.list_(pa.int64()))])
         row = lambda seq, data, first, ids: pa.record_batch([pa.array([x], t) for x, t in zip((file, seq, data, first, ids), schema.types)], schema=schema)
         held, size, seq, first = [], 0, 0, 0
@@ -72,7 +117,7 @@ def write_token_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 first += len(ids)
                 for text in texts:
                     for x in safe_parts(text):
-                        held.append(np.array(enc.encode_ordinary(x), np.uint16))
+                        held.append(np.array(encoded(enc, ranks, x), np.uint16))
                         size += len(held[-1])
                     held.append(end)
                     size += 1
@@ -85,7 +130,7 @@ def write_token_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                         size = len(held[0])
         if size:
             yield row(seq, np.concatenate(held).tobytes(), None, None)
-        held = batch = part = texts = enc = None
+        held = batch = part = texts = enc = ranks = None
         tidy()
 
     return docs.select(F.col(id_col).cast("bigint"), text_of(text_col)).mapInArrow(run, _OUT)
