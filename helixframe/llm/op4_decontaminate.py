@@ -8,8 +8,8 @@ benchmark in an equi-join; on the diagonal of each hit windows of ``WINDOW`` wor
 word, and one counts when ``SHARE`` of its words agree (it is shorter only where the item or the document is).
 
 The seeds of the benchmark are broadcast when they number ``BROADCAST_SEEDS`` at most (counted first), else the join is
-shuffled.  Seed rows hold no text; the distinct diagonals that were hit meet the words of their document in a second join and
-are verified inside its row.
+shuffled.  Seed rows hold no text.  Documents with a hit are told to the tasks by a bitmap of bounded size, so that only their texts
+are shuffled, to their diagonals; of each diagonal only the words that lie beside the item meet it.
 
 Defined cases: null or empty texts (of either table) and items without words match nothing; an item shorter
 than the masks must be met in all its words; a document of one to three words is met only by items it holds whole; repeated rows count under their id once; ids
@@ -27,6 +27,7 @@ MASKS = ["1111", "11011", "10111", "11101"]
 SPAN = 4
 WINDOW, SHARE = 16, 0.8
 BROADCAST_SEEDS = 1_000_000
+BITMAP_BITS = 1 << 26  # 8 MB of bits
 
 
 def word_hashes(text: Column) -> Column:
@@ -50,14 +51,19 @@ def row_key(id_col: str, text_col: str) -> list[Column]:
     return [F.coalesce(F.col(id_col).cast("bigint"), F.lit(-1)).alias("_k0"), F.xxhash64(text_of(text_col)).alias("_k1")]
 
 
-# Windows of a diagonal d (position in the document minus position in the item) where enough words agree.
-GOOD = f"""
-transform(x, y -> struct(y.item_id AS item_id, y.d AS d, least({WINDOW}, n, y.ilen) AS len,
-  filter(sequence(greatest(0, -y.d), greatest(greatest(0, -y.d), least(y.ilen, n - y.d) - least({WINDOW}, n, y.ilen))), s ->
-    s + least({WINDOW}, n, y.ilen) <= least(y.ilen, n - y.d) AND
-    size(filter(zip_with(slice(h, s + y.d + 1, least({WINDOW}, n, y.ilen)), slice(y.ih, s + 1, least({WINDOW}, n, y.ilen)), (a, b) -> a = b), z -> z))
-      >= ceil({SHARE} * least({WINDOW}, n, y.ilen) - 1e-9)) AS good))
-"""
+def hit_bitmap(found: DataFrame) -> DataFrame:
+    """(word, bits): one bit in ``BITMAP_BITS`` for each key of ``found``; at most BITMAP_BITS / 64 rows however many keys there are."""
+    at = found.select(_bit().alias("bit"))
+    return at.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("bits"))
+
+
+def _bit() -> Column:
+    return F.pmod(F.xxhash64(F.lit("bitmap"), "_k0", "_k1"), F.lit(BITMAP_BITS))
+
+
+# Start of the windows of a diagonal d (position in the document minus position in the item), counted in the item, where enough words agree.
+# a and e: first and end position in the item that lie inside the document; same: word by word, whether the two agree from a on.
+GOOD = f"filter(sequence(a, e - len), s -> size(filter(slice(same, s - a + 1, len), z -> z)) >= ceil({SHARE} * len - 1e-9))"
 
 
 def hits(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
@@ -71,16 +77,25 @@ def hits(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: st
     # masks apply to items that have room for them; a shorter item has one seed, of all its words
     own = seeds(items, every).where(F.when(F.col("n") >= SPAN, F.col("m") < len(masks)).otherwise(size == F.col("n")))
     own = staged(own.select("item", F.col("i").alias("j"), "seed"))
-    if own.count() <= BROADCAST_SEEDS:
-        own = F.broadcast(own)
+    small = own.count() <= BROADCAST_SEEDS  # an item of n words has n seeds or more, so its hashes are bounded with them
+    at_hand = F.broadcast if small else lambda x: x
     rows = docs.select(*row_key(id_col, text_col), word_hashes(text_of(text_col)).alias("h")).withColumn("n", F.size("h"))
-    met = seeds(rows, every).select("_k0", "_k1", "i", "seed").join(own, "seed")
+    met = seeds(rows, every).select("_k0", "_k1", "i", "seed").join(at_hand(own), "seed")
     met = met.select("_k0", "_k1", "item", (F.col("i") - F.col("j")).alias("d")).distinct()
-    met = met.join(items.select("item", "item_id", F.col("h").alias("ih"), F.col("n").alias("ilen")), "item")
-    found = staged(met.groupBy("_k0", "_k1").agg(F.collect_list(F.struct("item_id", "ih", "ilen", "d")).alias("x")))
-    text = docs.select(*row_key(id_col, text_col), text_of(text_col).alias("_t")).join(found, ["_k0", "_k1"]).dropDuplicates(["_k0", "_k1"])
-    checked = text.select("_k0", "_k1", "x", word_hashes(F.col("_t")).alias("h")).withColumn("n", F.size("h")).select("_k0", "_k1", F.explode(F.expr(GOOD)).alias("g"))
-    return checked.select("_k0", "_k1", "g.*").where(F.size("good") > 0)
+    met = met.join(at_hand(items.select("item", F.col("n").alias("ilen"))), "item")
+    found = staged(met.groupBy("_k0", "_k1").agg(F.collect_list(F.struct("item", "ilen", "d")).alias("x")))
+    # texts of documents without a hit stay where they are: a bitmap of bounded size goes to them
+    text = docs.select(*row_key(id_col, text_col), text_of(text_col).alias("_t")).withColumn("_bit", _bit())
+    text = text.join(F.broadcast(hit_bitmap(found)), F.shiftright("_bit", 6) == F.col("word")).where("shiftright(bits, cast(_bit & 63 as int)) & 1L = 1L")
+    text = text.select("_k0", "_k1", "_t").join(found.hint("merge"), ["_k0", "_k1"]).dropDuplicates(["_k0", "_k1"])
+    one = text.select("_k0", "_k1", "x", word_hashes(F.col("_t")).alias("h")).select("_k0", "_k1", "h", F.size("h").alias("n"), F.explode("x").alias("y"))
+    one = one.select("_k0", "_k1", "h", "n", "y.*").selectExpr("*", f"least({WINDOW}, n, ilen) AS len", "greatest(0, -d) AS a", "least(ilen, n - d) AS e").where("e - a >= len")
+    # of the document only the words on the diagonal go on to meet those of the item
+    part = one.select("_k0", "_k1", "item", "d", "len", "a", "e", F.expr("slice(h, a + d + 1, e - a)").alias("dh"))
+    both = part.join(at_hand(items.select("item", "item_id", F.col("h").alias("ih"))), "item")
+    same = F.zip_with("dh", F.slice("ih", F.col("a") + 1, F.col("e") - F.col("a")), lambda x, y: x == y)
+    checked = both.select("_k0", "_k1", "item_id", "d", "len", "a", "e", same.alias("same")).select("_k0", "_k1", "item_id", "d", "len", F.expr(GOOD).alias("good"))
+    return checked.where(F.size("good") > 0)
 
 
 def contaminated(docs: DataFrame, bench: DataFrame) -> DataFrame:
@@ -95,3 +110,20 @@ def clean(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: s
     """The rows of ``docs`` without text of an item."""
     found = staged(hits(docs, bench, id_col, text_col).select("_k0", "_k1").distinct())
     return docs.select("*", *row_key(id_col, text_col)).join(found, ["_k0", "_k1"], "left_anti").select(*docs.columns)
+
+
+ORACLE = f"""
+WITH t AS (SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents),
+d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda w: w <> '') AS w FROM t),
+b AS (SELECT row_number() OVER () AS q, * FROM (SELECT DISTINCT item_id, list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda w: w <> '') AS iw FROM benchmark)),
+-- a window that counts holds two neighbouring words that agree, or is one word long
+dg AS (SELECT r, unnest(range(len(w))) AS i, unnest(list_transform(range(1, len(w) + 1), lambda k: w[k] || ' ' || coalesce(w[k + 1], ''))) AS g FROM d WHERE len(w) > 0),
+bg AS (SELECT q, unnest(range(len(iw) - 1)) AS j, unnest(list_transform(range(1, len(iw)), lambda k: iw[k] || ' ' || iw[k + 1])) AS g FROM b WHERE len(iw) > 1),
+c AS (SELECT DISTINCT r, q, i - j AS o FROM dg JOIN bg ON dg.g = bg.g
+      UNION SELECT r, q, i FROM (SELECT r, unnest(range(len(w))) AS i, unnest(w) AS g FROM d) x JOIN b ON len(iw) = 1 AND iw[1] = g),
+p AS (SELECT doc_id, item_id, w, iw, o, least({WINDOW}, len(w), len(iw)) AS n, greatest(0, -o) AS a, least(len(iw), len(w) - o) AS e
+      FROM c JOIN d ON d.r = c.r JOIN b ON b.q = c.q WHERE len(w) >= {SPAN} OR len(iw) <= len(w)),
+g AS (SELECT doc_id, item_id, o, n, list_filter(range(a, e - n + 1), lambda s: len(list_filter(range(n), lambda k: w[s + o + k + 1] = iw[s + k + 1])) >= ceil({SHARE} * n - 1e-9)) AS good FROM p)
+SELECT doc_id, item_id, sum(len(good))::BIGINT AS n_windows, min(good[1] + o)::BIGINT AS first_word, max(good[-1] + o + n - 1)::BIGINT AS last_word
+FROM g WHERE len(good) > 0 GROUP BY doc_id, item_id
+"""

@@ -59,5 +59,5 @@ def op13_warc_segments(spark, sf_dir):
 
 LLM_QUERIES = {f.__name__: f for f in (op1_pii_sanitise, op3_sentencepiece_codec, op4_decontamination, op5_toxicity_score, op2_license_scan, op6_suffix_dedup, op7_embedding_near_dedup, op8_url_filter, op9_token_counts, op10_minhash_near_dedup,
                op11_conversation_repair, op12_source_divergence, op13_warc_segments)}
-LLM_ORACLES = {"op2_license_scan": op2_licences.ORACLE, "op7_embedding_near_dedup": op7_embeddings.ORACLE, "op8_url_filter": op8_urls.ORACLE,
+LLM_ORACLES = {"op4_decontamination": op4_decontaminate.ORACLE, "op2_license_scan": op2_licences.ORACLE, "op7_embedding_near_dedup": op7_embeddings.ORACLE, "op8_url_filter": op8_urls.ORACLE,
                "op10_minhash_near_dedup": op10_minhash.ORACLE, "op11_conversation_repair": op11_conversations.ORACLE, "op12_source_divergence": op12_divergence.ORACLE, "op13_warc_segments": op13_warc.ORACLE}
