@@ -86,3 +86,29 @@ def test_calinski_harabasz_matches_numpy(spark):
     extra = sum((y == k).sum() * np.sum((X[y == k].mean(0) - mean) ** 2) for k in range(3))
     intra = sum(np.sum((X[y == k] - X[y == k].mean(0)) ** 2) for k in range(3))
     assert got == pytest.approx(extra * (40 - 3) / (intra * 2))
+
+
+def _exact_expectation(a, b, N):
+    """The whole range in rational weights."""
+    from fractions import Fraction
+    from math import comb, log
+    return sum(Fraction(comb(a, k) * comb(N - a, b - k), comb(N, b)) * Fraction(k, N) * Fraction(log(N * k / (a * b))) for k in range(max(1, a + b - N), min(a, b) + 1))
+
+
+@pytest.mark.parametrize("a,b,N", [(1, 1, 1), (1, 1, 5), (3, 4, 5), (5, 5, 5), (40, 60, 100), (2, 399, 400), (200, 200, 400), (7, 9, 10_000), (1500, 1400, 3000)])
+def test_expectation_equals_the_whole_sum(a, b, N):
+    want = float(_exact_expectation(a, b, N))
+    assert S.hypergeometric_expectation(a, b, N) == pytest.approx(want, rel=1e-9, abs=1e-15)
+
+
+def test_expectation_of_huge_clusters():
+    """Clusters of 10^9 rows: seconds, and the second-order value 1 / (2 N) x (N - a)(N - b) / (...)."""
+    import time
+    t = time.time()
+    N = 4 * 10**9
+    a = b = 10**9
+    got = S.hypergeometric_expectation(a, b, N)
+    # E[k/N log(Nk/ab)] = Var(k) / (2 N mean) + higher orders, with mean ab/N
+    var = a * b / N * (1 - a / N) * (1 - b / N) * N / (N - 1)
+    assert got == pytest.approx(var / (2 * N * (a * b / N)), rel=1e-4)
+    assert time.time() - t < 30
