@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from helixframe.functions import vectors as V
+from helixframe.functions.hashing import hash_u32
 from helixframe.operators.common import zip_rows
+from helixframe.operators.indexing import dense_index
 from helixframe.operators.pairs import block_apply, block_pairs
 
 HIST_BINS = 20
@@ -159,3 +161,38 @@ def cosine_histogram(df: DataFrame, id_col: str = "vec_id", vec: str = "embeddin
         F.col("bin").cast("int").alias("bin"),
         (F.col("c") * 2 + F.when(F.col("bin") == HIST_BINS // 2, F.col("n")).otherwise(F.lit(0)))
         .cast("bigint").alias("count"))
+
+
+def drawn_pairs(spark, n: int, draws: int, strata: int, seed: int = 0) -> DataFrame:
+    """(draw, stratum, i, j): ``draws`` ordered pairs of different positions below n, the same number (up to one) in each stratum of i.
+
+    A stratum is a run of n / strata positions; i is uniform in it and j among all others, both from md5 draws, so the sample depends on
+    the seed alone.
+    """
+    t, h = F.col("draw"), F.col("stratum")
+    bound = lambda k: F.floor(k * F.lit(n) / F.lit(strata)).cast("bigint")
+    d = spark.range(draws).select(F.col("id").alias("draw"), F.pmod("id", F.lit(strata)).alias("stratum"))
+    pick = lambda name, m: F.shiftright(hash_u32(F.lit(seed), F.lit(name), t) * m, 32)
+    d = d.withColumn("i", bound(h) + pick("left", bound(h + 1) - bound(h)))
+    return d.withColumn("j", F.pmod(F.col("i") + 1 + pick("right", F.lit(n - 1)), F.lit(n)))
+
+
+def sampled_uniformity(df: DataFrame, id_col: str = "vec_id", vec: str = "embedding", t: float = 2.0, draws: int = 100_000, strata: int = 256, seed: int = 0) -> DataFrame:
+    """Q2 for large tables: (n_draws, uniform, se), the log mean of exp(-t |x^ - y^|^2) over pairs from ``draws`` sampled ones.
+
+    The mean of the strata, weighted by their share of the rows, is unbiased for the mean over all pairs; ``se`` is the standard error of
+    its logarithm from the variance within strata.  Work is linear in rows and draws: rows get a dense position once and two equi-joins
+    bring the vectors to the pairs.  Needs two rows, at least two draws for each stratum, fewer than 2^31 rows a stratum; else nulls.
+    """
+    u = dense_index(normalized(df, id_col, vec).select("id", "u"), ["id"], name="pos")
+    n = u.count()
+    strata = max(1, min(strata, n, draws // 2))
+    if n < 2 or draws < 2:
+        return df.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("n_draws"), F.lit(None).cast("double").alias("uniform"), F.lit(None).cast("double").alias("se"))
+    p = drawn_pairs(df.sparkSession, n, draws, strata, seed)
+    p = p.join(u.select(F.col("pos").alias("i"), F.col("u").alias("a")), "i").join(u.select(F.col("pos").alias("j"), F.col("u").alias("b")), "j")
+    f = F.exp(F.lit(-t) * F.pow(V.norm(V.sub("a", "b")), F.lit(2.0)))
+    per = p.groupBy("stratum").agg(F.count(F.lit(1)).alias("m"), F.avg(f).alias("f"), F.var_samp(f).alias("v"))
+    share = (F.floor((F.col("stratum") + 1) * F.lit(n) / F.lit(strata)) - F.floor(F.col("stratum") * F.lit(n) / F.lit(strata))) / F.lit(n)
+    mean, var = F.sum(share * F.col("f")), F.sum(share * share * F.col("v") / F.col("m"))
+    return per.agg(F.sum("m").alias("n_draws"), F.log(mean).alias("uniform"), (F.sqrt(var) / mean).alias("se"))

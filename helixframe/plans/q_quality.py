@@ -8,7 +8,7 @@ from helixframe.operators import quality as Q
 from helixframe.operators.common import r6
 from helixframe.plans.registry import query
 from helixframe.functions import vectors as V
-from helixframe.plans.sqlfix import EMB_U, PAIRS, sqdist_sql
+from helixframe.plans.sqlfix import EMB_U, PAIRS, hash_u32, sqdist_sql
 from helixframe.sources import fixtures as FX
 
 _PAIRS_U = f"""WITH U AS ({EMB_U})
@@ -106,3 +106,18 @@ def q7_align_uniform_record(spark, sf):
     w = zip_rows(al, un, mo)
     return w.select(r6("align").alias("align"), r6("uniform").alias("uniform"), r6("e_costheta").alias("e_costheta"),
                     (F.round("v_costheta", 9) + F.lit(0.0)).alias("v_costheta"), "hist", r6("gamma").alias("gamma"))
+
+
+DRAWS, STRATA = 20_000, 64
+
+@query("q2_uniformity_sampled", f"""
+WITH U AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS pos, u FROM ({EMB_U})), n AS (SELECT count(*) AS n FROM embeddings),
+s AS (SELECT range AS draw, range % {STRATA} AS h, n, (range % {STRATA}) * n // {STRATA} AS lo, (range % {STRATA} + 1) * n // {STRATA} AS hi FROM range({DRAWS}), n),
+i AS (SELECT *, lo + (({hash_u32("'0'", "'left'", 'draw')} * (hi - lo)) >> 32) AS i FROM s),
+p AS (SELECT *, (i + 1 + (({hash_u32("'0'", "'right'", 'draw')} * (n - 1)) >> 32)) % n AS j FROM i),
+f AS (SELECT h, (hi - lo)::DOUBLE / n AS w, exp(-2.0 * {sqdist_sql('a.u', 'b.u')}) AS f FROM p JOIN U a ON a.pos = p.i JOIN U b ON b.pos = p.j),
+g AS (SELECT h, max(w) AS w, count(*) AS m, avg(f) AS f, var_samp(f) AS v FROM f GROUP BY h)
+SELECT sum(m)::BIGINT AS n_draws, round(ln(sum(w * f)), 6) + 0.0 AS uniform, round(sqrt(sum(w * w * v / m)) / sum(w * f), 6) + 0.0 AS se FROM g""")
+def q2_uniformity_sampled(spark, sf):
+    u = Q.sampled_uniformity(FX.embedding_set(spark, sf), draws=DRAWS, strata=STRATA)
+    return u.select("n_draws", r6("uniform").alias("uniform"), r6("se").alias("se"))

@@ -45,3 +45,30 @@ def test_uniformity_and_histogram(spark):
     np.fill_diagonal(C, 0.0)
     ref, _ = np.histogram(C.ravel(), bins=20, range=(-1, 1))
     assert [h[b] for b in range(20)] == ref.tolist()
+
+
+def test_sampled_uniformity_is_unbiased(spark):
+    """Estimates of several seeds lie around the exact value as their standard errors say."""
+    X = np.random.default_rng(8).normal(size=(150, 5))
+    df = _emb(spark, X)
+    exact = Q.uniformity(df).collect()[0]["uniform_t2"]
+    z = []
+    for seed in range(6):
+        r = Q.sampled_uniformity(df, draws=4000, strata=16, seed=seed).collect()[0]
+        assert r["n_draws"] == 4000 and 0 < r["se"] < 0.1
+        z.append((r["uniform"] - exact) / r["se"])
+    assert max(map(abs, z)) < 4 and abs(np.mean(z)) < 4 / np.sqrt(6)
+    assert len(set(z)) == 6
+
+
+def test_drawn_pairs(spark):
+    d = Q.drawn_pairs(spark, 7, 700, 3).toPandas()
+    assert (d["i"] != d["j"]).all() and set(d["i"]) == set(d["j"]) == set(range(7))
+    assert all(set(g["i"]) == set(range(h * 7 // 3, (h + 1) * 7 // 3)) for h, g in d.groupby("stratum"))
+    assert sorted(d.groupby("stratum").size()) == [233, 233, 234]
+
+
+def test_sampled_uniformity_of_few_rows(spark):
+    one = _emb(spark, np.ones((1, 3)))
+    assert tuple(Q.sampled_uniformity(one).collect()[0]) == (0, None, None)
+    assert Q.sampled_uniformity(_emb(spark, np.ones((2, 3))), draws=10).collect()[0]["uniform"] == 0.0
