@@ -135,20 +135,24 @@ def dim_correct(vec) -> F.Column:
 
 
 def inverse_covariance(df: DataFrame, vec: str) -> np.ndarray:
-    """d x d inverse covariance for Mahalanobis: Gram aggregate on the executors,
-    inversion of the d x d result on the driver (size d^2, not n)."""
+    """d x d inverse covariance for Mahalanobis: the Gram matrix of the rows less their mean, summed on the executors (a common shift
+    of the data costs no digits), inverted on the driver (size d^2, not n).  A singular covariance gets its pseudo-inverse."""
     from helixframe.operators.quality import gram
-    u = df.select(F.col(vec).alias("u"))
-    g = gram(u).collect()
-    st = df.agg(F.count(F.lit(1)).alias("n")).collect()[0]["n"]
-    means = column_stats(df, vec).collect()[0]["mean"]
-    d = len(means)
+    mu = column_stats(df, vec).select("mean").collect()[0]["mean"]
+    centred = df.select(F.transform(vec, lambda v, i: v - F.element_at(F.array(*[F.lit(float(m)) for m in mu]), i + 1)).alias("u"))
+    d, n = len(mu), df.count()
     G = np.zeros((d, d))
-    for r in g:
+    for r in gram(centred).collect():
         G[r["a"], r["b"]] = r["g"]
-    mu = np.asarray(means)
-    cov = (G - st * np.outer(mu, mu)) / (st - 1)
-    return np.linalg.pinv(cov)
+    return np.linalg.pinv(G / (n - 1))
+
+
+def mahalanobis(x, y, inverse: np.ndarray) -> F.Column:
+    """sqrt((x - y)' VI (x - y)) of two vector columns."""
+    rows = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in inverse])
+    diff = V.sub(x, y)
+    q = F.aggregate(F.zip_with(rows, diff, lambda r, di: di * V.dot(r, diff)), F.lit(0.0), lambda a, v: a + v)
+    return F.sqrt(F.greatest(q, F.lit(0.0)))
 
 
 def hashed_embedding(tokens_df: DataFrame, key: str, tokens: str, dim: int = 64,

@@ -53,17 +53,50 @@ def alias_labels(df: DataFrame) -> DataFrame:
     return df
 
 
-def seeded_head(df: DataFrame, id_col: str, seed: int, frac: float) -> DataFrame:
+def _bin_of(keyed: DataFrame, key: str, frac: float, few: int) -> tuple[str, int, int]:
+    """(prefix, rest, total): of the rows in key order the first int(frac * n) are those of smaller prefix and ``rest`` of those with this prefix.
+
+    ``key`` holds 32 hex digits; each round counts the next ``DIGITS`` digits of the rows in the crossing bin, at most 16 ** DIGITS counts.
+    """
+    prefix, below, k, total = "", 0, 0, None
+    for d in range(DIGITS, 32 + 1, DIGITS):
+        rows = keyed if not prefix else keyed.where(F.substring(key, 1, d - DIGITS) == prefix)
+        counts = sorted((r["p"], r["n"]) for r in rows.groupBy(F.substring(key, 1, d).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
+        if total is None:
+            total = sum(n for _, n in counts)
+            k = int(frac * total)
+        if k <= 0 or k >= total:
+            return "", k, total
+        for p, n in counts:
+            if below + n > k:
+                break
+            below += n
+        prefix = p
+        if n <= few:
+            break
+    return prefix, k - below, total
+
+
+DIGITS = 4  # hex digits a round: 65,536 counts reach the driver at most
+
+
+def seeded_head(df: DataFrame, id_col: str, seed: int, frac: float, few: int = 10_000) -> DataFrame:
     """Exact replayable sample - order by md5(seed:id), keep the first int(frac*n).
 
-    The head can be a large share of the data, so it is cut with the
-    range-partitioned dense index (a filter on the position) instead of a
-    limit that would funnel the kept rows through one task.
+    The position is selected, not sorted for: histograms of the key's leading digits close in on the bin that holds the last kept row
+    (each round one pass over the id alone, and the second pass sees 1 / 65,536 of the rows), and only that bin, ``few`` rows or rows of equal
+    keys, gets positions.  The table itself is filtered where it stands.  Rows repeated under one id are cut in any order.
     """
-    n = df.count()
-    k = int(frac * n)
     keyed = df.withColumn("_key", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string"))))
-    return dense_index(keyed, ["_key", id_col], name="_pos").where(F.col("_pos") < k).drop("_key", "_pos")
+    prefix, rest, total = _bin_of(keyed.select("_key"), "_key", frac, few)
+    if not prefix:
+        return df if rest > 0 else df.limit(0)
+    at = F.substring("_key", 1, len(prefix))
+    head = keyed.where(at < prefix).drop("_key")
+    if not rest:
+        return head
+    edge = dense_index(keyed.where(at == prefix), ["_key", id_col], name="_pos").where(F.col("_pos") < rest)
+    return head.unionByName(edge.drop("_key", "_pos"))
 
 
 def epoch_plan(n: Column, batch_size: int, accum: int = 1, drop_last: bool = False, epochs: float = 1.0, max_steps: int = -1) -> list[Column]:

@@ -158,12 +158,7 @@ def e11_mahalanobis(spark, sf):
     """Mahalanobis distance of each pair; the d x d inverse covariance comes from a Gram aggregate."""
     e = FX.embedding_set(spark, sf)
     VI = PO.inverse_covariance(e, "embedding")
-    p = FX.embedding_pairs(spark, sf)
-    rows = F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in VI])
-    diff = V.sub("z1", "z2")
-    p = p.withColumn("_d", diff).withColumn("_vi", rows)
-    q = F.aggregate(F.zip_with("_vi", "_d", lambda r, di: di * V.dot(r, F.col("_d"))), F.lit(0.0), lambda a, v: a + v)
-    return p.select("idx", r6(F.sqrt(F.greatest(q, F.lit(0.0)))).alias("mahalanobis"))
+    return FX.embedding_pairs(spark, sf).select("idx", r6(PO.mahalanobis("z1", "z2", VI)).alias("mahalanobis"))
 
 
 _STATS = """(SELECT list(m ORDER BY i) AS mean, list(sd ORDER BY i) AS std FROM (SELECT i, avg(x) AS m, stddev_pop(x) AS sd FROM
