@@ -4,7 +4,9 @@ Patterns find e-mail addresses, IP addresses, card and phone numbers.  Each valu
 entity e.  The words of the documents that hold it are its terms t.  With document counts over
 the whole corpus, t discloses e by PMI(t; e) = log2(n(t, e) N / (n(t) n(e))) bits out of the IC(e) = log2(N / n(e)) bits that e
 holds.  The share n(t, e) / n(t) of t's documents is smoothed by ``PRIOR`` documents of the base rate n(e) / N, so few documents give
-less than many, and terms of every entity are judged, also of one in a single document.  A term whose disclosure reaches ``GENERALISE``
+less than many.  From the share of IC(e) so reached ``DOUBT`` / k is taken, k being the documents that hold both: the lower confidence bound of a
+proportion seen k times out of k at a level that tightens with the information claimed, (n(e) / N) ** DOUBT.  One observation so never reaches ``GENERALISE``,
+in a corpus of any size; two do from some hundred documents on.  A term whose disclosure reaches ``GENERALISE``
 of IC(e) for any e is generalised to a tag, from ``REMOVE`` on it is removed: at all its places, in every document of the corpus.
 
 Everything is counted by Spark: document frequencies are counted per batch before the shuffle; entities held by the same documents
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from helixframe.llm.common import pieces, staged, text_of, tidy
 
-PRIOR, GENERALISE, REMOVE = 1.0, 0.8, 0.95
+PRIOR, DOUBT, GENERALISE, REMOVE = 1.0, 0.21, 0.8, 0.95  # DOUBT is more than 1 - GENERALISE
 SLOTS = 1 << 25
 HELD_WORDS = 200_000
 KINDS = ["email", "ip", "card", "phone", "term"]
@@ -170,15 +172,18 @@ def disclosing(docs: DataFrame, found: DataFrame, n_docs: int, text_col: str, ge
     ents = mentions.groupBy("e").agg(F.sum("c").alias("n_e"), *same).groupBy("n_e", "s0", "s1").agg(F.min("e").alias("e")).where(F.col("n_e") < n_docs)
     base = F.col("n_e") / float(n_docs)
     # no word of more documents reaches the share, as n_te is n_e at most
-    most = (F.col("n_e") + PRIOR * base) / F.pow(base, F.lit(1 - generalise)) - PRIOR + 1e-6
-    who = staged(mentions.join(ents.select("e", "n_e", most.alias("most")), "e"))
-    words = held.select("k1", "k2", F.explode("words").alias("t")).distinct()
+    least = F.lit(generalise) + F.lit(DOUBT) / F.col("n_e")
+    most = (F.col("n_e") + PRIOR * base) / F.pow(base, 1 - least) - PRIOR + 1e-6
+    who = staged(mentions.join(ents.where(least <= 1).select("e", "n_e", most.alias("most")), "e"))
+    near = held.join(who.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi")
+    words = near.select("k1", "k2", F.explode("words").alias("t")).distinct()
     n_t = document_frequencies(docs, text_col).join(words.select("t").distinct(), "t", "left_semi").groupBy("t").agg(F.sum("n").alias("n_t"))
     top = who.agg(F.max("most")).first()[0]
     pair = words.join(n_t.where(F.col("n_t") <= F.lit(top)), "t").join(who, ["k1", "k2"]).where("n_t <= most")
     pair = pair.groupBy("e", "t").agg(F.sum("c").alias("n_te"), F.first("n_t").alias("n_t"), F.first("n_e").alias("n_e"))
     pmi = F.log2((F.col("n_te") + PRIOR * base) / (F.col("n_t") + PRIOR) / base)
-    return pair.select("t", (pmi / -F.log2(base)).alias("share")).where(F.col("share") >= generalise).groupBy("t").agg(F.max("share").alias("share"))
+    share = pmi / -F.log2(base) - F.lit(DOUBT) / F.col("n_te")
+    return pair.select("t", share.alias("share")).where(F.col("share") >= generalise).groupBy("t").agg(F.max("share").alias("share"))
 
 
 def bitmap(flagged: DataFrame) -> bytes:

@@ -1,6 +1,7 @@
 """Each text operator against a plain rule on small rows, and on edge rows and empty tables."""
 import hashlib
 import math
+import random
 import re
 
 import pytest
@@ -57,10 +58,64 @@ def test_terms_that_give_an_entity_away(docs_of):
 
 
 def test_terms_of_a_rare_entity_are_judged(docs_of):
-    once = "the zebracorn desk write bob@x.org today"
-    rows = by_id(op1_pii.scan(docs_of([(0, once)] + [(100 + i, f"the desk is here today write number {i}") for i in range(60)])))
-    assert rows[0]["spans"] == "term:4:13,email:25:34" and rows[0]["n_term"] == 1  # one document holds the entity
+    """A few texts that share a word nobody else has give an entity away; one document never does."""
+    far = [(100 + i, f"the desk is here today write number {i}") for i in range(60)]
+    once, again = "the zebracorn desk write bob@x.org today", "a zebracorn for bob@x.org"
+    rows = by_id(op1_pii.scan(docs_of([(0, once), (1, again), (2, f"{again} too"), *far])))
+    assert rows[0]["spans"] == "term:4:13,email:25:34" and rows[0]["n_term"] == 1 and rows[1]["n_term"] == 1
     assert all(rows[100 + i]["n_term"] == 0 for i in range(60))
+    rows = by_id(op1_pii.scan(docs_of([(0, once), *far])))
+    assert rows[0]["spans"] == "email:25:34" and all(r["n_term"] == 0 for r in rows.values())
+
+
+def plain_disclosing(rows):
+    """{term: share} from (id, text) rows, counted one by one."""
+    from collections import defaultdict
+    from math import log2
+    docs = {}
+    for i, text in rows:
+        docs.setdefault((i, text), 0)
+        docs[i, text] += 1
+    n = sum(docs.values())
+    n_t, n_e, n_te = defaultdict(int), defaultdict(int), defaultdict(int)
+    for (i, text), c in docs.items():
+        spans = op1_pii.base_spans(text)
+        who = {op1_pii.entity(text, s, k, e) for s, k, e in spans}
+        for t in {w.lower() for w in op1_pii.WORD.findall(text)}:
+            n_t[t] += c
+        for e in who:
+            n_e[e] += c
+            for t in {w for w, _, _ in op1_pii.outside(text, spans)}:
+                n_te[e, t] += c
+    out = {}
+    for (e, t), c in n_te.items():
+        if n_e[e] < n:
+            p = n_e[e] / n
+            share = log2((c + p) / (n_t[t] + 1) / p) / -log2(p) - op1_pii.DOUBT / c
+            if share >= 0.8:
+                out[t] = max(share, out.get(t, 0))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_disclosing_equals_brute_force(docs_of, seed):
+    r = random.Random(seed)
+    vocab = ["".join(r.choice("abcdef") for _ in range(4)) for _ in range(300)]
+    rows = []
+    for i in range(400):
+        words = [r.choice(vocab) for _ in range(r.randint(0, 8))]
+        if r.random() < 0.2:
+            who = r.randrange(25)
+            words += [f"p{who}@x.org", f"secret{chr(97 + who)}", r.choice(["", f"+1 555 010 {1000 + who}"])]
+        r.shuffle(words)
+        rows.append((i if r.random() < 0.9 else None, " ".join(words)))
+    rows += rows[:40] + [(900 + k, rows[k][1]) for k in range(40)]
+    docs = docs_of(rows)
+    found = op1_pii.found_rows(docs, "doc_id", "text")
+    got = {x["t"]: x["share"] for x in op1_pii.disclosing(docs, found, len(rows), "text").collect()}
+    want = plain_disclosing(rows)
+    assert got.keys() == want.keys() and any(t.startswith("secret") for t in got)
+    assert all(got[t] == pytest.approx(want[t], abs=1e-9) for t in want)
 
 
 def test_terms_are_replaced_at_all_their_places(docs_of):
