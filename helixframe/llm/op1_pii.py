@@ -134,6 +134,8 @@ def found_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 strings = pa.list_(pa.string())
                 yield pa.record_batch([*part.columns[:3], pa.array(counts, pa.list_(pa.int64())), pa.array(base), pa.array(sha), pa.array(who, strings), pa.array(words, strings)],
                                       names=["k1", "k2", "id", "counts", "base", "sha", "who", "words"])
+        batch = part = text = value = counts = base = sha = who = words = spans = None
+        tidy()
 
     return _keyed(docs, id_col, text_col).mapInArrow(run, _FOUND)
 
@@ -269,5 +271,7 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                 new = [None if t is None else replaced(t, o or []) for t, o in zip((x.as_py() for x in part.column(at)), part.column(n).to_pylist())]
                 cols = [pa.array(new, part.column(at).type) if i == at else part.column(i) for i in range(n)]
                 yield pa.RecordBatch.from_arrays(cols, names=part.schema.names[:n])
+        batch = part = new = cols = None
+        tidy()
 
     return joined.mapInArrow(run, docs.schema)
