@@ -10,7 +10,7 @@ not its encoding.  The fold therefore runs the model's merges over the lattice:
 boundaries as bits, and a merge removes the boundary inside the best edge (highest score, then leftmost) whose two halves are
 symbols now.  The result equals the library's ids.
 
-The ``KNOWN`` most frequent units of a sample are encoded first, once, and broadcast (their number bounds them); the batches encode the rest.
+The most frequent units of a sample, ``KNOWN`` at most, are encoded first, once, and broadcast (their number bounds them); the batches encode the rest.
 No text is shuffled: a batch's unit rows come before its document rows, narrow steps keep that order, and
 the last step looks the units of each document up in the batch's own table (it fails rather than guess if a unit is missing).  Memory is bounded
 by the batch: it is closed after the document that brings it to ``BATCH_WORDS`` distinct words or ``BATCH_CHARS`` characters; units are held over batches up to ``HELD_UNITS``.
@@ -25,7 +25,7 @@ import hashlib
 import re
 from array import array
 from collections import Counter
-from itertools import accumulate, islice
+from itertools import accumulate, chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,15 +34,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.llm.common import pieces, text_of, tidy
+from helixframe.llm.common import pieces, staged, text_of, tidy
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BATCH_WORDS, BATCH_CHARS, BITS = 200_000, 1 << 22, 60
-KNOWN, SAMPLE, HELD_UNITS = 50_000, 16, 300_000
+KNOWN, SAMPLE, HELD_UNITS, EDGE_ROWS = 300_000, 4, 300_000, 65_536
 
 # Rows of the stream: k >= 0 is a unit (word), MAP the units of the batch's words, DOC a document; doc: its payload.
 _ROWS, MAP, DOC = "k int, word string, doc binary", -2, -1
-_EDGES = "k int, word string, doc binary, n int, twice boolean, inside array<bigint>, ends array<bigint>"
+_EDGES = "k int, word string, doc binary, n int, edges array<struct<i:bigint,e:bigint>>"
 # An edge as one number: unit, first symbol, symbols, rank (NONE for the row that carries the unit itself).
 NONE = (1 << 16) - 1
 
@@ -126,7 +126,7 @@ def word_list(text: str) -> list[str]:
 
 
 def frequent_units(docs: DataFrame, text_col: str, unit: str) -> list[str]:
-    """The ``KNOWN`` most frequent units of the words in a sample of rows (one in ``SAMPLE`` by a hash of the text)."""
+    """The most frequent units of the words in a sample of rows (one in ``SAMPLE`` by a hash of the text): all above the least count that leaves ``KNOWN`` at most."""
 
     def run(batches):
         n, find = Counter(), re.compile(unit).findall
@@ -143,8 +143,14 @@ def frequent_units(docs: DataFrame, text_col: str, unit: str) -> list[str]:
         tidy()
 
     text = docs.select(text_of(text_col).alias("t")).where(f"t <> '' and pmod(xxhash64(t), {SAMPLE}) = 0").mapInArrow(run, "u string, c bigint")
-    top = text.groupBy("u").agg(F.sum("c").alias("c")).where("c > 1").orderBy(F.desc("c"), "u").limit(KNOWN)
-    return sorted(r["u"] for r in top.select("u").collect())
+    counted = staged(text.groupBy("u").agg(F.least(F.sum("c"), F.lit(10_000)).alias("c")).where("c > 1"))  # read twice
+    left, least = KNOWN, 10_001
+    for r in counted.groupBy("c").count().orderBy(F.desc("c")).collect():  # 10,000 rows at most
+        left -= r["count"]
+        if left < 0:
+            break
+        least = r["c"]
+    return sorted(counted.where(F.col("c") >= least).select("u").toArrow().column(0).to_pylist())
 
 
 class Numbers(dict):
@@ -169,10 +175,10 @@ def known_units(docs: DataFrame, text_col: str, v: "Vocabulary", table: DataFram
         return [], array("q", [0]), array("i")
     spark = docs.sparkSession
     rows = spark.createDataFrame(pa.table({"k": pa.array(range(len(units)), pa.int32()), "word": units})).select("k", "word", F.lit(None).cast("binary").alias("doc"))
-    found = grouped(lattice(rows, table, v.longest)).select("k", "n", F.expr(FOLD).alias("bounds")).collect()  # KNOWN rows of three numbers at most
+    found = grouped(lattice(rows, table, v.longest)).select("k", "n", F.expr(FOLD).alias("bounds")).toArrow()  # KNOWN rows of three numbers at most
     ids: list = [None] * len(units)
-    for r in found:
-        ids[r["k"]] = v.ids_of(symbols(units[r["k"]], r["n"], r["bounds"], v.rank))
+    for k, n, bounds in zip(*(c.to_pylist() for c in found.columns)):
+        ids[k] = v.ids_of(symbols(units[k], n, bounds, v.rank))
     return units, array("q", [0, *accumulate(map(len, ids))]), array("i", [x for run in ids for x in run])
 
 
@@ -249,18 +255,22 @@ def lattice(rows: DataFrame, table: DataFrame, longest: int) -> DataFrame:
     return sub.select(F.when(F.col("k") < 0, F.col("k").cast("bigint")).otherwise(edge).alias("e"), F.when(own, F.col("word")).alias("word"), "doc")
 
 
+def _pairs(inside: np.ndarray, ends: np.ndarray) -> pa.StructArray:
+    return pa.StructArray.from_arrays([pa.array(inside), pa.array(ends)], names=["i", "e"])
+
+
 def grouped(edges: DataFrame) -> DataFrame:
-    """One row a unit again, its edges in merge order as bit masks: the boundaries inside, and the two at the ends.
+    """One row a unit again, its edges in merge order as two bit masks each: the boundaries inside (i) and the two at the ends (e).
 
-    ``twice``: some piece begins or ends with a piece of worse rank, so merges may not come in the order of their ranks."""
+    An edge that is a half of a longer one of no later rank has the bit ``MARK`` in ``e``: once it merges, merges may no longer come in the order of their ranks."""
 
     def run(batches):
-        held = None  # the last unit of a batch may go on in the next one
+        held, rows = [], 0  # edges gathered so far; the last unit may go on in the next batch
 
         def other(t):
             m = t.num_rows
-            return pa.record_batch([t.column(0).cast(pa.int32()), t.column(1), t.column(2), pa.array([0] * m, pa.int32()), pa.array([False] * m),
-                                    *[pa.array([[]] * m, pa.list_(pa.int64()))] * 2], names=["k", "word", "doc", "n", "twice", "inside", "ends"])
+            none = pa.ListArray.from_arrays(pa.array([0] * (m + 1), pa.int32()), _pairs(np.empty(0, np.int64), np.empty(0, np.int64)))
+            return pa.record_batch([t.column(0).cast(pa.int32()), t.column(1), t.column(2), pa.array([0] * m, pa.int32()), none], names=["k", "word", "doc", "n", "edges"])
 
         def emit(t):
             e = t.column(0).to_numpy()
@@ -269,21 +279,23 @@ def grouped(edges: DataFrame) -> DataFrame:
             unit = np.repeat(np.arange(len(first)), np.diff(np.concatenate([first, [len(k)]])))
             use = rank != NONE
             u, a, b, r = unit[use], s[use], (s + ln)[use], rank[use]
-            twice = np.zeros(len(first), bool)
-            for x, y in ((a, b), (b, -a)):  # longer pieces with the same begin (end) must have later ranks
-                o = np.lexsort((y, x, u))
-                bad = (u[o][1:] == u[o][:-1]) & (x[o][1:] == x[o][:-1]) & (r[o][1:] < r[o][:-1])
-                twice[u[o][1:][bad]] = True
-            o = np.lexsort((a, r, u))
+            half = np.zeros(len(u), bool)
+            for o, x in ((np.arange(len(u))[::-1], a), (np.argsort((u << 12) | (b << 6) | a), b)):  # equal begins (ends) together, longest first
+                same = (u[o] << 6) | x[o]
+                lower = r[o] - (np.cumsum(np.concatenate([[0], same[1:] != same[:-1]])[:len(o)]) << 17)  # so that a later group starts anew below
+                half[o[1:]] |= (np.minimum.accumulate(lower)[:-1] <= lower[1:]) & (same[1:] == same[:-1])
+            o = np.argsort((u << 27) | (r << 11) | (a << 5) | (b - a))
             u, a, b = u[o], a[o].astype(np.uint64), b[o].astype(np.uint64)
             one = np.uint64(1)
-            ends = (one << a) | (one << b)
+            ends = (one << a) | (one << b) | (half[o].astype(np.uint64) << np.uint64(62))
             inside = ((one << b) - one) ^ ((one << (a + one)) - one)
             offsets = pa.array(np.searchsorted(u, np.arange(len(first) + 1)).astype(np.int32))
             word = t.column(1).take(pa.array(first))
-            return pa.record_batch([pa.array(k[first], pa.int32()), word, pa.nulls(len(first), pa.binary()), pc.utf8_length(word), pa.array(twice),
-                                    *[pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int64))) for x in (inside, ends)]],
-                                   names=["k", "word", "doc", "n", "twice", "inside", "ends"])
+            return pa.record_batch([pa.array(k[first], pa.int32()), word, pa.nulls(len(first), pa.binary()), pc.utf8_length(word),
+                                    pa.ListArray.from_arrays(offsets, _pairs(inside.astype(np.int64), ends.astype(np.int64)))], names=["k", "word", "doc", "n", "edges"])
+
+        def whole():
+            return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
         for batch in batches:
             e = batch.column(0).to_numpy()
@@ -293,19 +305,22 @@ def grouped(edges: DataFrame) -> DataFrame:
                     continue
                 part = batch.slice(a, b - a)
                 if e[a] < 0:
-                    if held is not None:
-                        yield emit(held)
-                        held = None
+                    if held:
+                        yield emit(whole())
+                        held, rows = [], 0
                     yield other(part)
                     continue
-                part = part if held is None else pa.Table.from_batches([held, part]).combine_chunks().to_batches()[0]
-                k = part.column(0).to_numpy() >> 27
-                cut = int(np.searchsorted(k, k[-1]))
-                if cut:
-                    yield emit(part.slice(0, cut))
-                held = part.slice(cut)
-        if held is not None:
-            yield emit(held)
+                held.append(part)
+                rows += b - a
+                if rows >= EDGE_ROWS:
+                    part = whole()
+                    k = part.column(0).to_numpy() >> 27
+                    cut = int(np.searchsorted(k, k[-1]))
+                    if cut:
+                        yield emit(part.slice(0, cut))
+                    held, rows = [part.slice(cut)], len(k) - cut
+        if held:
+            yield emit(whole())
         held = batch = part = e = k = None
         tidy()
 
@@ -313,14 +328,16 @@ def grouped(edges: DataFrame) -> DataFrame:
 
 
 # The fold over the lattice: boundaries 0..n as bits.  An edge merges when its ends are boundaries around exactly one more.  Edges come in merge
-# order, so one pass settles a unit; where a merge can enable an earlier edge, each step takes the first edge that merges.
-_START = "shiftleft(1L, n + 1) - 1L"
+# order, so one pass settles a unit, unless an edge with MARK merged: that takes the bit MARK from the state, the pass gives null, and
+# the unit is folded by steps that each take the first edge that merges.
+MARK = 1 << 62
+_START = f"shiftleft(1L, n + 1) - 1L + {MARK}L"
 FOLD = f"""
-CASE WHEN k < 0 OR n > {BITS} THEN NULL
-WHEN NOT twice THEN aggregate(zip_with(inside, ends, (i, e) -> struct(i, e)), {_START}, (acc, x) ->
-  CASE WHEN (acc & x.e) = x.e AND bit_count(acc & x.i) = 1 THEN acc ^ (acc & x.i) ELSE acc END)
-ELSE aggregate(sequence(1, greatest(least(n - 1, size(inside)), 1)), {_START}, (acc, step) ->
-  acc ^ (acc & coalesce(try_element_at(filter(zip_with(inside, ends, (i, e) -> CASE WHEN (acc & e) = e AND bit_count(acc & i) = 1 THEN i END), i -> i IS NOT NULL), 1), 0L))) END
+CASE WHEN k >= 0 AND n <= {BITS} THEN coalesce(
+  aggregate(edges, {_START}, (acc, x) -> CASE WHEN (acc & x.e) = x.e AND bit_count(acc & x.i) = 1 THEN acc ^ (acc & (x.i | (x.e & {MARK}L))) ELSE acc END,
+    acc -> CASE WHEN acc >= {MARK}L THEN acc - {MARK}L END),
+  aggregate(sequence(1, greatest(least(n - 1, size(edges)), 1)), {_START}, (acc, step) ->
+    acc ^ (acc & coalesce(try_element_at(filter(edges, x -> (acc & x.e) = x.e AND bit_count(acc & x.i) = 1), 1).i, 0L)), acc -> acc - {MARK}L)) END
 """
 
 
@@ -340,30 +357,57 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
         words = None
         for batch in (part for whole in batches for part in pieces(whole, 2048)):
             ids, out, same = [], [], []
-            get = batch.to_pydict()
-            for k, word, doc, n, bounds in zip(*(get[c] for c in ("k", "word", "doc", "n", "bounds"))):
-                if k >= 0:
-                    if k == len(start[0]) - 1:
+            k = batch.column(0).to_numpy()
+            turns = [0, *(np.flatnonzero((k[1:] < 0) != (k[:-1] < 0)) + 1), len(k)]
+            for a, b in zip(turns[:-1], turns[1:]):
+                if a == b:
+                    continue
+                if k[a] >= 0:
+                    if k[a] == len(start[0]) - 1:
                         begin, flat = start[0][:], start[1][:]
-                    if k != len(begin) - 1:
+                    if k[a] != len(begin) - 1 or k[b - 1] - k[a] != b - 1 - a:
                         raise RuntimeError("units out of order")
-                    flat.extend(v.ids_of(symbols(word, n, bounds, v.rank)))
-                    begin.append(len(flat))
-                elif k == MAP:
-                    m = int.from_bytes(doc[:8], "little")
-                    words = joined_runs(np.frombuffer(doc, np.int64, m, 8), np.frombuffer(doc, np.int32, -1, 8 + 8 * m), np.array(begin), np.array(flat, np.int32))
-                else:
-                    found = take_runs(*words, np.frombuffer(doc, np.int32, -1, 25))
-                    ids.append(int.from_bytes(doc[1:9], "little", signed=True) if doc[0] else None)
-                    out.append(found)
-                    same.append(hashlib.md5(text_of_ids(found.tolist()).encode()).digest() == doc[9:25])
+                    many, found = unit_ids(batch.slice(a, b - a), v)
+                    begin.extend((len(flat) + np.cumsum(many)).tolist())
+                    flat.frombytes(found.astype(np.int32).tobytes())
+                    continue
+                for row, doc in zip(k[a:b].tolist(), batch.column(2).slice(a, b - a).to_pylist()):
+                    if row == MAP:
+                        m = int.from_bytes(doc[:8], "little")
+                        words = joined_runs(np.frombuffer(doc, np.int64, m, 8), np.frombuffer(doc, np.int32, -1, 8 + 8 * m), np.array(begin), np.array(flat, np.int32))
+                    else:
+                        found = take_runs(*words, np.frombuffer(doc, np.int32, -1, 25))
+                        ids.append(int.from_bytes(doc[1:9], "little", signed=True) if doc[0] else None)
+                        out.append(found)
+                        same.append(hashlib.md5(text_of_ids(found.tolist()).encode()).digest() == doc[9:25])
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(out, pa.list_(pa.int32())), pa.array(same, pa.bool_())], names=["id", "ids", "round_trip"])
-        begin = flat = words = batch = get = ids = out = same = found = None
+        begin = flat = words = batch = ids = out = same = found = None
         tidy()
 
     return folded.mapInArrow(run, "id bigint, ids array<int>, round_trip boolean").withColumnRenamed("id", id_col)
 
 
+def unit_ids(rows: pa.RecordBatch, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """How many ids each unit of some folded rows has, and all ids end to end."""
+    words, n, bounds = rows.column(1).to_pylist(), rows.column(3), rows.column(4)
+    if bounds.null_count:
+        runs = [v.ids_of(symbols(*unit, v.rank)) for unit in zip(words, n.to_pylist(), bounds.to_pylist())]
+        return np.array(list(map(len, runs))), np.array(list(chain.from_iterable(runs)))
+    unit, cut = np.nonzero((bounds.to_numpy()[:, None] >> np.arange(BITS + 1)) & 1)
+    inner = np.flatnonzero(unit[1:] == unit[:-1])
+    unit, a, b = unit[inner], cut[inner], cut[inner + 1]
+    found = [words[u][x:y] for u, x, y in zip(unit.tolist(), a.tolist(), b.tolist())]
+    get, size = v.ids.get, np.ones(len(found), np.int64)
+    ids = np.array([get(x, -1) for x in found], np.int64)
+    lost = np.flatnonzero(ids < 0)
+    if len(lost):
+        raw = [[v.bytes[x] for x in found[i].encode()] for i in lost.tolist()]
+        size[lost] = list(map(len, raw))
+        ids = np.repeat(ids, size)
+        ids[ids < 0] = list(chain.from_iterable(raw))
+    return np.bincount(unit, size, len(words)).astype(np.int64), ids
+
+
 def take_runs(begin: np.ndarray, flat: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The runs ``flat[begin[i]:begin[i + 1]]`` of all i in ``at``, end to end."""
     size = begin[at + 1] - begin[at]
