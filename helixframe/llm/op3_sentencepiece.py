@@ -341,9 +341,16 @@ CASE WHEN k >= 0 AND n <= {BITS} THEN coalesce(
 """
 
 
+def longer_batches(spark) -> None:
+    """Arrow batches of many rows but few bytes: an edge has some ten bytes, a text can have megabytes."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16384")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 20))
+
+
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL) -> DataFrame:
     """(id, ids array<int>, round_trip): the ids of each text, and whether decoding them gives the text back."""
     v = Vocabulary(model)
+    longer_batches(docs.sparkSession)
     table = v.table(docs.sparkSession)
     units, *runs = known_units(docs, text_col, v, table)
     known, known_runs = (docs.sparkSession.sparkContext.broadcast(x) for x in (units, runs))
