@@ -164,6 +164,14 @@ def document_frequencies(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(text_of(text_col).alias("t")).mapInArrow(run, "t string, n bigint")
 
 
+def frequencies_of(docs: DataFrame, terms: DataFrame, text_col: str) -> DataFrame:
+    """(t, n_t): documents that hold each of the distinct ``terms``.
+
+    The counts of all tasks are summed before the join, so a word takes part in it once, however many tasks saw it.  (An inner join: a semi
+    join may be moved below the sum.)"""
+    return document_frequencies(docs, text_col).groupBy("t").agg(F.sum("n").alias("n_t")).join(terms, "t")
+
+
 def disclosing(docs: DataFrame, found: DataFrame, n_docs: int, text_col: str, generalise: float = GENERALISE) -> DataFrame:
     """(t, share): terms that disclose at least ``generalise`` of an entity's information, with the largest share."""
     held = found.where(F.size("who") > 0)
@@ -179,7 +187,7 @@ def disclosing(docs: DataFrame, found: DataFrame, n_docs: int, text_col: str, ge
     who = staged(mentions.join(ents.where(least <= 1).select("e", "n_e", most.alias("most")), "e"))
     near = held.join(who.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi")
     words = near.select("k1", "k2", F.explode("words").alias("t")).distinct()
-    n_t = document_frequencies(docs, text_col).join(words.select("t").distinct(), "t", "left_semi").groupBy("t").agg(F.sum("n").alias("n_t"))
+    n_t = frequencies_of(docs, words.select("t").distinct(), text_col)
     top = who.agg(F.max("most")).first()[0]
     pair = words.join(n_t.where(F.col("n_t") <= F.lit(top)), "t").join(who, ["k1", "k2"]).where("n_t <= most")
     pair = pair.groupBy("e", "t").agg(F.sum("c").alias("n_te"), F.first("n_t").alias("n_t"), F.first("n_e").alias("n_e"))

@@ -129,6 +129,17 @@ def test_terms_are_replaced_at_all_their_places(docs_of):
         assert "zebracorn" not in clean[i]["text"].lower()
 
 
+def test_a_word_joins_its_terms_once(docs_of):
+    """The words of twenty tasks are summed before they meet the terms: the join sees a word once, not once for each task."""
+    docs = docs_of([(k, f"alpha beta word{k % 3}") for k in range(200)]).repartition(20)
+    n_t = op1_pii.frequencies_of(docs, docs.selectExpr("explode(array('alpha', 'worda', 'beta')) AS t").distinct(), "text")
+    assert sorted(map(tuple, n_t.collect())) == [("alpha", 200), ("beta", 200)]
+    lines = [x.strip(" :+-|") for x in n_t._jdf.queryExecution().optimizedPlan().toString().splitlines()]
+    join = next(k for k, x in enumerate(lines) if x.startswith("Join"))
+    assert lines[join].startswith("Join Inner") and lines[join + 1].startswith(("Aggregate [t", "Filter"))
+    assert not any(x.startswith("Aggregate") for x in lines[:join])
+
+
 def test_pii_edges(docs_of):
     out = op1_pii.scan(docs_of(EDGE)).collect()
     assert len(out) == len(EDGE) and all(r["base_sha256"] == hashlib.sha256(b"").hexdigest() for r in out)
