@@ -4,18 +4,27 @@ Rows get a block ``b = pmod(xxhash64(id), B)``.  A left copy of each row is
 emitted for partner blocks ``b..B-1`` and a right copy for ``0..b``; an
 equi-join on the (lower block, upper block) key then produces every
 unordered pair exactly once (ids compared only inside one block).  Each join
-key holds about n/B x n/B pairs, so task memory stays bounded as n grows and
-the plan never contains a nested-loop or cartesian join.  Both sides are
-hash-partitioned explicitly with one partition per block pair, so AQE does
-not coalesce the (small but pair-expanding) shuffle into a single task.
+key holds about n/B x n/B pairs, so task memory stays bounded as n grows.
+Both sides are hash-partitioned explicitly with one partition per block pair,
+so AQE does not coalesce the (small but pair-expanding) shuffle into a single task.
+
+``block_sweep`` does the same for whole tables without the B copies of each
+row: a block is packed into one row, written once, and Spark's cartesian
+product of the blocks reads the stored blocks for each pair.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from helixframe.session import cut_lineage
 
 
 def n_blocks(n: int, block_rows: int) -> int:
@@ -97,3 +106,63 @@ def block_apply(df: DataFrame, id_col: str, cols: list[str], fn, schema, block_r
         rt = pdf[pdf["_side"] == 1].sort_values("id").reset_index(drop=True)
         return fn(lt, rt, same)
     return both.groupBy(*gk, "_k1", "_k2").applyInPandas(run, schema)
+
+
+HELD_BLOCKS = 32  # blocks a task holds of one side at most
+
+
+def packed_blocks(df: DataFrame, id_col: str, cols: list[str], block_rows: int, n: int | None = None) -> tuple[DataFrame, int]:
+    """((b, rows), partitions): one row for each block of about ``block_rows`` rows, its rows by id; checkpointed, blocks dealt evenly."""
+    B = n_blocks(df.count() if n is None else n, block_rows)
+    parts = min(B, max(2 * df.sparkSession.sparkContext.defaultParallelism, math.ceil(B / HELD_BLOCKS)))
+    base = df.select(F.col(id_col).alias("id"), *cols, F.pmod(F.xxhash64(F.col(id_col)), F.lit(B)).cast("int").alias("b"))
+    blocks = base.withColumn("_p", F.col("b") % parts).repartitionById(parts, F.col("_p")).groupBy("_p", "b").agg(
+        F.array_sort(F.collect_list(F.struct("id", *cols))).alias("rows"))
+    return cut_lineage(blocks.select("b", "rows")), parts
+
+
+def _columns(block: pa.ListScalar) -> dict[str, np.ndarray]:
+    """The columns of a packed block: vectors as matrices, nulls in numbers as NaN; rows without an id come last."""
+    rows, out = block.values, {}
+    for k, field in enumerate(rows.type):
+        col = rows.field(k)
+        if pa.types.is_list(field.type):
+            flat = col.flatten().to_numpy(zero_copy_only=False)
+            sizes = col.value_lengths()
+            if sizes.null_count or len(sizes.unique()) != 1:
+                raise ValueError(f"column {field.name} holds null vectors or vectors of different lengths")
+            out[field.name] = flat.reshape(len(col), -1)
+        else:
+            out[field.name] = col.to_numpy(zero_copy_only=False)
+    if out["id"].dtype.kind == "f":
+        at = np.argsort(out["id"], kind="stable")
+        out = {c: v[at] for c, v in out.items()}
+    return out
+
+
+def block_sweep(df: DataFrame, id_col: str, cols: list[str], fn, schema: str | T.StructType, block_rows: int = 1024, n: int | None = None, directed: bool = False) -> DataFrame:
+    """``fn`` over a task's stream of block pairs (l, left, r, right): block numbers and the columns of both blocks as numpy arrays.
+
+    ``fn`` keeps its partial results over all pairs of the task and yields them as pandas frames, so what is shuffled afterwards grows with the
+    tasks, not with the pairs.  Undirected, each pair l <= r comes once; when l == r both are the same rows and ``fn`` must use each
+    unordered pair of rows once.  ``directed``, every (l, r) comes, and a task has the pairs of its left blocks (``HELD_BLOCKS`` at most)
+    with all right blocks.  Nothing but the packed blocks is written.
+    """
+    blocks, parts = packed_blocks(df, id_col, cols, block_rows, n)
+    left = blocks.select(F.col("b").alias("l"), F.col("rows").alias("left"))
+    right = blocks.select(F.col("b").alias("r"), F.col("rows").alias("right"))
+    pairs = left.hint("shuffle_replicate_nl").crossJoin(right)
+    pairs = pairs.coalesce(parts) if directed else pairs.where("l <= r")
+    out = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    arrow = to_arrow_schema(out)
+
+    def stream(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                at, a, to, b = (batch.column(c)[k] for c in range(4))
+                yield at.as_py(), _columns(a), to.as_py(), _columns(b)
+
+    def run(batches):
+        for pdf in fn(stream(batches)):
+            yield pa.RecordBatch.from_pandas(pdf, schema=arrow, preserve_index=False)
+    return pairs.mapInArrow(run, out)

@@ -20,7 +20,7 @@ from helixframe.functions import vectors as V
 from helixframe.functions.hashing import hash_u32
 from helixframe.operators.common import zip_rows
 from helixframe.operators.indexing import dense_index
-from helixframe.operators.pairs import block_apply, block_pairs
+from helixframe.operators.pairs import block_sweep
 
 HIST_BINS = 20
 
@@ -88,29 +88,34 @@ _PAIR_STATS = T.StructType([
     T.StructField("min_cos", T.DoubleType()), T.StructField("hist", T.ArrayType(T.LongType()))])
 
 
-def _pair_stats_kernel(lt: pd.DataFrame, rt: pd.DataFrame, same: bool) -> pd.DataFrame:
-    """Partial uniformity sums, min cosine and histogram of one block pair (numpy).
+def _pair_stats(pairs):
+    """Uniformity sums, min cosine and histogram over a task's block pairs (numpy), as one row.
 
     Squared distances use |a|^2 + |b|^2 - 2 a.b, so memory is rows x rows,
     never rows x rows x d.
     """
-    XL, XR = np.vstack(lt["x"].to_numpy()), np.vstack(rt["x"].to_numpy())
-    UL, UR = np.vstack(lt["u"].to_numpy()), np.vstack(rt["u"].to_numpy())
-
     def sqd(A, Bm):
         return np.maximum((A * A).sum(1)[:, None] + (Bm * Bm).sum(1)[None, :] - 2.0 * (A @ Bm.T), 0.0)
-    d_raw, d_norm, cos = sqd(XL, XR), sqd(UL, UR), UL @ UR.T
-    if same:
-        m = np.triu(np.ones(cos.shape, dtype=bool), 1)
-        d_raw, d_norm, cos = d_raw[m], d_norm[m], cos[m]
-    else:
-        d_raw, d_norm, cos = d_raw.ravel(), d_norm.ravel(), cos.ravel()
-    ok = (cos >= -1) & (cos <= 1)
-    b = np.minimum(np.floor((cos[ok] + 1) * (HIST_BINS / 2.0)), HIST_BINS - 1).astype(int)
-    hist = np.bincount(b, minlength=HIST_BINS).astype("int64")
-    return pd.DataFrame({"cnt": [int(cos.size)], "e_t2": [float(np.exp(-2 * d_norm).sum())],
-                         "e_raw_t2": [float(np.exp(-2 * d_raw).sum())], "e_t1": [float(np.exp(-d_norm).sum())],
-                         "min_cos": [float(cos.min()) if cos.size else None], "hist": [hist.tolist()]})
+    cnt, sums, low, hist, any_pair = 0, np.zeros(3), [], np.zeros(HIST_BINS, dtype="int64"), False
+    for lb, lt, rb, rt in pairs:
+        any_pair = True
+        d_raw, d_norm, cos = sqd(lt["x"], rt["x"]), sqd(lt["u"], rt["u"]), lt["u"] @ rt["u"].T
+        if lb == rb:
+            m = np.triu(np.ones(cos.shape, dtype=bool), 1)
+            d_raw, d_norm, cos = d_raw[m], d_norm[m], cos[m]
+        else:
+            d_raw, d_norm, cos = d_raw.ravel(), d_norm.ravel(), cos.ravel()
+        ok = (cos >= -1) & (cos <= 1)
+        b = np.minimum(np.floor((cos[ok] + 1) * (HIST_BINS / 2.0)), HIST_BINS - 1).astype(int)
+        hist += np.bincount(b, minlength=HIST_BINS)
+        sums += [np.exp(-2 * d_norm).sum(), np.exp(-2 * d_raw).sum(), np.exp(-d_norm).sum()]
+        cnt += cos.size
+        if cos.size:
+            low.append(cos.min())
+            low = [min(low)] if not np.isnan(low).any() else [np.nan]
+    if any_pair:
+        yield pd.DataFrame({"cnt": [cnt], "e_t2": [sums[0]], "e_raw_t2": [sums[1]], "e_t1": [sums[2]],
+                            "min_cos": [float(low[0]) if low else None], "hist": [hist.tolist()]})
 
 
 def pair_statistics(df: DataFrame, id_col: str = "vec_id", vec: str = "embedding",
@@ -121,7 +126,7 @@ def pair_statistics(df: DataFrame, id_col: str = "vec_id", vec: str = "embedding
     counts per bin, each unordered pair once), n.
     """
     u = normalized(df, id_col, vec)
-    parts = block_apply(u, "id", ["x", "u"], _pair_stats_kernel, _PAIR_STATS, block_rows)
+    parts = block_sweep(u, "id", ["x", "u"], _pair_stats, _PAIR_STATS, block_rows)
     # bins summed distributively (20 groups), then one ordered array of 20 counts
     bins = (parts.select(F.posexplode("hist").alias("bin", "c")).groupBy("bin").agg(F.sum("c").alias("c"))
             .agg(F.array_sort(F.collect_list(F.struct("bin", "c"))).alias("_h")).select(F.col("_h.c").alias("h")))
