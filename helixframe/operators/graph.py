@@ -1,8 +1,9 @@
 """k-nearest-neighbour graph and exact silhouette (K3, K15) on blocked pairs.
 
-Spark replicates rows to block pairs and shuffles them; the arithmetic of one
-block pair (at most about 2 x block_rows rows) runs in numpy inside the task
-and emits only partials (top-k candidates, per-cluster distance sums).
+Spark pairs every left block with all right blocks; the arithmetic of one
+block pair (at most about 2 x block_rows rows) runs in numpy inside the task,
+which hands on only what it kept over all its pairs (top-k candidates,
+per-cluster distance sums).
 """
 
 from __future__ import annotations
@@ -13,53 +14,90 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.operators.pairs import block_apply
+from helixframe.operators.pairs import block_sweep
 
 
 _KNN_SCHEMA = T.StructType([T.StructField("src", T.LongType()), T.StructField("dst", T.LongType()),
                             T.StructField("dist", T.DoubleType())])
 
 
-def _knn_kernel(k: int, metric: str):
-    def run(lt: pd.DataFrame, rt: pd.DataFrame, same: bool) -> pd.DataFrame:
-        XL, XR = np.vstack(lt["x"].to_numpy()), np.vstack(rt["x"].to_numpy())
-        D = np.empty((len(XL), len(XR)))
-        for a in range(0, len(XL), 64):  # row chunks bound memory to 64 x rows x d
-            diff = XL[a:a + 64, None, :] - XR[None, :, :]
-            if metric in ("euclidean", "l2"):
-                D[a:a + 64] = np.sqrt((diff * diff).sum(-1))
-            elif metric in ("cityblock", "l1", "manhattan"):
-                D[a:a + 64] = np.abs(diff).sum(-1)
-            elif metric == "sqeuclidean":
-                D[a:a + 64] = (diff * diff).sum(-1)
-            else:
-                raise ValueError(metric)
-        il, ir = lt["id"].to_numpy(), rt["id"].to_numpy()
-        if same:
-            np.fill_diagonal(D, np.inf)
-        out = []
-        # candidates per source row: the k best partners inside this block pair (ids are sorted, ties go to the smaller)
-        for src, dst, M in [(il, ir, D)] + ([] if same else [(ir, il, D.T)]):
-            kk = min(k, M.shape[1])
-            bound = np.partition(M, kk - 1, axis=1)[:, kk - 1:kk]
-            near = np.argsort(np.where(M <= bound, M, np.inf), axis=1, kind="stable")[:, :kk]
-            d = np.take_along_axis(M, near, 1)
-            fin = np.isfinite(d).ravel()
-            out.append((np.repeat(src, kk)[fin], dst[near].ravel()[fin], d.ravel()[fin]))
-        return pd.DataFrame({c: np.concatenate([o[i] for o in out]) for i, c in enumerate(("src", "dst", "dist"))})
+def _exact(XL: np.ndarray, XR: np.ndarray, rows: np.ndarray, cols: np.ndarray, metric: str) -> np.ndarray:
+    """Distances of the pairs (XL[rows], XR[cols]), some thousand at a time."""
+    out = np.empty(len(rows))
+    for a in range(0, len(rows), 16384):
+        diff = XL[rows[a:a + 16384]] - XR[cols[a:a + 16384]]
+        out[a:a + 16384] = np.abs(diff).sum(-1) if metric in ("cityblock", "l1", "manhattan") else (diff * diff).sum(-1)
+    return np.sqrt(out) if metric in ("euclidean", "l2") else out
+
+
+def _screen(XL: np.ndarray, XR: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """A quick matrix that is the distance (its square for the Euclidean ones) up to an error of each row."""
+    if metric in ("cityblock", "l1", "manhattan"):
+        D = np.zeros((len(XL), len(XR)))
+        for c in range(XL.shape[1]):
+            D += np.abs(XL[:, c, None] - XR[None, :, c])
+        return D, 1e-13 * XL.shape[1] * D.max(1)
+    a, b = (XL * XL).sum(1), (XR * XR).sum(1)
+    return a[:, None] + b[None, :] - 2.0 * (XL @ XR.T), 1e-15 * (XL.shape[1] + 64) * (a + b.max())
+
+
+def _knn_sweep(k: int, metric: str):
+    """The k nearest of each left row over all right blocks, ties to the smaller id.
+
+    A matrix product screens the pairs: only those that can be among the k best so far, its rounding error allowed for, get their exact distance."""
+    if metric not in ("euclidean", "l2", "sqeuclidean", "cityblock", "l1", "manhattan"):
+        raise ValueError(metric)
+
+    def run(pairs):
+        held: dict[int, list] = {}
+        with np.errstate(all="ignore"):
+            for lb, lt, rb, rt in pairs:
+                XL, XR, n = lt["x"], rt["x"], len(lt["id"])
+                none = np.empty(0)
+                ids, row, dst, dist, worst = held.setdefault(lb, [lt["id"], none.astype(int), none.astype(rt["id"].dtype), none, np.full(n, np.inf)])
+                G, err = _screen(XL, XR, metric)
+                odd = ~np.isfinite(G)
+                if lb == rb:
+                    np.fill_diagonal(odd, False)
+                    np.fill_diagonal(G, np.nan)
+                bound = worst ** 2 if metric in ("euclidean", "l2") else worst
+                if G.shape[1] > k and np.isinf(bound).any():  # the first block: its own k best bound the rest
+                    bound = np.minimum(bound, np.partition(np.where(np.isfinite(G), G, np.inf), k - 1, axis=1)[:, k - 1] + 2 * np.where(np.isfinite(err), err, np.inf))
+                limit = bound * (1 + 1e-12) + np.where(np.isfinite(err), err, np.inf)
+                r, c = np.nonzero((G <= limit[:, None]) | odd)
+                d = _exact(XL, XR, r, c, metric)
+                fin = np.isfinite(d)
+                r, c, d = r[fin], c[fin], d[fin]
+                row, dst, dist = np.concatenate([row, r]), np.concatenate([dst, rt["id"][c]]), np.concatenate([dist, d])
+                at = np.lexsort((dst, dist, row))
+                row, dst, dist = row[at], dst[at], dist[at]
+                place = np.arange(len(row)) - np.searchsorted(row, row)
+                keep = place < k
+                worst = np.full(n, np.inf)
+                last = place == k - 1
+                worst[row[last]] = dist[last]
+                held[lb] = [ids, row[keep], dst[keep], dist[keep], worst]
+        for ids, row, dst, dist, _ in held.values():
+            yield pd.DataFrame({"src": ids[row], "dst": dst, "dist": dist})
     return run
 
 
+def _directed_rows(n: int, block_rows: int) -> int:
+    """Small tables get smaller blocks, so that there are enough left blocks to share out."""
+    return min(block_rows, max(256, n // 16))
+
+
 def knn_graph(df: DataFrame, id_col: str, vec: str, k: int = 30, metric: str = "euclidean",
               block_rows: int = 1024) -> DataFrame:
     """K3: the k nearest neighbours of every row as (src, dst, rank, dist).
 
-    Each block pair keeps only the k best partners per row (numpy inside the
-    task), so a row's candidates never exceed k * (B + 1) before the final
-    top-k; ties break on the neighbour id.
+    A task keeps the k best partners of its rows over all blocks (numpy), so
+    a row has k candidates from each task that holds its block before the
+    final top-k; ties break on the neighbour id.
     """
     base = df.select(F.col(id_col).alias("id"), F.col(vec).alias("x"))
-    cand = block_apply(base, "id", ["x"], _knn_kernel(k, metric), _KNN_SCHEMA, block_rows)
+    n = df.count()
+    cand = block_sweep(base, "id", ["x"], _knn_sweep(k, metric), _KNN_SCHEMA, _directed_rows(n, block_rows), n, directed=True)
     w = Window.partitionBy("src").orderBy("dist", "dst")
     top = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return top.select("src", "dst", F.col("rank").cast("int").alias("rank"), "dist")
@@ -72,41 +110,68 @@ def _sil_schema(labels: list[str]) -> str:
     return "src long, labelling string, src_c long, dst_c long, " + ", ".join(f"{m} double" for m in SIL_METRICS)
 
 
-def _sil_kernel(labels: list[str]):
-    """Per (row, labelling, cluster) distance sums of one block pair, both directions: distance matrix times one-hot clusters."""
-
-    def run(lt: pd.DataFrame, rt: pd.DataFrame, same: bool) -> pd.DataFrame:
-        XL, XR = np.vstack(lt["x"].to_numpy()), np.vstack(rt["x"].to_numpy())
-        UL, UR = (X / np.maximum(np.linalg.norm(X, axis=1, keepdims=True), 1e-12) for X in (XL, XR))
-        mats = {m: np.empty((len(XL), len(XR))) for m in SIL_METRICS}
-        for a in range(0, len(XL), 64):  # row chunks bound memory to 64 x rows x d
-            diff = np.abs(XL[a:a + 64, None, :] - XR[None, :, :])
-            mats["euclidean"][a:a + 64] = np.sqrt((diff * diff).sum(-1))
-            mats["l1"][a:a + 64] = diff.sum(-1)
-            mats["chebyshev"][a:a + 64] = diff.max(-1)
-            chord = UL[a:a + 64, None, :] - UR[None, :, :]
-            mats["arccos"][a:a + 64] = np.sqrt((chord * chord).sum(-1))
-        if same:
-            for m in mats.values():
-                np.fill_diagonal(m, 0.0)
-        out = []
-        for ids, src, dst, flip in [(lt["id"].to_numpy(), lt, rt, False)] + ([] if same else [(rt["id"].to_numpy(), rt, lt, True)]):
+FLUSH_CELLS = 1 << 22  # partial sums a task holds before it hands them on
+
+
+def _metric_matrices(XL: np.ndarray, XR: np.ndarray) -> np.ndarray:
+    """(metric, left row, right row): the distances of ``SIL_METRICS``.
+
+    The Euclidean ones come from a matrix product where they are large enough for it (no digit of 6 decimals is lost), else from differences."""
+    out = np.empty((len(SIL_METRICS), len(XL), len(XR)))
+    UL, UR = (X / np.maximum(np.linalg.norm(X, axis=1, keepdims=True), 1e-12) for X in (XL, XR))
+    for m, (A, B) in ((0, (XL, XR)), (3, (UL, UR))):
+        size = (A * A).sum(1)[:, None] + (B * B).sum(1)[None, :]
+        G = size - 2.0 * (A @ B.T)
+        r, c = np.nonzero(~(G > 1e-3 * size))
+        out[m] = np.sqrt(np.maximum(G, 0.0))
+        out[m][r, c] = _exact(A, B, r, c, "euclidean")
+    for a in range(0, len(XL), 64):  # tiles that stay in the cache
+        at = slice(a, a + 64)
+        l1, top = np.zeros((len(XL[at]), len(XR))), np.zeros((len(XL[at]), len(XR)))
+        for c in range(XL.shape[1]):
+            diff = np.abs(XL[at, c, None] - XR[None, :, c])
+            l1 += diff
+            np.maximum(top, diff, out=top)
+        out[1, at], out[2, at] = l1, top
+    return out
+
+
+def _sil_sweep(labels: list[str]):
+    """Per (row, labelling, cluster) distance sums of a task's left rows over all right blocks: distance matrix times one-hot clusters."""
+
+    def rows_of(held):
+        for (lb, lab), (ids, cs, cells) in held.items():
+            rows = ~np.isnan(cs)
+            for key, sums in cells.items():
+                frame = {"src": ids[rows], "labelling": lab, "src_c": cs[rows].astype(np.int64), "dst_c": np.int64(key)}
+                yield pd.DataFrame({**frame, **{m: sums[j][rows] for j, m in enumerate(SIL_METRICS)}})
+
+    def run(pairs):
+        held, size = {}, 0
+        for lb, lt, rb, rt in pairs:
+            mats = _metric_matrices(lt["x"], rt["x"])
+            if lb == rb:
+                mats[:, np.arange(len(lt["id"])), np.arange(len(lt["id"]))] = 0.0
             for lab in labels:
-                cs, cd = src[lab].to_numpy(dtype=float), dst[lab].to_numpy(dtype=float)  # NaN: the row is not in this labelling
-                rows = ~np.isnan(cs)
-                keys, at = np.unique(cd[~np.isnan(cd)], return_inverse=True)
-                if not rows.any() or not len(keys):
+                cs, cd = lt[lab].astype(float), rt[lab].astype(float)  # NaN: the row is not in this labelling
+                inside = np.flatnonzero(~np.isnan(cd))
+                keys, at = np.unique(cd[inside], return_inverse=True)
+                if np.isnan(cs).all() or not len(keys):
                     continue
                 onehot = np.zeros((len(cd), len(keys)))
-                onehot[np.flatnonzero(~np.isnan(cd)), at] = 1.0
-                frame = {"src": np.repeat(ids[rows], len(keys)), "labelling": lab, "src_c": np.repeat(cs[rows].astype(np.int64), len(keys)),
-                         "dst_c": np.tile(keys.astype(np.int64), int(rows.sum()))}
-                for m, M in mats.items():
-                    frame[m] = ((M.T if flip else M)[rows] @ onehot).ravel()
-                out.append(pd.DataFrame(frame))
-        if not out:
-            return pd.DataFrame({c.split()[0]: [] for c in _sil_schema(labels).split(", ")})
-        return pd.concat(out, ignore_index=True)
+                onehot[inside, at] = 1.0
+                sums = mats @ onehot
+                cells = held.setdefault((lb, lab), (lt["id"], cs, {}))[2]
+                for j, key in enumerate(keys.tolist()):
+                    if key in cells:
+                        cells[key] += sums[:, :, j]
+                    else:
+                        cells[key] = sums[:, :, j].copy()
+                        size += cells[key].size
+            if size > FLUSH_CELLS:
+                yield from rows_of(held)
+                held, size = {}, 0
+        yield from rows_of(held)
 
     return run
 
@@ -115,14 +180,15 @@ def silhouettes(df: DataFrame, id_col: str, vec: str, labels: dict[str, Column],
     """Mean silhouette as rows (labelling, metric, silhouette) for several labellings in one pass over the pairs.
 
     ``labels`` maps a name to a column of cluster ids; a row whose id is null takes no part in that labelling.
-    Each block pair is reduced in numpy to summed distances per (row, cluster) and Spark sums the
+    A task reduces its rows' distances to all rows in numpy to sums per (row, cluster) and Spark adds up the
     partials; a = own-cluster sum / (n_own - 1), b = min over other
     clusters of the mean; s = (b - a) / max(a, b); a singleton scores 0.
     Null when fewer than 2 or more than n - 1 clusters.  ``arccos`` is Euclidean on normalised vectors.
     """
     names = list(labels)
     base = df.select(F.col(id_col).alias("id"), F.col(vec).alias("x"), *[c.cast("long").alias(n) for n, c in labels.items()])
-    parts = block_apply(base, "id", ["x", *names], _sil_kernel(names), _sil_schema(names), block_rows)
+    n = df.count()
+    parts = block_sweep(base, "id", ["x", *names], _sil_sweep(names), _sil_schema(names), _directed_rows(n, block_rows), n, directed=True)
     sums = parts.groupBy("labelling", "src", "src_c", "dst_c").agg(*[F.sum(m).alias(m) for m in SIL_METRICS])
     long = base.select("id", F.explode(F.array(*[F.struct(F.lit(n).alias("labelling"), F.col(n).alias("c")) for n in names])).alias("e"))
     long = long.select(F.col("id").alias("src"), "e.*").where("c is not null")
