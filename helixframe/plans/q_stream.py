@@ -25,8 +25,8 @@ N_FILES = 4
 @query("st1_stream_encode", f"SELECT doc_id, {pad_sql(trunc_sql('ids'))} AS input_ids FROM {DOC_IDS}")
 def st1_stream_encode(spark, sf):
     p = STR.paths(IO.scratch_path(spark, "stream"))
-    STR.split_into_files(FX.documents(spark, sf), p["src"], N_FILES)
-    s = STR.encode_stream(spark, p["src"], _doc_lookup(spark, sf))
+    per = STR.split_into_files(FX.documents(spark, sf), p["src"], N_FILES)
+    s = STR.encode_stream(spark, p["src"], _doc_lookup(spark, sf), files_per_trigger=per)
     STR.run_available(s, p["sink"], p["ckpt"])
     return spark.read.parquet(p["sink"]).select("doc_id", "input_ids")
 
@@ -37,10 +37,9 @@ def st2_stream_resume(spark, sf):
     p = STR.paths(IO.scratch_path(spark, "resume"))
     docs = FX.documents(spark, sf)
     lookup = _doc_lookup(spark, sf)
-    STR.split_into_files(docs, p["src"], N_FILES, only=[0, 1])
-    STR.run_available(STR.encode_stream(spark, p["src"], lookup), p["sink"], p["ckpt"])
-    STR.split_into_files(docs, p["src"], N_FILES, only=[2, 3])
-    STR.run_available(STR.encode_stream(spark, p["src"], lookup), p["sink"], p["ckpt"])
+    for only in ([0, 1], [2, 3]):
+        per = STR.split_into_files(docs, p["src"], N_FILES, only=only)
+        STR.run_available(STR.encode_stream(spark, p["src"], lookup, files_per_trigger=per), p["sink"], p["ckpt"])
     return spark.read.parquet(p["sink"]).select("doc_id")
 
 
@@ -49,7 +48,7 @@ FROM {DOC_IDS} GROUP BY 1""")
 def u4_eval_callback(spark, sf):
     """foreachBatch callback that appends one metric record for each file bucket of its micro-batch."""
     p = STR.paths(IO.scratch_path(spark, "callback"))
-    STR.split_into_files(FX.documents(spark, sf), p["src"], N_FILES)
+    per = STR.split_into_files(FX.documents(spark, sf), p["src"], N_FILES)
     hist = p["sink"]
 
     def on_evaluate(batch_df, batch_id):
@@ -57,8 +56,11 @@ def u4_eval_callback(spark, sf):
             F.count(F.lit(1)).cast("double").alias("value"), F.avg(F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x)).alias("mean_len"))
         m.withColumn("step", F.lit(batch_id).cast("bigint")).write.mode("append").json(hist)
 
-    STR.run_with_callback(STR.encode_stream(spark, p["src"], _doc_lookup(spark, sf)), on_evaluate, p["cb_ckpt"])
-    return spark.read.schema("step BIGINT, bucket BIGINT, value DOUBLE, mean_len DOUBLE").json(hist).select("bucket", "value", r6("mean_len").alias("mean_len"))
+    STR.run_with_callback(STR.encode_stream(spark, p["src"], _doc_lookup(spark, sf), files_per_trigger=per), on_evaluate, p["cb_ckpt"])
+    records = spark.read.schema("step BIGINT, bucket BIGINT, value DOUBLE, mean_len DOUBLE").json(hist)
+    # a bucket of several files may come in several micro-batches
+    total = records.groupBy("bucket").agg(F.sum("value").alias("value"), (F.sum(F.col("mean_len") * F.col("value")) / F.sum("value")).alias("mean_len"))
+    return total.select("bucket", "value", r6("mean_len").alias("mean_len"))
 
 
 LOG_FILES = 4
