@@ -160,17 +160,15 @@ def hashed_embedding(tokens_df: DataFrame, key: str, tokens: str, dim: int = 64,
     """E14 built-in scorer: signed feature hashing of tokens, L2-normalised.
 
     Token t adds sign(t) to dimension h(t) mod dim, with h and sign from md5.
-    Pure SQL: explode, grouped sum per (key, dim), ordered re-collection with
-    zeros for empty dimensions (sequence + transform, no dense join).
+    Pure SQL: explode and one grouped aggregate with a sum for each dimension, so a
+    row's tokens are summed before the shuffle; zeros for empty dimensions and rows without tokens.
     """
     x = tokens_df.select(key, F.explode(tokens).alias("t"))
     h = hash_u32(F.lit(seed), F.col("t"))
     x = x.select(key, F.pmod(h, F.lit(dim)).cast("int").alias("dim"),
                  F.when((F.floor(h / dim) % 2) == 0, F.lit(1.0)).otherwise(F.lit(-1.0)).alias("s"))
-    s = x.groupBy(key, "dim").agg(F.sum("s").alias("v"))
-    m = s.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("dim", "v"))).alias("_m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                        lambda i: F.coalesce(F.element_at(F.col("_m"), i), F.lit(0.0)))
+    m = x.groupBy(key).agg(F.array(*[F.coalesce(F.sum(F.when(F.col("dim") == i, F.col("s"))), F.lit(0.0)) for i in range(dim)]).alias("_v"))
+    dense = F.coalesce("_v", F.array_repeat(F.lit(0.0), dim))
     allk = tokens_df.select(key).join(m, key, "left")
     return allk.select(key, V.l2_normalize(dense).alias("embedding"))
 

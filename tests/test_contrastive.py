@@ -51,3 +51,16 @@ def test_batch_of_one_masked_cell_is_weight(spark):
     lg = C.logits(_batches(spark, Z, Z), 0.05, 0.2, 0.0, 0.7, num_sent=2)
     vals = {r["block"]: r["logit"] for r in lg.collect()}
     assert vals["B"] == pytest.approx(0.7) and vals["D"] == pytest.approx(0.7)
+
+
+def test_hashed_embedding_sums_before_the_shuffle(spark):
+    from helixframe.operators import pooling as PO
+    df = spark.createDataFrame([(1, ["a", "b", "a"]), (1, ["c"]), (2, []), (3, None), (None, ["a"])], "k long, tokens array<string>")
+    e = PO.hashed_embedding(df, "k", "tokens", 8, 5)
+    got = sorted(((r["k"], [round(v, 9) for v in r["embedding"]]) for r in e.collect()), key=str)
+    one = {t: PO.hashed_embedding(spark.createDataFrame([(1, [t])], "k long, tokens array<string>"), "k", "tokens", 8, 5).collect()[0]["embedding"] for t in "abc"}
+    whole = [2 * one["a"][i] + one["b"][i] + one["c"][i] for i in range(8)]
+    size = max(sum(v * v for v in whole) ** 0.5, 1e-12)
+    zero = [0.0] * 8
+    assert got == sorted([(1, [round(v / size, 9) for v in whole])] * 2 + [(2, zero), (3, zero), (None, zero)], key=str)
+    assert e._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 1
