@@ -79,12 +79,14 @@ def _followed(spark, sf):
     place = F.floor((F.datediff("ts", F.lit(lo)) + F.pmod(F.xxhash64("event_id"), F.lit(3))) * LOG_FILES / (days + 1))
     log = cut_lineage(log.withColumn("place", F.least(place, F.lit(LOG_FILES - 1))))
     part = log.select("run", "step", "ts", "value", "loss", "place")
+    # a trigger takes one of the places whole, so their number, not the size of the log, is that of the batches that go over all runs
+    files = max(1, -(-log.groupBy("place").count().agg(F.max("count")).first()[0] // RL.FILE_ROWS))
     half = LOG_FILES // 2
     for only, last in ((range(half), False), (range(half, LOG_FILES), True)):
-        RL.land(part, src, F.col("place"), list(only))
+        RL.land(part, src, F.col("place"), list(only), files)
         if last:
             RL.heartbeat(spark, src, hi + datetime.timedelta(days=30))
-        RL.run_available(RL.read_log(spark, src, files_per_trigger=16), sink, ckpt)
+        RL.run_available(RL.read_log(spark, src, files_per_trigger=files), sink, ckpt)
     return spark.read.schema(RL.OUT_SCHEMA).parquet(sink)
 
 
