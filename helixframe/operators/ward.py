@@ -15,8 +15,8 @@ and the tree equals the one of sequential merging.  A round:
 
 State and merges are checkpointed every round.  What reaches the driver in a
 round: a count and 2 d + 2 numbers for each block.  The last ``finish_rows``
-clusters, a constant however large the data, are merged in one task by the
-same rounds, where a round costs no job.
+clusters, a constant however large the data (a matrix of 134 MB), are merged
+in one task by the same rounds, where a round costs no job.
 """
 
 from __future__ import annotations
@@ -36,12 +36,36 @@ _SLACK = 1e-9
 
 
 def _heights(na, ca, nb, cb) -> np.ndarray:
-    """Merge heights of all pairs, by plain differences, 64 rows at a time, so a common shift costs no precision."""
+    """Merge heights of all pairs, by plain differences, 16 rows at a time, so a common shift costs no precision."""
     h = np.empty((len(ca), len(cb)))
-    for a in range(0, len(ca), 64):
-        diff = ca[a:a + 64, None, :] - cb[None, :, :]
-        h[a:a + 64] = (diff * diff).sum(-1)
-    return h * (na[:, None] * nb[None, :] / (na[:, None] + nb[None, :]))
+    for a in range(0, len(ca), 16):
+        at = slice(a, a + 16)
+        diff = ca[at, None, :] - cb[None, :, :]
+        h[at] = (diff * diff).sum(-1) * (na[at, None] * nb[None, :] / (na[at, None] + nb[None, :]))
+    return h
+
+
+def _candidate_heights(na, ca, nb, cb, same: np.ndarray) -> np.ndarray:
+    """The heights, by plain differences, of the pairs that can be the least of their row or column; infinite for the others and for ``same``.
+
+    A matrix product of the centred rows screens the pairs, its rounding error allowed for; pairs it cannot judge (not finite) are computed."""
+    with np.errstate(all="ignore"):
+        mean = cb.mean(0)
+        A, B = ca - mean, cb - mean
+        a, b = (A * A).sum(1)[:, None], (B * B).sum(1)[None, :]
+        weight = na[:, None] * nb[None, :] / (na[:, None] + nb[None, :])
+        quick = (a + b - 2.0 * (A @ B.T)) * weight
+        slip = 1e-15 * (ca.shape[1] + 64) * (a + b) * weight
+        odd = ~(np.isfinite(quick) & np.isfinite(slip))
+        high = np.where(odd | same, np.inf, quick + slip)
+        low = quick - slip
+        r, c = np.nonzero(((low <= high.min(1)[:, None]) | (low <= high.min(0)[None, :]) | odd) & ~same)
+    h = np.full(same.shape, np.inf)
+    for at in range(0, len(r), 16384):
+        i, j = r[at:at + 16384], c[at:at + 16384]
+        diff = ca[i] - cb[j]
+        h[i, j] = (diff * diff).sum(-1) * weight[i, j]
+    return h
 
 
 def _block_nearest(counter):
@@ -54,8 +78,7 @@ def _block_nearest(counter):
         counter.add(len(t) * len(q))
         it, iq = t["cid"].to_numpy(), q["cid"].to_numpy()
         nt, nq = t["n"].to_numpy().astype(float), q["n"].to_numpy().astype(float)
-        h = _heights(nq, np.vstack(q["s"].to_numpy()) / nq[:, None], nt, np.vstack(t["s"].to_numpy()) / nt[:, None])
-        h[iq[:, None] == it[None, :]] = np.inf
+        h = _candidate_heights(nq, np.vstack(q["s"].to_numpy()) / nq[:, None], nt, np.vstack(t["s"].to_numpy()) / nt[:, None], iq[:, None] == it[None, :])
         bt, bq = h.argmin(1), h.argmin(0)  # ids are sorted: the first minimum is the smallest id
         out = pd.DataFrame({"cid": np.r_[iq, it], "h": np.r_[h[np.arange(len(iq)), bt], h[bq, np.arange(len(it))]], "p": np.r_[it[bt], iq[bq]]})
         return out[np.isfinite(out["h"])]
@@ -214,7 +237,7 @@ def _finished(state: DataFrame, round_: int, counter) -> DataFrame:
     return state.select("cid", "n", "s").repartition(1).mapInPandas(run, "a bigint, b bigint, h double, round int")
 
 
-def ward_merges(df: DataFrame, id_col: str, vec: str, block_rows: int = 1024, finish_rows: int = 1024, n_pivots: int | None = None, report: dict | None = None) -> DataFrame:
+def ward_merges(df: DataFrame, id_col: str, vec: str, block_rows: int = 1024, finish_rows: int = 4096, n_pivots: int | None = None, report: dict | None = None) -> DataFrame:
     """Full Ward merge table (a, b, h, round) with n - 1 rows; merged cluster keeps id min(a, b).
 
     The nearest partner of a cluster is the minimum of (h, partner id); the globally smallest pair is

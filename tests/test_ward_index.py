@@ -70,6 +70,31 @@ def test_pruning_keeps_the_merges(spark):
     assert rep["pairs"] < 0.5 * whole["pairs"]
 
 
+@pytest.mark.parametrize("case", ["plain", "shifted", "copies", "wide", "not finite"])
+def test_screened_heights_have_the_same_least(case):
+    """The least of each row and column, with its ties, is that of all heights; few pairs are computed where rows differ."""
+    from helixframe.operators.ward import _candidate_heights, _heights
+    rng = np.random.default_rng(11)
+    a, b = rng.normal(size=(60, 16)), rng.normal(size=(70, 16))
+    if case == "shifted":
+        a, b = a + 1e8, b + 1e8
+    if case == "copies":
+        a, b = np.repeat(a[:6], 10, axis=0), np.repeat(np.vstack([a[:4], b[:3]]), 10, axis=0)
+    if case == "wide":
+        a, b = a * 10.0 ** rng.integers(-9, 9, (60, 1)), b * 10.0 ** rng.integers(-9, 9, (70, 1))
+    if case == "not finite":
+        a[3, 2], b[5, 1], b[6, 0] = np.nan, np.inf, 1e200
+    na, nb = rng.integers(1, 50, 60).astype(float), rng.integers(1, 50, 70).astype(float)
+    same = np.arange(60)[:, None] == np.arange(70)[None, :] + 5
+    with np.errstate(all="ignore"):
+        whole = np.where(same, np.inf, _heights(na, a, nb, b))
+    got = _candidate_heights(na, a, nb, b, same)
+    for axis in (0, 1):
+        assert np.array_equal(whole.min(axis), got.min(axis), equal_nan=True) and np.array_equal(whole.argmin(axis), got.argmin(axis))
+    if case in ("plain", "shifted"):
+        assert np.isfinite(got).sum() < 0.1 * whole.size
+
+
 def test_ward_of_few_rows(spark):
     df = spark.createDataFrame([(5, [1.0, 2.0])], "vec_id long, embedding array<double>")
     assert ward_merges(df, "vec_id", "embedding").count() == 0 and ward_merges(df.limit(0), "vec_id", "embedding").count() == 0
