@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions.hashing import uniform
+from helixframe.session import bounded_batches
 
 # Special token ids (pad id 0 as in the model's generation config).
 PAD_ID, UNK_ID, CLS_ID, SEP_ID, MASK_ID = 0, 1, 2, 3, 4
@@ -68,6 +69,7 @@ class Lookup:
     """
 
     def __init__(self, vocab: DataFrame):
+        bounded_batches(vocab.sparkSession)
         t = vocab.select("token", "id").toArrow()
         bc = vocab.sparkSession.sparkContext.broadcast((t.column(0).combine_chunks(), t.column(1).combine_chunks()))
 

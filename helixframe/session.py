@@ -51,6 +51,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """Arrow batches of at most ``rows`` rows in this session: rows that hold token arrays make batches of the default 10,000 large, in Python and on the way."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def cut_lineage(df):
     """Reliable checkpoint (never a local one): survives executor loss.
 
