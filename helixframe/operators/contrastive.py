@@ -16,6 +16,7 @@ from helixframe.functions import vectors as V
 
 
 BLOCKS = ("A", "H", "B", "D")
+_STEP = 256.0
 
 
 def with_neighbours(batches: DataFrame, lam: float) -> DataFrame:
@@ -96,14 +97,19 @@ def masked_lm_loss(lg: DataFrame, label_col: str = "label") -> DataFrame:
     """Mean over labelled positions (label != -100) of -log softmax(label).
 
     ``lg`` is (seq, pos, vocab, logit, label); rows of ignored positions drop
-    before the grouped logsumexp.
+    first.  The exponentials of a position are summed before the shuffle, relative
+    to the nearest multiple of ``_STEP``, which neither overflows nor vanishes;
+    the few sums of a position then meet relative to its largest multiple.
     """
     x = lg.where(F.col(label_col) != -100)
-    w = Window.partitionBy("seq", "pos")
-    m = x.withColumn("_m", F.max("logit").over(w))
-    per = m.groupBy("seq", "pos").agg(
-        (F.first("_m") + F.log(F.sum(F.exp(F.col("logit") - F.col("_m"))))
-         - F.max(F.when(F.col("vocab") == F.col(label_col), F.col("logit")))).alias("nll"))
+    logit = F.col("logit")
+    finite = F.abs(logit) < F.lit(float("inf"))
+    near = F.when(finite, F.rint(logit / _STEP) * _STEP).otherwise(logit)
+    x = x.select("seq", "pos", near.alias("_s"), F.when(F.abs(logit) == F.lit(float("inf")), 1.0).otherwise(F.exp(logit - near)).alias("_p"),
+                 F.when(F.col("vocab") == F.col(label_col), logit).alias("_own"))
+    sums = x.groupBy("seq", "pos", "_s").agg(F.sum("_p").alias("_p"), F.max("_own").alias("_own"))
+    m = sums.withColumn("_m", F.max("_s").over(Window.partitionBy("seq", "pos")))
+    per = m.groupBy("seq", "pos").agg((F.first("_m") + F.log(F.sum(F.col("_p") * F.exp(F.col("_s") - F.col("_m")))) - F.max("_own")).alias("nll"))
     return per.agg(F.avg("nll").alias("mlm_loss"))
 
 

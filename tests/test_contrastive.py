@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from helixframe.operators import contrastive as C
 
@@ -64,3 +65,42 @@ def test_hashed_embedding_sums_before_the_shuffle(spark):
     zero = [0.0] * 8
     assert got == sorted([(1, [round(v / size, 9) for v in whole])] * 2 + [(2, zero), (3, zero), (None, zero)], key=str)
     assert e._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 1
+
+
+def test_masked_lm_loss_of_extreme_logits(spark):
+    """Logits far apart and far from 0, infinite and missing ones, against a plain logsumexp; the sums of a position meet before the shuffle."""
+    import math
+    from helixframe.operators import contrastive as C
+    inf = math.inf
+    cases = [[0.5, -0.25, 1.0], [900.0, 100.0, 899.0], [-5000.0, -5001.0, -4999.5], [128.0, 127.9, 384.1], [-inf, 2.0, 1.0], [3.0, None, 4.0], [1e300, 0.0, -1e300]]
+    rows = [(1, p, v, x, 2) for p, xs in enumerate(cases) for v, x in enumerate(xs)] + [(2, 0, v, 1e9, -100) for v in range(3)]
+    lg = spark.createDataFrame(rows, "seq long, pos long, vocab int, logit double, label int")
+    want = []
+    for xs in cases:
+        top = max(x for x in xs if x is not None)
+        want.append(top + math.log(sum(math.exp(x - top) for x in xs if x is not None)) - xs[2])
+    for part in (cases[:-1], cases[-1:]):  # the last position alone: its loss would drown the others
+        ps = [cases.index(c) for c in part]
+        got = C.masked_lm_loss(lg.where(F.col("pos").isin(ps))).first()[0]
+        assert math.isclose(got, sum(want[p] for p in ps) / len(ps), rel_tol=1e-9)
+    for odd in (inf, math.nan):
+        bad = spark.createDataFrame([(1, 0, 0, odd, 1), (1, 0, 1, 2.0, 1)], lg.schema)
+        assert math.isnan(C.masked_lm_loss(bad).first()[0])
+    plan = C.masked_lm_loss(lg)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Window") < plan.rindex("Aggregate")  # sums first, then the window over them
+
+
+def test_lookup_bounds_its_batches(spark):
+    from helixframe.operators import encode as EN
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "10000")
+        tokens = spark.createDataFrame([(["a", "b", "a"],)], "tokens array<string>")
+        look = EN.Lookup(EN.vocabulary(tokens))
+        assert int(spark.conf.get(key)) <= 1024 and tokens.select(look(F.col("tokens")).alias("i")).first()[0] == [5, 6, 5]
+        spark.conf.set(key, "512")
+        EN.Lookup(EN.vocabulary(tokens))
+        assert spark.conf.get(key) == "512"
+    finally:
+        spark.conf.set(key, before)
