@@ -196,7 +196,7 @@ def unit_rows(docs: DataFrame, id_col: str, text_col: str, unit: str, known) ->
     """Per batch: a row for each distinct unit that neither is known nor stood in an earlier batch of the task, one that tells the units of each distinct word, one for each document (id, md5, words)."""
 
     def run(batches):
-        seen = {u: i for i, u in enumerate(known.value)}
+        seen = {u: i for i, u in enumerate(known.value.split(" "))} if known.value else {}
         units, told, words, out, chars = Numbers(seen), 0, Numbers(), [], 0
         find = re.compile(unit).findall
 
@@ -353,7 +353,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     longer_batches(docs.sparkSession)
     table = v.table(docs.sparkSession)
     units, *runs = known_units(docs, text_col, v, table)
-    known, known_runs = (docs.sparkSession.sparkContext.broadcast(x) for x in (units, runs))
+    # one string, as no unit has a space: a worker keeps a broadcast for as long as it idles, and a list of strings is many times as large
+    known, known_runs = (docs.sparkSession.sparkContext.broadcast(x) for x in (" ".join(units), runs))
     rows = lattice(unit_rows(docs, id_col, text_col, v.unit, known), table, v.longest)
     folded = grouped(rows).select("k", "word", "doc", "n", F.expr(FOLD).alias("bounds"))
 
