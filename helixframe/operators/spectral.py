@@ -3,12 +3,14 @@
 The eigenvectors of the normalised graph Laplacian L = I - A come from block
 subspace iteration with a Chebyshev filter, all of it as DataFrame jobs:
 
-* A block of m vectors is a table (id, x0 .. x{m-1}).  A product with A is an
-  equi-join of the edges with the block and a sum by node, combined before
-  the shuffle; a loop edge brings each node its own values in the same join, so
-  one step of the filter is one join and one aggregation.
+* Nodes are dealt to blocks of about ``block_rows`` by a hash; a block's rows
+  of the m vectors are one packed matrix, and the edges between two blocks one
+  packed row.  A product with A is one shuffle: the block of ``dst`` multiplies
+  its rows with its edges (numpy) and sends each other block one row for each
+  node there that it touches; that block adds up what it gets and takes the
+  next step of the filter in the same task.
 * Orthogonalisation and Rayleigh-Ritz use m x m Gram matrices, summed from
-  one partial for each task; they are all that reaches the driver.
+  those of the blocks; they are all that reaches the driver.
 * After each filter the block and its product are checkpointed, so lineage
   stays short.  Cycles end when the residuals |L x - l x| of the wanted
   vectors are at most ``tol``; they are exact numbers, not estimates.
@@ -23,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions.hashing import gaussian
@@ -31,6 +33,11 @@ from helixframe.operators.cluster import kmeans
 from helixframe.operators.indexing import dense_index
 from helixframe.session import cut_lineage
 
+BLOCK_ROWS = 16384
+EDGES, STATE, SENT, GRAM = range(4)  # kinds of packed rows; each belongs to block b
+_PACK_DDL = "b int, kind int, other int, i1 binary, i2 binary, i3 binary, val binary"
+_PACK = pa.schema([(c, pa.int32()) for c in ("b", "kind", "other")] + [(c, pa.binary()) for c in ("i1", "i2", "i3", "val")])
+
 
 def affinity(knn: DataFrame) -> DataFrame:
     """(src, dst, w) in both directions from neighbour edges (src, dst): 1 where both name each other, else 1/2."""
@@ -50,48 +57,116 @@ def _cols(prefix: str, m: int) -> list[str]:
     return [f"{prefix}{j}" for j in range(m)]
 
 
-def _with_own(edges: DataFrame) -> DataFrame:
-    """The edges and a row (id, id) for each node with ``own`` 1: one join then brings a node both its neighbours' values and its own."""
-    e = edges.select("src", "dst", "a", F.lit(0.0).alias("own"))
-    ids = edges.select("src").distinct()
-    return e.unionAll(ids.select("src", F.col("src").alias("dst"), F.lit(0.0), F.lit(1.0)))
+def _bytes(x: np.ndarray, kind) -> bytes:
+    return np.ascontiguousarray(x, kind).tobytes()
+
+
+def _row(b: int, kind: int, other: int, i1=b"", i2=b"", i3=b"", val=b"") -> tuple:
+    return b, kind, other, i1, i2, i3, val
+
+
+def _table(rows: list[tuple]) -> pa.Table:
+    return pa.table([pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else [()] * len(_PACK), _PACK.types)], schema=_PACK)
+
+
+def _packed(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The edges, one row for each pair of blocks with any: it belongs to the block of ``dst`` and has the places of dst, those of src (each once)
+    with where their edges begin, and the weights.  ``nodes``: (id, b, pos)."""
+
+    def run(t: pa.Table) -> pa.Table:
+        src, dst, w = (t.column(c).to_numpy() for c in ("sp", "dp", "a"))
+        at = np.lexsort((dst, src))
+        to, starts = np.unique(src[at], return_index=True)
+        return _table([_row(t.column("db")[0].as_py(), EDGES, t.column("sb")[0].as_py(), _bytes(dst[at], np.int32), _bytes(starts, np.int32), _bytes(to, np.int32),
+                            _bytes(w[at], np.float64))])
+
+    e = edges.join(nodes.select(F.col("id").alias("src"), F.col("b").alias("sb"), F.col("pos").alias("sp")), "src")
+    e = e.join(nodes.select(F.col("id").alias("dst"), F.col("b").alias("db"), F.col("pos").alias("dp")), "dst")
+    return e.select("sb", "sp", "db", "dp", "a").groupBy("db", "sb").applyInArrow(run, _PACK_DDL)
+
 
+def _start(nodes: DataFrame, m: int, seed: int) -> DataFrame:
+    """The first state: a row for each block with its ids in order and their random values."""
 
-def _product(edges: DataFrame, block: DataFrame, of: str, to: str, m: int) -> DataFrame:
-    """``block`` with the product of A and its columns ``of`` as columns ``to``; all other columns stay.  ``edges`` as from ``_with_own``."""
-    keep = [c for c in block.columns if c != "id"]
-    j = edges.join(block.withColumnRenamed("id", "dst"), "dst")
-    return j.groupBy(F.col("src").alias("id")).agg(*[F.sum(F.col("own") * F.col(c)).alias(c) for c in keep],
-                                                   *[F.sum(F.col("a") * F.col(f"{of}{i}")).alias(f"{to}{i}") for i in range(m)])
+    def run(t: pa.Table) -> pa.Table:
+        at = np.argsort(t.column("pos").to_numpy())
+        Y = np.column_stack([t.column(f"y{j}").to_numpy() for j in range(m)])
+        return _table([_row(t.column("b")[0].as_py(), STATE, 0, _bytes(t.column("id").to_numpy()[at], np.int64), val=_bytes(Y[at], np.float64))])
 
+    return nodes.select("id", "b", "pos", *[gaussian(F.lit(seed), F.lit(j), F.col("id")).alias(f"y{j}") for j in range(m)]).groupBy("b").applyInArrow(run, _PACK_DDL)
 
-def _filtered(edges: DataFrame, block: DataFrame, m: int, degree: int, cut: float) -> DataFrame:
-    """(id, y*): a scaled Chebyshev polynomial of A that damps [-1, cut], applied to the columns x*."""
+
+def _pass(rows: DataFrame, change, send: bool) -> DataFrame:
+    """One step of every block: ``change`` gets its state and the sum Z of what blocks sent to it (None: nothing was sent) and gives the columns to
+    send and the next state.  What is sent is their product with the block's edges, summed by src, to the block of src; without ``send`` the
+    state's Gram matrix stands in its place."""
+
+    def run(t: pa.Table) -> pa.Table:
+        at = {k: [] for k in (EDGES, STATE, SENT)}
+        for i, kind in enumerate(t.column("kind").to_pylist()):
+            at[kind].append(i)
+        get = lambda i, c, kind: np.frombuffer(t.column(c)[i].as_buffer(), kind)
+        b, (own,) = t.column("b")[0].as_py(), at[STATE]
+        ids = get(own, "i1", np.int64)
+        n, Z = len(ids), None
+        for i in sorted(at[SENT], key=lambda i: t.column("other")[i].as_py()):
+            to = get(i, "i1", np.int32)
+            part = get(i, "val", np.float64).reshape(len(to), -1)
+            Z = np.zeros((n, part.shape[1])) if Z is None else Z
+            Z[to] += part
+        out, new = change(get(own, "val", np.float64).reshape(n, -1), Z)
+        rows = [_row(b, STATE, 0, _bytes(ids, np.int64), val=_bytes(new, np.float64))]
+        if not send:
+            rows.append(_row(b, GRAM, 0, val=_bytes(new.T @ new, np.float64)))
+        for i in at[EDGES] if send else ():
+            part = np.add.reduceat(out[get(i, "i1", np.int32)] * get(i, "val", np.float64)[:, None], get(i, "i2", np.int32), axis=0)
+            rows.append(_row(t.column("other")[i].as_py(), SENT, b, t.column("i3")[i].as_py(), val=_bytes(part, np.float64)))
+        return _table(rows)
+
+    return rows.groupBy("b").applyInArrow(run, _PACK_DDL)
+
+
+def _multiplied(sent: DataFrame) -> DataFrame:
+    """The state (Y, Z) with Z = A Y, and its Gram matrices; ``sent`` is from the pass before."""
+    return _pass(sent, lambda S, Z: (None, np.hstack([S[:, :Z.shape[1]], Z])), send=False)
+
+
+def _filtered(packed: DataFrame, pairs: DataFrame, C: np.ndarray, degree: int, cut: float) -> DataFrame:
+    """What is sent of a scaled Chebyshev polynomial of A that damps [-1, cut], applied to X = Y C; A X is Z C, so the first degree needs no product."""
     c, e = (cut - 1.0) / 2.0, (cut + 1.0) / 2.0
     sigma = e / (1.0 - c)
-    tau = 2.0 / sigma
-    now = _product(edges, block, "x", "z", m).select("id", *[F.col(f"x{j}").alias(f"p{j}") for j in range(m)],
-                                                     *[((F.col(f"z{j}") - c * F.col(f"x{j}")) * (sigma / e)).alias(f"y{j}") for j in range(m)])
+    tau, m = 2.0 / sigma, C.shape[1]
+
+    def first(S, _, scale=sigma / e):
+        X, AX = S[:, :len(C)] @ C, S[:, len(C):] @ C
+        Y = (AX - c * X) * scale
+        return Y, np.hstack([Y, X])
+
+    def further(s, p):
+        def change(S, Z):
+            Y = (Z - c * S[:, :m]) * s - S[:, m:] * p
+            return Y, np.hstack([Y, S[:, :m]])
+        return change
+
+    now = _pass(packed.unionAll(pairs.where(F.col("kind") == STATE)), first, send=True)
     for _ in range(degree - 1):
         s2 = 1.0 / (tau - sigma)
-        step = _product(edges, now, "y", "z", m)
-        now = step.select("id", *[F.col(f"y{j}").alias(f"p{j}") for j in range(m)],
-                          *[((F.col(f"z{j}") - c * F.col(f"y{j}")) * (2.0 * s2 / e) - F.col(f"p{j}") * (sigma * s2)).alias(f"y{j}") for j in range(m)])
+        now = _pass(packed.unionAll(now), further(2.0 * s2 / e, sigma * s2), send=True)
         sigma = s2
-    return now.select("id", *_cols("y", m))
+    return now
 
 
 def _grams(pairs: DataFrame, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Y'Y, Y'Z and Z'Z of (id, y*, z*): one partial for each task, summed by entry."""
+    """Y'Y, Y'Z and Z'Z: the blocks' matrices, one partial for each task, summed by entry."""
 
     def run(batches):
-        total = np.zeros((2 * m, 2 * m))
+        total = np.zeros(4 * m * m)
         for batch in batches:
-            X = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(2 * m)]) if batch.num_rows else np.zeros((0, 2 * m))
-            total += X.T @ X
-        yield pa.record_batch([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], names=["g"])
+            for v in batch.column(0):
+                total += np.frombuffer(v.as_buffer(), np.float64)
+        yield pa.record_batch([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["g"])
 
-    parts = pairs.select(*_cols("y", m), *_cols("z", m)).mapInArrow(run, "g array<double>")
+    parts = pairs.where(F.col("kind") == GRAM).select("val").mapInArrow(run, "g array<double>")
     rows = parts.select(F.posexplode("g").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).collect()  # 4 m^2 numbers
     G = np.zeros(4 * m * m)
     for r in rows:
@@ -114,17 +189,18 @@ def _ritz(YY, YZ, ZZ):
     return theta, C, np.sqrt(np.maximum(r2, 0.0))
 
 
-def _rotated(pairs: DataFrame, C: np.ndarray, m: int) -> DataFrame:
-    """(id, x*): the y columns times C."""
+def _rotated(pairs: DataFrame, C: np.ndarray) -> DataFrame:
+    """(id, x*): Y C, a row for each node again."""
     names = ["id", *_cols("x", C.shape[1])]
 
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                X = np.column_stack([batch.column(i + 1).to_numpy(zero_copy_only=False) for i in range(m)]) @ C
-                yield pa.record_batch([batch.column(0), *[pa.array(np.ascontiguousarray(X[:, j])) for j in range(C.shape[1])]], names=names)
+            for ids, val in zip(batch.column(0), batch.column(1)):
+                ids = np.frombuffer(ids.as_buffer(), np.int64)
+                X = np.frombuffer(val.as_buffer(), np.float64).reshape(len(ids), -1)[:, :len(C)] @ C
+                yield pa.record_batch([pa.array(ids), *[pa.array(np.ascontiguousarray(X[:, j])) for j in range(C.shape[1])]], names=names)
 
-    return pairs.select("id", *_cols("y", m)).mapInArrow(run, "id bigint, " + ", ".join(f"{c} double" for c in names[1:]))
+    return pairs.where(F.col("kind") == STATE).select("i1", "val").mapInArrow(run, "id bigint, " + ", ".join(f"{c} double" for c in names[1:]))
 
 
 @dataclass
@@ -137,32 +213,36 @@ class Eigen:
     cycles: int
 
 
-def top_eigen(edges: DataFrame, want: int, tol: float = 1e-6, degree: int = 8, guard: int | None = None, seed: int = 0, max_cycles: int = 100) -> Eigen:
+def top_eigen(edges: DataFrame, want: int, tol: float = 1e-6, degree: int = 8, guard: int | None = None, seed: int = 0, max_cycles: int = 100,
+              block_rows: int = BLOCK_ROWS) -> Eigen:
     """The ``want`` largest eigenpairs of a symmetric A (src, dst, a) with spectrum in [-1, 1] whose every node has an edge.
 
     ``guard`` further vectors speed up convergence.  With fewer nodes than vectors the block shrinks to the nodes.  Raises if ``tol`` isn't reached in
     ``max_cycles``: residuals below about 1e-8 are out of reach of Gram matrices in double precision.
     """
-    edges = cut_lineage(_with_own(edges.select(F.col("src").cast("bigint").alias("src"), F.col("dst").cast("bigint").alias("dst"), "a")).repartition("dst"))
-    nodes = edges.where("own = 1").select(F.col("src").alias("id"))
-    n = nodes.count()
+    edges = cut_lineage(edges.select(F.col("src").cast("bigint").alias("src"), F.col("dst").cast("bigint").alias("dst"), "a"))
+    ids = edges.select(F.col("src").alias("id")).distinct()
+    n = ids.count()
     want = min(want, n)
     m = min(n, want + (guard if guard is not None else max(4, want // 2)))
     if not n:
         raise ValueError("a graph without edges has no spectrum")
-    block = nodes.select("id", *[gaussian(F.lit(seed), F.lit(j), F.col("id")).alias(f"y{j}") for j in range(m)])
+    blocks = max(-(-n // block_rows), min(16, -(-n // 512)))
+    nodes = ids.withColumn("b", F.pmod(F.xxhash64(F.lit("block"), "id"), F.lit(blocks)).cast("int"))
+    nodes = cut_lineage(nodes.withColumn("pos", (F.row_number().over(Window.partitionBy("b").orderBy("id")) - 1).cast("int")))
+    packed = cut_lineage(_packed(edges, nodes))
+    sent = _pass(packed.unionAll(_start(nodes, m, seed)), lambda Y, _: (Y, Y), send=True)
     cycles = 0
     while True:
-        pairs = cut_lineage(_product(edges, block, "y", "z", m))
+        pairs = cut_lineage(_multiplied(sent))
         theta, C, res = _ritz(*_grams(pairs, m))
         have = min(want, len(theta))
         if cycles and have == want and res[:want].max() <= tol:
-            return Eigen(_rotated(pairs, C[:, :want], m), theta[:want], res[:want], cycles)
+            return Eigen(_rotated(pairs, C[:, :want]), theta[:want], res[:want], cycles)
         if cycles >= max_cycles:
             raise RuntimeError(f"residual {res[:have].max():.2e} after {cycles} cycles, asked for {tol:.0e}")
-        m2 = C.shape[1]
-        block = _filtered(edges, _rotated(pairs, C, m), m2, degree, float(np.clip(theta[-1], -0.9, 1 - 1e-6)))
-        m, cycles = m2, cycles + 1
+        sent = _filtered(packed, pairs, C, degree, float(np.clip(theta[-1], -0.9, 1 - 1e-6)))
+        m, cycles = C.shape[1], cycles + 1
 
 
 def spectral_embedding(knn: DataFrame, dims: int, tol: float = 1e-6, seed: int = 0, out: str = "reduced") -> tuple[DataFrame, Eigen]:
@@ -182,7 +262,7 @@ def spectral_embedding(knn: DataFrame, dims: int, tol: float = 1e-6, seed: int =
 
 def spectral_clustering(knn: DataFrame, k: int, tol: float = 1e-6, seed: int = 0) -> DataFrame:
     """(id, cluster) by k-means on the rows of the first k eigenvectors, scaled to length 1; clusters are numbered by their smallest id."""
-    eig = top_eigen(normalised(affinity(knn)), k, tol, seed=seed)
+    eig = top_eigen(normalised(cut_lineage(affinity(knn))), k, tol, seed=seed)
     names = _cols("x", len(eig.values))
     norm = F.sqrt(sum((F.col(c) * F.col(c) for c in names), F.lit(0.0)))
     rows = cut_lineage(eig.vectors.select("id", F.array(*[F.col(c) / F.greatest(norm, F.lit(1e-300)) for c in names]).alias("u")))

@@ -77,3 +77,16 @@ def test_embedding_is_the_scaled_eigenvectors(spark):
         sign = np.sign(want[np.abs(want[:, j]).argmax(), j])
         assert got[np.abs(got[:, j]).argmax(), j] > 0
         assert got[:, j] == pytest.approx(want[:, j] * sign, abs=1e-4)
+
+
+def test_many_blocks_give_the_same_and_edges_stay_packed(spark):
+    """A product handles one packed row for each pair of blocks, not one for each edge."""
+    edges = S.normalised(S.affinity(_ring_of_groups(spark, 0))).localCheckpoint()
+    ids, A = _dense(edges)
+    eig = S.top_eigen(edges, 4, block_rows=13)
+    assert eig.values == pytest.approx(np.linalg.eigvalsh(A)[::-1][:4], abs=1e-9)
+    X = _matrix(eig.vectors, [f"x{j}" for j in range(4)])
+    assert np.linalg.norm(A @ X - X * eig.values, axis=0).max() <= 2e-6
+    nodes = spark.createDataFrame([(int(i), int(i % 3), int(i // 3)) for i in ids], "id long, b int, pos int")
+    packed = S._packed(edges, nodes).collect()
+    assert len(packed) == 9 and sum(len(r["val"]) for r in packed) == 8 * edges.count()
