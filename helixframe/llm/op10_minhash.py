@@ -10,7 +10,9 @@ Components, not pairs, are wanted, so a bucket is not expanded into its pairs:
 
 1. Documents with equal shingle sets are one class; classes go on.
 2. Star rounds: each bucket compares its members with one pivot (first the member with most
-   bucket mates, then random ones) and the links so far give components.
+   bucket mates, then random ones) and the links so far give components.  A pivot has then met all its
+   mates and leaves the bucket, and a bucket of fewer than two ends; so does, before any round, one of two members
+   whose set sizes alone rule a link out (most chance meetings are such, and their number grows with the square of the rows).
 3. Buckets whose members still lie in several components are settled exactly: all members outside the
    bucket's main component meet all members, in blocks of at most ``BLOCK`` x ``BLOCK`` classes, and only
    confirmed links leave a block.
@@ -120,11 +122,31 @@ def labelled(members: DataFrame, comp: DataFrame | None) -> DataFrame:
     return members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
 
 
-def star_pairs(members: DataFrame, order) -> DataFrame:
-    """Distinct (pivot, member) over the buckets; ``order``: the pivot is the member with the largest."""
-    top = members.withColumn("_o", order).groupBy("bucket").agg(F.max(F.struct("_o", F.col("rep").alias("p"), F.col("comp").alias("pc"))).alias("m"))
-    met = members.join(top.select("bucket", "m.p", "m.pc"), "bucket").where("comp <> pc")
-    return met.select(F.greatest("rep", "p").alias("a"), F.least("rep", "p").alias("b")).distinct()
+def shared_buckets(spread_rows: DataFrame, percent: int) -> DataFrame:
+    """(bucket, c): buckets of c > 1 members, without those of two whose sizes ``n`` cannot meet the threshold."""
+    per = spread_rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("n0"), F.max("n").alias("n1"))
+    return per.where((F.col("c") > 2) | (F.col("c") == 2) & (F.col("n0") * 100 >= F.col("n1") * percent)).select("bucket", "c")
+
+
+def with_pivot(members: DataFrame, order) -> DataFrame:
+    """The members other than their bucket's pivot, with the pivot ``p``, its component ``pc`` and the bucket's size ``m``; ``order``: the pivot is the member with the largest."""
+    top = members.withColumn("_o", order).groupBy("bucket").agg(F.max(F.struct("_o", F.col("rep").alias("p"), F.col("comp").alias("pc"))).alias("t"), F.count(F.lit(1)).alias("m"))
+    return members.join(top.select("bucket", "t.p", "t.pc", "m"), "bucket").where("rep <> p")
+
+
+def star_pairs(met: DataFrame) -> DataFrame:
+    """Distinct (pivot, member) over the buckets of ``with_pivot``, but for those connected already."""
+    return met.where("comp <> pc").select(F.greatest("rep", "p").alias("a"), F.least("rep", "p").alias("b")).distinct()
+
+
+def joined(comp: DataFrame | None, found: DataFrame) -> DataFrame:
+    """The components once the links found are added; without any they stay as they are."""
+    if comp is None:
+        return components(found)
+    found = staged(found)
+    if found.isEmpty():
+        return comp
+    return components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(found))
 
 
 def open_buckets(members: DataFrame) -> DataFrame:
@@ -170,22 +192,19 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     signed = staged(signed_rows(keyed, n, bands, rows))
     classes = signed.where("n_shingles > 0").groupBy("n_shingles", "f1", "f2").agg(F.min("id").alias("id0"), F.min(F.struct("k", "h")).alias("at"), F.first("bands").alias("bands"))
     classes = staged(classes.withColumn("rep", F.xxhash64("n_shingles", "f1", "f2")))  # a class is named by its set, not by an id that other texts may share
-    spread = classes.select("rep", F.explode("bands").alias("bucket"))
-    shared = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    members = staged(spread.join(shared, "bucket").select("bucket", "rep", "c"))
+    spread = classes.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
+    members = staged(spread.join(shared_buckets(spread, percent), "bucket").select("bucket", "rep", "c"))
     weight = members.groupBy("rep").agg(F.sum("c").alias("w"))
     sets = staged(sets_of(keyed, classes.join(weight, "rep").select("at.k", "at.h", "rep"), n))
     members = staged(members.select("bucket", "rep").join(weight.select("rep", "w"), "rep"))
-    links, comp = None, None
+    comp = None
     for k in range(rounds):
-        now = labelled(members, comp)
         order = F.col("w") if k == 0 else F.xxhash64(F.lit(k), "bucket", "rep")
-        found = confirmed(star_pairs(now, order), sets, percent)
-        links = found if links is None else comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(found)
-        comp = components(links)
+        met = staged(with_pivot(labelled(members, comp), order))
+        comp = joined(comp, confirmed(star_pairs(met), sets, percent))
+        members = met.where("m > 2").select("bucket", "rep", "w")
     rest = open_buckets(labelled(members, comp))
-    found = settled(rest, sets, percent, block)
-    comp = components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(found))
+    comp = joined(comp, settled(rest, sets, percent, block))
     of_class = classes.select("n_shingles", "f1", "f2", "rep", "id0").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
     first = of_class.where("component is not null").groupBy("component").agg(F.min("id0").alias("id1"))
     of_class = of_class.join(first, "component", "left").select("n_shingles", "f1", "f2", F.coalesce("component", "rep").alias("group"),

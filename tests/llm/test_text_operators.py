@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from helixframe.llm import op1_pii, op2_licences, op3_sentencepiece, op4_decontaminate, op5_toxicity, op6_suffixes, op9_tokens, op10_minhash
 
@@ -405,6 +406,16 @@ def test_near_copies_equal_brute_force(docs_of, rounds, block):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out.collect()} == plain_groups(rows)
 
 
+def test_pairs_settled_are_not_carried_on(spark):
+    """A bucket of two that sizes rule out has no members at all, and a pivot leaves its bucket after its round."""
+    rows = spark.createDataFrame([(1, 79, 7), (2, 100, 7), (3, 80, 8), (4, 100, 8), (5, 10, 9), (6, 100, 9), (7, 90, 9), (8, 50, 10)], "rep long, n long, bucket long")
+    assert sorted(tuple(r) for r in op10_minhash.shared_buckets(rows, 80).collect()) == [(8, 2), (9, 3)]
+    members = spark.createDataFrame([(8, 3, 3), (8, 4, 4), (9, 5, 5), (9, 6, 6), (9, 7, 5)], "bucket long, rep long, comp long")
+    met = op10_minhash.with_pivot(members, F.col("rep"))
+    assert sorted((r["bucket"], r["rep"], r["p"], r["m"]) for r in met.collect()) == [(8, 3, 4, 2), (9, 5, 7, 3), (9, 6, 7, 3)]
+    assert sorted(tuple(r) for r in op10_minhash.star_pairs(met).collect()) == [(4, 3), (7, 6)]  # 5 and 7 are connected
+
+
 def test_near_copies_edges(docs_of):
     out = op10_minhash.near_duplicates(docs_of(EDGE)).collect()
     assert len(out) == len(EDGE)
