@@ -116,3 +116,47 @@ def test_dense_index_partition_invariant_with_hot_group(spark, parts):
     for r in run:
         prev = [x[2] for x in rows if x[0] == r["g"] and x[1] < r["t"]]
         assert r["m"] == (max(prev) if prev else None)
+
+
+@pytest.mark.parametrize("case", ["plain", "shifted", "copies", "wide", "not finite"])
+def test_nearest_targets_are_those_of_all_heights(case):
+    """Best target of every asker, ties to the first, and the pairs no higher than what a target knows; rows at a time and in place."""
+    from helixframe.operators.ward import _heights, _nearest
+    rng = np.random.default_rng(12)
+    t = rng.normal(size=(80, 16))
+    if case == "shifted":
+        t = t + 1e8
+    if case == "copies":
+        t = np.repeat(t[:8], 10, axis=0)
+    if case == "wide":
+        t = t * 10.0 ** rng.integers(-9, 9, (80, 1))
+    if case == "not finite":
+        t[3, 2], t[5, 1] = np.nan, 1e200
+    n = rng.integers(1, 50, 80).astype(float)
+    q = np.arange(0, 80, 3)
+    with np.errstate(all="ignore"):
+        whole = _heights(n[q], t[q], n, t)
+    whole[np.arange(len(q)), q] = np.inf
+    whole = np.where(np.isfinite(whole), whole, np.inf)
+    known = np.where(np.arange(80) % 3 == 1, np.median(whole[np.isfinite(whole)]), -np.inf)
+    best, place, (h, at, by) = _nearest(n[q], t[q], q, n, t, known)
+    assert np.array_equal(best, whole.min(1))
+    ok = np.isfinite(best)
+    assert np.array_equal(place[ok], whole.argmin(1)[ok])
+    assert {(j, i): x for x, j, i in zip(h, at, by)} == {(j, i): whole[i, j] for i, j in zip(*np.nonzero(whole <= known[None, :]))}
+
+
+def test_the_last_merges_hold_no_matrix(spark):
+    """The one-task part keeps less than half a matrix of its clusters, and gives the merges of the rounds that run as jobs."""
+    import tracemalloc
+    from helixframe.operators.ward import _merged_in_task
+    rng = np.random.default_rng(13)
+    X = rng.normal(size=(3000, 8)) + 6 * np.eye(8)[rng.integers(0, 8, 3000)]
+    tracemalloc.start()
+    rows = _merged_in_task(np.arange(3000), np.ones(3000), X, 0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(rows) == 2999 and peak < 3000 * 3000 * 8 / 2
+    few = X[:300]
+    jobs = ward_merges(_frame(spark, few), "vec_id", "embedding", block_rows=40, finish_rows=150, n_pivots=6).collect()
+    assert sorted((a, b, round(h, 9), r) for a, b, h, r in jobs) == sorted((a, b, round(h, 9), r) for a, b, h, r in _merged_in_task(np.arange(300), np.ones(300), few, 0))
