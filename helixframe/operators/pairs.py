@@ -15,6 +15,7 @@ product of the blocks reads the stored blocks for each pair.
 
 from __future__ import annotations
 
+import io
 import math
 
 import numpy as np
@@ -112,32 +113,47 @@ HELD_BLOCKS = 32  # blocks a task holds of one side at most
 
 
 def packed_blocks(df: DataFrame, id_col: str, cols: list[str], block_rows: int, n: int | None = None) -> tuple[DataFrame, int]:
-    """((b, rows), partitions): one row for each block of about ``block_rows`` rows, its rows by id; checkpointed, blocks dealt evenly."""
+    """((b, rows), partitions): one row for each block of about ``block_rows`` rows, its rows by id as packed numpy arrays; checkpointed, blocks dealt evenly."""
     B = n_blocks(df.count() if n is None else n, block_rows)
     parts = min(B, max(2 * df.sparkSession.sparkContext.defaultParallelism, math.ceil(B / HELD_BLOCKS)))
     base = df.select(F.col(id_col).alias("id"), *cols, F.pmod(F.xxhash64(F.col(id_col)), F.lit(B)).cast("int").alias("b"))
-    blocks = base.withColumn("_p", F.col("b") % parts).repartitionById(parts, F.col("_p")).groupBy("_p", "b").agg(
-        F.array_sort(F.collect_list(F.struct("id", *cols))).alias("rows"))
-    return cut_lineage(blocks.select("b", "rows")), parts
+    schema = pa.schema([("b", pa.int32()), ("rows", pa.binary())])
 
+    def run(t: pa.Table) -> pa.Table:
+        return pa.table([[t.column("b")[0].as_py()], [_packed(_columns(t, ["id", *cols]))]], schema=schema)
 
-def _columns(block: pa.ListScalar) -> dict[str, np.ndarray]:
-    """The columns of a packed block: vectors as matrices, nulls in numbers as NaN; rows without an id come last."""
-    rows, out = block.values, {}
-    for k, field in enumerate(rows.type):
-        col = rows.field(k)
-        if pa.types.is_list(field.type):
+    blocks = base.withColumn("_p", F.col("b") % parts).repartitionById(parts, F.col("_p")).groupBy("_p", "b").applyInArrow(run, "b int, rows binary")
+    return cut_lineage(blocks), parts
+
+
+def _columns(rows: pa.Table, names: list[str]) -> dict[str, np.ndarray]:
+    """The columns of a block by id: vectors as matrices, nulls in numbers as NaN; rows without an id come last."""
+    out = {}
+    for name in names:
+        col = rows.column(name).combine_chunks()
+        col = col.chunk(0) if isinstance(col, pa.ChunkedArray) else col
+        if pa.types.is_list(col.type):
             flat = col.flatten().to_numpy(zero_copy_only=False)
             sizes = col.value_lengths()
             if sizes.null_count or len(sizes.unique()) != 1:
-                raise ValueError(f"column {field.name} holds null vectors or vectors of different lengths")
-            out[field.name] = flat.reshape(len(col), -1)
+                raise ValueError(f"column {name} holds null vectors or vectors of different lengths")
+            out[name] = flat.reshape(len(col), -1)
         else:
-            out[field.name] = col.to_numpy(zero_copy_only=False)
-    if out["id"].dtype.kind == "f":
-        at = np.argsort(out["id"], kind="stable")
-        out = {c: v[at] for c, v in out.items()}
-    return out
+            out[name] = col.to_numpy(zero_copy_only=False)
+    at = np.argsort(out["id"], kind="stable")
+    return {c: v[at] for c, v in out.items()}
+
+
+def _packed(columns: dict[str, np.ndarray]) -> bytes:
+    to = io.BytesIO()
+    for v in columns.values():
+        np.save(to, v, allow_pickle=False)
+    return to.getvalue()
+
+
+def _unpacked(block: pa.BinaryScalar, names: list[str]) -> dict[str, np.ndarray]:
+    at = pa.BufferReader(block.as_buffer())
+    return {c: np.load(at, allow_pickle=False) for c in names}
 
 
 def block_sweep(df: DataFrame, id_col: str, cols: list[str], fn, schema: str | T.StructType, block_rows: int = 1024, n: int | None = None, directed: bool = False) -> DataFrame:
@@ -155,12 +171,16 @@ def block_sweep(df: DataFrame, id_col: str, cols: list[str], fn, schema: str | T
     pairs = pairs.coalesce(parts) if directed else pairs.where("l <= r")
     out = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
     arrow = to_arrow_schema(out)
+    names = ["id", *cols]
 
     def stream(batches):
+        now, a = None, None
         for batch in batches:
             for k in range(batch.num_rows):
-                at, a, to, b = (batch.column(c)[k] for c in range(4))
-                yield at.as_py(), _columns(a), to.as_py(), _columns(b)
+                at, to = batch.column(0)[k].as_py(), batch.column(2)[k].as_py()
+                if at != now:  # a left block comes with several right blocks in a row
+                    now, a = at, _unpacked(batch.column(1)[k], names)
+                yield at, a, to, a if at == to else _unpacked(batch.column(3)[k], names)
 
     def run(batches):
         for pdf in fn(stream(batches)):

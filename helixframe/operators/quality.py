@@ -21,6 +21,7 @@ from helixframe.functions.hashing import hash_u32
 from helixframe.operators.common import zip_rows
 from helixframe.operators.indexing import dense_index
 from helixframe.operators.pairs import block_sweep
+from helixframe.session import cut_lineage
 
 HIST_BINS = 20
 
@@ -88,45 +89,89 @@ _PAIR_STATS = T.StructType([
     T.StructField("min_cos", T.DoubleType()), T.StructField("hist", T.ArrayType(T.LongType()))])
 
 
-def _pair_stats(pairs):
-    """Uniformity sums, min cosine and histogram over a task's block pairs (numpy), as one row.
-
-    Squared distances use |a|^2 + |b|^2 - 2 a.b, so memory is rows x rows,
-    never rows x rows x d.
-    """
-    def sqd(A, Bm):
-        return np.maximum((A * A).sum(1)[:, None] + (Bm * Bm).sum(1)[None, :] - 2.0 * (A @ Bm.T), 0.0)
-    cnt, sums, low, hist, any_pair = 0, np.zeros(3), [], np.zeros(HIST_BINS, dtype="int64"), False
-    for lb, lt, rb, rt in pairs:
-        any_pair = True
-        d_raw, d_norm, cos = sqd(lt["x"], rt["x"]), sqd(lt["u"], rt["u"]), lt["u"] @ rt["u"].T
-        if lb == rb:
-            m = np.triu(np.ones(cos.shape, dtype=bool), 1)
-            d_raw, d_norm, cos = d_raw[m], d_norm[m], cos[m]
-        else:
-            d_raw, d_norm, cos = d_raw.ravel(), d_norm.ravel(), cos.ravel()
-        ok = (cos >= -1) & (cos <= 1)
-        b = np.minimum(np.floor((cos[ok] + 1) * (HIST_BINS / 2.0)), HIST_BINS - 1).astype(int)
-        hist += np.bincount(b, minlength=HIST_BINS)
-        sums += [np.exp(-2 * d_norm).sum(), np.exp(-2 * d_raw).sum(), np.exp(-d_norm).sum()]
-        cnt += cos.size
-        if cos.size:
-            low.append(cos.min())
-            low = [min(low)] if not np.isnan(low).any() else [np.nan]
-    if any_pair:
-        yield pd.DataFrame({"cnt": [cnt], "e_t2": [sums[0]], "e_raw_t2": [sums[1]], "e_t1": [sums[2]],
-                            "min_cos": [float(low[0]) if low else None], "hist": [hist.tolist()]})
+PAIR_STATS = ("uniform_t2", "uniform_raw_t2", "uniform_t1", "gamma", "off_hist")
+TILE = 128, 1024  # rows of a pair of blocks that are handled at a time, so that a step stays in the cache
+
+
+def _cosine_bins(cos: np.ndarray) -> np.ndarray:
+    """Values in [-1, 1] by bin; 1.0 falls in the last, others are ignored."""
+    if not (cos.min() >= -1 and cos.max() <= 1):
+        cos = cos[(cos >= -1) & (cos <= 1)]
+    at = cos + 1
+    at *= HIST_BINS / 2.0
+    found = np.bincount(at.astype(np.intp).ravel(), minlength=HIST_BINS + 1)
+    found[HIST_BINS - 1] += found[HIST_BINS]
+    return found[:HIST_BINS]
+
+
+def _kernel_sums(dots: np.ndarray, a: np.ndarray, b: np.ndarray, twice: bool) -> np.ndarray:
+    """exp(-d^2), or exp(-2 d^2) if ``twice``, of squared distances a + b - 2 dots; in place of ``dots``."""
+    dots *= 2.0
+    dots -= a[:, None]
+    dots -= b
+    np.minimum(dots, 0.0, out=dots)
+    if twice:
+        dots *= 2.0
+    return np.exp(dots, out=dots)
+
+
+def _pair_stats(stats):
+    """Of the wanted ``stats``: uniformity sums, min cosine and histogram over a task's block pairs (numpy), as one row.
+
+    Squared distances use |a|^2 + |b|^2 - 2 a.b from one matrix product, a tile at a time; with x = u r, a.b is r_a r_b times the cosine."""
+    unit, raw = "uniform_t1" in stats or "uniform_t2" in stats, "uniform_raw_t2" in stats
+
+    def run(pairs):
+        cnt, sums, low, hist = 0, np.zeros(3), None, np.zeros(HIST_BINS, dtype="int64")
+        for lb, lt, rb, rt in pairs:
+            low = np.inf if low is None else low
+            (xl, rl), (xr, rr) = ((t["x"], t["r"]) for t in (lt, rt))
+            ul, ur = xl / rl[:, None], xr / rr[:, None]
+            a, b, ra, rb2 = ((v * v).sum(1) for v in (ul, ur, xl, xr))
+            for i in range(0, len(ul), TILE[0]):
+                s = slice(i, i + TILE[0])
+                for j in range(0, len(ur), TILE[1]):
+                    to = slice(j, j + TILE[1])
+                    if lb == rb and i >= min(j + TILE[1], len(ur)) - 1:
+                        continue  # below the diagonal
+                    cos = ul[s] @ ur[to].T
+                    half = None
+                    if lb == rb and i + TILE[0] > j:
+                        half = np.arange(i, i + len(cos))[:, None] < np.arange(j, j + cos.shape[1])
+                    seen = cos if half is None else cos[half]
+                    if not seen.size:
+                        continue
+                    cnt += seen.size
+                    if "gamma" in stats:
+                        low = np.minimum(low, seen.min())
+                    if "off_hist" in stats:
+                        hist += _cosine_bins(seen)
+                    if raw:
+                        dots = cos * rl[s, None]
+                        dots *= rr[to]
+                        e = _kernel_sums(dots, ra[s], rb2[to], True)
+                        sums[1] += (e if half is None else e[half]).sum()
+                    if unit:
+                        e = _kernel_sums(cos, a[s], b[to], False)
+                        e = e.ravel() if half is None else e[half]
+                        sums[2] += e.sum()
+                        sums[0] += e @ e
+        if low is not None:
+            yield pd.DataFrame({"cnt": [cnt], "e_t2": [sums[0]], "e_raw_t2": [sums[1]], "e_t1": [sums[2]],
+                                "min_cos": [float(low) if cnt and "gamma" in stats else None], "hist": [hist.tolist()]})
+    return run
 
 
 def pair_statistics(df: DataFrame, id_col: str = "vec_id", vec: str = "embedding",
-                    block_rows: int = 1024) -> DataFrame:
+                    block_rows: int = 4096, stats: tuple[str, ...] = PAIR_STATS) -> DataFrame:
     """Q2 + Q5 + Q6 partials of every unordered pair in one blocked numpy pass.
 
     One row: uniform_t2, uniform_raw_t2, uniform_t1, gamma, off_hist (pair
-    counts per bin, each unordered pair once), n.
+    counts per bin, each unordered pair once), n; of the first five only ``stats``.
     """
-    u = normalized(df, id_col, vec)
-    parts = block_sweep(u, "id", ["x", "u"], _pair_stats, _PAIR_STATS, block_rows)
+    u = df.select(F.col(id_col).alias("id"), F.col(vec).alias("x"), F.greatest(V.norm(vec), F.lit(1e-12)).alias("r"))
+    # a row for each task, kept: the bins and the sums are two aggregates of one pass
+    parts = cut_lineage(block_sweep(u, "id", ["x", "r"], _pair_stats(stats), _PAIR_STATS, block_rows))
     # bins summed distributively (20 groups), then one ordered array of 20 counts
     bins = (parts.select(F.posexplode("hist").alias("bin", "c")).groupBy("bin").agg(F.sum("c").alias("c"))
             .agg(F.array_sort(F.collect_list(F.struct("bin", "c"))).alias("_h")).select(F.col("_h.c").alias("h")))
@@ -135,33 +180,35 @@ def pair_statistics(df: DataFrame, id_col: str = "vec_id", vec: str = "embedding
     hist = F.coalesce(bins.scalar(), F.array_repeat(F.lit(0).cast("long"), HIST_BINS))
     n = df.agg(F.count(F.lit(1)).alias("n")).scalar()
     has = F.col("cnt") > 0  # a single vector has no pairs
-    return agg.select(F.when(has, F.log(F.col("e_t2") / F.col("cnt"))).alias("uniform_t2"),
-                      F.when(has, F.log(F.col("e_raw") / F.col("cnt"))).alias("uniform_raw_t2"),
-                      F.when(has, F.log(F.col("e_t1") / F.col("cnt"))).alias("uniform_t1"),
-                      F.acos(F.least(F.coalesce("min_cos", F.lit(0.0)), F.lit(0.0))).alias("gamma"),
-                      hist.alias("off_hist"), n.alias("n"))
+    out = {"uniform_t2": F.when(has, F.log(F.col("e_t2") / F.col("cnt"))),
+           "uniform_raw_t2": F.when(has, F.log(F.col("e_raw") / F.col("cnt"))),
+           "uniform_t1": F.when(has, F.log(F.col("e_t1") / F.col("cnt"))),
+           "gamma": F.acos(F.least(F.coalesce("min_cos", F.lit(0.0)), F.lit(0.0))),
+           "off_hist": hist}
+    return agg.select(*[c.alias(s) for s, c in out.items() if s in stats], n.alias("n"))
 
 
 def uniformity(df: DataFrame, id_col: str = "vec_id", vec: str = "embedding",
-               block_rows: int = 1024) -> DataFrame:
+               block_rows: int = 4096) -> DataFrame:
     """Q2: ln mean_{i<j} exp(-t ||x_i - x_j||^2) in its three variants."""
-    return pair_statistics(df, id_col, vec, block_rows).select("uniform_t2", "uniform_raw_t2", "uniform_t1")
+    wanted = ("uniform_t2", "uniform_raw_t2", "uniform_t1")
+    return pair_statistics(df, id_col, vec, block_rows, wanted).select(*wanted)
 
 
 def widest_angle(df: DataFrame, id_col: str = "vec_id", vec: str = "embedding",
-                 block_rows: int = 1024) -> DataFrame:
+                 block_rows: int = 4096) -> DataFrame:
     """Q5: acos(min cosine entry), the zero diagonal included (so at least pi/2)."""
-    return pair_statistics(df, id_col, vec, block_rows).select("gamma")
+    return pair_statistics(df, id_col, vec, block_rows, ("gamma",)).select("gamma")
 
 
 def cosine_histogram(df: DataFrame, id_col: str = "vec_id", vec: str = "embedding",
-                     block_rows: int = 1024) -> DataFrame:
+                     block_rows: int = 4096) -> DataFrame:
     """Q6: 20 equal bins on [-1, 1] over all N^2 entries (zero diagonal in bin 10).
 
     Off-diagonal pairs count twice (the matrix is symmetric); values outside
     [-1, 1] are ignored and 1.0 falls in the last bin.
     """
-    st = pair_statistics(df, id_col, vec, block_rows)
+    st = pair_statistics(df, id_col, vec, block_rows, ("off_hist",))
     return st.select(F.posexplode("off_hist").alias("bin", "c"), "n").select(
         F.col("bin").cast("int").alias("bin"),
         (F.col("c") * 2 + F.when(F.col("bin") == HIST_BINS // 2, F.col("n")).otherwise(F.lit(0)))

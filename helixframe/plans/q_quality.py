@@ -98,7 +98,7 @@ def q7_align_uniform_record(spark, sf):
         .unionByName(pairs.select((F.col("idx") * 2 + 1).alias("vec_id"), F.col("z2").alias("embedding")))
     d = V.sqeuclidean(V.l2_normalize("z1"), V.l2_normalize("z2"))
     al = pairs.agg(F.avg(d).alias("align"))
-    st = Q.pair_statistics(pooled)  # one blocked pass: uniformity, min cosine, histogram
+    st = Q.pair_statistics(pooled, stats=("uniform_t1", "gamma", "off_hist"))  # one blocked pass: uniformity, min cosine, histogram
     un = st.select(F.col("uniform_t1").alias("uniform"), "gamma",
                    F.transform("off_hist", lambda c, i: (c * 2 + F.when(i == Q.HIST_BINS // 2, F.col("n"))
                                                          .otherwise(F.lit(0))).cast("bigint")).alias("hist"))

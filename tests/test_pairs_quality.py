@@ -141,3 +141,22 @@ def test_silhouettes_of_many_blocks(spark, monkeypatch):
         s = G.silhouettes(df, "vec_id", "embedding", {"c": F.col("c")}, block_rows=rows)
         assert {x["metric"]: x["silhouette"] for x in s.collect()} == pytest.approx(want, abs=1e-9)
         assert not _copied(s)
+
+
+def test_pair_statistics_over_tiles_are_made_once(spark):
+    """Several tiles a block, vectors of any length and a zero vector; the sweep is not part of the plans that read it."""
+    X = np.random.default_rng(21).normal(size=(300, 3)) * np.linspace(0.2, 2, 300)[:, None]
+    X[7], X[8] = 0.0, X[9]
+    U = X / np.maximum(np.linalg.norm(X, axis=1, keepdims=True), 1e-12)
+    iu = np.triu_indices(300, 1)
+    raw, unit = (((A[:, None] - A[None]) ** 2).sum(-1)[iu] for A in (X, U))
+    cos = (U @ U.T)[iu]
+    for rows in (170, 4096):
+        st = Q.pair_statistics(_emb(spark, X), block_rows=rows).collect()[0]
+        assert (st["uniform_t2"], st["uniform_raw_t2"], st["uniform_t1"]) == pytest.approx(tuple(np.log(np.exp(-t * d).mean()) for t, d in ((2, unit), (2, raw), (1, unit))), abs=1e-9)
+        assert st["gamma"] == pytest.approx(np.arccos(cos.min()), abs=1e-9) and st["n"] == 300
+        assert st["off_hist"] == np.histogram(cos[np.abs(cos) <= 1], bins=20, range=(-1, 1))[0].tolist()
+    h = Q.cosine_histogram(_emb(spark, X))
+    plan = h._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and "Cartesian" not in plan and "crossJoin" not in plan
+    assert Q.pair_statistics(_emb(spark, X), stats=("off_hist",)).columns == ["off_hist", "n"]
