@@ -41,54 +41,105 @@ def _screen(XL: np.ndarray, XR: np.ndarray, metric: str) -> tuple[np.ndarray, np
     return a[:, None] + b[None, :] - 2.0 * (XL @ XR.T), 1e-15 * (XL.shape[1] + 64) * (a + b.max())
 
 
+TILE_CELLS = 1 << 18  # pairs of rows that are screened at a time, so that a step stays in the cache
+
+
+def _passed(XL: np.ndarray, XR: np.ndarray, bound: np.ndarray, k: int, same: bool, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (row, col) that can be among the ``k`` nearest of their row and within its ``bound`` (of the squared distance for Euclidean ones).
+
+    For Euclidean ones a single-precision matrix product about the left rows' mean screens a tile of rows at a time, its rounding error allowed for;
+    where its numbers cannot tell (too large, not finite), and for other metrics, double precision does."""
+    if metric not in ("cityblock", "l1", "manhattan"):
+        with np.errstate(all="ignore"):
+            mean = XL.mean(0)
+            A, B = XL - mean, XR - mean
+            a, b = (A * A).sum(1), (B * B).sum(1)
+        if len(a) and len(b) and max(a.max(), b.max()) < 1e30:  # false for NaN
+            A32 = np.hstack([A, np.ones((len(A), 1))]).astype(np.float32)
+            B32 = np.ascontiguousarray(np.hstack([B, -b[:, None] / 2]).astype(np.float32).T)
+            err = 1.2e-7 * (XL.shape[1] + 16) * (a + b.max()) + 1e-30  # of a + b - 2 A.B, numbers too small for single precision included
+            rows, cols = [], []
+            step = max(1, TILE_CELLS // len(b))
+            for i in range(0, len(a), step):
+                s = slice(i, i + step)
+                S = A32[s] @ B32  # the larger, the nearer: (a - d^2) / 2
+                if same:
+                    S[np.arange(len(S)), np.arange(i, i + len(S))] = -np.inf
+                limit = bound[s]
+                if S.shape[1] > k and np.isinf(limit).any():  # the first block: its own k best bound the rest
+                    kth = np.partition(S, S.shape[1] - k, axis=1)[:, S.shape[1] - k].astype(float)
+                    limit = np.minimum(limit, np.where(np.isfinite(kth), a[s] - 2 * kth + err[s], np.inf))
+                floor = (a[s] - limit * (1 + 1e-12) - err[s]) / 2
+                at = np.flatnonzero(S >= np.where(np.isfinite(floor), floor - 1e-6 * np.abs(floor), -3e38).astype(np.float32)[:, None])
+                r, c = np.divmod(at, S.shape[1])
+                rows.append(r + i), cols.append(c)
+            return np.concatenate(rows), np.concatenate(cols)
+    G, err = _screen(XL, XR, metric)
+    odd = ~np.isfinite(G)
+    if same:
+        np.fill_diagonal(odd, False)
+        np.fill_diagonal(G, np.nan)
+    if G.shape[1] > k and np.isinf(bound).any():
+        bound = np.minimum(bound, np.partition(np.where(np.isfinite(G), G, np.inf), k - 1, axis=1)[:, k - 1] + 2 * np.where(np.isfinite(err), err, np.inf))
+    limit = bound * (1 + 1e-12) + np.where(np.isfinite(err), err, np.inf)
+    return np.nonzero((G <= limit[:, None]) | odd)
+
+
+class _Best:
+    """The k nearest of each row so far; what is found waits until it is as much as half of them, then the best are kept."""
+
+    def __init__(self, ids: np.ndarray, dst: np.dtype, k: int):
+        self.ids, self.k, self.waiting = ids, k, []
+        self.row, self.dst, self.dist, self.worst = np.empty(0, int), np.empty(0, dst), np.empty(0), np.full(len(ids), np.inf)
+
+    def add(self, row: np.ndarray, dst: np.ndarray, dist: np.ndarray) -> None:
+        self.waiting.append((row, dst, dist))
+        if np.isinf(self.worst).any() or sum(len(r) for r, _, _ in self.waiting) > len(self.ids) * self.k / 2:
+            self.settle()
+
+    def settle(self) -> None:
+        row, dst, dist = (np.concatenate(x) for x in zip((self.row, self.dst, self.dist), *self.waiting))
+        at = np.lexsort((dst, dist, row))
+        row, dst, dist = row[at], dst[at], dist[at]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        last = place == self.k - 1
+        self.worst = np.full(len(self.ids), np.inf)
+        self.worst[row[last]] = dist[last]
+        keep = place < self.k
+        self.row, self.dst, self.dist, self.waiting = row[keep], dst[keep], dist[keep], []
+
+
 def _knn_sweep(k: int, metric: str):
     """The k nearest of each left row over all right blocks, ties to the smaller id.
 
-    A matrix product screens the pairs: only those that can be among the k best so far, its rounding error allowed for, get their exact distance."""
+    Only pairs that can be among the k best so far get their exact distance."""
     if metric not in ("euclidean", "l2", "sqeuclidean", "cityblock", "l1", "manhattan"):
         raise ValueError(metric)
 
     def run(pairs):
-        held: dict[int, list] = {}
+        held: dict[int, _Best] = {}
         with np.errstate(all="ignore"):
             for lb, lt, rb, rt in pairs:
-                XL, XR, n = lt["x"], rt["x"], len(lt["id"])
-                none = np.empty(0)
-                ids, row, dst, dist, worst = held.setdefault(lb, [lt["id"], none.astype(int), none.astype(rt["id"].dtype), none, np.full(n, np.inf)])
-                G, err = _screen(XL, XR, metric)
-                odd = ~np.isfinite(G)
-                if lb == rb:
-                    np.fill_diagonal(odd, False)
-                    np.fill_diagonal(G, np.nan)
-                bound = worst ** 2 if metric in ("euclidean", "l2") else worst
-                if G.shape[1] > k and np.isinf(bound).any():  # the first block: its own k best bound the rest
-                    bound = np.minimum(bound, np.partition(np.where(np.isfinite(G), G, np.inf), k - 1, axis=1)[:, k - 1] + 2 * np.where(np.isfinite(err), err, np.inf))
-                limit = bound * (1 + 1e-12) + np.where(np.isfinite(err), err, np.inf)
-                r, c = np.nonzero((G <= limit[:, None]) | odd)
-                d = _exact(XL, XR, r, c, metric)
-                fin = np.isfinite(d)
-                r, c, d = r[fin], c[fin], d[fin]
-                row, dst, dist = np.concatenate([row, r]), np.concatenate([dst, rt["id"][c]]), np.concatenate([dist, d])
-                at = np.lexsort((dst, dist, row))
-                row, dst, dist = row[at], dst[at], dist[at]
-                place = np.arange(len(row)) - np.searchsorted(row, row)
-                keep = place < k
-                worst = np.full(n, np.inf)
-                last = place == k - 1
-                worst[row[last]] = dist[last]
-                held[lb] = [ids, row[keep], dst[keep], dist[keep], worst]
-        for ids, row, dst, dist, _ in held.values():
-            yield pd.DataFrame({"src": ids[row], "dst": dst, "dist": dist})
+                best = held.setdefault(lb, _Best(lt["id"], rt["id"].dtype, k))
+                bound = best.worst ** 2 if metric in ("euclidean", "l2") else best.worst
+                r, c = _passed(lt["x"], rt["x"], bound, k, lb == rb, metric)
+                d = _exact(lt["x"], rt["x"], r, c, metric)
+                fin = np.isfinite(d) & (d <= best.worst[r])
+                best.add(r[fin], rt["id"][c[fin]], d[fin])
+        for best in held.values():
+            best.settle()
+            yield pd.DataFrame({"src": best.ids[best.row], "dst": best.dst, "dist": best.dist})
     return run
 
 
-def _directed_rows(n: int, block_rows: int) -> int:
-    """Small tables get smaller blocks, so that there are enough left blocks to share out."""
-    return min(block_rows, max(256, n // 16))
+def _directed_rows(df: DataFrame, n: int, block_rows: int) -> int:
+    """Blocks of at most about ``block_rows`` rows, as many for every task; small tables get smaller blocks, so that there are enough to share out."""
+    tasks = 2 * df.sparkSession.sparkContext.defaultParallelism
+    return min(block_rows, max(256, -(-n // (tasks * -(-n // (tasks * block_rows)))))) if n else block_rows
 
 
 def knn_graph(df: DataFrame, id_col: str, vec: str, k: int = 30, metric: str = "euclidean",
-              block_rows: int = 1024) -> DataFrame:
+              block_rows: int = 4096) -> DataFrame:
     """K3: the k nearest neighbours of every row as (src, dst, rank, dist).
 
     A task keeps the k best partners of its rows over all blocks (numpy), so
@@ -97,7 +148,7 @@ def knn_graph(df: DataFrame, id_col: str, vec: str, k: int = 30, metric: str = "
     """
     base = df.select(F.col(id_col).alias("id"), F.col(vec).alias("x"))
     n = df.count()
-    cand = block_sweep(base, "id", ["x"], _knn_sweep(k, metric), _KNN_SCHEMA, _directed_rows(n, block_rows), n, directed=True)
+    cand = block_sweep(base, "id", ["x"], _knn_sweep(k, metric), _KNN_SCHEMA, _directed_rows(base, n, block_rows), n, directed=True)
     w = Window.partitionBy("src").orderBy("dist", "dst")
     top = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return top.select("src", "dst", F.col("rank").cast("int").alias("rank"), "dist")
@@ -113,31 +164,62 @@ def _sil_schema(labels: list[str]) -> str:
 FLUSH_CELLS = 1 << 22  # partial sums a task holds before it hands them on
 
 
-def _metric_matrices(XL: np.ndarray, XR: np.ndarray) -> np.ndarray:
-    """(metric, left row, right row): the distances of ``SIL_METRICS``.
+SIL_TILE = 64, 512  # left and right rows that are handled at a time, so that a step stays in the cache
+
+
+def _with_unit(X: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The rows, and the rows at length 1, each with its squared lengths."""
+    U = X / np.maximum(np.linalg.norm(X, axis=1, keepdims=True), 1e-12)
+    return [(A, (A * A).sum(1)) for A in (X, U)]
+
+
+def _metric_matrices(left: list[tuple], right: list[tuple], out: np.ndarray) -> None:
+    """``out`` (metric, left row, right row): the distances of ``SIL_METRICS`` between some rows, given by ``_with_unit``.
 
     The Euclidean ones come from a matrix product where they are large enough for it (no digit of 6 decimals is lost), else from differences."""
-    out = np.empty((len(SIL_METRICS), len(XL), len(XR)))
-    UL, UR = (X / np.maximum(np.linalg.norm(X, axis=1, keepdims=True), 1e-12) for X in (XL, XR))
-    for m, (A, B) in ((0, (XL, XR)), (3, (UL, UR))):
-        size = (A * A).sum(1)[:, None] + (B * B).sum(1)[None, :]
-        G = size - 2.0 * (A @ B.T)
-        r, c = np.nonzero(~(G > 1e-3 * size))
-        out[m] = np.sqrt(np.maximum(G, 0.0))
-        out[m][r, c] = _exact(A, B, r, c, "euclidean")
-    for a in range(0, len(XL), 64):  # tiles that stay in the cache
-        at = slice(a, a + 64)
-        l1, top = np.zeros((len(XL[at]), len(XR))), np.zeros((len(XL[at]), len(XR)))
-        for c in range(XL.shape[1]):
-            diff = np.abs(XL[at, c, None] - XR[None, :, c])
-            l1 += diff
-            np.maximum(top, diff, out=top)
-        out[1, at], out[2, at] = l1, top
-    return out
+    for m, (A, a), (B, b) in ((0, left[0], right[0]), (3, left[1], right[1])):
+        size = a[:, None] + b
+        G = A @ B.T
+        G *= -2.0
+        G += size
+        size *= 1e-3
+        near = np.less_equal(G, size)
+        if near.any() or not np.isfinite(G.sum()):
+            r, c = np.nonzero(~(G > size))
+            np.sqrt(np.maximum(G, 0.0, out=G), out=out[m])
+            out[m][r, c] = _exact(A, B, r, c, "euclidean")
+        else:
+            np.sqrt(G, out=out[m])
+    XL, XR = left[0][0], right[0][0]
+    l1, top, diff = (np.zeros(out.shape[1:]) for _ in range(3))
+    for c in range(XL.shape[1]):
+        np.subtract(XL[:, c, None], XR[:, c], out=diff)
+        np.abs(diff, out=diff)
+        np.add(l1, diff, out=l1)
+        np.maximum(top, diff, out=top)
+    out[1], out[2] = l1, top
+
+
+def _cells(block: dict, labels: list[str]) -> tuple[np.ndarray, np.ndarray, list[tuple[str, np.ndarray, np.ndarray]]]:
+    """Order that puts the rows with the same clusters in all labellings together, where these runs begin, and for each labelling the clusters of
+    the runs that are in it with a (run, cluster) matrix of 1 and 0."""
+    cs = np.array([block[lab].astype(float) for lab in labels])  # NaN: the row is not in this labelling
+    order = np.lexsort(cs[::-1])
+    runs = cs[:, order]
+    new = np.r_[True, ~((runs[:, 1:] == runs[:, :-1]) | (np.isnan(runs[:, 1:]) & np.isnan(runs[:, :-1]))).all(0)][:runs.shape[1]]
+    starts = np.flatnonzero(new)
+    out = []
+    for lab, of in zip(labels, runs[:, starts]):
+        inside = np.flatnonzero(~np.isnan(of))
+        keys, at = np.unique(of[inside], return_inverse=True)
+        onehot = np.zeros((len(starts), len(keys)))
+        onehot[inside, at] = 1.0
+        out.append((lab, keys, onehot))
+    return order, starts, out
 
 
 def _sil_sweep(labels: list[str]):
-    """Per (row, labelling, cluster) distance sums of a task's left rows over all right blocks: distance matrix times one-hot clusters."""
+    """Per (row, labelling, cluster) distance sums of a task's left rows over all right blocks: sums over the runs of right rows with the same clusters."""
 
     def rows_of(held):
         for (lb, lab), (ids, cs, cells) in held.items():
@@ -149,25 +231,31 @@ def _sil_sweep(labels: list[str]):
     def run(pairs):
         held, size = {}, 0
         for lb, lt, rb, rt in pairs:
-            mats = _metric_matrices(lt["x"], rt["x"])
-            if lb == rb:
-                mats[:, np.arange(len(lt["id"])), np.arange(len(lt["id"]))] = 0.0
-            for lab in labels:
-                cs, cd = lt[lab].astype(float), rt[lab].astype(float)  # NaN: the row is not in this labelling
-                inside = np.flatnonzero(~np.isnan(cd))
-                keys, at = np.unique(cd[inside], return_inverse=True)
+            order, starts, by = _cells(rt, labels)
+            own = np.argsort(order)
+            left, right = _with_unit(lt["x"]), [(np.asfortranarray(A), a) for A, a in _with_unit(rt["x"][order])]
+            sums = np.empty((len(SIL_METRICS), len(lt["id"]), len(starts)))
+            for i in range(0, len(lt["id"]), SIL_TILE[0]):
+                rows = [(A[i:i + SIL_TILE[0]], a[i:i + SIL_TILE[0]]) for A, a in left]
+                mats = np.empty((len(SIL_METRICS), len(rows[0][1]), len(order)))
+                for j in range(0, len(order), SIL_TILE[1]):
+                    to = slice(j, j + SIL_TILE[1])
+                    _metric_matrices(rows, [(A[to], a[to]) for A, a in right], mats[:, :, to])
+                if lb == rb:
+                    at = np.arange(mats.shape[1])
+                    mats[:, at, own[i + at]] = 0.0
+                sums[:, i:i + SIL_TILE[0]] = np.add.reduceat(mats, starts, axis=2)
+            for lab, keys, onehot in by:
+                cs = lt[lab].astype(float)
                 if np.isnan(cs).all() or not len(keys):
                     continue
-                onehot = np.zeros((len(cd), len(keys)))
-                onehot[inside, at] = 1.0
-                sums = mats @ onehot
                 cells = held.setdefault((lb, lab), (lt["id"], cs, {}))[2]
-                for j, key in enumerate(keys.tolist()):
+                for key, part in zip(keys.tolist(), np.moveaxis(sums @ onehot, 2, 0)):
                     if key in cells:
-                        cells[key] += sums[:, :, j]
+                        cells[key] += part
                     else:
-                        cells[key] = sums[:, :, j].copy()
-                        size += cells[key].size
+                        cells[key] = part.copy()
+                        size += part.size
             if size > FLUSH_CELLS:
                 yield from rows_of(held)
                 held, size = {}, 0
@@ -188,7 +276,7 @@ def silhouettes(df: DataFrame, id_col: str, vec: str, labels: dict[str, Column],
     names = list(labels)
     base = df.select(F.col(id_col).alias("id"), F.col(vec).alias("x"), *[c.cast("long").alias(n) for n, c in labels.items()])
     n = df.count()
-    parts = block_sweep(base, "id", ["x", *names], _sil_sweep(names), _sil_schema(names), _directed_rows(n, block_rows), n, directed=True)
+    parts = block_sweep(base, "id", ["x", *names], _sil_sweep(names), _sil_schema(names), _directed_rows(base, n, block_rows), n, directed=True)
     sums = parts.groupBy("labelling", "src", "src_c", "dst_c").agg(*[F.sum(m).alias(m) for m in SIL_METRICS])
     long = base.select("id", F.explode(F.array(*[F.struct(F.lit(n).alias("labelling"), F.col(n).alias("c")) for n in names])).alias("e"))
     long = long.select(F.col("id").alias("src"), "e.*").where("c is not null")
