@@ -3,7 +3,8 @@
 The eigenvectors of the normalised graph Laplacian L = I - A come from block
 subspace iteration with a Chebyshev filter, all of it as DataFrame jobs:
 
-* Nodes are dealt to blocks of about ``block_rows`` by a hash; a block's rows
+* Nodes are dealt to blocks of about ``block_rows``, those near each other in
+  the graph together, so few blocks share edges; a block's rows
   of the m vectors are one packed matrix, and the edges between two blocks one
   packed row.  A product with A is one shuffle: the block of ``dst`` multiplies
   its rows with its edges (numpy) and sends each other block one row for each
@@ -25,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.functions.hashing import gaussian
@@ -85,6 +86,16 @@ def _packed(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return e.select("sb", "sp", "db", "dp", "a").groupBy("db", "sb").applyInArrow(run, _PACK_DDL)
 
 
+def _near(edges: DataFrame, ids: DataFrame, rounds: int = 4) -> DataFrame:
+    """(id, l): nodes of a part of the graph, or near each other in it, tend to get the same l: the least hash of a node within ``rounds`` edges."""
+    parts = 2 * ids.sparkSession.sparkContext.defaultParallelism
+    lab = ids.select("id", F.xxhash64(F.lit("near"), "id").alias("l"))
+    for _ in range(rounds):
+        told = edges.select(F.col("src").alias("id"), F.col("dst").alias("to")).join(lab, "id").select(F.col("to").alias("id"), "l")
+        lab = cut_lineage(told.unionAll(lab).groupBy("id").agg(F.min("l").alias("l")).coalesce(parts))
+    return lab
+
+
 def _start(nodes: DataFrame, m: int, seed: int) -> DataFrame:
     """The first state: a row for each block with its ids in order and their random values."""
 
@@ -228,8 +239,10 @@ def top_eigen(edges: DataFrame, want: int, tol: float = 1e-6, degree: int = 8, g
     if not n:
         raise ValueError("a graph without edges has no spectrum")
     blocks = max(-(-n // block_rows), min(16, -(-n // 512)))
-    nodes = ids.withColumn("b", F.pmod(F.xxhash64(F.lit("block"), "id"), F.lit(blocks)).cast("int"))
-    nodes = cut_lineage(nodes.withColumn("pos", (F.row_number().over(Window.partitionBy("b").orderBy("id")) - 1).cast("int")))
+    size = -(-n // blocks)
+    at = F.col("at")
+    nodes = dense_index(_near(edges, ids), ["l", "id"], name="at").select("id", (at / size).cast("int").alias("b"), F.pmod(at, F.lit(size)).cast("int").alias("pos"))
+    nodes = cut_lineage(nodes)
     packed = cut_lineage(_packed(edges, nodes))
     sent = _pass(packed.unionAll(_start(nodes, m, seed)), lambda Y, _: (Y, Y), send=True)
     cycles = 0

@@ -90,3 +90,13 @@ def test_many_blocks_give_the_same_and_edges_stay_packed(spark):
     nodes = spark.createDataFrame([(int(i), int(i % 3), int(i // 3)) for i in ids], "id long, b int, pos int")
     packed = S._packed(edges, nodes).collect()
     assert len(packed) == 9 and sum(len(r["val"]) for r in packed) == 8 * edges.count()
+
+
+def test_near_nodes_share_blocks(spark):
+    """Parts of the graph keep to themselves: nodes of a part get one mark, so blocks in its order share edges within the part only."""
+    rows = [(p * 40 + i, p * 40 + (i + j) % 40, 1.0) for p in range(3) for i in range(40) for j in (1, 2, 5, 11)]
+    edges = S.normalised(S.affinity(spark.createDataFrame(rows, "src long, dst long, dist double")))
+    marks = {r["id"]: r["l"] for r in S._near(edges, edges.selectExpr("src AS id").distinct()).collect()}
+    assert len(marks) == 120 and [len({marks[p * 40 + i] for i in range(40)}) for p in range(3)] == [1, 1, 1] and len(set(marks.values())) == 3
+    eig = S.top_eigen(edges, 3, block_rows=40)
+    assert eig.values == pytest.approx([1, 1, 1], abs=1e-9)
